@@ -45,7 +45,7 @@ def p3_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = _orientation_runs(spark, sf_dir).where("tbl = 'slot_table'").groupBy(*CLIP).agg(F.count(F.lit(1)).alias("n_events"))
     told = table(spark, sf_dir, "slot_table").groupBy(*CLIP).agg(F.max("n_dedup").alias("n_dedup"))
     both = told.join(left, CLIP, "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
-    return both.select(*CLIP, "n_events", "n_dedup", F.col("n_events").eqNullSafe(F.col("n_dedup")).alias("agrees"))
+    return both.select(*CLIP, "n_events", F.col("n_dedup").cast("double").alias("n_dedup"), F.col("n_events").eqNullSafe(F.col("n_dedup")).alias("agrees"))
 
 
 #: Where the vocabulary files lie; they are read from there and never copied.
@@ -96,7 +96,7 @@ P3_DEDUP_SQL = (
     _RUNS_SQL
     + """, e as (select series_id, clip_no, count(*) n_events from runs where tbl = 'slot_table' group by all),
 d as (select series_id, clip_no, max(n_dedup) n_dedup from slot_table group by all)
-select series_id, clip_no, cast(coalesce(n_events, 0) as bigint) n_events, n_dedup, coalesce(n_events, 0) is not distinct from n_dedup as agrees
+select series_id, clip_no, cast(coalesce(n_events, 0) as bigint) n_events, cast(n_dedup as double) n_dedup, coalesce(n_events, 0) is not distinct from n_dedup as agrees
 from d left join e using (series_id, clip_no)"""
 )
 

@@ -65,6 +65,4 @@ def visible(text: str) -> str:
         text = _INVISIBLE.sub("", text)
         text = unicodedata.normalize("NFKC", text)
         text = _MARKS.sub("", text).casefold()
-        if "\ud7ff" < max(text) and re.search("[\ud800-\udfff]", text):
-            text = re.sub("[\ud800-\udfff]", " ", text)
     return text

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gyrolith.llm.bpe import encode_corpus
 from gyrolith.llm.leaks import leaked_spans
 from gyrolith.llm.nearest import match_nearest
+from gyrolith.llm.residue import find_residue
 from gyrolith.llm.runs import collapse_runs
 from gyrolith.session import table
 
@@ -68,6 +69,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to leave out: template residue, filler, error pages, script notices."""
+    return find_residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
 P1_SQL = """
 with s as (select series_id, clip_no, min(shift) shift from alignment where shift is not null and not isnan(shift) group by all),
 o as (select distinct series_id, clip_no, idx opt_idx, t + shift as t from optical_rates join s using (series_id, clip_no) where t is not null),
@@ -100,5 +106,5 @@ select series_id, clip_no, cast(coalesce(n_events, 0) as bigint) n_events, cast(
 from d left join e using (series_id, clip_no)"""
 )
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_dedup": p3_dedup, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_dedup": p3_dedup, "p6_ids": p6_ids, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 ORACLE = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p3_dedup": P3_DEDUP_SQL}

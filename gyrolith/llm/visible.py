@@ -18,7 +18,7 @@ BLOCK = (
 )
 _INLINE = re.compile(rf"</?(?:{'|'.join(INLINE.split())})(?:\s[^<>]{{0,400}})?/?>", re.I)
 _BLOCK = re.compile(rf"</?(?:{'|'.join(BLOCK.split())})(?:\s[^<>]{{0,2000}})?/?>", re.I)
-_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_COMMENT = re.compile(r"<!--.*?-->|<!doctype[^<>]*>", re.S | re.I)
 _ANSI = re.compile("\x1b\\[[0-9;?]*[ -/]*[@-~]|\x1b[()][0-9A-B]")
 _LATEX = re.compile(r"\\+(?:textbf|textit|textsc|texttt|emph|underline|text|mathrm|mathbf|mathit)\s*\{")
 _ESCAPE = re.compile(r"\\+(?:u[dD][89abAB][0-9a-fA-F]{2}\\+u[dD][c-fC-F][0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|x[0-9a-fA-F]{2}|[nrtbfv])")
@@ -54,7 +54,7 @@ def visible(text: str) -> str:
     if "\x1b" in text:
         text = _ANSI.sub("", text)
     if "<" in text:
-        text = _BLOCK.sub(" ", _INLINE.sub("", _COMMENT.sub(" ", text) if "<!--" in text else text))
+        text = _BLOCK.sub(" ", _INLINE.sub("", _COMMENT.sub(" ", text) if "<!" in text else text))
     if "&" in text:
         text = html.unescape(text)
     if "](" in text:

@@ -16,7 +16,7 @@ from gyrolith.operators.windows import difference
 def sample_rate(df: DataFrame, keys: Sequence[str], time: str, out: str = "fs", exact: bool = True) -> DataFrame:
     """1 / median step per series.  ``exact=False`` takes a bounded sketch, for series whose steps
     have too many distinct values for one aggregation buffer."""
-    steps = difference(df, keys, time, "__d")
+    steps = difference(df, keys, [time], ["__d"])
     mid = F.percentile("__d", 0.5) if exact else F.percentile_approx("__d", 0.5, 10000)
     return steps.groupBy(*keys).agg(F.try_divide(F.lit(1.0), mid).alias(out))
 

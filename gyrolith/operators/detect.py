@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from gyrolith.config import Config
 from gyrolith.functions import quat as Qn
-from gyrolith.functions.design import band_pass, low_pass
-from gyrolith.operators.filters import apply_filtfilt
+from gyrolith.functions.design import Filter, band_pass, low_pass
+from gyrolith.operators.filters import apply_filters, apply_filtfilt
 from gyrolith.operators.intervals import find_intervals
 from gyrolith.operators.windows import hampel, uniform_filter
+from gyrolith.session import durable
 
 AXES = ("wx", "wy", "wz")
 
@@ -34,17 +35,25 @@ def window_rows(seconds: float, fs: float, rounded: bool = False) -> int:
     return max(3, math.floor(rows + 0.5) if rounded else int(rows))
 
 
-def noise_envelope(df: DataFrame, keys: Sequence[str], axes: Sequence[str], fs: float, cfg: Config, out: str = "noise") -> DataFrame:
-    """Largest axis of the rolling RMS in the noise band."""
+def noise_band(fs: float, cfg: Config) -> Filter:
     lo, hi = cfg.noise_band
-    half = fs / 2
-    bands = [f"__b{k}" for k in range(len(axes))]
-    rows = apply_filtfilt(df, keys, axes, band_pass(2, lo / half, min(hi, 0.95 * half) / half), bands)
-    rows = rows.withColumns({b: F.col(b) * F.col(b) for b in bands})
-    means = [f"__m{k}" for k in range(len(axes))]
-    rows = uniform_filter(rows, keys, bands, window_rows(cfg.noise_window_ms / 1000, fs, True), means)
+    return band_pass(2, lo / (fs / 2), min(hi, 0.475 * fs) / (fs / 2))
+
+
+def envelope_of(df: DataFrame, keys: Sequence[str], bands: Sequence[str], fs: float, cfg: Config, out: str = "noise") -> DataFrame:
+    """Largest axis of the rolling RMS of band-passed columns."""
+    squares, means = ([f"__{p}{k}" for k in range(len(bands))] for p in ("s", "m"))
+    rows = df.withColumns({s: F.col(b) * F.col(b) for s, b in zip(squares, bands)})
+    rows = uniform_filter(rows, keys, squares, window_rows(cfg.noise_window_ms / 1000, fs, True), means)
     each = [F.sqrt(F.greatest(F.col(m), F.lit(0.0))) for m in means]
-    return rows.withColumn(out, F.greatest(*each) if len(each) > 1 else each[0]).drop(*bands, *means)
+    return rows.withColumn(out, F.greatest(*each) if len(each) > 1 else each[0]).drop(*squares, *means)
+
+
+def noise_envelope(df: DataFrame, keys: Sequence[str], axes: Sequence[str], fs: float, cfg: Config, out: str = "noise", longest: int | None = None) -> DataFrame:
+    """Largest axis of the rolling RMS in the noise band."""
+    bands = [f"__b{k}" for k in range(len(axes))]
+    rows = apply_filtfilt(df, keys, axes, noise_band(fs, cfg), bands, longest)
+    return envelope_of(rows, keys, bands, fs, cfg, out).drop(*bands)
 
 
 def ramp_smoothed(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float, fs: float, seconds: float, out: str) -> DataFrame:
@@ -53,32 +62,32 @@ def ramp_smoothed(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi:
     return uniform_filter(rows, keys, ["__r"], window_rows(seconds, fs), [out]).drop("__r")
 
 
-def adaptive_clean(df: DataFrame, keys: Sequence[str], fs: float, cfg: Config = Config(), axes: Sequence[str] = AXES, plain_cutoff: float | None = None) -> DataFrame:
+def adaptive_clean(df: DataFrame, keys: Sequence[str], fs: float, cfg: Config = Config(), axes: Sequence[str] = AXES, plain_cutoff: float | None = None, longest: int | None = None) -> DataFrame:
     """Rates in rad/s to cleaned rates and their diagnosis.
 
     Adds per axis ``c*`` (cleaned, rad/s), ``light_*`` and ``strong_*`` (deg/s), then noise (deg/s),
     alpha and spike_frac.  ``plain_cutoff`` filters all readings alike instead, with alpha 0.
+    Two passes reject spikes, one runs all filters, two average; the result is written once.
     """
+    keys = list(keys)
     short = [a[-1] for a in axes]
-    deg, fixed, bad = ([f"__{p}{s}" for s in short] for p in ("d", "h", "x"))
+    deg, fixed, bad, bands = ([f"__{p}{s}" for s in short] for p in ("d", "h", "x", "b"))
     rows = df.withColumns({d: F.degrees(a) for d, a in zip(deg, axes)})
-    for d, h, x in zip(deg, fixed, bad):
-        rows = hampel(rows, keys, d, cfg.hampel_window, cfg.hampel_sigma, h, x)
+    rows = hampel(rows, keys, deg, cfg.hampel_window, cfg.hampel_sigma, fixed, bad)
     light, strong = [f"light_{s}" for s in short], [f"strong_{s}" for s in short]
-    half = fs / 2
+    cut = lambda hz: low_pass(2, hz / (fs / 2))
     if plain_cutoff is not None:
-        rows = apply_filtfilt(rows, keys, fixed, low_pass(2, plain_cutoff / half), light)
+        rows = apply_filters(rows, keys, [(fixed, cut(plain_cutoff), light)], longest)
         rows = rows.withColumns({**{s: F.col(c) for s, c in zip(strong, light)}, "noise": F.lit(0.0), "alpha": F.lit(0.0)})
     else:
-        rows = noise_envelope(rows, keys, fixed, fs, cfg)
+        jobs = [(fixed, noise_band(fs, cfg), bands), (fixed, cut(cfg.light_cutoff), light), (fixed, cut(cfg.strong_cutoff), strong)]
+        rows = envelope_of(apply_filters(rows, keys, jobs, longest), keys, bands, fs, cfg).drop(*bands)
         rows = ramp_smoothed(rows, keys, "noise", cfg.noise_low, cfg.noise_high, fs, 0.2, "alpha")
-        rows = apply_filtfilt(rows, keys, fixed, low_pass(2, cfg.light_cutoff / half), light)
-        rows = apply_filtfilt(rows, keys, fixed, low_pass(2, cfg.strong_cutoff / half), strong)
     clean = Qn.blend([F.col(c) for c in light], [F.col(c) for c in strong], F.col("alpha"))
     rows = rows.withColumns({f"c{s}": F.radians(c) for s, c in zip(short, clean)})
-    spikes = sum((F.col(x).cast("double") for x in bad), F.lit(0.0)) / len(bad)
-    frac = rows.groupBy(*keys).agg(F.avg(spikes).alias("spike_frac"))
-    return rows.join(frac, list(keys)).drop(*deg, *fixed, *bad)
+    rows = rows.withColumn("__spikes", sum((F.col(x).cast("double") for x in bad), F.lit(0.0)) / len(bad))
+    rows = durable(rows.drop(*deg, *fixed, *bad))
+    return rows.join(rows.groupBy(*keys).agg(F.avg("__spikes").alias("spike_frac")), keys).drop("__spikes")
 
 
 def severe_intervals(diag: DataFrame, keys: Sequence[str], time: str, cfg: Config = Config()) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from gyrolith.functions.design import Filter, states, steady
 from gyrolith.operators.shards import floats, map_group_chunks
+from gyrolith.session import durable
 
 WHOLE, SHARD, LENGTH = 1 << 18, 1 << 16, 128
 
@@ -95,20 +96,46 @@ def _with(df: DataFrame, keys: Sequence[str], outs: Sequence[str], fn, pos: str
     return map_group_chunks(df, keys, run, schema)
 
 
-def apply_filtfilt(df: DataFrame, keys: Sequence[str], values: Sequence[str], f: Filter, outs: Sequence[str]) -> DataFrame:
-    """Zero-phase filter of columns of a numbered series."""
+Job = tuple[Sequence[str], Filter, Sequence[str]]
+
+
+def _split(df: DataFrame, longest: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Series that stay whole, and the longer ones if there are any.
+
+    Where the caller doesn't say how long the longest is, the input is written once and looked at,
+    since looking at an unwritten input would compute it twice.
+    """
+    if longest is None:
+        df = durable(df)
+        longest = df.agg(F.max("n")).first()[0] or 0
+    if longest <= WHOLE:
+        return df, None
+    return df.where(F.col("n") <= WHOLE), df.where(F.col("n") > WHOLE)
+
+
+def apply_filters(df: DataFrame, keys: Sequence[str], jobs: Sequence[Job], longest: int | None = None) -> DataFrame:
+    """Zero-phase filters of columns of a numbered series, several in one pass: (values, filter, outs)."""
     keys = list(keys)
+    outs = [o for _, _, names in jobs for o in names]
 
     def whole(tab: pa.Table, spans: list[tuple[int, int]]) -> list[np.ndarray]:
-        cols = [floats(tab, v) for v in values]
-        return [np.concatenate([filtfilt(f, c[a:b]) for a, b in spans]) for c in cols]
+        return [np.concatenate([filtfilt(f, c[a:b]) for a, b in spans]) for values, f, _ in jobs for c in (floats(tab, v) for v in values)]
+
+    near, far = _split(df, longest)
+    short = _with(near, keys, outs, whole)
+    if far is None:
+        return short
+    for values, f, names in jobs:
+        far = _long_filtfilt(far, keys, values, f, names)
+    return short.unionByName(far)
 
-    short = _with(df.where(F.col("n") <= WHOLE), keys, outs, whole)
-    long = df.where(F.col("n") > WHOLE)
-    return short if long.isEmpty() else short.unionByName(_long_filtfilt(long, keys, values, f, outs))
+
+def apply_filtfilt(df: DataFrame, keys: Sequence[str], values: Sequence[str], f: Filter, outs: Sequence[str], longest: int | None = None) -> DataFrame:
+    """Zero-phase filter of columns of a numbered series."""
+    return apply_filters(df, keys, [(values, f, outs)], longest)
 
 
-def apply_lfilter(df: DataFrame, keys: Sequence[str], values: Sequence[str], f: Filter, outs: Sequence[str], settled: bool = True) -> DataFrame:
+def apply_lfilter(df: DataFrame, keys: Sequence[str], values: Sequence[str], f: Filter, outs: Sequence[str], settled: bool = True, longest: int | None = None) -> DataFrame:
     """Causal filter; ``settled`` starts it as if the first reading had always been."""
     keys = list(keys)
     zi = steady(f)
@@ -117,11 +144,11 @@ def apply_lfilter(df: DataFrame, keys: Sequence[str], values: Sequence[str], f:
         cols = [floats(tab, v) for v in values]
         return [np.concatenate([lfilter(f, c[a:b], zi * (c[a] if settled else 0.0))[0] for a, b in spans]) for c in cols]
 
-    short = _with(df.where(F.col("n") <= WHOLE), keys, outs, whole)
-    long = df.where(F.col("n") > WHOLE)
-    if long.isEmpty():
+    near, far = _split(df, longest)
+    short = _with(near, keys, outs, whole)
+    if far is None:
         return short
-    rows = chained(long.withColumn("__p", F.col("pos")), keys, "__p", values, f, outs, settled)
+    rows = chained(far.withColumn("__p", F.col("pos")), keys, "__p", values, f, outs, settled)
     return short.unionByName(rows.drop("__p"))
 
 

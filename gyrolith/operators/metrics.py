@@ -11,7 +11,7 @@ from gyrolith.functions import quat as Qn
 from gyrolith.functions.design import Filter, band_pass, low_pass
 from gyrolith.operators import aggregates as A
 from gyrolith.operators import windows as W
-from gyrolith.operators.filters import apply_filtfilt
+from gyrolith.operators.filters import apply_filters
 from gyrolith.operators.intervals import interp_asof
 from gyrolith.session import durable
 
@@ -53,11 +53,14 @@ def render_metrics(track: DataFrame, keys: Sequence[str], fs: float, labels: Dat
     keys = list(keys)
     axes = ["wx", "wy", "wroll"]
     rows = track
-    for a in [*axes, "dlogs"]:
-        rows = W.angle_integral(rows, keys, a, fs, f"int_{a}")
-    rows = apply_filtfilt(rows, keys, [f"int_{a}" for a in [*axes, "dlogs"]], band(*PAN, fs), [f"pan_{a}" for a in [*axes, "dlogs"]])
-    rows = apply_filtfilt(rows, keys, axes, band(*WOBBLE, fs), [f"wob_{a}" for a in axes])
-    rows = apply_filtfilt(rows, keys, axes, band(*SHAKE, fs), [f"shk_{a}" for a in axes])
+    rows = W.angle_integral(rows, keys, [*axes, "dlogs"], fs, [f"int_{a}" for a in [*axes, "dlogs"]])
+    both = [*axes, "dlogs"]
+    jobs = [
+        ([f"int_{a}" for a in both], band(*PAN, fs), [f"pan_{a}" for a in both]),
+        (axes, band(*WOBBLE, fs), [f"wob_{a}" for a in axes]),
+        (axes, band(*SHAKE, fs), [f"shk_{a}" for a in axes]),
+    ]
+    rows = apply_filters(rows, keys, jobs)
     by = keys
     if labels is not None:
         rows, by = rows.join(labels, [*keys, "pos"]), [*keys, "label"]
@@ -80,7 +83,7 @@ def residual_rates(track: DataFrame, path: DataFrame, keys: Sequence[str], fs: f
     return both.withColumns({f"res_{a}": F.col(w) - m for a, w, m in zip("xyz", ("wx", "wy", "wroll"), made)}).drop("px", "py", "pz", "m")
 
 
-def best_shift(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, span: float, steps: int) -> DataFrame:
+def best_shift(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, span: float, steps: int, shard: float = 16.0) -> DataFrame:
     """Sub-frame shift of b that brings it closest to a: least median absolute difference.
 
     Candidates travel with the rows; ties go to the smallest shift.
@@ -88,16 +91,14 @@ def best_shift(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, span
     keys = list(keys)
     grid = F.array(*[F.lit(-span + 2 * span * k / (steps - 1)) for k in range(steps)])
     q = a.select(*keys, F.col("t").alias("__t"), F.col(value).alias("__v"), F.explode(grid).alias("shift")).withColumn("t", F.col("__t") + F.col("shift"))
-    at = interp_asof(q.select(*keys, "t", "__v", "shift"), b.select(*keys, "t", value), keys, "t", [value], 16.0)
+    at = interp_asof(q.select(*keys, "t", "__v", "shift"), b.select(*keys, "t", value), keys, "t", [value], shard)
     score = at.groupBy(*keys, "shift").agg((-F.percentile(F.abs(F.col(value) - F.col("__v")), 0.5)).alias("score"))
     return A.best_of(score, keys, "score", "shift", []).withColumn("score", -F.col("score"))
 
 
 def continuity(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Per series the largest reading, the largest jump and the number of NaN, over all columns."""
-    rows = df
-    for v in values:
-        rows = W.difference(rows, keys, v, f"__d_{v}")
+    rows = W.difference(df, keys, values, [f"__d_{v}" for v in values])
     clean = lambda c: F.when(~F.isnan(c), F.abs(c))
     most = lambda names: F.greatest(*[F.max(clean(c)) for c in names]) if len(names) > 1 else F.max(clean(names[0]))
     nans = sum((A.nan_count(F.col(v)) for v in values), F.lit(0))
@@ -107,11 +108,13 @@ def continuity(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Dat
 def band_ratio(df: DataFrame, keys: Sequence[str], raw: Sequence[str], out: Sequence[str], fs: float, bands: Sequence[tuple[float, float]]) -> DataFrame:
     """RMS per band of two sets of axes, and the correlation of their slow part (below 3 Hz)."""
     keys = list(keys)
-    res = None
-    for lo, hi in bands:
-        names = [[f"__{s}{k}" for k in range(len(raw))] for s in "ro"]
-        rows = apply_filtfilt(apply_filtfilt(df, keys, raw, band(lo, hi, fs), names[0]), keys, out, band(lo, hi, fs), names[1])
-        one = rows.groupBy(*keys).agg(A.rms([F.col(c) for c in names[0]]).alias("rms_raw"), A.rms([F.col(c) for c in names[1]]).alias("rms_out"), A.mean_correlation(list(zip(*names))).alias("corr"))
-        one = one.select(*keys, F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), "rms_raw", "rms_out", "corr")
-        res = one if res is None else res.unionByName(one)
-    return res
+    name = lambda s, b, k: f"__{s}{b}_{k}"
+    axes = range(len(raw))
+    jobs = [([*raw, *out], band(lo, hi, fs), [*[name("r", b, k) for k in axes], *[name("o", b, k) for k in axes]]) for b, (lo, hi) in enumerate(bands)]
+    rows = apply_filters(df, keys, jobs)
+    each = []
+    for b, (lo, hi) in enumerate(bands):
+        r, o = ([name(s, b, k) for k in axes] for s in "ro")
+        told = (A.rms([F.col(c) for c in r]).alias("rms_raw"), A.rms([F.col(c) for c in o]).alias("rms_out"), A.mean_correlation(list(zip(r, o))).alias("corr"))
+        each.append(F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), *told))
+    return rows.groupBy(*keys).agg(F.array(*each).alias("b")).select(*keys, F.explode("b").alias("b")).select(*keys, "b.*")

@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from gyrolith.operators.shards import with_carry, with_halo
+from gyrolith.session import durable
 
 BLOCK = 4096
 
 
-def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], shard: Column) -> DataFrame:
+def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], shard: Column, keep: bool = False) -> DataFrame:
     """Add pos (0, 1, ... in order) and n.  ``shard`` must be monotone in ``order``; rows whose keys
-    or shard are null belong to no series and are left out."""
+    or shard are null belong to no series and are left out.
+
+    ``keep`` writes the numbered table once: what reads it several times, as operators with carries
+    do, then starts from it instead of from the source.
+    """
     keys = list(keys)
     rows = df.withColumn("__sh", shard).dropna(subset=[*keys, "__sh"]).repartition(*keys, "__sh")
     local = Window.partitionBy(*keys, "__sh").orderBy(*order)
@@ -31,7 +36,8 @@ def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], shard: Colu
         "n": lambda w: F.sum("__c").over(whole(w)),
     }
     rows = with_carry(rows, keys, "__sh", {"__c": F.count(F.lit(1))}, carries)
-    return rows.withColumn("pos", F.col("pos") + F.col("__before")).drop("__before", "__sh")
+    rows = rows.withColumn("pos", F.col("pos") + F.col("__before")).drop("__before", "__sh")
+    return durable(rows) if keep else rows
 
 
 def blocked(df: DataFrame, keys: Sequence[str], halo: int) -> tuple[DataFrame, WindowSpec]:
@@ -65,11 +71,17 @@ def neighbour(df: DataFrame, keys: Sequence[str], shard: str, order: Sequence[st
     return carried.withColumn(out, F.coalesce(F.lag(state).over(local), F.col("__c"))).drop("__c")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Sum of ``value`` from the series' start up to each row of a numbered series."""
+def running_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str], outs: Sequence[str]) -> DataFrame:
+    """Sums of columns from the series' start up to each row of a numbered series."""
     keys = list(keys)
     rows = df.withColumn("__sh", F.floor(F.col("pos") / F.lit(BLOCK)).cast("long")).repartition(*keys, "__sh")
     local = Window.partitionBy(*keys, "__sh").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    before = {"__b": lambda w: F.coalesce(F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
-    carried = with_carry(rows, keys, "__sh", {"__s": F.sum(value)}, before)
-    return carried.withColumn(out, F.col("__b") + F.coalesce(F.sum(value).over(local), F.lit(0))).drop("__b", "__sh")
+    told = [f"__s{k}" for k in range(len(values))]
+    past = [f"__b{k}" for k in range(len(values))]
+    sums = lambda s: lambda w: F.coalesce(F.sum(s).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = with_carry(rows, keys, "__sh", {s: F.sum(v) for s, v in zip(told, values)}, {b: sums(s) for b, s in zip(past, told)})
+    return carried.withColumns({o: F.col(b) + F.coalesce(F.sum(v).over(local), F.lit(0)) for o, b, v in zip(outs, past, values)}).drop(*past, "__sh")
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    return running_sums(df, keys, [value], [out])

@@ -18,11 +18,12 @@ from gyrolith.functions import quat as Qn
 from gyrolith.functions.design import low_pass
 from gyrolith.operators.aggregates import local_rate
 from gyrolith.operators.detect import ramp_smoothed, window_rows
-from gyrolith.operators.filters import apply_filtfilt, filtfilt
+from gyrolith.operators.filters import apply_filters, filtfilt
 from gyrolith.operators.intervals import within
 from gyrolith.operators.ordered import number
 from gyrolith.operators.shards import floats, map_group_chunks
 from gyrolith.operators.windows import gradient, uniform_filter
+from gyrolith.session import durable
 
 FIT_LEAST, FIT_QUALITY, FIT_R2 = 200, 0.5, 0.8
 SCAN_S, SCAN_STEP, ROUNDS = 0.06, 0.002, 3
@@ -114,7 +115,7 @@ def video_alignment(optical: DataFrame, gyro: DataFrame, keys: Sequence[str], fs
     return map_group_chunks(rows, keys, run, schema)
 
 
-def optical_patch(diag: DataFrame, optical: DataFrame, align: DataFrame, noisy: DataFrame, keys: Sequence[str], fs: float, cfg: Config = Config(), time: str = "tm", fps: float | None = None) -> DataFrame:
+def optical_patch(diag: DataFrame, optical: DataFrame, align: DataFrame, noisy: DataFrame, keys: Sequence[str], fs: float, cfg: Config = Config(), time: str = "tm", fps: float | None = None, longest: int | None = None) -> DataFrame:
     """Cleaned rates with the noisy bursts replaced by measured motion: adds rx, ry, rz (rad/s).
 
     diag: a cleaned numbered series (``adaptive_clean``); optical: t, ox, oy, oz, quality of the
@@ -125,12 +126,14 @@ def optical_patch(diag: DataFrame, optical: DataFrame, align: DataFrame, noisy:
     axes = ("x", "y", "z")
     light = [f"light_{a}" for a in axes]
     medium = [f"__m{a}" for a in axes]
-    rows = apply_filtfilt(diag, keys, light, low_pass(2, (cfg.handback_cutoff or cfg.optical_cutoff) / (fs / 2)), medium)
+    wide = [f"__w{a}" for a in axes]
+    jobs = [(light, low_pass(2, (cfg.handback_cutoff or cfg.optical_cutoff) / (fs / 2)), medium)]
+    if cfg.fast_wide_cutoff:
+        jobs.append((light, low_pass(2, cfg.fast_wide_cutoff / (fs / 2)), wide))
+    rows = apply_filters(diag, keys, jobs, longest)
     rows = rows.withColumn("__mag", Qn.magnitude([F.col(m) for m in medium]))
     rows = uniform_filter(rows, keys, ["__mag"], window_rows(0.1, fs), ["__rate"])
     if cfg.fast_wide_cutoff:
-        wide = [f"__w{a}" for a in axes]
-        rows = apply_filtfilt(rows, keys, light, low_pass(2, cfg.fast_wide_cutoff / (fs / 2)), wide)
         lo, hi = cfg.fast_wide_ramp
         weight = Qn.ramp(F.col("__rate"), lo, max(hi, lo + 1e-6))
         if cfg.fast_wide_accel:
@@ -143,6 +146,7 @@ def optical_patch(diag: DataFrame, optical: DataFrame, align: DataFrame, noisy:
         rows = ramp_smoothed(rows, keys, "noise", *cfg.optical_noise, fs, 0.2, "__alpha")
     else:
         rows = rows.withColumn("__alpha", F.col("alpha"))
+    rows = durable(rows)
     turned = optical.join(align.where("status = 'ok'").select(*keys, "shift", "n"), keys)
     deg = Qn.times_matrix(tuple(F.degrees(c) for c in ("ox", "oy", "oz")), F.col("n"))
     turned = turned.select(*keys, (F.col("t") + F.col("shift")).alias("t"), *[c.alias(f"p{a}") for c, a in zip(deg, axes)], "quality").dropna(subset=[*keys, "t"])

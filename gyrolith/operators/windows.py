@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyrolith.functions import quat as Qn
-from gyrolith.operators.ordered import blocked, neighbour, own, running_sum
+from gyrolith.operators.ordered import blocked, neighbour, own, running_sum, running_sums
 from gyrolith.operators.shards import with_carry
 
 SHARD = 4096
@@ -38,14 +38,14 @@ def _middle(values: Column) -> Column:
     return (F.get(s, F.floor((k - 1) / 2).cast("int")) + F.get(s, F.floor(k / 2).cast("int"))) / 2
 
 
-def median_filter(df: DataFrame, keys: Sequence[str], value: str, size: int, out: str) -> DataFrame:
+def median_filter(df: DataFrame, keys: Sequence[str], values: Sequence[str], size: int, outs: Sequence[str]) -> DataFrame:
     """Centred rolling median of an odd number of readings."""
     if size % 2 == 0:
         raise ValueError("size must be odd")
     h = size // 2
     rows, w = blocked(df, keys, h)
-    frame = F.collect_list(value).over(w.rowsBetween(-h, h))
-    return own(rows.withColumn(out, _middle(_padded(frame, h, h))))
+    frames = {o: _middle(_padded(F.collect_list(v).over(w.rowsBetween(-h, h)), h, h)) for v, o in zip(values, outs)}
+    return own(rows.withColumns(frames))
 
 
 def uniform_filter(df: DataFrame, keys: Sequence[str], values: Sequence[str], size: int, outs: Sequence[str]) -> DataFrame:
@@ -60,14 +60,19 @@ def uniform_filter(df: DataFrame, keys: Sequence[str], values: Sequence[str], si
     return own(rows)
 
 
-def hampel(df: DataFrame, keys: Sequence[str], value: str, half: int, nsig: float, out: str, flag: str) -> DataFrame:
-    """Replace readings further than nsig scaled median deviations from the rolling median by it."""
-    rows = median_filter(df, keys, value, 2 * half + 1, "__med")
-    rows = rows.withColumn("__dev", F.abs(F.col(value) - F.col("__med")))
-    rows = median_filter(rows, keys, "__dev", 2 * half + 1, "__mad")
-    bad = F.col("__dev") > nsig * (1.4826 * F.col("__mad") + 1e-9)
-    rows = rows.withColumn(flag, bad).withColumn(out, F.when(bad, F.col("__med")).otherwise(F.col(value)))
-    return rows.drop("__med", "__dev", "__mad")
+def hampel(df: DataFrame, keys: Sequence[str], values: Sequence[str], half: int, nsig: float, outs: Sequence[str], flags: Sequence[str]) -> DataFrame:
+    """Replace readings further than nsig scaled median deviations from the rolling median by it.
+
+    Two passes for any number of columns: the medians, then the medians of the deviations.
+    """
+    med, dev, mad = ([f"__{p}{k}" for k in range(len(values))] for p in ("med", "dev", "mad"))
+    rows = median_filter(df, keys, values, 2 * half + 1, med)
+    rows = rows.withColumns({d: F.abs(F.col(v) - F.col(m)) for d, v, m in zip(dev, values, med)})
+    rows = median_filter(rows, keys, dev, 2 * half + 1, mad)
+    bad = [F.col(d) > nsig * (1.4826 * F.col(m) + 1e-9) for d, m in zip(dev, mad)]
+    rows = rows.withColumns({f: b for f, b in zip(flags, bad)})
+    rows = rows.withColumns({o: F.when(F.col(f), F.col(m)).otherwise(F.col(v)) for o, f, m, v in zip(outs, flags, med, values)})
+    return rows.drop(*med, *dev, *mad)
 
 
 def gradient(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -78,10 +83,10 @@ def gradient(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFr
     return own(rows.withColumn(out, g))
 
 
-def difference(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def difference(df: DataFrame, keys: Sequence[str], values: Sequence[str], outs: Sequence[str]) -> DataFrame:
     """Reading minus the one before; null at the start."""
     rows, w = blocked(df, keys, 1)
-    return own(rows.withColumn(out, F.col(value) - F.lag(value).over(w)))
+    return own(rows.withColumns({o: F.col(v) - F.lag(v).over(w) for v, o in zip(values, outs)}))
 
 
 def rates(df: DataFrame, keys: Sequence[str], time: str, q: Sequence[str], outs: Sequence[str] = ("tm", "wx", "wy", "wz")) -> DataFrame:
@@ -95,9 +100,10 @@ def rates(df: DataFrame, keys: Sequence[str], time: str, q: Sequence[str], outs:
     return own(rows.where(F.col("pos") < F.col("n") - 1)).withColumn("n", F.col("n") - 1)
 
 
-def angle_integral(df: DataFrame, keys: Sequence[str], value: str, fs: float, out: str) -> DataFrame:
-    """Cumulative sum over the sample rate."""
-    return running_sum(df, keys, value, "__cum").withColumn(out, F.col("__cum") / fs).drop("__cum")
+def angle_integral(df: DataFrame, keys: Sequence[str], values: Sequence[str], fs: float, outs: Sequence[str]) -> DataFrame:
+    """Cumulative sums over the sample rate."""
+    rows = running_sums(df, keys, values, outs)
+    return rows.withColumns({o: F.col(o) / fs for o in outs})
 
 
 def _flagged(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:

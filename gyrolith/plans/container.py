@@ -43,9 +43,9 @@ def extract(stream: DataFrame, keys: Sequence[str], time: Column, order: Sequenc
     one, signs continuous, unit length; adds t (s), pos, n.  Columns w, x, y, z."""
     keys = list(keys)
     rows = stream.withColumn("t", time)
-    rows = number(rows, keys, ["t", *order], F.floor(F.col("t") / F.lit(shard_s)).cast("long"))
+    rows = number(rows, keys, ["t", *order], F.floor(F.col("t") / F.lit(shard_s)).cast("long"), keep=True)
     rows = W.consecutive_dedupe(rows, keys, ["w", "x", "y", "z"])
-    rows = number(rows.withColumn("__p", F.col("pos")).drop("pos", "n"), keys, ["__p"], F.floor(F.col("__p") / W.SHARD).cast("long"))
+    rows = number(rows.withColumn("__p", F.col("pos")).drop("pos", "n"), keys, ["__p"], F.floor(F.col("__p") / W.SHARD).cast("long"), keep=True)
     rows = W.hemisphere(rows, keys, ["w", "x", "y", "z"]).drop("__p")
     return rows.withColumns(dict(zip("wxyz", Qn.normalise(Qn.q_of()))))
 

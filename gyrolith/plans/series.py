@@ -16,12 +16,17 @@ from gyrolith.functions.design import Filter, band_pass, low_pass, steady
 from gyrolith.operators import aggregates as A
 from gyrolith.operators import intervals as I
 from gyrolith.operators import windows as W
-from gyrolith.operators.detect import noise_envelope, ramp_smoothed
+from gyrolith.operators import metrics as M
+from gyrolith.operators.detect import by_rate, noise_envelope, ramp_smoothed, severe_intervals
 from gyrolith.operators.filters import apply_filtfilt, apply_lfilter
-from gyrolith.operators.ordered import number
-from gyrolith.session import table
-
-USER = ["user_id"]
+from gyrolith.operators.ordered import blocked, number, own
+from gyrolith.plans.container import compare_positions
+from gyrolith.plans.pipeline import clean, orientation_of, repair, scaled
+from gyrolith.session import durable, table
+from gyrolith.sources.gcsv import rate_lines
+from gyrolith.sources.lens import lens_columns
+
+USER, CLIP = ["user_id"], ["series_id", "clip_no"]
 DAY = 86400.0
 LOW = low_pass(2, 0.1)
 BAND = band_pass(2, 0.06, 0.36)
@@ -200,7 +205,7 @@ _FLAG = f"with {EVENTS}, g as (select *, case when event_type is distinct from l
 
 
 def median_filter(s, d):
-    return rounded(W.median_filter(events(s, d), USER, "value", 5, "med").select("user_id", "pos", "med"), "med")
+    return rounded(W.median_filter(events(s, d), USER, ["value"], 5, ["med"]).select("user_id", "pos", "med"), "med")
 
 
 def _padded_sql(col: str, h: int) -> str:
@@ -215,7 +220,7 @@ select user_id, pos, round(med, 6) + 0.0 as med from m where pos between 0 and n
 
 
 def hampel(s, d):
-    x = W.hampel(events(s, d), USER, "value", 3, 3.0, "clean", "is_spike")
+    x = W.hampel(events(s, d), USER, ["value"], 3, 3.0, ["clean"], ["is_spike"])
     return rounded(x.select("user_id", "pos", "clean", "is_spike"), "clean")
 
 
@@ -243,7 +248,7 @@ select user_id, pos, round(x, 6) + 0.0 as mean_value, round(y, 6) + 0.0 as mean_
 
 
 def gradient(s, d):
-    x = W.difference(W.gradient(events(s, d), USER, "value", "grad"), USER, "value", "diff")
+    x = W.difference(W.gradient(events(s, d), USER, "value", "grad"), USER, ["value"], ["diff"])
     return rounded(x.select("user_id", "pos", "grad", "diff"), "grad", "diff")
 
 
@@ -253,7 +258,7 @@ select user_id, pos, round(case when n < 2 then null when pos = 0 then b - value
 
 
 def cumsum(s, d):
-    return rounded(W.angle_integral(events(s, d), USER, "value", 100.0, "angle").select("user_id", "pos", "angle"), "angle")
+    return rounded(W.angle_integral(events(s, d), USER, ["value"], 100.0, ["angle"]).select("user_id", "pos", "angle"), "angle")
 
 
 def fill_flagged(s, d):
@@ -389,8 +394,6 @@ def first_occurrence(s, d):
 
 def corr_scan(s, d):
     """Best lag of k behind value among seven, per user: the candidate grid travels with the row."""
-    from gyrolith.operators.ordered import blocked, own
-
     rows, w = blocked(events(s, d), USER, 3)
     cands = F.array(*[F.struct(F.lit(c).alias("shift"), F.lead("k", c).over(w).alias("g") if c >= 0 else F.lag("k", -c).over(w).alias("g")) for c in range(-3, 4)])
     rows = own(rows.withColumn("__c", cands)).select("user_id", "value", F.explode("__c").alias("c")).select("user_id", "value", "c.*").where("g is not null")
@@ -506,8 +509,6 @@ select user_id, pos, round(sqrt(greatest(x, 0.0)), 6) + 0.0 as noise from m wher
 
 
 def gcsv_lines(s, d):
-    from gyrolith.sources.gcsv import rate_lines
-
     e = events(s, d).select("user_id", "pos", "t", (F.col("value") / 10).alias("gx"), (F.col("k") / 10).alias("gy"), F.lit(0.5).alias("gz"))
     return rate_lines(e, ["user_id", "pos"], "t", ["gx", "gy", "gz"])
 
@@ -530,8 +531,6 @@ select series_id, clip_no, {_r('(case when m is null then 546.4027 else m[1][1]*
 
 def lens_metadata(s, d):
     """Camera data of a lens tag, wrong shapes null, the first tag of a camera winning."""
-    from gyrolith.sources.lens import lens_columns
-
     m = table(s, d, "clip_meta")
     tag = F.to_json(F.struct(F.struct("camera_matrix", "distortion_coeffs").alias("fisheye_params"), F.struct(F.col("calib_w").alias("w"), F.col("calib_h").alias("h")).alias("calib_dimension")))
     x = lens_columns(m.select("camera", tag.alias("tag")), "tag")
@@ -556,8 +555,6 @@ select series_id, clip_no, count(*) n, min(sample_bytes) least, max(sample_bytes
 
 def slot_alignment(s, d):
     """Slots against telemetry, positionally: matched, missing on either side, largest difference."""
-    from gyrolith.plans.container import compare_positions
-
     tele = table(s, d, "telemetry").dropDuplicates(["series_id", "clip_no", "idx"])
     slot = table(s, d, "slot_table").dropDuplicates(["series_id", "clip_no", "idx"])
     slot = slot.select("series_id", "clip_no", "idx", *[F.get("q_ref", F.lit(k)).alias(c) for k, c in enumerate("wxyz")])
@@ -576,12 +573,117 @@ select series_id, clip_no, count(*) filter (where ai is not null and bi is not n
 
 def fast_events(s, d):
     """Twelve strongest readings per user, each more than a day from the stronger ones."""
-    from gyrolith.operators.metrics import greedy_peaks
-
-    x = greedy_peaks(events(s, d), USER, "t", "value", apart=DAY, most=12)
+    x = M.greedy_peaks(events(s, d), USER, "t", "value", apart=DAY, most=12)
     return rounded(x.select("user_id", F.col("rank").cast("int").alias("rank"), "t", "value"), "t", "value")
 
 
+def _nominal(s, d) -> list[float]:
+    """The nominal rates there are: a handful, by the tables' definition."""
+    return sorted(r[0] for r in table(s, d, "clip_meta").select("nominal_hz").where("nominal_hz is not null").distinct().limit(64).collect())
+
+
+def _clips(s, d) -> DataFrame:
+    """Orientation series of all clips with their nominal rate ``hz``, written once."""
+    rate = table(s, d, "clip_meta").groupBy("series_id", "clip_no").agg(F.max("nominal_hz").alias("hz"))
+    return durable(orientation_of(table(s, d, "telemetry"), CLIP, "t", "idx").join(rate, CLIP))
+
+
+def telemetry_extract(s, d):
+    """Orientation series of every clip: sorted, deduplicated, signs continuous, unit length."""
+    x = orientation_of(table(s, d, "telemetry"), CLIP, "t", "idx")
+    return rounded(x.select(*CLIP, "idx", "pos", "t", "w", "x", "y", "z"), "t", "w", "x", "y", "z")
+
+
+EXTRACT_SQL = f"""with r as (select distinct series_id, clip_no, idx, t, w, x, y, z from telemetry where t is not null and not isnan(t) and w+x+y+z is not null and not isnan(w+x+y+z) and not (w=0 and x=0 and y=0 and z=0)),
+c as (select *, row_number() over o rn, lag(w) over o pw, lag(x) over o px, lag(y) over o py, lag(z) over o pz from r window o as (partition by series_id, clip_no order by t, idx)),
+k as (select series_id, clip_no, idx, t, w, x, y, z, row_number() over (partition by series_id, clip_no order by rn) - 1 pos from c where rn = 1 or not (w = pw and x = px and y = py and z = pz)),
+h as (select *, case when w*lag(w) over o + x*lag(x) over o + y*lag(y) over o + z*lag(z) over o < 0 then 1 else 0 end f from k window o as (partition by series_id, clip_no order by pos)),
+g as (select *, case when sum(f) over (partition by series_id, clip_no order by pos) % 2 = 1 then -1.0 else 1.0 end / sqrt(w*w+x*x+y*y+z*z) sg from h)
+select series_id, clip_no, idx, pos, {_r('t t', 'w*sg w', 'x*sg x', 'y*sg y', 'z*sg z')} from g"""
+
+
+def clean_telemetry(s, d):
+    """Cleaned rates of every clip, clips of each nominal rate with that rate's filters."""
+    step = lambda df, fs: clean(df, CLIP, fs, scaled(Config(), fs))
+    x = by_rate(_clips(s, d), "hz", _nominal(s, d), step)
+    return rounded(x.select(*CLIP, "pos", "tm", "cx", "cy", "cz", "noise", "alpha", "spike_frac"), "tm", "cx", "cy", "cz", "noise", "alpha", "spike_frac")
+
+
+def severe_bursts(s, d):
+    """Bursts of the diagnosed rates whose noise passes the severe level."""
+    x = table(s, d, "clean_diag").where(F.col("noise").isNotNull() & F.col("tm").isNotNull()).select(*CLIP, "idx", "tm", "noise").dropDuplicates([*CLIP, "idx"])
+    x = number(x, CLIP, ["tm", "idx"], F.floor(F.col("tm") / 16).cast("long"))
+    return rounded(severe_intervals(x, CLIP, "tm"), "a", "b")
+
+
+SEVERE_SQL = f"""with r as (select distinct series_id || '/' || clip_no user_id, idx, tm t, noise value from clean_diag where noise is not null and tm is not null),
+e as (select *, row_number() over (partition by user_id order by t, idx) - 1 pos, count(*) over (partition by user_id) n from r), {_intervals_sql('value > 8.0', 0.2, 0.2, 0.2)}
+select split_part(user_id, '/', 1) as series_id, cast(split_part(user_id, '/', 2) as bigint) as clip_no, {_r('a a', 'b b')} from ivl"""
+
+
+def _repaired(s, d, part: str, columns: list[str], *digits: str) -> DataFrame:
+    optical = table(s, d, "optical_rates").dropDuplicates([*CLIP, "idx"])
+    clips = _clips(s, d)
+    step = lambda df, fs: getattr(repair(df.drop("hz"), optical, CLIP, fs, scaled(Config(), fs), extracted=True), part).select(*CLIP, *columns)
+    return rounded(by_rate(clips, "hz", _nominal(s, d), step), *digits)
+
+
+def repair_status(s, d):
+    """What the repair chain makes of every clip."""
+    return _repaired(s, d, "status", ["samples", "r2", "status"], "r2")
+
+
+def repaired_bursts(s, d):
+    """Drift closed in each repaired burst."""
+    return _repaired(s, d, "bursts", ["a", "b", "drift_deg"], "a", "b", "drift_deg")
+
+
+def _track(s, d) -> DataFrame:
+    return events(s, d).select(*USER, "pos", "n", "t", F.col("value").alias("wx"), F.col("k").alias("wy"), (F.col("value") - F.col("k")).alias("wroll"), (F.col("k") / 1000).alias("dlogs"), (F.col("k") / 100).alias("quality"))
+
+
+def render_metrics(s, d):
+    return rounded(M.render_metrics(_track(s, d), USER, 20.0), "pan", "wobble", "shake", "zoom")
+
+
+def continuity(s, d):
+    return rounded(M.continuity(events(s, d), USER, ["value", "k"]), "largest", "jump")
+
+
+CONTINUITY_SQL = f"""with {EVENTS}, g as (select *, abs(value - lag(value) over o) dv, abs(k - lag(k) over o) dk from e window o as (partition by user_id order by pos))
+select user_id, round(greatest(max(abs(value)), max(abs(k))), 6) + 0.0 as largest, round(greatest(max(dv), max(dk)), 6) + 0.0 as jump, count(*) filter (where isnan(value)) + count(*) filter (where isnan(k)) as n_nan from g group by user_id"""
+
+
+def band_ratio(s, d):
+    x = M.band_ratio(_track(s, d).select(*USER, "pos", "n", "wx", "wy"), USER, ["wx"], ["wy"], 20.0, [(0.5, 3.0), (3.0, 6.0)])
+    return rounded(x, "rms_raw", "rms_out", "corr")
+
+
+def shift_search(s, d):
+    """Shift among 31 that brings a user's k closest to the value, by median difference."""
+    e = events(s, d)
+    x = M.best_shift(e.select(*USER, "t", F.col("value").alias("v")), e.select(*USER, "t", F.col("k").alias("v")), USER, "v", 3600.0, 31, shard=DAY)
+    return rounded(x, "shift", "score")
+
+
+def residual_motion(s, d):
+    """Track minus intended path, mapped by least squares; RMS per user."""
+    e = events(s, d)
+    q = Qn.exp((F.col("value") / 100, F.col("k") / 100, F.sin("pos") / 10))
+    path = e.select(*USER, "pos", "n", *Qn.named(q, "wxyz"))
+    x = M.residual_rates(_track(s, d), path, USER, 20.0)
+    return x.groupBy(*USER).agg(*[r6(A.rms([F.col(f"res_{a}")])).alias(f"rms_{a}") for a in "xyz"])
+
+
+def changed_rows(s, d):
+    """Delta of a rewrite: of slots halved in number, those that need new bytes, and their sign."""
+    x = _quat_series(s, d).withColumn("changed", F.col("k") % 5 != 0)
+    x = W.sign_pin(x, ["vec_id"], ["w", "x", "y", "z"], "changed").where("changed")
+    return x.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("k"), "pos")["k"].alias("first_k"))
+
+
+CHANGED_SQL = "select vec_id, count(*) n, min(k) first_k from (select vec_id, unnest(range(16)) k from embeddings) where k % 5 <> 0 group by vec_id"
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -589,7 +691,8 @@ QUERIES = {
         consecutive_dedupe, dedup_index, median_filter, hampel, uniform_filter, gradient, cumsum, fill_flagged, noise_alpha, find_intervals, interval_totals,
         range_mask, anti_mask, range_join, searchsorted, named_windows, masked_rms, ranking_pivot, asof_interp, sample_rate, segment_stats, first_occurrence,
         corr_scan, r_squared, cross_moment, lstsq, procrustes, calib_topk, lowpass_lfilter, filtfilt, bandpass_noise, gcsv_lines, camera_matrix, lens_metadata,
-        scan_probe, slot_alignment, fast_events,
+        scan_probe, slot_alignment, fast_events, telemetry_extract, clean_telemetry, severe_bursts, repair_status, repaired_bursts, render_metrics,
+        continuity, band_ratio, shift_search, residual_motion, changed_rows,
     )
 }
 
@@ -641,4 +744,8 @@ ORACLE = {
     "lens_metadata": LENS_SQL,
     "scan_probe": PROBE_SQL,
     "slot_alignment": SLOT_SQL,
+    "telemetry_extract": EXTRACT_SQL,
+    "severe_bursts": SEVERE_SQL,
+    "continuity": CONTINUITY_SQL,
+    "changed_rows": CHANGED_SQL,
 }

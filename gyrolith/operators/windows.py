@@ -32,8 +32,8 @@ def _padded(values: Column, left: int, right: int) -> Column:
     return F.when(F.size(values) > 0, F.concat(head, values, tail))
 
 
-def _middle(values: Column) -> Column:
-    s = F.array_sort(values)
+def _middle(s: Column) -> Column:
+    """Median of a sorted array."""
     k = F.size(s)
     return (F.get(s, F.floor((k - 1) / 2).cast("int")) + F.get(s, F.floor(k / 2).cast("int"))) / 2
 
@@ -44,8 +44,11 @@ def median_filter(df: DataFrame, keys: Sequence[str], values: Sequence[str], siz
         raise ValueError("size must be odd")
     h = size // 2
     rows, w = blocked(df, keys, h)
-    frames = {o: _middle(_padded(F.collect_list(v).over(w.rowsBetween(-h, h)), h, h)) for v, o in zip(values, outs)}
-    return own(rows.withColumns(frames))
+    # step by step, so that no step's expression is written out more than once in the next
+    f, g = ([f"__{p}{k}" for k in range(len(values))] for p in ("f", "g"))
+    rows = own(rows.withColumns({a: F.collect_list(v).over(w.rowsBetween(-h, h)) for a, v in zip(f, values)}))
+    rows = rows.withColumns({b: F.array_sort(_padded(F.col(a), h, h)) for a, b in zip(f, g)})
+    return rows.withColumns({o: _middle(F.col(b)) for o, b in zip(outs, g)}).drop(*f, *g)
 
 
 def uniform_filter(df: DataFrame, keys: Sequence[str], values: Sequence[str], size: int, outs: Sequence[str]) -> DataFrame:
@@ -92,12 +95,17 @@ def difference(df: DataFrame, keys: Sequence[str], values: Sequence[str], outs:
 def rates(df: DataFrame, keys: Sequence[str], time: str, q: Sequence[str], outs: Sequence[str] = ("tm", "wx", "wy", "wz")) -> DataFrame:
     """Angular rates between successive orientations at their mid times; one row less a series."""
     rows, w = blocked(df, keys, 1)
-    here = tuple(F.col(c) for c in q)
-    there = tuple(F.lead(c).over(w) for c in q)
-    dt = F.lead(time).over(w) - F.col(time)
-    omega = Qn.rate_between(here, there, dt)
-    rows = rows.withColumns(dict(zip(outs, (F.col(time) + dt / 2, *omega))))
-    return own(rows.where(F.col("pos") < F.col("n") - 1)).withColumn("n", F.col("n") - 1)
+    nxt, turn = [f"__n{k}" for k in range(4)], [f"__d{k}" for k in range(4)]
+    rows = rows.withColumns({**{n: F.lead(c).over(w) for n, c in zip(nxt, q)}, "__dt": F.lead(time).over(w) - F.col(time)})
+    rows = own(rows.where(F.col("pos") < F.col("n") - 1)).withColumn("n", F.col("n") - 1)
+    # step by step, so that no step's expression is written out more than once in the next
+    product = Qn.mul(Qn.conj(tuple(F.col(c) for c in q)), tuple(F.col(c) for c in nxt))
+    rows = rows.withColumns(dict(zip(turn, product)))
+    rows = rows.withColumn("__v", Qn.magnitude([F.col(c) for c in turn[1:]]))
+    angle = F.when(F.col("__v") > 1e-12, F.try_divide(2 * F.asin(F.least(F.col("__v"), F.lit(1.0))), F.col("__v"))).otherwise(2.0)
+    rows = rows.withColumn("__k", F.when(F.col(turn[0]) < 0, -angle).otherwise(angle) / F.greatest(F.col("__dt"), F.lit(1e-9)))
+    omega = [F.col(c) * F.col("__k") for c in turn[1:]]
+    return rows.withColumns(dict(zip(outs, (F.col(time) + F.col("__dt") / 2, *omega)))).drop(*nxt, *turn, "__dt", "__v", "__k")
 
 
 def angle_integral(df: DataFrame, keys: Sequence[str], values: Sequence[str], fs: float, outs: Sequence[str]) -> DataFrame:

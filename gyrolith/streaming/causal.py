@@ -50,7 +50,8 @@ def stream_low_pass(df: DataFrame, keys: Sequence[str], order: str, value: str,
 def stream_bursts(df: DataFrame, keys: Sequence[str], time: str, value: str, above: float, gap: str, late: str) -> DataFrame:
     """Sessions of readings above a threshold, closed once the watermark passes their gap.
 
-    The native session gap joins readings nearer than ``gap``; unlike ``find_intervals`` it neither
+    Only readings above the threshold move the watermark, so the last session of a stream stays
+    open until a later loud reading.  The native session gap joins readings nearer than ``gap``; unlike ``find_intervals`` it neither
     pads nor drops short ones.
     """
     loud = df.withWatermark(time, late).where(F.col(value) > above)

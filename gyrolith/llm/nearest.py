@@ -142,7 +142,7 @@ def match_nearest(queries: DataFrame, base: DataFrame, entity: Sequence[str], qu
         # copies of one query record: keep one
         q = np.flatnonzero(is_query)
         o = q[np.lexsort((time[q], key[q], group[q]))]
-        again = np.r_[False, (group[o][1:] == group[o][:-1]) & (key[o][1:] == key[o][:-1]) & (time[o][1:] == time[o][:-1])]
+        again = np.r_[np.zeros(min(len(o), 1), bool), (group[o][1:] == group[o][:-1]) & (key[o][1:] == key[o][:-1]) & (time[o][1:] == time[o][:-1])]
         keep = np.ones(len(key), bool)
         keep[o[again]] = False
         rows_ = np.flatnonzero(keep)

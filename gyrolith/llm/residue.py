@@ -30,7 +30,7 @@ from gyrolith.llm.leaks import Lexicon, text_words
 from gyrolith.llm.visible import visible
 from gyrolith.session import durable, ship
 
-CONTAINED, COVERED, KNOWN = 0.75, 0.85, 0.6
+CONTAINED, COVERED, KNOWN = 0.8, 0.85, 0.6
 WINDOW = 10
 CHUNK_BYTES = 8 << 20
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gyrolith.functions import quat as Qn
 from gyrolith.operators.ordered import blocked, neighbour, own, running_sum, running_sums
 from gyrolith.operators.shards import with_carry
+from gyrolith.session import durable
 
 SHARD = 4096
 
@@ -167,7 +168,7 @@ def sign_pin(df: DataFrame, keys: Sequence[str], q: Sequence[str], changed: str)
     d = F.coalesce(sum((F.col(c) * p for c, p in zip(q, prev)), F.lit(0.0)), F.lit(0.0))
     rows = rows.withColumn("__turn", (d < 0).cast("long")).withColumn("__anchor", (~F.col(changed) | (d == 0)).cast("long")).drop("__prev")
     rows = rows.withColumn("__turn", F.when(F.col("__anchor") == 1, 0).otherwise(F.col("__turn")))
-    rows = running_sum(rows, keys, "__turn", "__turns")
+    rows = durable(running_sum(rows, keys, "__turn", "__turns"))
     # turns before the segment's anchor: the running count there, which its row carries
     rows = rows.withColumn("__sh", F.floor(F.col("pos") / F.lit(SHARD)).cast("long"))
     at_anchor = F.when(F.col("__anchor") == 1, F.col("__turns"))

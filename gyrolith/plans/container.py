@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gyrolith.functions import quat as Qn
 from gyrolith.operators import windows as W
 from gyrolith.operators.ordered import number
+from gyrolith.session import durable
 
 FILE = ["path"]
 
@@ -71,9 +72,9 @@ def compare_positions(left: DataFrame, right: DataFrame, keys: Sequence[str], id
 
 
 def numbered_slots(rows: DataFrame) -> DataFrame:
-    """Slots in order of time with the number of the deduplicated orientation each belongs to."""
-    x = number(rows, FILE, ["t_ms", "sample", "j"], F.floor(F.col("t_ms") / 16000.0).cast("long"))
-    return W.dedup_index(x, FILE, ["w", "x", "y", "z"])
+    """Slots in order of time with the number of the deduplicated orientation each belongs to; written once."""
+    x = number(rows, FILE, ["t_ms", "sample", "j"], F.floor(F.col("t_ms") / 16000.0).cast("long"), keep=True)
+    return durable(W.dedup_index(x, FILE, ["w", "x", "y", "z"]))
 
 
 def patch_plan(rows: DataFrame, target: DataFrame | None) -> DataFrame:
@@ -88,7 +89,7 @@ def patch_plan(rows: DataFrame, target: DataFrame | None) -> DataFrame:
     first = F.min_by(F.struct("f0", "f1", "f2", "f3"), F.struct("sample", "j"))
     own = rows.groupBy("path", "dedup_idx").agg(first.alias("own"), F.first(F.struct("w", "x", "y", "z")).alias("out"))
     own = own.select("path", "dedup_idx", "own", *[F.col(f"out.{c}").alias(c) for c in "wxyz"])
-    own = number(own, FILE, ["dedup_idx"], F.floor(F.col("dedup_idx") / W.SHARD).cast("long"))
+    own = number(own, FILE, ["dedup_idx"], F.floor(F.col("dedup_idx") / W.SHARD).cast("long"), keep=True)
     seen = W.hemisphere(own, FILE, ["w", "x", "y", "z"])
     seen = seen.withColumns({f"s{k}": c for k, c in enumerate(Qn.normalise(Qn.q_of()))})
     goal = target.select("path", "dedup_idx", *[F.col(c).alias(f"g{k}") for k, c in enumerate("wxyz")])
@@ -99,6 +100,7 @@ def patch_plan(rows: DataFrame, target: DataFrame | None) -> DataFrame:
     new = Qn.out_to_file(Qn.normalise(tuple(F.col(f"g{k}") for k in range(4))))
     both = both.withColumn("changed", ~F.coalesce(equal, F.lit(False)))
     both = both.withColumns({f"m{k}": F.when(F.col("changed"), c).otherwise(F.col(f"own.f{k}")) for k, c in enumerate(new)})
+    both = durable(both.select("path", "dedup_idx", "pos", "n", "changed", "m0", "m1", "m2", "m3"))
     pinned = W.sign_pin(both, FILE, ["m0", "m1", "m2", "m3"], "changed").select("path", "dedup_idx", "changed", "m0", "m1", "m2", "m3")
     merged = rows.join(pinned, ["path", "dedup_idx"])
     # unchanged slots keep their own stored value, not that of their run's first

@@ -107,7 +107,7 @@ def test_reading_a_container(spark, clip, parts):
 
 def write_back(spark, clip, target):
     samples = S.read_containers(spark, str(clip))
-    rows = C.numbered_slots(C.slots(samples)).cache()
+    rows = C.numbered_slots(C.slots(samples))
     plan = C.patch_plan(rows, target)
     out = clip.parent / "out.mp4"
     done = S.write_slots(plan.withColumn("out_path", F.lit(str(out)))).collect()

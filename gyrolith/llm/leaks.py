@@ -148,9 +148,11 @@ def leaks_in(texts: list[str], phrases: Phrases) -> list[np.ndarray]:
         return none
     sym = phrases.lexicon.symbols(raw, start, size)
     known = sym > 0
+    if not known.any():
+        return none
     head = known & np.r_[True, ~known[:-1] | (doc[1:] != doc[:-1])]
     run = np.cumsum(head) - 1
-    length = np.bincount(run[known], minlength=int(run[-1]) + 1 if len(run) else 0)
+    length = np.bincount(run[known], minlength=int(run[-1]) + 1)
     keep = np.flatnonzero(known & (length[np.maximum(run, 0)] >= words))
     if not len(keep):
         return none

@@ -159,6 +159,12 @@ def test_leaks_against_brute_force():
     assert set(zip(where.tolist(), item.tolist())) == want
 
 
+def test_leaks_in_a_corpus_without_any_word_of_the_items(spark):
+    df = spark.createDataFrame([(1, "nothing shared here")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, ITEM)], "item_id bigint, text string")
+    assert leaked_spans(df, items).collect() == []
+
+
 def test_visible_leaves_plain_text():
     assert visible("a < b and c > d") == "a < b and c > d" and visible("ÄRGER ﬁt").split() == ["ärger", "fit"]
 

@@ -8,10 +8,11 @@ positions with a halo, in which numpy computes, for every reading,
   where that is more than the course itself moves (a turn or a step isn't an excursion),
 * whether it belongs to a run of at least ``stuck_run`` equal readings.
 
-What is usual for a source comes from all its readings: each block tells the median change from
-reading to reading and the median absolute deviation from the rolling median, and the source's
-value is the median over its blocks (exact for one block, a bounded sketch beyond).  A reading is a
-spike if ``dev`` and ``lift`` both exceed multiples of that scale.
+What is usual for a source comes from all its readings: the median change from reading to reading
+and the median absolute deviation from the rolling median, both exact at every length.  A block that
+is its source's only one tells them itself; the blocks of a longer source tell their values, from
+which ``exact_medians`` selects.  A reading is a spike if ``dev`` and ``lift`` both exceed multiples
+of that scale.
 
 Nulls and NaN are never flagged and don't interrupt a run.  Repeated records count once.  Sources
 of fewer than ``MIN_READINGS`` readings get no spike flags.  An empty table gives an empty result.
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyrolith.operators.shards import dense_position, floats, map_group_chunks, with_halo
@@ -123,6 +124,29 @@ def _medians(x: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def exact_medians(df: DataFrame, keys: Sequence[str], values: str) -> DataFrame:
+    """(keys..., median, total) of all values in the arrays ``values`` of each key's rows.
+
+    Counts by bins of about one percent tell which bin holds the middle; only that bin's values are
+    counted one by one, so no task holds a key's values.  Values must be 0 or more; no NaN.
+    """
+    key = list(keys)
+    each = df.select(*key, F.explode(values).alias("v"))
+    bins = each.groupBy(*key, F.floor(F.log2(F.greatest("v", F.lit(1e-300))) * 64).alias("bin"))
+    w = Window.partitionBy(*key)
+    bins = bins.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    bins = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
+    first, second = F.expr("(total - 1) div 2"), F.expr("total div 2")  # ranks of the middle from 0
+    before = F.col("upto") - F.col("n")
+    middle = bins.where((F.col("upto") > first) & (before <= second)).select(*key, "bin", "lo", "hi", before.alias("before"), "total")
+    near = df.select(*key, values).join(middle, key)
+    near = near.select(*key, "bin", "before", "total", F.explode(F.filter(values, lambda v: (v >= F.col("lo")) & (v <= F.col("hi")))).alias("v"))
+    near = near.groupBy(*key, "bin", "before", "total", "v").agg(F.count(F.lit(1)).alias("n"))
+    near = near.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*key, "bin").orderBy("v")))
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+    return near.groupBy(*key, "total").agg(((at(first) + at(second)) / 2).alias("median"))
+
+
 def judge(df: DataFrame, entity: Sequence[str], pos: str, key: str, rules: Sequence[Rule], impossible: dict[str, Column]) -> DataFrame:
     """Rows (entity..., key, field, reason) of the readings of numbered series that can't be right.
 
@@ -158,7 +182,7 @@ def judge(df: DataFrame, entity: Sequence[str], pos: str, key: str, rules: Seque
             if len(good):
                 dev[good] = rolling_dev(v[good], gg, rule.half_window, rule.sign_free)
                 lift[good] = excursion(v[good], gg, rule.sign_free)
-            # one row a block with what is usual in it: pos -1
+            # what is usual: one row a block that is the source's only one, else two with its values
             mine = own[good]
             codes = np.unique(group)
             step = np.full(len(good), np.nan)
@@ -169,8 +193,12 @@ def judge(df: DataFrame, entity: Sequence[str], pos: str, key: str, rules: Seque
             change = _medians(step[ok], c[ok], len(codes))
             scatter = _medians(dev[good][mine], c[mine], len(codes))
             count = np.bincount(c[mine], minlength=len(codes)).astype(float)
-            rows = np.searchsorted(group, codes)
-            parts.append((rows, n, np.zeros(len(rows), np.int8), change, scatter, count))
+            rows, ends = np.searchsorted(group, codes), np.searchsorted(group, codes, "right")
+            lone = (blk[rows] == 0) & (p[ends - 1] < BLOCK)
+            parts.append((rows[lone], n, np.zeros(lone.sum(), np.int8), change[lone], scatter[lone], count[lone]))
+            for k in np.flatnonzero(~lone).tolist():
+                for code, x in ((4, step[ok & (c == k)]), (5, dev[good][mine & (c == k)])):
+                    parts.append((rows[k : k + 1], n, np.full(1, code, np.int8), np.zeros(1), np.zeros(1), np.zeros(1), [x]))
             pick = np.flatnonzero(own & (lift > 0))
             parts.append((pick, n, np.full(len(pick), 1, np.int8), dev[pick], lift[pick], np.zeros(len(pick))))
             for code, what in ((2, is_stuck & own), (3, bad & own)):
@@ -184,13 +212,16 @@ def judge(df: DataFrame, entity: Sequence[str], pos: str, key: str, rules: Seque
         out = out.append_column("rule", pa.array(rule_no)).append_column("kind", pa.array(np.concatenate([x[2] for x in parts]).astype(np.int32)))
         for k, name in enumerate(("a", "b", "n")):
             out = out.append_column(name, pa.array(np.concatenate([x[3 + k] for x in parts]), from_pandas=True))
-        return out
+        values = [v for x in parts for v in (x[6] if len(x) > 6 else [None] * len(x[0]))]
+        return out.append_column("values", pa.array(values, pa.list_(pa.float64())))
 
-    schema = ", ".join(f"`{k}` {types[k]}" for k in (*ent, key)) + ", rule int, kind int, a double, b double, n double"
-    # candidates and block summaries only; read three times below, so it is written once
+    schema = ", ".join(f"`{k}` {types[k]}" for k in (*ent, key)) + ", rule int, kind int, a double, b double, n double, values array<double>"
+    # candidates and block summaries only; read several times below, so it is written once
     told = durable(map_group_chunks(base, [*ent, "__blk"], run, schema))
-    mid = lambda c: F.percentile_approx(c, 0.5, 10000)
-    usual = told.where("kind = 0").groupBy(*ent, "rule").agg(mid("a").alias("change"), mid("b").alias("scatter"), F.sum("n").alias("total"))
+    usual = told.where("kind = 0").select(*ent, "rule", F.col("a").alias("change"), F.col("b").alias("scatter"), F.col("n").alias("total"))
+    spread_out = exact_medians(told.where("kind >= 4"), [*ent, "rule", "kind"], "values")
+    of = lambda kind, x: F.max(F.when(F.col("kind") == kind, F.col(x)))
+    usual = usual.unionByName(spread_out.groupBy(*ent, "rule").agg(of(4, "median").alias("change"), of(5, "median").alias("scatter"), of(5, "total").cast("double").alias("total")))
     limits = F.array(*[F.struct(F.lit(r.hampel).alias("hampel"), F.lit(r.lift).alias("lift"), F.lit(r.field).alias("field")) for r in rules])
     limit = lambda f: limits[F.col("rule")].getField(f)
     # a source that never changes has scale 0: then any excursion stands out, unless it is rounding
@@ -199,7 +230,7 @@ def judge(df: DataFrame, entity: Sequence[str], pos: str, key: str, rules: Seque
     spikes = told.where("kind = 1").join(usual, [*ent, "rule"])
     spikes = spikes.where((F.col("total") >= MIN_READINGS) & (F.col("b") > limit("lift") * scale) & (F.col("a") > limit("hampel") * spread))
     spikes = spikes.select(*ent, key, "rule", F.lit("spike").alias("reason"))
-    rest = told.where("kind >= 2").select(*ent, key, "rule", F.when(F.col("kind") == 2, "stuck").otherwise("bound").alias("reason"))
+    rest = told.where("kind in (2, 3)").select(*ent, key, "rule", F.when(F.col("kind") == 2, "stuck").otherwise("bound").alias("reason"))
     return spikes.unionByName(rest).select(*ent, key, limit("field").alias("field"), "reason")
 
 

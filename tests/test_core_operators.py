@@ -197,6 +197,27 @@ def test_outliers_spike_stuck_bound(spark, monkeypatch):
     assert outliers.clean_outliers(df.limit(0)).count() == 0
 
 
+def clip(noise):
+    return pd.DataFrame({"series_id": "s", "clip_no": 1, "idx": np.arange(len(noise)), "noise": noise, "light_x": None, "light_y": None, "light_z": None}).astype({f"light_{a}": float for a in "xyz"})
+
+
+def test_outliers_of_a_source_with_a_quiet_last_block(spark):
+    x = np.random.default_rng(4).normal(50, 1, outliers.BLOCK + 1)
+    x[1000] += 40
+    x[-1] = x[-2] = x[-3] = 50.0  # the last block's only change is 0
+    got = outliers.clean_outliers(spark.createDataFrame(clip(x))).toPandas()
+    assert {(r.idx, r.reason) for r in got.itertuples()} == {(1000, "spike")}
+
+
+def test_medians_over_blocks_are_exact(spark):
+    rng = np.random.default_rng(6)
+    parts = [("a", rng.exponential(size=n)) for n in (1, 4096, 977)] + [("b", np.zeros(70)), ("b", np.r_[0.0, 3.0, 1e-9]), ("c", np.array([1.0, 3.0])), ("d", np.zeros(0)), ("d", np.r_[2.0])]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in parts], "k string, v array<double>")
+    got = {r.k: (r.median, r.total) for r in outliers.exact_medians(df, ["k"], "v").collect()}
+    whole = {k: np.concatenate([v for j, v in parts if j == k]) for k in "abcd"}
+    assert got == {k: (np.median(v), len(v)) for k, v in whole.items()}
+
+
 def test_telemetry_signs_and_null_times_are_no_outliers(spark):
     n = 200
     a = np.linspace(0, 1, n)

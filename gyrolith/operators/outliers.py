@@ -5,7 +5,8 @@ positions with a halo, in which numpy computes, for every reading,
 
 * ``dev``: its distance from the rolling median around it,
 * ``lift``: how far the one or two readings leave the straight course between their neighbours,
-  where that is more than the course itself moves (a turn or a step isn't an excursion),
+  where that is more than the course itself moves (a turn or a step isn't an excursion) and more
+  than twice what the slopes on both sides already bend it (nor is the top of a turn),
 * whether it belongs to a run of at least ``stuck_run`` equal readings.
 
 What is usual for a source comes from all its readings: the median change from reading to reading
@@ -87,10 +88,22 @@ def excursion(v: np.ndarray, group: np.ndarray, sign_free: bool) -> np.ndarray:
         inside = group[i - 1] == group[i + length]
         a, b = v[i - 1], _aligned(v[i - 1], v[i + length], sign_free)
         course = np.linalg.norm(b - a, axis=1)
+        # the next readings outward; at an end of the series the other side stands for both
+        before, after = np.maximum(i - 2, 0), np.minimum(i + length + 1, n - 1)
+        has_before = (i >= 2) & (group[before] == group[i])
+        has_after = (i + length + 1 < n) & (group[after] == group[i])
+        rise, fall = a - _aligned(a, v[before], sign_free), b - _aligned(a, v[after], sign_free)
         lift = np.full(len(i), np.inf)
         for o in range(length):
             f = (o + 1) / (length + 1)
-            lift = np.minimum(lift, _gap(a * (1 - f) + b * f, v[i + o], sign_free))
+            line = a * (1 - f) + b * f
+            away = _aligned(line, v[i + o], sign_free) - line
+            gap = np.linalg.norm(away, axis=1)
+            # a parabola with these slopes leaves the line by a third (one reading) or half (two) of
+            # them; a slope on one side only, as at a step, doesn't count
+            toward = [np.where(has, np.einsum("ij,ij->i", x, away) / np.maximum(gap, 1e-300), np.inf) for has, x in ((has_before, rise), (has_after, fall))]
+            bend = np.minimum(*toward) * (1 / 3 if length == 1 else 1 / 2)
+            lift = np.minimum(lift, np.where(gap > 2 * bend, gap, 0.0))
         lift = np.where(inside & (lift > course), lift, 0.0)
         for o in range(length):
             np.maximum.at(out, i + o, lift)

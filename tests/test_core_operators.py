@@ -209,6 +209,20 @@ def test_outliers_of_a_source_with_a_quiet_last_block(spark):
     assert {(r.idx, r.reason) for r in got.itertuples()} == {(1000, "spike")}
 
 
+def test_top_of_a_quick_turn_is_no_spike(spark):
+    x = np.random.default_rng(8).normal(0, 0.2, 300)
+    turn = 386 * np.sin(np.linspace(0, np.pi, 28))
+    x[50:78] += turn
+    x[149:177] -= turn
+    x[200:228] += turn
+    x[214] += 40  # on a top
+    x[262:] += 30  # a step next but one to a spike against it
+    x[260] -= 6
+    x[1] += 8
+    got = outliers.clean_outliers(spark.createDataFrame(clip(x + 1000))).toPandas()
+    assert {(r.idx, r.reason) for r in got.itertuples()} == {(214, "spike"), (260, "spike"), (1, "spike")}
+
+
 def test_medians_over_blocks_are_exact(spark):
     rng = np.random.default_rng(6)
     parts = [("a", rng.exponential(size=n)) for n in (1, 4096, 977)] + [("b", np.zeros(70)), ("b", np.r_[0.0, 3.0, 1e-9]), ("c", np.array([1.0, 3.0])), ("d", np.zeros(0)), ("d", np.r_[2.0])]

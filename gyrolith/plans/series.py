@@ -577,15 +577,27 @@ def fast_events(s, d):
     return rounded(x.select("user_id", F.col("rank").cast("int").alias("rank"), "t", "value"), "t", "value")
 
 
+MOST_RATES = 64
+
+
+def _rates(s, d) -> DataFrame:
+    """Rows of clip_meta with a usable nominal rate."""
+    hz = F.col("nominal_hz")
+    return table(s, d, "clip_meta").where((hz > 0) & ~F.isnan(hz) & (hz != float("inf")))
+
+
 def _nominal(s, d) -> list[float]:
-    """The nominal rates there are: a handful, by the tables' definition."""
-    return sorted(r[0] for r in table(s, d, "clip_meta").select("nominal_hz").where("nominal_hz is not null").distinct().limit(64).collect())
+    """The nominal rates there are: a handful, by the tables' definition; more are an error."""
+    rates = sorted(r[0] for r in _rates(s, d).select("nominal_hz").distinct().limit(MOST_RATES + 1).collect())
+    if len(rates) > MOST_RATES:
+        raise ValueError(f"clip_meta has more than {MOST_RATES} nominal rates; each takes a plan of its own")
+    return rates
 
 
 def _clips(s, d) -> DataFrame:
-    """Orientation series of all clips with their nominal rate ``hz``, written once."""
-    rate = table(s, d, "clip_meta").groupBy("series_id", "clip_no").agg(F.max("nominal_hz").alias("hz"))
-    return durable(orientation_of(table(s, d, "telemetry"), CLIP, "t", "idx").join(rate, CLIP))
+    """Orientation series of all clips with their nominal rate ``hz`` (null if none is known), written once."""
+    rate = _rates(s, d).groupBy("series_id", "clip_no").agg(F.max("nominal_hz").alias("hz"))
+    return durable(orientation_of(table(s, d, "telemetry"), CLIP, "t", "idx").join(rate, CLIP, "left"))
 
 
 def telemetry_extract(s, d):
@@ -604,7 +616,7 @@ select series_id, clip_no, idx, pos, {_r('t t', 'w*sg w', 'x*sg x', 'y*sg y', 'z
 
 
 def clean_telemetry(s, d):
-    """Cleaned rates of every clip, clips of each nominal rate with that rate's filters."""
+    """Cleaned rates of every clip of a known nominal rate, with that rate's filters."""
     step = lambda df, fs: clean(df, CLIP, fs, scaled(Config(), fs))
     x = by_rate(_clips(s, d), "hz", _nominal(s, d), step)
     return rounded(x.select(*CLIP, "pos", "tm", "cx", "cy", "cz", "noise", "alpha", "spike_frac"), "tm", "cx", "cy", "cz", "noise", "alpha", "spike_frac")
@@ -623,10 +635,15 @@ select split_part(user_id, '/', 1) as series_id, cast(split_part(user_id, '/', 2
 
 
 def _repaired(s, d, part: str, columns: list[str], *digits: str) -> DataFrame:
+    """One part of ``repair`` for all clips of known rate; the status part names the others 'no rate'."""
     optical = table(s, d, "optical_rates").dropDuplicates([*CLIP, "idx"])
     clips = _clips(s, d)
     step = lambda df, fs: getattr(repair(df.drop("hz"), optical, CLIP, fs, scaled(Config(), fs), extracted=True), part).select(*CLIP, *columns)
-    return rounded(by_rate(clips, "hz", _nominal(s, d), step), *digits)
+    rates = _nominal(s, d)
+    if part != "status":
+        return rounded(by_rate(clips, "hz", rates, step), *digits)
+    out = clips.where("hz is null").groupBy(*CLIP).agg(F.max("n").alias("samples"), F.lit(None).cast("double").alias("r2"), F.lit("no rate").alias("status"))
+    return rounded(out.unionByName(by_rate(clips, "hz", rates, step)) if rates else out, *digits)
 
 
 def repair_status(s, d):

@@ -12,6 +12,7 @@ from gyrolith.config import Config, Settings, load_settings, output_path, save_s
 from gyrolith.operators import repair as R
 from gyrolith.plans import container as C
 from gyrolith.plans import pipeline as P
+from gyrolith.plans import series
 from gyrolith.sources import container as S
 from gyrolith.sources.gcsv import read_gcsv, write_gcsv
 from gyrolith.sources.lens import lens_columns
@@ -213,6 +214,30 @@ def test_repair_end_to_end(spark):
     assert np.abs(new * sign - q[: len(new)])[far].max() < 1e-9
 
 
+def rate_tables(spark, folder, rates):
+    """Short clips 0, 1, ... of one series and their rates; None has no clip_meta row."""
+    n = 50
+    _, _, q = spin(n, 0.01)
+    tele = pd.concat([pd.DataFrame(q, columns=list("wxyz")).assign(series_id="s", clip_no=c, idx=np.arange(n), t=np.arange(n) * 0.01) for c in range(len(rates))])
+    spark.createDataFrame(tele).write.parquet(f"{folder}/telemetry.parquet")
+    meta = [("s", c, None if r == "null" else r) for c, r in enumerate(rates) if r is not None]
+    spark.createDataFrame(meta, "series_id string, clip_no bigint, nominal_hz double").write.parquet(f"{folder}/clip_meta.parquet")
+    spark.createDataFrame([], "series_id string, clip_no bigint, idx bigint, kind string, t double, ox double, oy double, oz double, quality double").write.parquet(f"{folder}/optical_rates.parquet")
+    return str(folder)
+
+
+def test_clips_without_a_rate_have_a_status(spark, tmp_path):
+    d = rate_tables(spark, tmp_path, [100.0, None, "null", float("nan")])
+    got = {r.clip_no: (r.samples, r.status) for r in series.repair_status(spark, d).collect()}
+    assert got == {0: (50, "short"), 1: (50, "no rate"), 2: (50, "no rate"), 3: (50, "no rate")}
+
+
+def test_too_many_rates_are_an_error(spark, tmp_path):
+    d = rate_tables(spark, tmp_path, [100.0 + k for k in range(65)])
+    with pytest.raises(ValueError, match="nominal rates"):
+        series.clean_telemetry(spark, d)
+
+
 # ---- text formats
 def test_gcsv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(0.0, 1.5, -2.0, 0.25), (0.001, 90.0, 0.0, -1.0)], "t double, gx double, gy double, gz double")

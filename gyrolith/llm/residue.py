@@ -133,10 +133,10 @@ EXEMPLARS = [
 SLOT = "placeholderslot"
 # fixed values: the ways templates write a placeholder
 _SLOTS = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\{%[^{}\n]{1,60}%\}(?:\{% ?end\w* ?%\})?|[$#]\{[^{}\n]{1,60}\}|<%=?[^<>%\n]{1,60}%>|<<[^<>\n]{1,60}>>|<[A-Z][A-Z_ ]{2,40}>"
-    r"|\[[A-Z][A-Z_ ]{2,40}\]|<(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd) [^<>\n]{1,60}>|\[(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd) [^\[\]\n]{1,60}\]"
-    r"|\((?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd) \w{3,40}(?: here)?\)|%%\w{3,40}%%|%[A-Za-z_]{3,40}%|__[A-Z][A-Z_]{2,40}__|@@\w{3,40}@@|«\s*\w{3,40}\s*»"
-    r"|(?<![\w^\\$#{])\{[A-Za-z_]{3,40}\}|\$[A-Za-z_]{3,40}\$|\bxx[A-Za-z]{3,40}xx\b"
+    r"\{\{[^{}\n]+\}\}|\{%[^{}\n]+%\}(?:\{% ?end\w* ?%\})?|[$#]\{[^{}\n]+\}|<%=?[^<>%\n]+%>|<<[^<>\n]+>>|<[A-Z][A-Z_ ]{2,}>"
+    r"|\[[A-Z][A-Z_ ]{2,}\]|<(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd) [^<>\n]+>|\[(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd) [^\[\]\n]+\]"
+    r"|\((?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd) \w{3,}(?: here)?\)|%%\w{3,}%%|%[A-Za-z_]{3,}%|__[A-Z][A-Z_]{2,}__|@@\w{3,}@@|«\s*\w{3,}\s*»"
+    r"|(?<![\w^\\$#{])\{[A-Za-z_]{3,}\}|\$[A-Za-z_]{3,}\$|\bxx[A-Za-z]{3,}xx\b"
 )
 _X = re.compile(r"\bx{3,}\b", re.I)
 

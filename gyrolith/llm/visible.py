@@ -16,8 +16,9 @@ BLOCK = (
     "footer form h1 h2 h3 h4 h5 h6 head header hr html iframe img input label legend li link main map meta nav noscript object ol optgroup option p "
     "param picture pre progress ruby script section select source style summary svg table tbody td template textarea tfoot th thead time title tr track ul video"
 )
-_INLINE = re.compile(rf"</?(?:{'|'.join(INLINE.split())})(?:\s[^<>]{{0,400}})?/?>", re.I)
-_BLOCK = re.compile(rf"</?(?:{'|'.join(BLOCK.split())})(?:\s[^<>]{{0,2000}})?/?>", re.I)
+# a tag with a value (an image may hold a file) has any length; a stretch without one is soon no tag but a comparison
+_INLINE = re.compile(rf"</?(?:{'|'.join(INLINE.split())})(?:\s[^<>]{{0,400}}|\s[^<>=]*=[^<>]*)?/?>", re.I)
+_BLOCK = re.compile(rf"</?(?:{'|'.join(BLOCK.split())})(?:\s[^<>]{{0,2000}}|\s[^<>=]*=[^<>]*)?/?>", re.I)
 _COMMENT = re.compile(r"<!--.*?-->|<!doctype[^<>]*>", re.S | re.I)
 _ANSI = re.compile("\x1b\\[[0-9;?]*[ -/]*[@-~]|\x1b[()][0-9A-B]")
 _LATEX = re.compile(r"\\+(?:textbf|textit|textsc|texttt|emph|underline|text|mathrm|mathbf|mathit)\s*\{")

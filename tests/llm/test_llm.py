@@ -14,7 +14,7 @@ from gyrolith.llm.fmindex import FMIndex
 from gyrolith.llm.hashing import HashTable
 from gyrolith.llm.leaks import leaked_spans, leaks_in, phrases_of
 from gyrolith.llm.nearest import XFastTrie, match_nearest
-from gyrolith.llm.residue import find_residue
+from gyrolith.llm.residue import SLOT, canonical, find_residue
 from gyrolith.llm.runs import collapse_runs
 from gyrolith.llm.visible import visible
 from tests.oracle import check
@@ -169,6 +169,14 @@ def test_visible_leaves_plain_text():
     assert visible("a < b and c > d") == "a < b and c > d" and visible("ÄRGER ﬁt").split() == ["ärger", "fit"]
 
 
+def test_long_tags_are_no_words():
+    data = "iVBORw0KGgo/AAA+" * 1000
+    assert visible(f'one <img alt="x" src="data:image/png;base64,{data}"> two').split() == ["one", "two"]
+    assert visible(f"on<span title='{data}'>e</span> two").split() == ["one", "two"]
+    prose = "words " * 500
+    assert visible(f"if x <p and {prose}> y").split()[-2:] == [">", "y"]
+
+
 # ---- residue
 BOOK = '{"cells": [{"cell_type": "markdown", "source": ["# Title\\n"]}, {"cell_type": "code", "source": ["x = 1"], "outputs": [{"text": ["out\\n"]}]}]}'
 
@@ -182,6 +190,12 @@ def test_units_of_each_flattening():
     assert units("﻿") == [] and units("") == []
 
 
+def test_long_placeholders():
+    long = "the_full_name_of_the_author_of_this_notebook_and_of_its_reviewers_as_registered"
+    for t in (f"{{{{ {long} }}}}", f"<Your {long}>", f"[{long.upper()}]", f"%%{long}%%", f"{{{long}}}"):
+        assert canonical(f"By {t}.").split() == ["By", SLOT, "."]
+
+
 def test_residue_and_what_only_speaks_of_it(spark):
     prose = " We smooth the noisy panel twice, then compare sensor 4 with engine 7 and keep the rest for later."
     yes = ["You need to enable JavaScript to run this notebook.", "Prepared by {{ author }} on <DATE>.", "# Data\n\nLorem ipsum dolor sit amet vela.\n\nIn [1]:\nx", "403 : Forbidden\n\nWe could not fetch this notebook. Try again later.\nRequest e352951277e2", '{"message": "Not Found", "status": 404, "request_id": "24108fbff91d"}', "<html><head><title>502 Bad Gateway</title></head><body><h1>Bad Gateway</h1><p>The path /a/b.ipynb was not served.</p><hr>gauged/3.2</body></html>", "xxxx xxxx xxxx"]

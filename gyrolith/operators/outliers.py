@@ -275,9 +275,14 @@ def clean_outliers(clean: DataFrame, shard_rows: int = 8192) -> DataFrame:
     rows = clean.select(*ent, "idx", "noise", *axes).dropna(subset=[*ent, "idx"])
     rows = rows.withColumn("__sh", F.floor(F.col("idx") / F.lit(shard_rows)).cast("long"))
     rows = rows.repartition(*ent, "__sh").dropDuplicates([*ent, "__sh", "idx"])
-    rows = dense_position(rows, ent, "__sh", ["idx"], "pos")
+    # each field is numbered without its nulls, so that a halo holds as many readings of it
+    fields = ("noise", *axes)
+    each = F.array(*[F.struct(F.lit(c).alias("__field"), F.col(c).cast("double").alias("__v")) for c in fields])
+    rows = rows.select(*ent, "idx", "__sh", F.inline(each)).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    rows = dense_position(rows, [*ent, "__field"], "__sh", ["idx"], "pos")
+    rows = rows.select(*ent, "__field", "idx", "pos", *[F.when(F.col("__field") == c, F.col("__v")).alias(c) for c in fields])
     rules = [Rule("noise", ("noise",), lift=8.0), *[Rule(a, (a,), lift=5.0) for a in axes]]
     impossible = {"noise": F.col("noise") < 0} | {a: F.abs(F.col(a)) > MAX_LIGHT for a in axes}
     impossible = {k: v & ~F.isnan(k) for k, v in impossible.items()}
-    found = judge(rows, ent, "pos", "idx", rules, impossible)
+    found = judge(rows, [*ent, "__field"], "pos", "idx", rules, impossible).drop("__field")
     return found.withColumn("field", F.when(F.col("field").startswith("light"), "light").otherwise(F.col("field"))).distinct()

@@ -209,6 +209,16 @@ def test_outliers_of_a_source_with_a_quiet_last_block(spark):
     assert {(r.idx, r.reason) for r in got.itertuples()} == {(1000, "spike")}
 
 
+def test_stuck_run_among_nulls_across_blocks(spark):
+    x = np.random.default_rng(9).normal(50, 1, outliers.BLOCK + 300)
+    run = outliers.BLOCK - 96 + 12 * np.arange(16)
+    x[run[0] : run[-1] + 1] = np.nan
+    x[run] = 50.0
+    df = spark.createDataFrame(clip(x)).withColumn("noise", F.nanvl("noise", F.lit(None)))
+    got = outliers.clean_outliers(df).toPandas()
+    assert {(r.idx, r.field, r.reason) for r in got.itertuples()} == {(k, "noise", "stuck") for k in run.tolist()}
+
+
 def test_top_of_a_quick_turn_is_no_spike(spark):
     x = np.random.default_rng(8).normal(0, 0.2, 300)
     turn = 386 * np.sin(np.linspace(0, np.pi, 28))

@@ -1,7 +1,8 @@
 """Alignment of a measured rate stream to the sensor's, the patch of noisy bursts by it, the splice.
 
-Work per burst or calibration set is numpy inside a grouped chunk: a burst is a stretch of one clip
-(seconds), which bounds it.  Everything around it is joins and windows over numbered series.
+Work per burst or alignment is numpy inside a grouped chunk: a burst is a stretch of one clip
+(seconds), which bounds it; an alignment takes all cleaned rows of its clip into one task.
+Everything around it is joins and windows over numbered series.
 """
 
 from __future__ import annotations

@@ -23,24 +23,35 @@ SHARD_BINS = 4096
 GAP_PIECE = 8192
 
 
-def regular_grid(df: DataFrame, entity: Sequence[str], time: Column, period: int, value: Column | None = None, shard_bins: int = SHARD_BINS) -> DataFrame:
+def regular_grid(
+    df: DataFrame, entity: Sequence[str], time: Column, period: int, value: Column | None = None, shard_bins: int = SHARD_BINS, record: Sequence[str] = ()
+) -> DataFrame:
     """One row per entity and period between its first and last reading.
 
     Columns: entity..., bin_no, n_readings (0 in a missing period), value (the period's last
     reading's; in a missing one the last before it, null if none), is_filled.
-    ``time``: bigint ticks, ``period``: ticks.  ``value``: a double column or none.
+    ``time``: bigint ticks, ``period``: ticks.  ``value``: a double column or none.  ``record``: columns that tell
+    one record of an entity; its copies then count once.
     """
     ent = list(entity)
-    rows = df.select(*ent, time.alias("__t"), (F.lit(None).cast("double") if value is None else value.cast("double")).alias("__v"))
+    names = [f"__r{k}" for k in range(len(record))]
+    rows = df.select(*ent, time.alias("__t"), (F.lit(None).cast("double") if value is None else value.cast("double")).alias("__v"), *[F.col(r).alias(n) for r, n in zip(record, names)])
     rows = rows.dropna(subset=[*ent, "__t"]).withColumn("bin_no", F.floor(F.col("__t") / F.lit(period)).cast("long"))
     # integer floor: a double quotient is exact enough only below 2^53, so it is put right here
     rows = rows.withColumn("bin_no", F.col("bin_no") + F.when(F.col("bin_no") * period > F.col("__t"), -1).when((F.col("bin_no") + 1) * period <= F.col("__t"), 1).otherwise(0))
+    rows = rows.withColumn("__sh", F.floor(F.col("bin_no") / F.lit(shard_bins)).cast("long"))
     last = F.max(F.when(F.col("__v").isNotNull(), F.struct("__t", "__v")))
-    bins = rows.groupBy(*ent, "bin_no").agg(F.count(F.lit(1)).alias("n_readings"), last.getField("__v").alias("value"))
-    bins = bins.withColumn("__sh", F.floor(F.col("bin_no") / F.lit(shard_bins)).cast("long")).repartition(*ent, "__sh")
+    bins = lambda df: df.groupBy(*ent, "__sh", "bin_no").agg(F.count(F.lit(1)).alias("n_readings"), last.getField("__v").alias("value"))
+    if record:
+        # copies lie in one shard, so one shuffle of the readings serves them, the bins and the carries
+        placed = rows.repartition(*ent, "__sh")
+        of = bins(placed.dropDuplicates([*ent, "__sh", "bin_no", *names]))
+        base = None
+    else:
+        of = base = bins(rows).repartition(*ent, "__sh")  # combined to bins before they move
     aggs = {"__last": F.max("bin_no"), "__val": F.max_by("value", F.when(F.col("value").isNotNull(), F.col("bin_no")))}
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    carried = with_carry(bins, ent, "__sh", aggs, {"__cbin": lambda w: F.lag("__last").over(w), "__cval": lambda w: F.last("__val", True).over(before(w))})
+    carried = with_carry(of, ent, "__sh", aggs, {"__cbin": lambda w: F.lag("__last").over(w), "__cval": lambda w: F.last("__val", True).over(before(w))}, base)
     local = Window.partitionBy(*ent, "__sh").orderBy("bin_no")
     carried = carried.select(
         *ent,
@@ -50,19 +61,23 @@ def regular_grid(df: DataFrame, entity: Sequence[str], time: Column, period: int
         F.coalesce(F.lag("bin_no").over(local), "__cbin").alias("__prev"),
         F.coalesce(F.last("value", True).over(before(local)), "__cval").alias("__held"),
     )
-    read = carried.select(*ent, "bin_no", "n_readings", "value", F.lit(False).alias("is_filled"))
-    return read.unionByName(_missing(carried, ent))
+    # each row stands for itself and for the missing periods before it, those in pieces
+    lo, hi = F.col("__prev") + 1, F.col("bin_no") - 1
+    heads = F.when(hi >= lo, F.transform(F.sequence(lo, hi, F.lit(GAP_PIECE).cast("long")), lambda a: F.struct(a.alias("lo"), F.least(a + (GAP_PIECE - 1), hi).alias("hi"), F.lit(True).alias("is_filled"))))
+    itself = F.array(F.struct(F.col("bin_no").alias("lo"), F.col("bin_no").alias("hi"), F.lit(False).alias("is_filled")))
+    parts = carried.select(*ent, "n_readings", "value", "__held", F.explode(F.concat(F.coalesce(heads, F.array().cast("array<struct<lo:bigint,hi:bigint,is_filled:boolean>>")), itself)).alias("x"))
+    filled = F.col("x.is_filled")
+    parts = parts.select(
+        *ent,
+        F.when(filled, 0).otherwise(F.col("n_readings")).cast("long").alias("n_readings"),
+        F.when(filled, F.col("__held")).otherwise(F.col("value")).alias("value"),
+        filled.alias("is_filled"),
+        F.explode(F.sequence("x.lo", "x.hi")).alias("bin_no"),
+    )
+    return parts.select(*ent, "bin_no", "n_readings", "value", "is_filled")
 
 
 def missing_periods(df: DataFrame, entity: Sequence[str], time: Column, period: int, shard_bins: int = SHARD_BINS) -> DataFrame:
     """The periods of the grid that no reading has: entity..., bin_no."""
     grid = regular_grid(df, entity, time, period, shard_bins=shard_bins)
     return grid.where("is_filled").select(*entity, "bin_no")
-
-
-def _missing(carried: DataFrame, ent: list[str]) -> DataFrame:
-    lo, hi = F.col("__prev") + 1, F.col("bin_no") - 1
-    gaps = carried.where(F.col("bin_no") - F.col("__prev") > 1)
-    heads = gaps.select(*ent, hi.alias("__hi"), "__held", F.explode(F.sequence(lo, hi, F.lit(GAP_PIECE).cast("long"))).alias("__lo"))
-    each = F.explode(F.sequence(F.col("__lo"), F.least(F.col("__lo") + (GAP_PIECE - 1), "__hi")))
-    return heads.select(*ent, each.alias("bin_no"), F.lit(0).cast("long").alias("n_readings"), F.col("__held").alias("value"), F.lit(True).alias("is_filled"))

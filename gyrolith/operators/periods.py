@@ -2,11 +2,13 @@
 
 Intervals are taken as closed ranges of integer ticks.  In half ticks the closed range [a, b] is
 the half-open range [2a, 2b + 1): ranges that touch share a half tick, ranges one tick apart don't.
-Each range is decomposed into its canonical dyadic blocks (level j, number p: [p 2^j, (p + 1) 2^j)),
-a closed form per level that stays in the JVM.  Blocks up to ``shard_level`` are distributed by
-(entity, shard); a shard drops blocks an ancestor covers, merges siblings upward and coalesces
-neighbours.  Larger blocks (at most two a level and range) skip that step.  What remains is joined
-up across shards by carries of one row a shard.
+Time is cut into shards of 2^shard_level half ticks, and so is each range: its two ends go to their
+shards as they are, one row each; whole shards between them are decomposed into canonical dyadic
+blocks (level j, number p: [p 2^j, (p + 1) 2^j)), at most two a level, which skip the shards.
+In a shard, ranges become their canonical blocks, blocks an ancestor covers are dropped, siblings
+merge upward and neighbours coalesce to pieces.  That is done once before the shuffle, over the rows
+of each partition, and once after it.  Only a shard's first and last piece can belong to a period of
+other shards: they are joined up over one row a shard, the others are final.
 
 Nulls: rows whose entity columns or bounds are null, or whose end isn't above its start, don't
 count.  Equal, nested and repeated intervals change nothing.  An empty table gives an empty result.
@@ -21,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyrolith.operators.shards import map_group_chunks, with_carry
+from gyrolith.operators.shards import map_group_chunks
+from gyrolith.session import durable
 
 #: 2^26 half microseconds, about 33 s.
 SHARD_LEVEL = 26
@@ -54,6 +57,20 @@ def dyadic_blocks(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(levels, at))
 
 
+def decompose(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical dyadic blocks of many ranges [a, b): (group, level, number)."""
+    parts = []
+    j = 0
+    while len(a):
+        for odd, number in (((a & 1) == 1, a), ((b & 1) == 1, b - 1)):
+            at = odd & (a < b)
+            parts.append((group[at], np.full(int(at.sum()), j, np.int64), number[at]))
+        a, b, j = (a + 1) >> 1, b >> 1, j + 1
+        left = a < b
+        group, a, b = group[left], a[left], b[left]
+    return tuple(np.concatenate(x) for x in zip(*parts))  # type: ignore[return-value]
+
+
 def reduce_blocks(group: np.ndarray, level: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Blocks to disjoint, non-adjacent pieces per group: (group, start, end)."""
     start, end = number << level, (number + 1) << level
@@ -108,56 +125,88 @@ def periods_and_gaps(df: DataFrame, entity: Sequence[str], start: Column, end: C
     that wants end > start filters first.
     """
     ent = list(entity)
-    ranges = df.select(*ent, start.alias("__s"), end.alias("__e")).dropna().where("__e >= __s")
-    ranges = ranges.select(*ent, (F.col("__s") * 2).alias("__a"), (F.col("__e") * 2 + 1).alias("__b")).distinct()
-    blocks = ranges.select(*ent, F.explode(dyadic_blocks(F.col("__a"), F.col("__b"))).alias("x")).select(*ent, "x.lvl", "x.blk").distinct()
-    small = blocks.where(F.col("lvl") <= shard_level)
-    small = small.withColumn("sh", _shift(F.col("blk"), F.lit(shard_level) - F.col("lvl")))
-    keys = [*ent, "sh"]
-    types = dict(small.dtypes)
-
-    def reduce(tab: pa.Table, group: np.ndarray) -> pa.Table:
-        sh = tab.column("sh").to_numpy()
-        rel = tab.column("blk").to_numpy() - (sh << (shard_level - tab.column("lvl").to_numpy().astype(np.int64)))
-        g, s, e = reduce_blocks(group, tab.column("lvl").to_numpy().astype(np.int64), rel)
-        first = np.unique(group, return_index=True)
-        rows = first[1][np.searchsorted(first[0], g)]
-        base = sh[rows] << shard_level
-        out = tab.select(keys).take(pa.array(rows))
-        return out.append_column("s", pa.array(s + base)).append_column("e", pa.array(e + base))
-
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", s bigint, e bigint"
-    pieces = map_group_chunks(small, keys, reduce, schema)
-    giant = blocks.where(F.col("lvl") > shard_level)
-    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lvl"))
-    giant = giant.select(*ent, _shift(F.col("blk") * size, F.lit(shard_level)).alias("sh"), (F.col("blk") * size).alias("s"), ((F.col("blk") + 1) * size).alias("e"))
-    return _join_up(pieces.unionByName(giant), ent)
-
-
-def _join_up(pieces: DataFrame, ent: list[str]) -> DataFrame:
-    """Pieces of shards to periods and gaps of entities."""
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    after = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
-    pieces = pieces.repartition(*ent, "sh")
-    carried = with_carry(pieces, ent, "sh", {"__e": F.max("e")}, {"__reach": lambda w: F.max("__e").over(before(w))})
-    local = Window.partitionBy(*ent, "sh").orderBy("s", "e")
-    prior = F.greatest(F.max("e").over(before(local)), F.col("__reach"))
-    carried = carried.select(*ent, "sh", "s", "e", prior.alias("prior"))
-    starts = carried.where(F.col("prior").isNull() | (F.col("prior") < F.col("s"))).select(*ent, "sh", "s", "prior")
-    # where a period ends is what the next start saw as reached; the entity's last ends at its maximum
-    nexts = with_carry(starts, ent, "sh", {"__p": F.min_by("prior", "s")}, {"__next": lambda w: F.first("__p", True).over(after(w))})
-    last = pieces.groupBy(*ent).agg(F.max("e").alias("__last"))
-    nexts = nexts.withColumn("__end", F.coalesce(F.lead("prior").over(Window.partitionBy(*ent, "sh").orderBy("s")), "__next"))
-    full = nexts.join(last, ent).withColumn("e", F.coalesce("__end", "__last"))
-    rows = F.array(
-        F.struct(F.lit("period").alias("what"), F.col("s").alias("a"), F.col("e").alias("b")),
-        F.when(F.col("prior").isNotNull(), F.struct(F.lit("gap").alias("what"), F.col("prior").alias("a"), F.col("s").alias("b"))),
+    level = F.lit(shard_level)
+    ranges = df.select(*ent, start.alias("__lo"), end.alias("__hi")).dropna().where("__hi >= __lo")
+    ranges = ranges.select(*ent, (F.col("__lo") * 2).alias("__a"), (F.col("__hi") * 2 + 1).alias("__b"))
+    first, last = _shift(F.col("__a"), level), _shift(F.col("__b") - 1, level)
+    edge = lambda sh: F.call_function("shiftleft", sh, level)
+    ranges = ranges.select("*", first.alias("__i"), last.alias("__k"))
+    # the ends of a range, one row a shard; a range in one shard is one row
+    ends = F.array_compact(
+        F.array(
+            F.struct(F.col("__i").alias("__sh"), F.col("__a").alias("__a"), F.least("__b", edge(F.col("__i") + 1)).alias("__b")),
+            F.when(F.col("__k") > F.col("__i"), F.struct(F.col("__k").alias("__sh"), edge(F.col("__k")).alias("__a"), F.col("__b").alias("__b"))),
+        )
     )
-    out = full.select(*ent, F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x"))
-    half = lambda c, end: F.floor((F.col(c) - (1 if end else 0)) / 2).cast("long")
-    return out.select(
-        *ent,
-        F.col("x.what").alias("what"),
-        F.when(F.col("x.what") == "period", half("x.a", False)).otherwise(half("x.a", True)).alias("start_us"),
-        F.when(F.col("x.what") == "period", half("x.b", True)).otherwise(half("x.b", False)).alias("end_us"),
+    cut = ranges.select(*ent, F.inline(ends))
+    keys = [*ent, "__sh"]
+    types = dict(cut.dtypes)
+    named = ", ".join(f"`{k}` {types[k]}" for k in keys)
+
+    def pieces(tab: pa.Table, group: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, group, start and end of each piece, in order."""
+        base = tab.column("__sh").to_numpy() << shard_level
+        g, s, e = reduce_blocks(*decompose(group, tab.column("__a").to_numpy() - base, tab.column("__b").to_numpy() - base))
+        codes, at = np.unique(group, return_index=True)
+        rows = at[np.searchsorted(codes, g)]
+        return tab.select(keys).take(pa.array(rows)), g, s + base[rows], e + base[rows]
+
+    def combine(tab: pa.Table, group: np.ndarray) -> pa.Table:
+        out, _, s, e = pieces(tab, group)
+        return out.append_column("__a", pa.array(s)).append_column("__b", pa.array(e))
+
+    def close(tab: pa.Table, group: np.ndarray) -> pa.Table:
+        """kind 0: a shard's first and last piece; 1: a period inside; 2: a gap inside."""
+        out, g, s, e = pieces(tab, group)
+        head = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        tail = np.r_[head[1:], len(g)] - 1
+        gap = np.flatnonzero(np.r_[g[1:] == g[:-1], False])
+        inner = np.setdiff1d(np.arange(len(g)), np.r_[head, tail])
+        rows = np.r_[head, inner, gap]
+        kind = np.repeat(np.array([0, 1, 2], np.int32), [len(head), len(inner), len(gap)])
+        none = np.full(len(inner) + len(gap), -1)
+        out = out.take(pa.array(rows)).append_column("__kind", pa.array(kind))
+        out = out.append_column("__s", pa.array(np.r_[s[head], s[inner], e[gap]])).append_column("__e", pa.array(np.r_[e[head], e[inner], s[gap + 1]]))
+        mask = np.r_[head == tail, none < 0]
+        return out.append_column("__s1", pa.array(np.r_[s[tail], none], mask=mask)).append_column("__e1", pa.array(np.r_[e[tail], none], mask=mask))
+
+    cut = map_group_chunks(cut, keys, combine, f"{named}, __a bigint, __b bigint", local=True)
+    told = map_group_chunks(cut, keys, close, f"{named}, __kind int, __s bigint, __e bigint, __s1 bigint, __e1 bigint")
+    whole = ranges.where(F.col("__k") > F.col("__i") + 1).select(*ent, F.explode(dyadic_blocks(F.col("__i") + 1, F.col("__k"))).alias("__x"))
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__x.lvl"))
+    whole = whole.select(*ent, (F.col("__x.blk") * size).alias("__sh"), edge(F.col("__x.blk") * size).alias("__s"), edge((F.col("__x.blk") + 1) * size).alias("__e")).distinct()
+    none = F.lit(None).cast("bigint")
+    told = told.unionByName(whole.select(*keys, F.lit(0).alias("__kind"), "__s", "__e", none.alias("__s1"), none.alias("__e1")))
+    return _join_up(durable(told), ent)  # one row a piece; read for the shards' ends and for what lies inside
+
+
+def _join_up(told: DataFrame, ent: list[str]) -> DataFrame:
+    """Shards' first and last pieces to the entities' periods and gaps, beside what lies inside shards."""
+    # of rows alike in start and reach, the one without a hole comes first
+    order = Window.partitionBy(*ent).orderBy("__s", F.desc("__until"), F.asc_nulls_first("__s1"))
+    shards = told.where("__kind = 0").withColumn("__until", F.coalesce("__e1", "__e"))
+    shards = shards.withColumn("__reach", F.max("__until").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    shards = shards.withColumn("__last", F.max("__until").over(Window.partitionBy(*ent)))
+    covered = F.coalesce(F.col("__reach") >= F.col("__until"), F.lit(False))
+    # where periods start, and what is then known of the one before: where it ended
+    starts = F.array_compact(
+        F.array(
+            F.when(F.col("__reach").isNull() | (F.col("__reach") < F.col("__s")), F.struct(F.col("__s").alias("__s"), F.col("__reach").alias("__close"), F.col("__reach").alias("__gap"))),
+            F.when(F.col("__s1").isNotNull(), F.struct(F.col("__s1").alias("__s"), F.col("__e").alias("__close"), F.lit(None).cast("bigint").alias("__gap"))),
+        )
+    )
+    opened = shards.where(~covered).select(*ent, "__last", F.inline(starts))
+    ends = F.coalesce(F.lead("__close").over(Window.partitionBy(*ent).orderBy("__s")), F.col("__last"))
+    rows = F.array_compact(
+        F.array(
+            F.struct(F.lit("period").alias("what"), F.col("__s").alias("__a"), ends.alias("__b")),
+            F.when(F.col("__gap").isNotNull(), F.struct(F.lit("gap").alias("what"), F.col("__gap").alias("__a"), F.col("__s").alias("__b"))),
+        )
     )
+    joined = opened.select(*ent, rows.alias("__x")).select(*ent, F.inline("__x"))
+    under = shards.where(covered).select(*ent, "__sh").distinct()
+    inside = told.where("__kind > 0").join(under, [*ent, "__sh"], "left_anti")
+    inside = inside.select(*ent, F.when(F.col("__kind") == 1, "period").otherwise("gap").alias("what"), F.col("__s").alias("__a"), F.col("__e").alias("__b"))
+    period = F.col("what") == "period"
+    half = lambda c, end: F.floor((F.col(c) - F.when(end, 1).otherwise(0)) / 2).cast("long")
+    return joined.unionByName(inside).select(*ent, "what", half("__a", ~period).alias("start_us"), half("__b", period).alias("end_us"))

@@ -23,15 +23,25 @@ from gyrolith.session import ship
 CHUNK_ROWS = 200_000
 
 
-def with_carry(df: DataFrame, entity: Sequence[str], shard: str, aggs: dict[str, Column], carries: dict[str, Callable[[Window], Column]]) -> DataFrame:
+def with_carry(
+    df: DataFrame, entity: Sequence[str], shard: str, aggs: dict[str, Column], carries: dict[str, Callable[[Window], Column]], base: DataFrame | None = None
+) -> DataFrame:
     """Add to each row what the other shards of its entity say.
 
     aggs: what a shard tells of itself; carries: columns over the window of an entity's shards in
     order (``w``), computed from those.  The joined side has one row a shard.
     Keys must not be null.
+
+    base: the same rows as they left the shuffle on (entity, shard), if all of its columns are used
+    later on.  The summary then reads every column of it too, so that one shuffle serves both.
     """
     w = Window.partitionBy(*entity).orderBy(shard)
-    summary = df.groupBy(*entity, shard).agg(*[c.alias(n) for n, c in aggs.items()])
+    told = [c.alias(n) for n, c in aggs.items()]
+    if base is None:
+        summary = df.groupBy(*entity, shard).agg(*told)
+    else:
+        # a column read nowhere would be pruned from one of the two shuffles, which then differ
+        summary = base.groupBy(*entity, shard).agg(*told, F.bit_xor(F.xxhash64(*base.columns)).alias("__all")).where(F.col("__all").isNotNull())
     summary = summary.select(*entity, shard, *[f(w).alias(n) for n, f in carries.items()])
     return df.join(summary, [*entity, shard], "left")
 
@@ -58,7 +68,7 @@ def with_halo(df: DataFrame, pos: str, block: int, halo: int, out: str = "blk")
     return df.withColumn(out, F.explode(F.filter(blocks, lambda b: b >= 0)))
 
 
-def map_group_chunks(df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table, np.ndarray], pa.Table | None], schema: T.StructType | str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def map_group_chunks(df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table, np.ndarray], pa.Table | None], schema: T.StructType | str, chunk_rows: int = CHUNK_ROWS, local: bool = False) -> DataFrame:
     """Run ``fn(rows, group_number)`` over chunks that hold many whole groups each.
 
     One shuffle on the keys, then a radix sort on a 64-bit hash of them makes groups contiguous, so
@@ -66,12 +76,16 @@ def map_group_chunks(df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table,
     gets the rows of a chunk sorted by group and each row's group number (two groups of one hash
     are told apart).  Python's memory is bounded by chunk_rows plus the largest group, so keys must
     include a shard that bounds the group.
+
+    ``local`` leaves out the shuffle: the groups are then those of a partition, for work that
+    combines before it moves.
     """
     ship(df.sparkSession)
     names = list(keys)
     shaped = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow_out = to_arrow_schema(shaped)
-    hashed = df.withColumn("__h", F.xxhash64(*names)).repartition(*names).sortWithinPartitions("__h")
+    hashed = df.withColumn("__h", F.xxhash64(*names))
+    hashed = (hashed if local else hashed.repartition(*names)).sortWithinPartitions("__h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

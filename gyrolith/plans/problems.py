@@ -36,8 +36,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole regular series of frame times: each period's last frame size, carried over gaps."""
     scan = table(spark, sf_dir, "scan_sample").where(F.col("frame_ts") != 0)
-    scan = scan.select(*CLIP, "idx", "frame_ts", "sample_bytes").dropDuplicates([*CLIP, "idx"])
-    grid = regular_grid(scan, CLIP, F.col("frame_ts"), GRID_US, F.col("sample_bytes"))
+    grid = regular_grid(scan, CLIP, F.col("frame_ts"), GRID_US, F.col("sample_bytes"), record=["idx"])
     return grid.select(*CLIP, "bin_no", "n_readings", F.round("value", 6).alias("value"), "is_filled")
 
 

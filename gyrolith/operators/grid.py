@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyrolith.operators.shards import with_carry
+from gyrolith.operators.shards import place, with_carry
 
 SHARD_BINS = 4096
 GAP_PIECE = 8192
@@ -36,20 +36,18 @@ def regular_grid(
     ent = list(entity)
     names = [f"__r{k}" for k in range(len(record))]
     rows = df.select(*ent, time.alias("__t"), (F.lit(None).cast("double") if value is None else value.cast("double")).alias("__v"), *[F.col(r).alias(n) for r, n in zip(record, names)])
-    rows = rows.dropna(subset=[*ent, "__t"]).withColumn("bin_no", F.floor(F.col("__t") / F.lit(period)).cast("long"))
-    # integer floor: a double quotient is exact enough only below 2^53, so it is put right here
-    rows = rows.withColumn("bin_no", F.col("bin_no") + F.when(F.col("bin_no") * period > F.col("__t"), -1).when((F.col("bin_no") + 1) * period <= F.col("__t"), 1).otherwise(0))
-    rows = rows.withColumn("__sh", F.floor(F.col("bin_no") / F.lit(shard_bins)).cast("long"))
+    rows = rows.dropna(subset=[*ent, "__t"]).withColumn("bin_no", _bin(F.col("__t"), period)).withColumn("__sh", _shard(shard_bins))
     last = F.max(F.when(F.col("__v").isNotNull(), F.struct("__t", "__v")))
     bins = lambda df: df.groupBy(*ent, "__sh", "bin_no").agg(F.count(F.lit(1)).alias("n_readings"), last.getField("__v").alias("value"))
     if record:
         # copies lie in one shard, so one shuffle of the readings serves them, the bins and the carries
-        placed = rows.repartition(*ent, "__sh")
-        of = bins(placed.dropDuplicates([*ent, "__sh", "bin_no", *names]))
-        base = None
+        base = place(rows, ent, "__sh")
+        of = bins(base.dropDuplicates([*ent, "__sh", "bin_no", *names]))
+        held = last.getField("__v")
     else:
-        of = base = bins(rows).repartition(*ent, "__sh")  # combined to bins before they move
-    aggs = {"__last": F.max("bin_no"), "__val": F.max_by("value", F.when(F.col("value").isNotNull(), F.col("bin_no")))}
+        of = base = place(bins(rows), ent, "__sh")  # combined to bins before they move
+        held = F.max_by("value", F.when(F.col("value").isNotNull(), F.col("bin_no")))
+    aggs = {"__last": F.max("bin_no"), "__val": held}
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     carried = with_carry(of, ent, "__sh", aggs, {"__cbin": lambda w: F.lag("__last").over(w), "__cval": lambda w: F.last("__val", True).over(before(w))}, base)
     local = Window.partitionBy(*ent, "__sh").orderBy("bin_no")
@@ -62,8 +60,7 @@ def regular_grid(
         F.coalesce(F.last("value", True).over(before(local)), "__cval").alias("__held"),
     )
     # each row stands for itself and for the missing periods before it, those in pieces
-    lo, hi = F.col("__prev") + 1, F.col("bin_no") - 1
-    heads = F.when(hi >= lo, F.transform(F.sequence(lo, hi, F.lit(GAP_PIECE).cast("long")), lambda a: F.struct(a.alias("lo"), F.least(a + (GAP_PIECE - 1), hi).alias("hi"), F.lit(True).alias("is_filled"))))
+    heads = F.when(F.col("bin_no") - F.col("__prev") > 1, _pieces())
     itself = F.array(F.struct(F.col("bin_no").alias("lo"), F.col("bin_no").alias("hi"), F.lit(False).alias("is_filled")))
     parts = carried.select(*ent, "n_readings", "value", "__held", F.explode(F.concat(F.coalesce(heads, F.array().cast("array<struct<lo:bigint,hi:bigint,is_filled:boolean>>")), itself)).alias("x"))
     filled = F.col("x.is_filled")
@@ -79,5 +76,28 @@ def regular_grid(
 
 def missing_periods(df: DataFrame, entity: Sequence[str], time: Column, period: int, shard_bins: int = SHARD_BINS) -> DataFrame:
     """The periods of the grid that no reading has: entity..., bin_no."""
-    grid = regular_grid(df, entity, time, period, shard_bins=shard_bins)
-    return grid.where("is_filled").select(*entity, "bin_no")
+    ent = list(entity)
+    bins = df.select(*ent, time.alias("__t")).dropna().select(*ent, _bin(F.col("__t"), period).alias("bin_no"))
+    bins = bins.withColumn("__sh", _shard(shard_bins)).distinct()
+    bins = place(bins, ent, "__sh")
+    carried = with_carry(bins, ent, "__sh", {"__last": F.max("bin_no")}, {"__cbin": lambda w: F.lag("__last").over(w)}, base=bins)
+    prev = F.coalesce(F.lag("bin_no").over(Window.partitionBy(*ent, "__sh").orderBy("bin_no")), "__cbin")
+    gaps = carried.select(*ent, "bin_no", prev.alias("__prev")).where(F.col("bin_no") - F.col("__prev") > 1)
+    heads = gaps.select(*ent, F.inline(_pieces()))
+    return heads.select(*ent, F.explode(F.sequence("lo", "hi")).alias("bin_no"))
+
+
+def _bin(t: Column, period: int) -> Column:
+    """Integer floor: a double quotient is exact enough only below 2^53, so it is put right here."""
+    b = F.floor(t / F.lit(period)).cast("long")
+    return b + F.when(b * period > t, -1).when((b + 1) * period <= t, 1).otherwise(0)
+
+
+def _shard(shard_bins: int) -> Column:
+    return F.floor(F.col("bin_no") / F.lit(shard_bins)).cast("long")
+
+
+def _pieces() -> Column:
+    """The missing periods between __prev and bin_no, in ranges of bounded length."""
+    lo, hi = F.col("__prev") + 1, F.col("bin_no") - 1
+    return F.transform(F.sequence(lo, hi, F.lit(GAP_PIECE).cast("long")), lambda a: F.struct(a.alias("lo"), F.least(a + (GAP_PIECE - 1), hi).alias("hi"), F.lit(True).alias("is_filled")))

@@ -23,6 +23,18 @@ from gyrolith.session import ship
 CHUNK_ROWS = 200_000
 
 
+def place(df: DataFrame, entity: Sequence[str], shard: str) -> DataFrame:
+    """Shuffle rows to their shards, for ``with_carry``'s base.  Rows whose keys or shard are null go.
+
+    The test for nulls is said here, before the shuffle, since a join would otherwise infer it on one
+    of its sides only and spoil the shared shuffle.
+    """
+    known = F.lit(True)
+    for k in (*entity, shard):
+        known = known & F.col(k).isNotNull()
+    return df.where(known).repartition(*entity, shard)
+
+
 def with_carry(
     df: DataFrame, entity: Sequence[str], shard: str, aggs: dict[str, Column], carries: dict[str, Callable[[Window], Column]], base: DataFrame | None = None
 ) -> DataFrame:
@@ -43,7 +55,8 @@ def with_carry(
         # a column read nowhere would be pruned from one of the two shuffles, which then differ
         summary = base.groupBy(*entity, shard).agg(*told, F.bit_xor(F.xxhash64(*base.columns)).alias("__all")).where(F.col("__all").isNotNull())
     summary = summary.select(*entity, shard, *[f(w).alias(n) for n, f in carries.items()])
-    return df.join(summary, [*entity, shard], "left")
+    # every shard has its row; an inner join asks the same of both sides, so their shuffles stay alike
+    return df.join(summary, [*entity, shard], "left" if base is None else "inner")
 
 
 def dense_position(df: DataFrame, entity: Sequence[str], shard: str, order: Sequence[str], out: str = "pos") -> DataFrame:

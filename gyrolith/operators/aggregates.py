@@ -6,24 +6,46 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gyrolith.operators.windows import difference
 
 
-def sample_rate(df: DataFrame, keys: Sequence[str], time: str, out: str = "fs", exact: bool = True) -> DataFrame:
-    """1 / median step per series.  ``exact=False`` takes a bounded sketch, for series whose steps
-    have too many distinct values for one aggregation buffer."""
-    steps = difference(df, keys, [time], ["__d"])
-    mid = F.percentile("__d", 0.5) if exact else F.percentile_approx("__d", 0.5, 10000)
-    return steps.groupBy(*keys).agg(F.try_divide(F.lit(1.0), mid).alias(out))
+def exact_medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys..., median, total) of a column per key.
+
+    Counts by bins of about one percent tell which bins hold the middle; only their values are
+    counted one by one, so no task and no aggregation buffer holds a key's values.  Values must be 0
+    or more, no null or NaN.  ``df`` is read twice.
+    """
+    key = list(keys)
+    bins = df.groupBy(*key, F.floor(F.log2(F.greatest(value, F.lit(1e-300))) * 64).alias("__bin"))
+    w = Window.partitionBy(*key)
+    bins = bins.agg(F.count(F.lit(1)).alias("__n"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    bins = bins.withColumn("__upto", F.sum("__n").over(w.orderBy("__bin"))).withColumn("total", F.sum("__n").over(w))
+    first, second = F.expr("(total - 1) div 2"), F.expr("total div 2")  # ranks of the middle from 0
+    before = F.col("__upto") - F.col("__n")
+    middle = bins.where((F.col("__upto") > first) & (before <= second)).select(*key, "__bin", "__lo", "__hi", before.alias("__before"), "total")
+    near = df.select(*key, value).join(middle, key).where((F.col(value) >= F.col("__lo")) & (F.col(value) <= F.col("__hi")))
+    near = near.groupBy(*key, "__bin", "__before", "total", value).agg(F.count(F.lit(1)).alias("__n"))
+    near = near.withColumn("__upto", F.col("__before") + F.sum("__n").over(Window.partitionBy(*key, "__bin").orderBy(value)))
+    at = lambda k: F.min(F.when(F.col("__upto") > k, F.col(value)))
+    return near.groupBy(*key, "total").agg(((at(first) + at(second)) / 2).alias("median"))
+
+
+def sample_rate(df: DataFrame, keys: Sequence[str], time: str, out: str = "fs") -> DataFrame:
+    """1 / median step per series in order of time; no row for a series of fewer than two times."""
+    steps = difference(df.select(*keys, "pos", "n", time), keys, [time], ["__d"]).where(F.col("__d").isNotNull() & ~F.isnan("__d"))
+    return exact_medians(steps.select(*keys, "__d"), keys, "__d").select(*keys, F.try_divide(F.lit(1.0), F.col("median")).alias(out))
 
 
 def local_rate(df: DataFrame, keys: Sequence[str], time: str, first: int = 100, default: float = 100.0, out: str = "fps") -> DataFrame:
     """Rate from the first readings only; the default for a single reading."""
-    return sample_rate(df.where(F.col("pos") < first), keys, time, out).withColumn(out, F.coalesce(out, F.lit(default)))
+    steps = difference(df.where(F.col("pos") < first), keys, [time], ["__d"])
+    mid = F.percentile("__d", 0.5)  # of at most ``first`` values
+    return steps.groupBy(*keys).agg(F.coalesce(F.try_divide(F.lit(1.0), mid), F.lit(default)).alias(out))
 
 
 def segment_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -1,32 +1,29 @@
 """Noise of a rate series, its adaptive cleaning, and the intervals that follow from it.
 
-All steps work on numbered series of one sample rate ``fs``; a table of several rates is split by
-rate first (``by_rate``), since window lengths and filter coefficients depend on it.
+The rate ``fs`` of a series is a column (``aggregates.sample_rate``): bands and cutoffs are in hertz
+and windows in seconds, so filters and window lengths follow each series' own rate.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyrolith.config import Config
 from gyrolith.functions import quat as Qn
+from gyrolith.functions import rolling
 from gyrolith.functions.design import Filter, band_pass, low_pass
-from gyrolith.operators.filters import apply_filters, apply_filtfilt
+from gyrolith.operators.filters import Pass, run_pass
 from gyrolith.operators.intervals import find_intervals
-from gyrolith.operators.windows import hampel, uniform_filter
+from gyrolith.operators.windows import uniform_filter
 from gyrolith.session import durable
 
 AXES = ("wx", "wy", "wz")
-
-
-def by_rate(df: DataFrame, rate: str, rates: Sequence[float], step: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
-    """Apply ``step`` to the rows of each nominal rate and put the results together."""
-    return reduce(DataFrame.unionByName, [step(df.where(F.col(rate) == r), r) for r in rates])
+ALPHA_S = 0.2
 
 
 def window_rows(seconds: float, fs: float, rounded: bool = False) -> int:
@@ -40,20 +37,24 @@ def noise_band(fs: float, cfg: Config) -> Filter:
     return band_pass(2, lo / (fs / 2), min(hi, 0.475 * fs) / (fs / 2))
 
 
-def envelope_of(df: DataFrame, keys: Sequence[str], bands: Sequence[str], fs: float, cfg: Config, out: str = "noise") -> DataFrame:
+def cleanable(fs: float, cfg: Config) -> bool:
+    """Whether the noise band and the light cutoff exist at this rate."""
+    return bool(math.isfinite(fs) and fs > 0 and cfg.noise_band[0] < min(cfg.noise_band[1], 0.475 * fs) and cfg.light_cutoff < fs / 2)
+
+
+def envelope(bands: np.ndarray, fs: float, cfg: Config) -> np.ndarray:
     """Largest axis of the rolling RMS of band-passed columns."""
-    squares, means = ([f"__{p}{k}" for k in range(len(bands))] for p in ("s", "m"))
-    rows = df.withColumns({s: F.col(b) * F.col(b) for s, b in zip(squares, bands)})
-    rows = uniform_filter(rows, keys, squares, window_rows(cfg.noise_window_ms / 1000, fs, True), means)
-    each = [F.sqrt(F.greatest(F.col(m), F.lit(0.0))) for m in means]
-    return rows.withColumn(out, F.greatest(*each) if len(each) > 1 else each[0]).drop(*squares, *means)
+    return np.sqrt(rolling.mean(bands * bands, window_rows(cfg.noise_window_ms / 1000, fs, True))).max(axis=1)
 
 
-def noise_envelope(df: DataFrame, keys: Sequence[str], axes: Sequence[str], fs: float, cfg: Config, out: str = "noise", longest: int | None = None) -> DataFrame:
+def noise_envelope(df: DataFrame, keys: Sequence[str], axes: Sequence[str], fs: float, cfg: Config, out: str = "noise") -> DataFrame:
     """Largest axis of the rolling RMS in the noise band."""
-    bands = [f"__b{k}" for k in range(len(axes))]
-    rows = apply_filtfilt(df, keys, axes, noise_band(fs, cfg), bands, longest)
-    return envelope_of(rows, keys, bands, fs, cfg, out).drop(*bands)
+    band, span = noise_band(fs, cfg), range(len(axes))
+    step = Pass(
+        axes, [out], lambda fs: [(band, list(span), "both")], finish=lambda given, x, y, fs: [envelope(np.stack(y, axis=1), fs, cfg)],
+        after_rows=4, after_s=cfg.noise_window_ms / 2000,
+    )
+    return run_pass(df, keys, step, fs)
 
 
 def ramp_smoothed(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float, fs: float, seconds: float, out: str) -> DataFrame:
@@ -62,34 +63,54 @@ def ramp_smoothed(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi:
     return uniform_filter(rows, keys, ["__r"], window_rows(seconds, fs), [out]).drop("__r")
 
 
-def adaptive_clean(df: DataFrame, keys: Sequence[str], fs: float, cfg: Config = Config(), axes: Sequence[str] = AXES, plain_cutoff: float | None = None, longest: int | None = None) -> DataFrame:
-    """Rates in rad/s to cleaned rates and their diagnosis.
+def adaptive_clean(df: DataFrame, keys: Sequence[str], cfg: Config = Config(), axes: Sequence[str] = AXES, plain_cutoff: float | None = None) -> DataFrame:
+    """Rates in rad/s of a numbered series with its rate ``fs`` to cleaned rates and their diagnosis.
 
     Adds per axis ``c*`` (cleaned, rad/s), ``light_*`` and ``strong_*`` (deg/s), then noise (deg/s),
     alpha and spike_frac.  ``plain_cutoff`` filters all readings alike instead, with alpha 0.
-    Two passes reject spikes, one runs all filters, two average; the result is written once.
+    A series whose rate is unknown or too low for the band keeps its rows, the added columns null.
+    Spikes, filters and averages are one pass over the series; the result is written once.
     """
-    keys = list(keys)
+    keys, n = list(keys), len(axes)
     short = [a[-1] for a in axes]
-    deg, fixed, bad, bands = ([f"__{p}{s}" for s in short] for p in ("d", "h", "x", "b"))
-    rows = df.withColumns({d: F.degrees(a) for d, a in zip(deg, axes)})
-    rows = hampel(rows, keys, deg, cfg.hampel_window, cfg.hampel_sigma, fixed, bad)
-    light, strong = [f"light_{s}" for s in short], [f"strong_{s}" for s in short]
-    cut = lambda hz: low_pass(2, hz / (fs / 2))
-    if plain_cutoff is not None:
-        rows = apply_filters(rows, keys, [(fixed, cut(plain_cutoff), light)], longest)
-        rows = rows.withColumns({**{s: F.col(c) for s, c in zip(strong, light)}, "noise": F.lit(0.0), "alpha": F.lit(0.0)})
-    else:
-        jobs = [(fixed, noise_band(fs, cfg), bands), (fixed, cut(cfg.light_cutoff), light), (fixed, cut(cfg.strong_cutoff), strong)]
-        rows = envelope_of(apply_filters(rows, keys, jobs, longest), keys, bands, fs, cfg).drop(*bands)
-        rows = ramp_smoothed(rows, keys, "noise", cfg.noise_low, cfg.noise_high, fs, 0.2, "alpha")
-    clean = Qn.blend([F.col(c) for c in light], [F.col(c) for c in strong], F.col("alpha"))
-    rows = rows.withColumns({f"c{s}": F.radians(c) for s, c in zip(short, clean)})
-    rows = rows.withColumn("__spikes", sum((F.col(x).cast("double") for x in bad), F.lit(0.0)) / len(bad))
-    rows = durable(rows.drop(*deg, *fixed, *bad))
+    light, strong, clean = ([f"{p}{s}" for s in short] for p in ("light_", "strong_", "c"))
+    plain = plain_cutoff is not None
+
+    def prepare(x: list[np.ndarray], fs: float) -> list[np.ndarray]:
+        parts = [rolling.hampel(np.degrees(c), cfg.hampel_window, cfg.hampel_sigma) for c in x]
+        return [p[0] for p in parts] + [p[1].astype(float) for p in parts]
+
+    def jobs(fs: float) -> list | None:
+        cut = lambda hz: low_pass(2, hz / (fs / 2))
+        every = list(range(n))
+        if plain:
+            return [(cut(plain_cutoff), every, "both")] if math.isfinite(fs) and fs > 2 * plain_cutoff else None
+        if not cleanable(fs, cfg):
+            return None
+        return [(noise_band(fs, cfg), every, "both"), (cut(cfg.light_cutoff), every, "both"), (cut(cfg.strong_cutoff), every, "both")]
+
+    def finish(given: list[np.ndarray], x: list[np.ndarray], y: list[np.ndarray], fs: float) -> list[np.ndarray]:
+        if plain:
+            lo = hi = np.stack(y, axis=1)
+            noise = alpha = np.zeros(len(lo))
+        else:
+            bands, lo, hi = (np.stack(y[k * n : (k + 1) * n], axis=1) for k in range(3))
+            noise = envelope(bands, fs, cfg)
+            alpha = rolling.mean(rolling.ramp(noise, cfg.noise_low, cfg.noise_high), window_rows(ALPHA_S, fs))
+        made = np.radians(lo * (1 - alpha[:, None]) + hi * alpha[:, None])
+        return [*made.T, *lo.T, *hi.T, noise, alpha, np.mean(x[n:], axis=0)]
+
+    step = Pass(axes, [*clean, *light, *strong, "noise", "alpha", "__spikes"], jobs, prepare, finish, 2 * cfg.hampel_window, 8, (cfg.noise_window_ms / 1000 + ALPHA_S) / 2)
+    rows = durable(run_pass(df, keys, step))
     return rows.join(rows.groupBy(*keys).agg(F.avg("__spikes").alias("spike_frac")), keys).drop("__spikes")
 
 
+def optical_alpha(diag: DataFrame, keys: Sequence[str], cfg: Config, out: str = "alpha_opt") -> DataFrame:
+    """The ramp of the patch where it has a noise range of its own."""
+    finish = lambda given, x, y, fs: [rolling.mean(rolling.ramp(x[0], *cfg.optical_noise), window_rows(ALPHA_S, fs))]
+    return run_pass(diag, keys, Pass(["noise"], [out], lambda fs: [], finish=finish, after_rows=4, after_s=ALPHA_S / 2))
+
+
 def severe_intervals(diag: DataFrame, keys: Sequence[str], time: str, cfg: Config = Config()) -> DataFrame:
     return find_intervals(diag, keys, time, F.col("noise") > cfg.severe, cfg.severe_pad, cfg.severe_merge, 0.2)
 

@@ -1,10 +1,21 @@
-"""Recursive filters over numbered series.
+"""Recursive filters over numbered series, spread over shards of positions.
 
 Within a task a filter runs as a block scan: a block of L readings is one matrix product, and only
-the state is carried from block to block.  The same affine step lets a long series be spread: every
-shard tells the state it ends in from rest, one row a shard is chained into the states the shards
-begin with, and the shards are then filtered independently.  Series up to ``WHOLE`` readings stay
-together, which needs no chain; whether longer ones exist is looked up first.
+the state is carried from block to block.  The same affine step spreads a long series: its shards
+are filtered independently once each knows the states it begins with.  A zero-phase filter needs two
+of them, the forward state at the shard's left end and the backward state at its right end.  Both
+follow from what every shard tells of itself from rest, in one pass over the data:
+
+    forward:   z' = A^n z + e                      e: end state from rest
+    backward:  w' = A^n w + g + M z                g: end state over the forward output from rest
+                                                   M: what the forward state adds to it
+
+M depends on lengths only, so a chain over one row a shard gives all states (``_chain``).  A series of
+one shard knows its states itself and tells nothing.
+
+A ``Pass`` is a numpy step over such shards: it prepares columns from rows around, filters them, and
+finishes from filtered rows around, so that whole chains of series operators take one shuffle.  The
+rate of a series is a column, ``fs``: filters and windows may differ from series to series.
 
 Nulls count as NaN and spread, as in any recursion.  A series not longer than the padding can't be
 filtered forward and backward: its output is null.
@@ -12,7 +23,8 @@ filtered forward and backward: its output is null.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +37,7 @@ from gyrolith.functions.design import Filter, states, steady
 from gyrolith.operators.shards import floats, map_group_chunks
 from gyrolith.session import durable
 
-WHOLE, SHARD, LENGTH = 1 << 18, 1 << 16, 128
+SHARD, LENGTH = 1 << 14, 128
 
 
 @lru_cache(maxsize=64)
@@ -44,11 +56,12 @@ def _block(f: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 def lfilter(f: Filter, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Filtered readings and the end state."""
-    A, B, C, D = states(f)
+    if not len(x):
+        return x, z
+    T, O, K, P = _block(f)
     whole = len(x) // LENGTH * LENGTH
     y = np.empty(len(x))
     if whole:
-        T, O, K, P = _block(f)
         parts = x[:whole].reshape(-1, LENGTH)
         push = parts @ K.T
         begin = np.empty_like(push)
@@ -56,9 +69,11 @@ def lfilter(f: Filter, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.nda
             begin[k] = z
             z = P @ z + push[k]
         y[:whole] = (parts @ T.T + begin @ O.T).ravel()
-    for k in range(whole, len(x)):
-        y[k] = C @ z + D * x[k]
-        z = A @ z + B * x[k]
+    n = len(x) - whole
+    if n:
+        tail = x[whole:]
+        y[whole:] = T[:n, :n] @ tail + O[:n] @ z
+        z = _power(f, n) @ z + K[:, LENGTH - n :] @ tail
     return y, z
 
 
@@ -74,140 +89,262 @@ def filtfilt(f: Filter, x: np.ndarray, padlen: int | None = None) -> np.ndarray:
     return y[::-1][p : p + n]
 
 
-def _groups(group: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    order = np.lexsort((pos, group))
-    g = group[order]
-    cut = np.flatnonzero(g[1:] != g[:-1]) + 1
-    return order, list(zip([0, *cut.tolist()], [*cut.tolist(), len(g)]))
+@lru_cache(maxsize=4096)
+def _power(f: Filter, n: int) -> np.ndarray:
+    return np.linalg.matrix_power(states(f)[0], n)
 
 
-def _with(df: DataFrame, keys: Sequence[str], outs: Sequence[str], fn, pos: str = "pos") -> DataFrame:
-    """Add double columns computed per group from its rows in order."""
+@lru_cache(maxsize=4096)
+def _mixed(f: Filter, n: int) -> np.ndarray:
+    """Backward end state over the n outputs that a forward state gives without input: sum A^t B C A^t, by doubling."""
+    A, B, C, _ = states(f)
+    if n == 0:
+        return np.zeros_like(A)
+    if n == 1:
+        return np.outer(B, C)
+    h = n // 2
+    m = _mixed(f, h)
+    m = m + _power(f, h) @ m @ _power(f, h)
+    return m if n == 2 * h else m + _power(f, 2 * h) @ np.outer(B, C) @ _power(f, 2 * h)
 
-    def run(tab: pa.Table, group: np.ndarray) -> pa.Table:
-        order, spans = _groups(group, tab.column(pos).to_numpy())
-        tab = tab.take(pa.array(order))
-        cols = fn(tab, spans)
-        for name, c in zip(outs, cols):
-            tab = tab.append_column(name, pa.array(c, from_pandas=True))
-        return tab
 
-    schema = ", ".join([*[f"`{n}` {t}" for n, t in df.dtypes], *[f"`{o}` double" for o in outs]])
-    return map_group_chunks(df, keys, run, schema)
+#: A filter, the prepared columns it runs on, and how: 'both' ways, causal 'settled' (as if the first
+#: reading had always been) or causal from 'rest'.
+Job = tuple[Filter, Sequence[int], str]
 
 
-Job = tuple[Sequence[str], Filter, Sequence[str]]
+@dataclass(frozen=True)
+class Pass:
+    """inputs: columns; outs: double columns added; around: rows ``prepare`` needs on each side;
+    after_rows + after_s * fs: rows ``finish`` needs on each side; prepare(columns, fs) -> columns;
+    jobs(fs) -> filters of those (None: this rate can't be filtered, outs are null); finish(columns,
+    prepared, filtered, fs) -> outs, all of the same rows.  At a series' ends the rows just end there."""
 
+    inputs: Sequence[str]
+    outs: Sequence[str]
+    jobs: Callable[[float], list[Job] | None]
+    prepare: Callable[[list[np.ndarray], float], list[np.ndarray]] = lambda x, fs: x
+    finish: Callable[[list[np.ndarray], list[np.ndarray], list[np.ndarray], float], list[np.ndarray]] = lambda x, p, y, fs: y
+    around: int = 0
+    after_rows: int = 0
+    after_s: float = 0.0
 
-def _split(df: DataFrame, longest: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Series that stay whole, and the longer ones if there are any.
+    def reach(self, fs: float) -> int:
+        return self.after_rows + (int(np.ceil(self.after_s * fs)) if np.isfinite(fs) and fs > 0 else 0)
 
-    Where the caller doesn't say how long the longest is, the input is written once and looked at,
-    since looking at an unwritten input would compute it twice.
-    """
-    if longest is None:
-        df = durable(df)
-        longest = df.agg(F.max("n")).first()[0] or 0
-    if longest <= WHOLE:
-        return df, None
-    return df.where(F.col("n") <= WHOLE), df.where(F.col("n") > WHOLE)
 
+@dataclass(frozen=True)
+class _Shard:
+    """Where a shard begins and ends, where its filters run (u to v), and where the next ones' do."""
 
-def apply_filters(df: DataFrame, keys: Sequence[str], jobs: Sequence[Job], longest: int | None = None) -> DataFrame:
-    """Zero-phase filters of columns of a numbered series, several in one pass: (values, filter, outs)."""
-    keys = list(keys)
-    outs = [o for _, _, names in jobs for o in names]
+    number: int
+    last: bool
+    c0: int
+    c1: int
+    u: int
+    v: int
+    next_u: int
+    prior_v: int
 
-    def whole(tab: pa.Table, spans: list[tuple[int, int]]) -> list[np.ndarray]:
-        return [np.concatenate([filtfilt(f, c[a:b]) for a, b in spans]) for values, f, _ in jobs for c in (floats(tab, v) for v in values)]
 
-    near, far = _split(df, longest)
-    short = _with(near, keys, outs, whole)
-    if far is None:
-        return short
-    for values, f, names in jobs:
-        far = _long_filtfilt(far, keys, values, f, names)
-    return short.unionByName(far)
+def _shard_at(k: int, n: int, size: int, h: int) -> _Shard:
+    last = k == max(1, n // size) - 1
+    c0, c1 = k * size, n if last else (k + 1) * size
+    u = c0 - h if k else 0
+    v = n if last else c1 + h
+    return _Shard(k, last, c0, c1, u, v, n if last else c1 - h, c0 + h if k else 0)
 
 
-def apply_filtfilt(df: DataFrame, keys: Sequence[str], values: Sequence[str], f: Filter, outs: Sequence[str], longest: int | None = None) -> DataFrame:
-    """Zero-phase filter of columns of a numbered series."""
-    return apply_filters(df, keys, [(values, f, outs)], longest)
-
-
-def apply_lfilter(df: DataFrame, keys: Sequence[str], values: Sequence[str], f: Filter, outs: Sequence[str], settled: bool = True, longest: int | None = None) -> DataFrame:
-    """Causal filter; ``settled`` starts it as if the first reading had always been."""
-    keys = list(keys)
+def _ends(f: Filter, mode: str, x: np.ndarray, s: _Shard) -> tuple[np.ndarray, np.ndarray]:
+    """What a shard tells of itself from rest; x: prepared readings u to v."""
+    p = f.padlen
+    zi = steady(f)
+    z = np.zeros(len(zi))
+    if mode != "both":
+        if s.number == 0 and mode == "settled":
+            z = zi * x[0]
+        return lfilter(f, x[: s.next_u - s.u], z)[1], np.zeros(len(zi))
+    head = 2 * x[0] - x[p:0:-1] if s.number == 0 else x[:0]
+    tail = 2 * x[-1] - x[-2 : -p - 2 : -1] if s.last else x[:0]
+    ext = np.concatenate([head, x, tail])
+    if s.number == 0:
+        z = zi * ext[0]
+    cut = len(head) + s.next_u - s.u
+    y0, end = lfilter(f, ext[:cut], z)
+    y1, _ = lfilter(f, ext[cut:], end)
+    y = np.concatenate([y0, y1])
+    back = y[len(head) + s.prior_v - s.u if s.number else 0 :]
+    w = zi * y[-1] if s.last else np.zeros(len(zi))
+    return end, lfilter(f, back[::-1], w)[1]
+
+
+def _run(f: Filter, mode: str, x: np.ndarray, s: _Shard, z: np.ndarray | None, w: np.ndarray | None) -> np.ndarray:
+    """Filtered readings u to v, from the states the shard begins with."""
     zi = steady(f)
+    if mode != "both":
+        begin = z if z is not None else zi * x[0] if mode == "settled" and len(x) else np.zeros(len(zi))
+        return lfilter(f, x, begin)[0]
+    p = f.padlen
+    if s.number == 0 and s.last:
+        return filtfilt(f, x)
+    head = 2 * x[0] - x[p:0:-1] if s.number == 0 else x[:0]
+    tail = 2 * x[-1] - x[-2 : -p - 2 : -1] if s.last else x[:0]
+    ext = np.concatenate([head, x, tail])
+    y, _ = lfilter(f, ext, zi * ext[0] if z is None else z)
+    y, _ = lfilter(f, y[::-1], zi * y[-1] if w is None else w)
+    return y[::-1][len(head) : len(head) + len(x)]
+
+
+def _chain(jobs: list[Job], told: list[tuple[_Shard, np.ndarray]]) -> list[np.ndarray]:
+    """Begin states (forward, backward) of all jobs, one row a shard, from what the shards told."""
+    out = [[] for _ in told]
+    at = 0
+    for f, columns, mode in jobs:
+        order, p = len(steady(f)), f.padlen
+        zi, C = steady(f), states(f)[2]
+        for _ in columns:
+            e = [row[at : at + order] for _, row in told]
+            g = [row[at + order : at + 2 * order] for _, row in told]
+            at += 2 * order
+            z = [np.zeros(order)]
+            for k, (s, _) in enumerate(told[:-1]):
+                z.append(e[k] if k == 0 else _power(f, s.next_u - s.u) @ z[k] + e[k])
+            w = [np.zeros(order)] * len(told)
+            for k in range(len(told) - 1, 0, -1) if mode == "both" else ():
+                s = told[k][0]
+                skip = s.prior_v - s.u
+                pads = p if s.last else 0
+                length = s.v - s.prior_v + pads
+                effect = _mixed(f, length) @ _power(f, skip)
+                if s.last:  # the state the backward way begins with follows the last output
+                    effect = effect + _power(f, length) @ np.outer(zi, C @ _power(f, skip + length - 1))
+                w[k - 1] = g[k] + effect @ z[k] + (0.0 if s.last else _power(f, length) @ w[k])
+            for k in range(len(told)):
+                out[k].append(np.concatenate([z[k], w[k]]))
+    return [np.concatenate(x) if x else np.zeros(0) for x in out]
+
+
+def run_pass(df: DataFrame, keys: Sequence[str], step: Pass, fs: float | None = None, shard: int | None = None, written: bool = False) -> DataFrame:
+    """Add a pass's columns to a numbered series (keys, pos, n; ``fs`` a column unless given).
+
+    One shuffle; series of two and more shards take part in a second one before it, for the states.
+    ``df`` is read for both, so it is written first unless it says to be ``written``.
+    """
+    keys, shard = list(keys), shard or SHARD
+    df = df if written else durable(df)
+    rows = df if fs is None else df.withColumn("fs", F.lit(float(fs)))
+    known = F.col("fs").isNotNull() & ~F.isnan("fs") & (F.col("fs") > 0) & (F.col("fs") < float("inf"))
+    far = F.lit(step.after_rows) + F.when(known, F.ceil(F.col("fs") * step.after_s)).otherwise(0) + step.around
+    far = far.cast("long")
+    size = F.greatest(F.lit(shard).cast("long"), far)
+    count = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / size).cast("long"))
+    of = lambda p: F.least(F.floor(p / size).cast("long"), count - 1)
+    lo, hi = of(F.greatest(F.col("pos") - far, F.lit(0))), of(F.least(F.col("pos") + far, F.col("n") - 1))
+    rows = rows.withColumns({"__of": of(F.col("pos")), "__size": size, "__sh": F.explode(F.sequence(lo, hi))})
+    part = [*keys, "__sh"]
+    types = dict(rows.dtypes)
+    named = ", ".join(f"`{k}` {types[k]}" for k in part)
+
+    def series(tab: pa.Table, group: np.ndarray):
+        pos = tab.column("pos").to_numpy()
+        order = np.lexsort((pos, group))
+        g = group[order]
+        cut = np.flatnonzero(g[1:] != g[:-1]) + 1
+        return tab.take(pa.array(order)), list(zip([0, *cut.tolist()], [*cut.tolist(), len(g)]))
+
+    def prepared(cols: list[np.ndarray], a: int, b: int, pos: np.ndarray, s: _Shard, rate: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        given = [c[a:b] for c in cols]
+        made = step.prepare(given, rate)
+        lo, hi = s.u - int(pos[a]), s.v - int(pos[a])
+        return [c[lo:hi] for c in given], [c[lo:hi] for c in made]
+
+    def where(tab: pa.Table, a: int, rate: float) -> _Shard:
+        return _shard_at(*(int(tab.column(c)[a].as_py()) for c in ("__sh", "n", "__size")), step.reach(rate))
+
+    def ends(tab: pa.Table, group: np.ndarray) -> pa.Table | None:
+        tab, spans = series(tab, group)
+        pos, rates, cols = tab.column("pos").to_numpy(), floats(tab, "fs"), [floats(tab, c) for c in step.inputs]
+        told, rows = [], []
+        for a, b in spans:
+            jobs = step.jobs(float(rates[a]))
+            if jobs is None:
+                continue
+            s = where(tab, a, float(rates[a]))
+            _, x = prepared(cols, a, b, pos, s, float(rates[a]))
+            told.append(np.concatenate([np.zeros(0), *[np.concatenate(_ends(f, mode, x[i], s)) for f, which, mode in jobs for i in which]]).tolist())
+            rows.append(a)
+        if not rows:
+            return None
+        out = tab.select([*part, "n", "__size", "fs"]).take(pa.array(rows))
+        return out.append_column("__z", pa.array(told, pa.list_(pa.float64())))
 
-    def whole(tab: pa.Table, spans: list[tuple[int, int]]) -> list[np.ndarray]:
-        cols = [floats(tab, v) for v in values]
-        return [np.concatenate([lfilter(f, c[a:b], zi * (c[a] if settled else 0.0))[0] for a, b in spans]) for c in cols]
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:  # one row a shard
+        pdf = pdf.sort_values("__sh")
+        rate = float(pdf["fs"].iloc[0])
+        told = [(_shard_at(int(k), int(n), int(size), step.reach(rate)), np.asarray(z, float)) for k, n, size, z in zip(pdf["__sh"], pdf["n"], pdf["__size"], pdf["__z"])]
+        return pdf[part].assign(__z=[z.tolist() for z in _chain(step.jobs(rate), told)])
+
+    long = rows.where((F.col("n") >= 2 * shard) & (F.col("n") >= 2 * F.col("__size"))).select(*part, "pos", "n", "fs", "__size", *[c for c in dict.fromkeys(step.inputs) if c not in ("pos", "n", "fs")])
+    long = map_group_chunks(long, part, ends, f"{named}, n bigint, __size bigint, fs double, __z array<double>")
+    begin = long.groupBy(*keys).applyInPandas(chain, f"{named}, __z array<double>")
+    both = rows.unionByName(begin, allowMissingColumns=True)  # a shard meets its states in its shuffle
+    kept = df.columns
+
+    def run(tab: pa.Table, group: np.ndarray) -> pa.Table | None:
+        tab, spans = series(tab, group)
+        pos, rates, cols = floats(tab, "pos"), floats(tab, "fs"), [floats(tab, c) for c in step.inputs]
+        own = np.asarray(tab.column("__of").to_numpy(zero_copy_only=False) == tab.column("__sh").to_numpy())
+        pick, made = [], []
+        for a, b in spans:
+            z = None
+            if np.isnan(pos[b - 1]):  # the row of the states sorts last
+                b -= 1
+                z = np.asarray(tab.column("__z")[b].as_py(), float)
+            at = np.flatnonzero(own[a:b])
+            pick.append(a + at)
+            rate = float(rates[a])
+            jobs = step.jobs(rate)
+            if jobs is None or not len(at):
+                made.append([np.full(len(at), np.nan)] * len(step.outs))
+                continue
+            s = where(tab, a, rate)
+            given, x = prepared(cols, a, b, pos, s, rate)
+            y, i = [], 0
+            for f, which, mode in jobs:
+                order = len(steady(f))
+                for c in which:
+                    begin_z = z[i : i + order] if z is not None and s.number else None
+                    begin_w = z[i + order : i + 2 * order] if z is not None and not s.last else None
+                    i += 2 * order
+                    y.append(_run(f, mode, x[c], s, begin_z, begin_w))
+            made.append([o[s.c0 - s.u : s.c1 - s.u] for o in step.finish(given, x, y, rate)])
+        rows = np.concatenate(pick)
+        out = tab.select(kept).take(pa.array(rows))
+        for k, name in enumerate(step.outs):
+            out = out.append_column(name, pa.array(np.concatenate([m[k] for m in made]), from_pandas=True))
+        return out
 
-    near, far = _split(df, longest)
-    short = _with(near, keys, outs, whole)
-    if far is None:
-        return short
-    rows = chained(far.withColumn("__p", F.col("pos")), keys, "__p", values, f, outs, settled)
-    return short.unionByName(rows.drop("__p"))
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in kept], *[f"`{o}` double" for o in step.outs]])
+    return map_group_chunks(both, part, run, schema)
 
 
-def chained(df: DataFrame, keys: list[str], pos: str, values: Sequence[str], f: Filter, outs: Sequence[str], settled: bool) -> DataFrame:
-    """Causal filter of series of any length, sharded by position."""
-    zi = steady(f)
-    order = len(zi)
-    rows = df.withColumn("__blk", F.floor(F.col(pos) / F.lit(SHARD)).cast("long"))
-    types = dict(rows.dtypes)
-    part = [*keys, "__blk"]
-    A = states(f)[0]
+def _fixed(values: Sequence[str], jobs: Sequence[tuple[Sequence[str], Filter, Sequence[str]]], mode: str) -> Pass:
+    at = {v: k for k, v in enumerate(values)}
+    run = [(f, [at[v] for v in names], mode) for names, f, _ in jobs]
+    return Pass(values, [o for _, _, names in jobs for o in names], lambda fs: run)
 
-    def ends(tab: pa.Table, group: np.ndarray) -> pa.Table:
-        o, spans = _groups(group, tab.column(pos).to_numpy())
-        tab = tab.take(pa.array(o))
-        cols = [floats(tab, v) for v in values]
-        out = tab.select(part).take(pa.array([a for a, _ in spans]))
-        state = [np.concatenate([lfilter(f, c[a:b], np.zeros(order))[1] for c in cols]).tolist() for a, b in spans]
-        first = [[float(c[a]) for c in cols] for a, _ in spans]
-        return out.append_column("z", pa.array(state, pa.list_(pa.float64()))).append_column("first", pa.array(first, pa.list_(pa.float64()))).append_column("len", pa.array([b - a for a, b in spans], pa.int64()))
 
-    told = map_group_chunks(rows.select(*part, pos, *values), part, ends, ", ".join(f"`{k}` {types[k]}" for k in part) + ", z array<double>, first array<double>, len bigint")
+def apply_filters(df: DataFrame, keys: Sequence[str], jobs: Sequence[tuple[Sequence[str], Filter, Sequence[str]]], shard: int | None = None) -> DataFrame:
+    """Zero-phase filters of columns of a numbered series, several in one pass: (values, filter, outs)."""
+    values = list(dict.fromkeys(v for names, _, _ in jobs for v in names))
+    return run_pass(df, keys, _fixed(values, jobs, "both"), 1.0, shard)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:  # one row a shard
-        pdf = pdf.sort_values("__blk")
-        z = np.concatenate([zi * v for v in pdf["first"].iloc[0]]) if settled else np.zeros(order * len(values))
-        begin = []
-        for end, length in zip(pdf["z"], pdf["len"]):
-            begin.append(z.tolist())
-            step = np.linalg.matrix_power(A, int(length))
-            z = np.concatenate([step @ z[k * order : (k + 1) * order] for k in range(len(values))]) + np.asarray(end)
-        return pdf[part].assign(__z=begin)
-
-    begin = told.groupBy(*keys).applyInPandas(chain, ", ".join(f"`{k}` {types[k]}" for k in part) + ", __z array<double>")
-    ready = rows.join(begin, part)
-
-    def run(tab: pa.Table, spans: list[tuple[int, int]]) -> list[np.ndarray]:
-        z = tab.column("__z")
-        out = []
-        for k, v in enumerate(values):
-            c = floats(tab, v)
-            out.append(np.concatenate([lfilter(f, c[a:b], np.array(z[a].as_py()[k * order : (k + 1) * order]))[0] for a, b in spans]))
-        return out
 
-    return _with(ready, part, outs, run, pos).drop("__z", "__blk")
+def apply_filtfilt(df: DataFrame, keys: Sequence[str], values: Sequence[str], f: Filter, outs: Sequence[str], shard: int | None = None) -> DataFrame:
+    """Zero-phase filter of columns of a numbered series."""
+    return apply_filters(df, keys, [(values, f, outs)], shard)
 
 
-def _long_filtfilt(df: DataFrame, keys: list[str], values: Sequence[str], f: Filter, outs: Sequence[str]) -> DataFrame:
-    p = f.padlen
-    edge = df.where((F.col("pos") <= p) | (F.col("pos") >= F.col("n") - 1 - p)).select(*keys, "pos", "n", *values)
-    ends = edge.groupBy(*keys).agg(*[F.min_by(v, "pos").alias(f"__a_{v}") for v in values], *[F.max_by(v, "pos").alias(f"__z_{v}") for v in values])
-    edge = edge.join(ends, keys)
-    head = edge.where((F.col("pos") >= 1) & (F.col("pos") <= p)).select(*keys, (p - F.col("pos")).alias("__p"), "n", *[(2 * F.col(f"__a_{v}") - F.col(v)).alias(v) for v in values])
-    tail = edge.where(F.col("pos") < F.col("n") - 1).where(F.col("pos") >= F.col("n") - 1 - p)
-    tail = tail.select(*keys, (2 * (F.col("n") - 1) - F.col("pos") + p).alias("__p"), "n", *[(2 * F.col(f"__z_{v}") - F.col(v)).alias(v) for v in values])
-    body = df.select(*keys, (F.col("pos") + p).alias("__p"), "n", *values)
-    ext = body.unionByName(head).unionByName(tail)
-    mid = [f"__f{k}" for k in range(len(values))]
-    ahead = chained(ext, keys, "__p", values, f, mid, True).select(*keys, "n", (F.col("n") + 2 * p - 1 - F.col("__p")).alias("__p"), *mid)
-    back = chained(ahead, keys, "__p", mid, f, list(outs), True)
-    back = back.select(*keys, (F.col("n") + p - 1 - F.col("__p")).alias("pos"), *outs)
-    return df.join(back, [*keys, "pos"])
+def apply_lfilter(df: DataFrame, keys: Sequence[str], values: Sequence[str], f: Filter, outs: Sequence[str], settled: bool = True, shard: int | None = None) -> DataFrame:
+    """Causal filter; ``settled`` starts it as if the first reading had always been."""
+    return run_pass(df, keys, _fixed(list(values), [(values, f, outs)], "settled" if settled else "rest"), 1.0, shard)

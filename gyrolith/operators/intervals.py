@@ -15,9 +15,6 @@ from gyrolith.operators.ordered import BLOCK, neighbour
 from gyrolith.operators.shards import with_carry
 from gyrolith.session import durable
 
-#: An interval table below this many bytes (by the optimiser's estimate) may be broadcast.
-BROADCAST_BYTES = 32 << 20
-
 
 def find_intervals(df: DataFrame, keys: Sequence[str], time: str, mask: Column, pad: float, merge: float, least: float) -> DataFrame:
     """(keys..., a, b) of the runs where the mask holds, padded, merged and of a least length.
@@ -107,6 +104,22 @@ def interp_asof(queries: DataFrame, knots: DataFrame, keys: Sequence[str], time:
     return rows.select(*keys, time, *extra, *new)
 
 
+def next_time(rows: DataFrame, times: DataFrame, keys: Sequence[str], at: str, time: str, out: str, shard: float) -> DataFrame:
+    """Add the first of ``times`` at or after a row's ``at`` in its series, null if none follows."""
+    keys = list(keys)
+    a = rows.withColumns({"__at": F.col(at), "__side": F.lit(1)})
+    b = times.select(*keys, F.col(time).alias("__at"), F.lit(0).alias("__side")).dropna()
+    both = a.unionByName(b, allowMissingColumns=True)
+    edge = F.lit(float(1 << 40))  # infinite times go to the outermost shards
+    both = both.withColumn("__sh", F.floor(F.greatest(-edge, F.least(edge, F.col("__at"))) / F.lit(shard)).cast("long")).repartition(*keys, "__sh")
+    known = F.when(F.col("__side") == 0, F.col("__at"))
+    carries = {"__c": lambda w: F.first("__m", True).over(w.rowsBetween(1, Window.unboundedFollowing))}
+    both = with_carry(both, keys, "__sh", {"__m": F.min(known)}, carries)
+    local = Window.partitionBy(*keys, "__sh").orderBy("__at", F.desc("__side")).rowsBetween(0, Window.unboundedFollowing)
+    both = both.withColumn(out, F.coalesce(F.first(known, True).over(local), F.col("__c"))).where("__side = 1")
+    return both.drop("__at", "__side", "__sh", "__c")
+
+
 def edges_to_index(intervals: DataFrame, df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """Per interval the first position at or after a and the last at or before b (i0, i1)."""
     rows = within(df.select(*keys, "pos", F.col(time).alias("__t")), intervals, keys, "__t")

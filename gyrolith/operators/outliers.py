@@ -26,9 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gyrolith.operators.aggregates import exact_medians
 from gyrolith.operators.shards import dense_position, floats, map_group_chunks, with_halo
 from gyrolith.session import durable
 
@@ -137,29 +138,6 @@ def _medians(x: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def exact_medians(df: DataFrame, keys: Sequence[str], values: str) -> DataFrame:
-    """(keys..., median, total) of all values in the arrays ``values`` of each key's rows.
-
-    Counts by bins of about one percent tell which bin holds the middle; only that bin's values are
-    counted one by one, so no task holds a key's values.  Values must be 0 or more; no NaN.
-    """
-    key = list(keys)
-    each = df.select(*key, F.explode(values).alias("v"))
-    bins = each.groupBy(*key, F.floor(F.log2(F.greatest("v", F.lit(1e-300))) * 64).alias("bin"))
-    w = Window.partitionBy(*key)
-    bins = bins.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    bins = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
-    first, second = F.expr("(total - 1) div 2"), F.expr("total div 2")  # ranks of the middle from 0
-    before = F.col("upto") - F.col("n")
-    middle = bins.where((F.col("upto") > first) & (before <= second)).select(*key, "bin", "lo", "hi", before.alias("before"), "total")
-    near = df.select(*key, values).join(middle, key)
-    near = near.select(*key, "bin", "before", "total", F.explode(F.filter(values, lambda v: (v >= F.col("lo")) & (v <= F.col("hi")))).alias("v"))
-    near = near.groupBy(*key, "bin", "before", "total", "v").agg(F.count(F.lit(1)).alias("n"))
-    near = near.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*key, "bin").orderBy("v")))
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
-    return near.groupBy(*key, "total").agg(((at(first) + at(second)) / 2).alias("median"))
-
-
 def judge(df: DataFrame, entity: Sequence[str], pos: str, key: str, rules: Sequence[Rule], impossible: dict[str, Column]) -> DataFrame:
     """Rows (entity..., key, field, reason) of the readings of numbered series that can't be right.
 
@@ -232,7 +210,7 @@ def judge(df: DataFrame, entity: Sequence[str], pos: str, key: str, rules: Seque
     # candidates and block summaries only; read several times below, so it is written once
     told = durable(map_group_chunks(base, [*ent, "__blk"], run, schema))
     usual = told.where("kind = 0").select(*ent, "rule", F.col("a").alias("change"), F.col("b").alias("scatter"), F.col("n").alias("total"))
-    spread_out = exact_medians(told.where("kind >= 4"), [*ent, "rule", "kind"], "values")
+    spread_out = exact_medians(told.where("kind >= 4").select(*ent, "rule", "kind", F.explode("values").alias("v")), [*ent, "rule", "kind"], "v")
     of = lambda kind, x: F.max(F.when(F.col("kind") == kind, F.col(x)))
     usual = usual.unionByName(spread_out.groupBy(*ent, "rule").agg(of(4, "median").alias("change"), of(5, "median").alias("scatter"), of(5, "total").cast("double").alias("total")))
     limits = F.array(*[F.struct(F.lit(r.hampel).alias("hampel"), F.lit(r.lift).alias("lift"), F.lit(r.field).alias("field")) for r in rules])

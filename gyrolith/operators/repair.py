@@ -1,8 +1,9 @@
 """Alignment of a measured rate stream to the sensor's, the patch of noisy bursts by it, the splice.
 
-Work per burst or alignment is numpy inside a grouped chunk: a burst is a stretch of one clip
-(seconds), which bounds it; an alignment takes all cleaned rows of its clip into one task.
-Everything around it is joins and windows over numbered series.
+Work per burst or alignment is numpy inside a grouped chunk.  A burst is a stretch of one clip
+(seconds), which bounds it; an alignment takes the good calibration readings of a series and the
+cleaned rows beside them (``beside``), not the series.  Everything around it is joins, windows and
+passes over numbered series.  ``fs``, the rate of a series, is a column.
 """
 
 from __future__ import annotations
@@ -16,28 +17,20 @@ from pyspark.sql import functions as F
 
 from gyrolith.config import Config
 from gyrolith.functions import quat as Qn
+from gyrolith.functions import rolling
 from gyrolith.functions.design import low_pass
 from gyrolith.operators.aggregates import local_rate
-from gyrolith.operators.detect import ramp_smoothed, window_rows
-from gyrolith.operators.filters import apply_filters, filtfilt
-from gyrolith.operators.intervals import within
-from gyrolith.operators.ordered import number
+from gyrolith.operators.detect import ALPHA_S, window_rows
+from gyrolith.operators.filters import Pass, filtfilt, run_pass
+from gyrolith.operators.intervals import next_time, within
+from gyrolith.operators.ordered import blocked, number, own
 from gyrolith.operators.shards import floats, map_group_chunks
-from gyrolith.operators.windows import gradient, uniform_filter
 from gyrolith.session import durable
 
 FIT_LEAST, FIT_QUALITY, FIT_R2 = 200, 0.5, 0.8
 SCAN_S, SCAN_STEP, ROUNDS = 0.06, 0.002, 3
 
 
-def _mean_filter(x: np.ndarray, size: int) -> np.ndarray:
-    """Rolling mean with repeated edges; an even size leans left."""
-    left, right = size // 2, size - 1 - size // 2
-    padded = np.concatenate([np.repeat(x[:1], left, axis=0), x, np.repeat(x[-1:], right, axis=0)])
-    total = np.cumsum(np.concatenate([np.zeros((1, *padded.shape[1:])), padded]), axis=0)
-    return (total[size:] - total[:-size]) / size
-
-
 def _columns(f, x: np.ndarray) -> np.ndarray:
     return np.stack([filtfilt(f, x[:, k]) for k in range(x.shape[1])], axis=1)
 
@@ -46,15 +39,15 @@ def _at(tq: np.ndarray, t: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.stack([np.interp(tq, t, x[:, k]) for k in range(x.shape[1])], axis=1)
 
 
-def fit_alignment(tv: np.ndarray, optical_deg: np.ndarray, tm: np.ndarray, gyro_deg: np.ndarray, fs: float) -> tuple[float, np.ndarray, float]:
+def fit_alignment(tv: np.ndarray, optical_deg: np.ndarray, tm: np.ndarray, gyro_deg: np.ndarray) -> tuple[float, np.ndarray, float]:
     """Time shift, orthogonal map and R2 that carry the optical rates onto the sensor's.
 
     Three rounds of: map by Procrustes at the present shift, then the shift of best mean
-    correlation on a grid about it.  The optical readings are filtered as one contiguous series.
+    correlation on a grid about it.  The optical readings are filtered as one contiguous series;
+    the sensor's are smoothed already (``smoothed``).
     """
-    smooth = _mean_filter(gyro_deg, max(1, int(fs / 100)))
     f = low_pass(2, 5.0 / 50.0)
-    seen = lambda shift: _columns(f, _at(tv + shift, tm, smooth))
+    seen = lambda shift: _columns(f, _at(tv + shift, tm, gyro_deg))
     mine = _columns(f, optical_deg)
     shift, n = 0.0, np.zeros((3, 3))
     for _ in range(ROUNDS):
@@ -82,14 +75,39 @@ def _side_by_side(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Dat
     return left.withColumn("__side", F.lit(0)).unionByName(right.withColumn("__side", F.lit(1)), allowMissingColumns=True)
 
 
-def video_alignment(optical: DataFrame, gyro: DataFrame, keys: Sequence[str], fs: float, time: str = "t", rate: Sequence[str] = ("ox", "oy", "oz"), gyro_time: str = "tm", gyro_rate: Sequence[str] = ("cx", "cy", "cz")) -> DataFrame:
-    """(keys..., shift, n, r2, status) per series; both rates in rad/s.
+def smoothed(gyro: DataFrame, keys: Sequence[str], rate: Sequence[str], outs: Sequence[str]) -> DataFrame:
+    """Rates averaged over a hundredth of a second (at least one reading)."""
+    size = lambda fs: max(1, int(fs / 100)) if np.isfinite(fs) else 1
+    step = Pass(rate, outs, lambda fs: [], finish=lambda given, x, y, fs: [rolling.mean(c, size(fs)) for c in x], after_rows=2, after_s=0.005)
+    return run_pass(gyro, keys, step)
+
+
+def beside(gyro: DataFrame, optical: DataFrame, keys: Sequence[str], time: str, optical_time: str, span: float) -> DataFrame:
+    """Rows of a numbered series that interpolation within ``span`` of the optical times can ask for.
+
+    A row is kept if some optical time lies between the rows on both its sides, ``span`` added.
+    """
+    rows, w = blocked(gyro, keys, 1)
+    rows = own(rows.withColumns({"__a": F.lag(time).over(w) - span, "__z": F.lead(time).over(w) + span}))
+    far = F.lit(float("inf"))
+    rows = rows.withColumns({"__a": F.coalesce("__a", F.col(time) - span), "__z": F.coalesce("__z", far)})
+    # the first and last row stand for all times beyond them
+    rows = rows.withColumn("__a", F.when(F.col("pos") == 0, -far).otherwise(F.col("__a")))
+    rows = next_time(rows, optical.select(*keys, F.col(optical_time).alias("__t")), keys, "__a", "__t", "__next", 16.0)
+    return rows.where(F.col("__next") <= F.col("__z")).drop("__a", "__z", "__next")
+
+
+def video_alignment(optical: DataFrame, gyro: DataFrame, keys: Sequence[str], time: str = "t", rate: Sequence[str] = ("ox", "oy", "oz"), gyro_time: str = "tm", gyro_rate: Sequence[str] = ("cx", "cy", "cz")) -> DataFrame:
+    """(keys..., shift, n, r2, status) per series; both rates in rad/s, gyro numbered and with ``fs``.
 
     status: 'ok', 'few' (under 200 good readings; the rest null) or 'poor' (R2 below 0.8 or none).
     """
     keys = list(keys)
     left = optical.where(F.col("quality") > FIT_QUALITY).select(*keys, F.col(time).alias("t"), *[F.col(r).alias(f"v{k}") for k, r in enumerate(rate)]).dropna()
-    right = gyro.select(*keys, F.col(gyro_time).alias("t"), *[F.col(r).alias(f"v{k}") for k, r in enumerate(gyro_rate)]).dropna()
+    outs = [f"__v{k}" for k in range(3)]
+    right = gyro.select(*keys, "pos", "n", "fs", F.col(gyro_time).alias("t"), *gyro_rate).dropna()
+    right = beside(smoothed(right, keys, gyro_rate, outs), left, keys, "t", "t", ROUNDS * SCAN_S + 0.01)
+    right = right.select(*keys, "t", *[F.col(o).alias(f"v{k}") for k, o in enumerate(outs)])
     rows = _side_by_side(left, right, keys)
     types = dict(rows.dtypes)
 
@@ -104,7 +122,7 @@ def video_alignment(optical: DataFrame, gyro: DataFrame, keys: Sequence[str], fs
             if len(o) < FIT_LEAST or len(g) < 2:
                 res.append((None, None, None, "few"))
                 continue
-            shift, n, r2 = fit_alignment(t[o], v[o], t[g], v[g], fs)
+            shift, n, r2 = fit_alignment(t[o], v[o], t[g], v[g])
             res.append((shift, n.tolist(), r2, "ok" if r2 >= FIT_R2 else "poor"))
         out = tab.select(keys).take(pa.array(heads))
         kinds = (pa.float64(), pa.list_(pa.list_(pa.float64())), pa.float64(), pa.string())
@@ -116,7 +134,34 @@ def video_alignment(optical: DataFrame, gyro: DataFrame, keys: Sequence[str], fs
     return map_group_chunks(rows, keys, run, schema)
 
 
-def optical_patch(diag: DataFrame, optical: DataFrame, align: DataFrame, noisy: DataFrame, keys: Sequence[str], fs: float, cfg: Config = Config(), time: str = "tm", fps: float | None = None, longest: int | None = None) -> DataFrame:
+def _measured_motion(cfg: Config) -> Pass:
+    """Of the light rates: the hand-back band (``__m*``), its rate of turn (``__rate``) and the ramp of the patch (``__alpha``)."""
+
+    def jobs(fs: float) -> list | None:
+        cut = cfg.handback_cutoff or cfg.optical_cutoff
+        if not np.isfinite(fs) or fs <= 2 * max(cut, cfg.fast_wide_cutoff):
+            return None
+        out = [(low_pass(2, cut / (fs / 2)), [0, 1, 2], "both")]
+        return out + ([(low_pass(2, cfg.fast_wide_cutoff / (fs / 2)), [0, 1, 2], "both")] if cfg.fast_wide_cutoff else [])
+
+    def finish(given: list[np.ndarray], x: list[np.ndarray], y: list[np.ndarray], fs: float) -> list[np.ndarray]:
+        medium = np.stack(y[:3], axis=1)
+        rate = rolling.mean(np.linalg.norm(medium, axis=1), window_rows(0.1, fs))
+        if cfg.fast_wide_cutoff:
+            weight = rolling.ramp(rate, *cfg.fast_wide_ramp)
+            if cfg.fast_wide_accel:
+                weight = weight * np.clip(1 - rolling.mean(np.abs(rolling.gradient(rate) * fs), window_rows(0.1, fs)) / cfg.fast_wide_accel, 0, 1)
+            weight = rolling.mean(weight, window_rows(0.15, fs))[:, None]
+            medium = medium * (1 - weight) + np.stack(y[3:], axis=1) * weight
+        alpha = given[4]
+        if cfg.optical_noise:
+            alpha = rolling.mean(rolling.ramp(given[3], *cfg.optical_noise), window_rows(ALPHA_S, fs))
+        return [*medium.T, rate, alpha]
+
+    return Pass(["light_x", "light_y", "light_z", "noise", "alpha"], ["__mx", "__my", "__mz", "__rate", "__alpha"], jobs, finish=finish, after_rows=16, after_s=0.3)
+
+
+def optical_patch(diag: DataFrame, optical: DataFrame, align: DataFrame, noisy: DataFrame, keys: Sequence[str], cfg: Config = Config(), time: str = "tm", fps: float | None = None) -> DataFrame:
     """Cleaned rates with the noisy bursts replaced by measured motion: adds rx, ry, rz (rad/s).
 
     diag: a cleaned numbered series (``adaptive_clean``); optical: t, ox, oy, oz, quality of the
@@ -125,28 +170,8 @@ def optical_patch(diag: DataFrame, optical: DataFrame, align: DataFrame, noisy:
     """
     keys = list(keys)
     axes = ("x", "y", "z")
-    light = [f"light_{a}" for a in axes]
     medium = [f"__m{a}" for a in axes]
-    wide = [f"__w{a}" for a in axes]
-    jobs = [(light, low_pass(2, (cfg.handback_cutoff or cfg.optical_cutoff) / (fs / 2)), medium)]
-    if cfg.fast_wide_cutoff:
-        jobs.append((light, low_pass(2, cfg.fast_wide_cutoff / (fs / 2)), wide))
-    rows = apply_filters(diag, keys, jobs, longest)
-    rows = rows.withColumn("__mag", Qn.magnitude([F.col(m) for m in medium]))
-    rows = uniform_filter(rows, keys, ["__mag"], window_rows(0.1, fs), ["__rate"])
-    if cfg.fast_wide_cutoff:
-        lo, hi = cfg.fast_wide_ramp
-        weight = Qn.ramp(F.col("__rate"), lo, max(hi, lo + 1e-6))
-        if cfg.fast_wide_accel:
-            rows = gradient(rows, keys, "__rate", "__g").withColumn("__g", F.abs(F.col("__g") * fs))
-            rows = uniform_filter(rows, keys, ["__g"], window_rows(0.1, fs), ["__acc"])
-            weight = weight * Qn.ramp(1 - F.col("__acc") / cfg.fast_wide_accel, 0.0, 1.0)
-        rows = uniform_filter(rows.withColumn("__ww", weight), keys, ["__ww"], window_rows(0.15, fs), ["__wide"])
-        rows = rows.withColumns(dict(zip(medium, Qn.blend([F.col(m) for m in medium], [F.col(w) for w in wide], F.col("__wide")))))
-    if cfg.optical_noise:
-        rows = ramp_smoothed(rows, keys, "noise", *cfg.optical_noise, fs, 0.2, "__alpha")
-    else:
-        rows = rows.withColumn("__alpha", F.col("alpha"))
+    rows = run_pass(diag, keys, _measured_motion(cfg))
     rows = durable(rows)
     turned = optical.join(align.where("status = 'ok'").select(*keys, "shift", "n"), keys)
     deg = Qn.times_matrix(tuple(F.degrees(c) for c in ("ox", "oy", "oz")), F.col("n"))
@@ -157,12 +182,11 @@ def optical_patch(diag: DataFrame, optical: DataFrame, align: DataFrame, noisy:
     else:
         turned = turned.withColumn("fps", F.lit(float(fps)))
     bursts = noisy.select(*keys, "a", "b")
-    inside = within(rows.select(*keys, "pos", F.col(time).alias("t"), *medium, "__rate", "noise", *[f"strong_{a}" for a in axes]), bursts, keys, "t")
+    inside = within(rows.select(*keys, "pos", F.col(time).alias("t"), *medium, "__rate", "noise", "fs", *[f"strong_{a}" for a in axes]), bursts, keys, "t")
     seen = within(turned, bursts, keys, "t", widen=0.3)
     both = _side_by_side(inside, seen, keys)
     part = [*keys, "a", "b"]
     types = dict(both.dtypes)
-    f_anchor = low_pass(2, cfg.anchor_cutoff / (fs / 2))
 
     def run(tab: pa.Table, group: np.ndarray) -> pa.Table | None:
         t, side = floats(tab, "t"), tab.column("__side").to_numpy()
@@ -174,6 +198,7 @@ def optical_patch(diag: DataFrame, optical: DataFrame, align: DataFrame, noisy:
             quality = floats(tab, "quality")[o]
             if len(o) < 30 or not len(g) or (quality < 0.3).mean() > 0.3:
                 continue
+            fs = float(floats(tab, "fs")[g[0]])
             v = get([f"p{a}" for a in axes], o)
             bad = quality < 0.3
             if bad.any():
@@ -182,16 +207,16 @@ def optical_patch(diag: DataFrame, optical: DataFrame, align: DataFrame, noisy:
             v = _columns(low_pass(2, min(cfg.optical_cutoff, 0.45 * rate) / (rate / 2)), v)
             video = _at(t[g], t[o], v)
             gyro_rate = floats(tab, "__rate")[g]
-            video_rate = _mean_filter(np.linalg.norm(video, axis=1), window_rows(0.1, fs))
+            video_rate = rolling.mean(np.linalg.norm(video, axis=1), window_rows(0.1, fs))
             lo_r, hi_r = cfg.fast_handback
             lo_n, hi_n = cfg.gyro_trust_noise
-            ramp = lambda x, lo, hi: np.clip((x - lo) / max(hi - lo, 1e-6), 0, 1)
-            trust = 1 - ramp(floats(tab, "noise")[g].max(), lo_n, hi_n)
-            wf = trust * ramp(gyro_rate, lo_r, hi_r) + (1 - trust) * ramp(np.minimum(gyro_rate, video_rate), lo_r, hi_r)
-            wf = _mean_filter(wf, window_rows(0.15, fs))[:, None]
+            trust = 1 - rolling.ramp(floats(tab, "noise")[g].max(), lo_n, hi_n)
+            wf = trust * rolling.ramp(gyro_rate, lo_r, hi_r) + (1 - trust) * rolling.ramp(np.minimum(gyro_rate, video_rate), lo_r, hi_r)
+            wf = rolling.mean(wf, window_rows(0.15, fs))[:, None]
             if cfg.anchor_mode:
                 base = get([f"strong_{a}" for a in axes], g)
                 corr = video - base
+                f_anchor = low_pass(2, cfg.anchor_cutoff / (fs / 2))
                 if len(g) > 3 * max(len(f_anchor.a), len(f_anchor.b)) * 10:
                     corr = np.stack([filtfilt(f_anchor, corr[:, k], min(len(g) - 1, int(2 * fs))) for k in range(3)], axis=1)
                 out = base + (1 - wf) * corr

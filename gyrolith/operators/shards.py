@@ -35,6 +35,19 @@ def place(df: DataFrame, entity: Sequence[str], shard: str) -> DataFrame:
     return df.where(known).repartition(*entity, shard)
 
 
+def shard_summary(df: DataFrame, entity: Sequence[str], shard: str, aggs: dict[str, Column], tie: Sequence[str] = ()) -> DataFrame:
+    """One row a shard.  ``tie``: the columns that left the shuffle (``place``), if all are used later on.
+
+    The summary then reads them all: a column read nowhere would be pruned from one of two shuffles
+    of the same rows, which so stay one.
+    """
+    told = [c.alias(n) for n, c in aggs.items()]
+    if not tie:
+        return df.groupBy(*entity, shard).agg(*told)
+    summary = df.groupBy(*entity, shard).agg(*told, F.bit_xor(F.xxhash64(*tie)).alias("__all"))
+    return summary.where(F.col("__all").isNotNull()).drop("__all")
+
+
 def with_carry(
     df: DataFrame, entity: Sequence[str], shard: str, aggs: dict[str, Column], carries: dict[str, Callable[[Window], Column]], base: DataFrame | None = None
 ) -> DataFrame:
@@ -42,18 +55,11 @@ def with_carry(
 
     aggs: what a shard tells of itself; carries: columns over the window of an entity's shards in
     order (``w``), computed from those.  The joined side has one row a shard.
-    Keys must not be null.
-
-    base: the same rows as they left the shuffle on (entity, shard), if all of its columns are used
-    later on.  The summary then reads every column of it too, so that one shuffle serves both.
+    Keys must not be null.  base: the rows as they left ``place``, if all of its columns are used
+    later on; one shuffle then serves both.
     """
     w = Window.partitionBy(*entity).orderBy(shard)
-    told = [c.alias(n) for n, c in aggs.items()]
-    if base is None:
-        summary = df.groupBy(*entity, shard).agg(*told)
-    else:
-        # a column read nowhere would be pruned from one of the two shuffles, which then differ
-        summary = base.groupBy(*entity, shard).agg(*told, F.bit_xor(F.xxhash64(*base.columns)).alias("__all")).where(F.col("__all").isNotNull())
+    summary = shard_summary(df, entity, shard, aggs) if base is None else shard_summary(base, entity, shard, aggs, base.columns)
     summary = summary.select(*entity, shard, *[f(w).alias(n) for n, f in carries.items()])
     # every shard has its row; an inner join asks the same of both sides, so their shuffles stay alike
     return df.join(summary, [*entity, shard], "left" if base is None else "inner")

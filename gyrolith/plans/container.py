@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gyrolith.functions import quat as Qn
 from gyrolith.operators import windows as W
 from gyrolith.operators.ordered import number
+from gyrolith.operators.shards import place, shard_summary
 from gyrolith.session import durable
 
 FILE = ["path"]
@@ -41,14 +42,48 @@ def slots(samples: DataFrame, sensor_fps: float = 100.0) -> DataFrame:
 
 def extract(stream: DataFrame, keys: Sequence[str], time: Column, order: Sequence[str], shard_s: float = 16.0) -> DataFrame:
     """The orientation series of a stream: sorted by time (ties in order), runs of equal values as
-    one, signs continuous, unit length; adds t (s), pos, n.  Columns w, x, y, z."""
-    keys = list(keys)
-    rows = stream.withColumn("t", time)
-    rows = number(rows, keys, ["t", *order], F.floor(F.col("t") / F.lit(shard_s)).cast("long"), keep=True)
-    rows = W.consecutive_dedupe(rows, keys, ["w", "x", "y", "z"])
-    rows = number(rows.withColumn("__p", F.col("pos")).drop("pos", "n"), keys, ["__p"], F.floor(F.col("__p") / W.SHARD).cast("long"), keep=True)
-    rows = W.hemisphere(rows, keys, ["w", "x", "y", "z"]).drop("__p")
-    return rows.withColumns(dict(zip("wxyz", Qn.normalise(Qn.q_of()))))
+    one, signs continuous, unit length; adds t (s), pos, n.  Columns w, x, y, z.
+
+    Rows of equal time and order are copies of one record and count once.  One shuffle to time
+    shards does all of it: a row is kept or turned by the row before it, a shard's first row by the
+    last of the shard before, and kept rows and turns are counted over one row a shard.
+    """
+    keys, q = list(keys), ("w", "x", "y", "z")
+    base = place(stream.withColumn("t", time).withColumn("__sh", F.floor(F.col("t") / F.lit(shard_s)).cast("long")), keys, "__sh")
+    w = Window.partitionBy(*keys, "__sh").orderBy("t", *order, *q)
+    state, by = F.struct(*q), F.struct("t", *order, *q)
+
+    def told(now: Sequence[Column], before: str) -> tuple[Column, Column]:
+        """1 where a row differs from the one before, and where it points away from it."""
+        past = [F.col(before).getField(c) for c in q]
+        differs = F.lit(False)
+        for c, p in zip(now, past):
+            differs = differs | ~c.eqNullSafe(p)
+        return differs.cast("long"), F.coalesce(Qn.dot(now, past) < 0, F.lit(False)).cast("long")
+
+    rows = base.withColumn("__p", F.lag(F.struct("t", *order, *q)).over(w))
+    same = F.lit(True)
+    for c in ("t", *order):
+        same = same & F.col(c).eqNullSafe(F.col("__p").getField(c))
+    rows = rows.where(F.col("__p").isNull() | ~same)
+    new, turn = told([F.col(c) for c in q], "__p")
+    inner = F.col("__p").isNotNull()
+    rows = rows.withColumns({"__new": F.when(inner, new), "__turn": F.when(inner, turn)}).drop("__p")
+    shards = shard_summary(rows, keys, "__sh", {"__f": F.min_by(state, by), "__l": F.max_by(state, by), "__a": F.sum("__new"), "__b": F.sum("__turn")}, base.columns)
+    ws = Window.partitionBy(*keys).orderBy("__sh")
+    shards = shards.withColumn("__p", F.lag("__l").over(ws))
+    new, turn = told([F.col("__f").getField(c) for c in q], "__p")
+    none = F.col("__p").isNull()
+    shards = shards.withColumns({"__fn": F.when(none, 1).otherwise(new), "__ft": F.when(none, 0).otherwise(turn)})
+    shards = shards.withColumns({"__a": F.coalesce("__a", F.lit(0)) + F.col("__fn"), "__b": F.coalesce("__b", F.lit(0)) + F.col("__ft")})
+    past = lambda c: F.coalesce(F.sum(c).over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = shards.select(*keys, "__sh", "__fn", "__ft", past("__a").alias("__kept"), past("__b").alias("__turns"), F.sum("__a").over(Window.partitionBy(*keys)).alias("n"))
+    rows = rows.join(shards, [*keys, "__sh"])
+    rows = rows.withColumns({"__new": F.coalesce("__new", "__fn"), "__turn": F.coalesce("__turn", "__ft")})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"pos": F.col("__kept") + F.sum("__new").over(upto) - 1, "__odd": (F.col("__turns") + F.sum("__turn").over(upto)) % 2 == 1}).where("__new = 1")
+    unit = Qn.normalise([F.when(F.col("__odd"), -F.col(c)).otherwise(F.col(c)) for c in q])
+    return rows.withColumns(dict(zip(q, unit))).drop("__sh", "__new", "__turn", "__fn", "__ft", "__kept", "__turns", "__odd")
 
 
 def compare_positions(left: DataFrame, right: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str]) -> DataFrame:

@@ -1,20 +1,22 @@
 """The repair chain from orientation stream and measured motion to a repaired orientation.
 
-Every series gets a status row instead of failing the job: 'short', 'healthy', 'few' or 'poor'
-(no usable alignment), 'unmeasured' (no motion measured in its bursts), 'repaired'.
+Every series gets a status row instead of failing the job: 'short', 'no rate' (all its times equal),
+'slow' (its rate is too low for the noise band), 'healthy', 'few' or 'poor' (no usable alignment),
+'unmeasured' (no motion measured in its bursts), 'repaired'.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyrolith.config import Config
 from gyrolith.operators import windows as W
-from gyrolith.operators.detect import adaptive_clean, noisy_intervals, quiet_intervals, ramp_smoothed, severe_intervals
+from gyrolith.operators.aggregates import sample_rate
+from gyrolith.operators.detect import adaptive_clean, noisy_intervals, optical_alpha, quiet_intervals, severe_intervals
 from gyrolith.operators.intervals import calibration_intervals, in_any
 from gyrolith.operators.repair import optical_patch, splice_orientation, video_alignment
 from gyrolith.plans.container import extract
@@ -23,29 +25,20 @@ from gyrolith.session import durable
 LEAST_SAMPLES = 100
 
 
-def scaled(cfg: Config, fs: float, at: float = 1000.0) -> Config:
-    """The profile for another sample rate: bands and cutoffs keep their share of the rate."""
-    k = fs / at
-    return replace(
-        cfg, noise_band=tuple(f * k for f in cfg.noise_band), light_cutoff=cfg.light_cutoff * k, strong_cutoff=cfg.strong_cutoff * k,
-        optical_cutoff=min(cfg.optical_cutoff, 0.4 * fs), noise_window_ms=cfg.noise_window_ms,
-    )
-
-
 def orientation_of(telemetry: DataFrame, keys: Sequence[str], time: str, order: str) -> DataFrame:
     """Usable records, once each, as an orientation series."""
     keys = list(keys)
     size = F.greatest(*[F.abs(F.col(c)) for c in "wxyz"])
     rows = telemetry.select(*keys, order, time, *"wxyz").dropna()
     rows = rows.where(~F.isnan(time) & ~F.isnan(F.col("w") + F.col("x") + F.col("y") + F.col("z")) & (size > 0))
-    return extract(rows.dropDuplicates([*keys, order]).withColumnRenamed(time, "__t"), keys, F.col("__t"), [order]).drop("__t")
+    return extract(rows.withColumnRenamed(time, "__t"), keys, F.col("__t"), [order]).drop("__t")
 
 
-def clean(series: DataFrame, keys: Sequence[str], fs: float, cfg: Config) -> DataFrame:
-    """Rates of an orientation series (written, so its length is cheap to ask), cleaned and diagnosed."""
-    longest = series.agg(F.max("n")).first()[0] or 0
-    rates = W.rates(series, keys, "t", ["w", "x", "y", "z"])
-    return adaptive_clean(rates.select(*keys, "pos", "n", "tm", "wx", "wy", "wz"), keys, fs, cfg, longest=longest)
+def clean(series: DataFrame, keys: Sequence[str], cfg: Config = Config()) -> DataFrame:
+    """Rates of a written orientation series, cleaned and diagnosed; adds each series' own rate ``fs``."""
+    fs = sample_rate(series, keys, "t")
+    rates = W.rates(series, keys, "t", ["w", "x", "y", "z"]).select(*keys, "pos", "n", "tm", "wx", "wy", "wz")
+    return adaptive_clean(rates.join(fs, list(keys), "left"), keys, cfg)
 
 
 @dataclass
@@ -59,43 +52,46 @@ class Repair:
     status: DataFrame
 
 
-def repair(telemetry: DataFrame, optical: DataFrame, keys: Sequence[str], fs: float, cfg: Config = Config(), time: str = "t", order: str = "idx", pick: bool = False, extracted: bool = False) -> Repair:
-    """telemetry: time (s), order, w, x, y, z, or (``extracted``) a written orientation series; optical: kind ('calib' | 'noisy'), t, ox, oy, oz, quality.
+def repair(telemetry: DataFrame, optical: DataFrame, keys: Sequence[str], cfg: Config = Config(), time: str = "t", order: str = "idx", pick: bool = False) -> Repair:
+    """telemetry: time (s), order, w, x, y, z; optical: kind ('calib' | 'noisy'), t, ox, oy, oz, quality.
 
     ``pick`` keeps only calibration readings inside the calibration intervals found here (for a
     stream measured everywhere); otherwise the stream's own kinds decide.
     The severe gate comes first: healthy series are semi-joined away before any optical work.
     """
     keys = list(keys)
-    series = telemetry if extracted else durable(orientation_of(telemetry, keys, time, order))
-    sizes = series.groupBy(*keys).agg(F.max("n").alias("samples"))
-    diag = durable(clean(series.where(F.col("n") >= LEAST_SAMPLES), keys, fs, cfg))
+    series = durable(orientation_of(telemetry, keys, time, order))
+    diag = durable(clean(series, keys, cfg))
+    able = F.max(F.col("noise").isNotNull()).alias("able")
+    sizes = series.groupBy(*keys).agg(F.max("n").alias("samples")).join(diag.groupBy(*keys).agg(F.max("fs").alias("fs"), able), keys, "left")
+    diag = diag.where((F.col("n") >= LEAST_SAMPLES - 1) & F.col("noise").isNotNull())
     severe = durable(severe_intervals(diag, keys, "tm", cfg))
     ill = severe.select(*keys).distinct()
     work = diag.join(ill, keys, "left_semi")
     alpha = "alpha"
     if cfg.optical_noise:
-        work, alpha = ramp_smoothed(work, keys, "noise", *cfg.optical_noise, fs, 0.2, "alpha_opt"), "alpha_opt"
+        work, alpha = optical_alpha(work, keys, cfg), "alpha_opt"
     noisy = durable(noisy_intervals(work, keys, "tm", cfg, alpha))
     seen = optical.where(F.col("t").isNotNull() & F.col("quality").isNotNull()).join(ill, keys, "left_semi")
     calib = seen.where("kind = 'calib'")
     if pick:
         motion = work.withColumn("__m", F.sqrt(F.col("light_x") ** 2 + F.col("light_y") ** 2 + F.col("light_z") ** 2))
         calib = in_any(seen, calibration_intervals(quiet_intervals(work, keys, "tm"), motion, keys, "tm", "__m"), keys, "t")
-    fit = durable(video_alignment(calib, work, keys, fs))
+    fit = durable(video_alignment(calib, work, keys))
     measured = seen.where("kind = 'noisy'")
-    longest = diag.agg(F.max("n")).first()[0] or 0
-    patched = durable(optical_patch(work, measured, fit, noisy, keys, fs, cfg, longest=longest))
+    patched = durable(optical_patch(work, measured, fit, noisy, keys, cfg))
     good = fit.where("status = 'ok'").join(measured.select(*keys).distinct(), keys, "left_semi")
     orientation, bursts = splice_orientation(series, patched.join(good.select(*keys), keys, "left_semi"), severe.join(good.select(*keys), keys, "left_semi"), keys, cfg)
     status = sizes.join(ill.withColumn("__ill", F.lit(True)), keys, "left").join(fit.select(*keys, F.col("status").alias("__fit"), "r2"), keys, "left")
     status = status.join(good.select(*keys, F.lit(True).alias("__ok")), keys, "left")
     verdict = (
         F.when(F.col("samples") < LEAST_SAMPLES, "short")
+        .when(F.col("fs").isNull(), "no rate")
+        .when(~F.col("able"), "slow")
         .when(F.col("__ill").isNull(), "healthy")
         .when(F.col("__fit").isNull(), "few")
         .when(F.col("__fit") != "ok", F.col("__fit"))
         .when(F.col("__ok").isNull(), "unmeasured")
         .otherwise("repaired")
     )
-    return Repair(series, diag, severe, fit, orientation, bursts, status.select(*keys, "samples", "r2", verdict.alias("status")))
+    return Repair(series, diag, severe, fit, orientation, bursts, status.select(*keys, "samples", "fs", "r2", verdict.alias("status")))

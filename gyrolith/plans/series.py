@@ -17,11 +17,11 @@ from gyrolith.operators import aggregates as A
 from gyrolith.operators import intervals as I
 from gyrolith.operators import windows as W
 from gyrolith.operators import metrics as M
-from gyrolith.operators.detect import by_rate, noise_envelope, ramp_smoothed, severe_intervals
+from gyrolith.operators.detect import noise_envelope, ramp_smoothed, severe_intervals
 from gyrolith.operators.filters import apply_filtfilt, apply_lfilter
 from gyrolith.operators.ordered import blocked, number, own
 from gyrolith.plans.container import compare_positions
-from gyrolith.plans.pipeline import clean, orientation_of, repair, scaled
+from gyrolith.plans.pipeline import clean, orientation_of, repair
 from gyrolith.session import durable, table
 from gyrolith.sources.gcsv import rate_lines
 from gyrolith.sources.lens import lens_columns
@@ -577,29 +577,6 @@ def fast_events(s, d):
     return rounded(x.select("user_id", F.col("rank").cast("int").alias("rank"), "t", "value"), "t", "value")
 
 
-MOST_RATES = 64
-
-
-def _rates(s, d) -> DataFrame:
-    """Rows of clip_meta with a usable nominal rate."""
-    hz = F.col("nominal_hz")
-    return table(s, d, "clip_meta").where((hz > 0) & ~F.isnan(hz) & (hz != float("inf")))
-
-
-def _nominal(s, d) -> list[float]:
-    """The nominal rates there are: a handful, by the tables' definition; more are an error."""
-    rates = sorted(r[0] for r in _rates(s, d).select("nominal_hz").distinct().limit(MOST_RATES + 1).collect())
-    if len(rates) > MOST_RATES:
-        raise ValueError(f"clip_meta has more than {MOST_RATES} nominal rates; each takes a plan of its own")
-    return rates
-
-
-def _clips(s, d) -> DataFrame:
-    """Orientation series of all clips with their nominal rate ``hz`` (null if none is known), written once."""
-    rate = _rates(s, d).groupBy("series_id", "clip_no").agg(F.max("nominal_hz").alias("hz"))
-    return durable(orientation_of(table(s, d, "telemetry"), CLIP, "t", "idx").join(rate, CLIP, "left"))
-
-
 def telemetry_extract(s, d):
     """Orientation series of every clip: sorted, deduplicated, signs continuous, unit length."""
     x = orientation_of(table(s, d, "telemetry"), CLIP, "t", "idx")
@@ -616,10 +593,9 @@ select series_id, clip_no, idx, pos, {_r('t t', 'w*sg w', 'x*sg x', 'y*sg y', 'z
 
 
 def clean_telemetry(s, d):
-    """Cleaned rates of every clip of a known nominal rate, with that rate's filters."""
-    step = lambda df, fs: clean(df, CLIP, fs, scaled(Config(), fs))
-    x = by_rate(_clips(s, d), "hz", _nominal(s, d), step)
-    return rounded(x.select(*CLIP, "pos", "tm", "cx", "cy", "cz", "noise", "alpha", "spike_frac"), "tm", "cx", "cy", "cz", "noise", "alpha", "spike_frac")
+    """Cleaned rates of every clip, by the filters of its own rate; null where that is too low for them."""
+    x = clean(durable(orientation_of(table(s, d, "telemetry"), CLIP, "t", "idx")), CLIP)
+    return rounded(x.select(*CLIP, "pos", "fs", "tm", "cx", "cy", "cz", "noise", "alpha", "spike_frac"), "fs", "tm", "cx", "cy", "cz", "noise", "alpha", "spike_frac")
 
 
 def severe_bursts(s, d):
@@ -634,26 +610,19 @@ e as (select *, row_number() over (partition by user_id order by t, idx) - 1 pos
 select split_part(user_id, '/', 1) as series_id, cast(split_part(user_id, '/', 2) as bigint) as clip_no, {_r('a a', 'b b')} from ivl"""
 
 
-def _repaired(s, d, part: str, columns: list[str], *digits: str) -> DataFrame:
-    """One part of ``repair`` for all clips of known rate; the status part names the others 'no rate'."""
+def _repaired(s, d):
     optical = table(s, d, "optical_rates").dropDuplicates([*CLIP, "idx"])
-    clips = _clips(s, d)
-    step = lambda df, fs: getattr(repair(df.drop("hz"), optical, CLIP, fs, scaled(Config(), fs), extracted=True), part).select(*CLIP, *columns)
-    rates = _nominal(s, d)
-    if part != "status":
-        return rounded(by_rate(clips, "hz", rates, step), *digits)
-    out = clips.where("hz is null").groupBy(*CLIP).agg(F.max("n").alias("samples"), F.lit(None).cast("double").alias("r2"), F.lit("no rate").alias("status"))
-    return rounded(out.unionByName(by_rate(clips, "hz", rates, step)) if rates else out, *digits)
+    return repair(table(s, d, "telemetry"), optical, CLIP)
 
 
 def repair_status(s, d):
     """What the repair chain makes of every clip."""
-    return _repaired(s, d, "status", ["samples", "r2", "status"], "r2")
+    return rounded(_repaired(s, d).status.select(*CLIP, "samples", "fs", "r2", "status"), "fs", "r2")
 
 
 def repaired_bursts(s, d):
     """Drift closed in each repaired burst."""
-    return _repaired(s, d, "bursts", ["a", "b", "drift_deg"], "a", "b", "drift_deg")
+    return rounded(_repaired(s, d).bursts.select(*CLIP, "a", "b", "drift_deg"), "a", "b", "drift_deg")
 
 
 def _track(s, d) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,22 +37,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; only where none is configured (tests) a local one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the cluster's checkpoint folder.
+
+    Only a session that runs in one process (``local[n]``) may do without one: then it is a folder of
+    this machine.  Anywhere else each executor would write to a disk of its own, so that is an error.
+    """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    path = configured or os.path.join(tempfile.gettempdir(), "gyrolith-checkpoint")
-    sc.setCheckpointDir(path)
-    return path
+    if configured:
+        return configured
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "gyrolith-shared")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so that losing an executor loses nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate table to the shared folder and go on from it.
+
+    That cuts the lineage: losing an executor loses nothing, and what reads the table several times
+    reads its columns, not its plan.  The tables of a session are removed when it ends (``clear``).
+    """
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        _WRITTEN[app] = f"{shared_folder(spark).rstrip('/')}/gyrolith-{app}"
+        atexit.register(clear, spark)
+    path = f"{_WRITTEN[app]}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: dict[str, str] = {}
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the intermediate tables of a session; results not yet read must be written before."""
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return
+    path = _WRITTEN.pop(sc.applicationId, None)
+    if path:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 _SHIPPED: set[str] = set()

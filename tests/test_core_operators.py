@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gyrolith.functions.design import band_pass, low_pass, steady
-from gyrolith.operators import filters, grid, intervals, ordered, outliers, periods, shards
+from gyrolith.operators import aggregates, detect, filters, grid, intervals, ordered, outliers, periods, shards
 from gyrolith.operators import windows as W
 
 
@@ -48,19 +48,60 @@ def series(spark, n=500, keys=("a", "b"), seed=0):
     return spark.createDataFrame(pdf.sample(frac=1, random_state=1)), pdf
 
 
-def test_sharded_filter_equals_whole(spark, monkeypatch):
+def test_sharded_filter_equals_whole(spark):
     df, pdf = series(spark)
     df = df.withColumn("pos", F.col("i"))
     f = band_pass(2, 0.06, 0.36)
-    whole = filters.apply_filtfilt(df, ["g"], ["v"], f, ["y"]).toPandas().sort_values(["g", "pos"])
-    monkeypatch.setattr(filters, "WHOLE", 100)
-    monkeypatch.setattr(filters, "SHARD", 64)
-    spread = filters.apply_filtfilt(df, ["g"], ["v"], f, ["y"]).toPandas().sort_values(["g", "pos"])
-    assert len(spread) == len(pdf)
-    assert np.abs(whole.y.to_numpy() - spread.y.to_numpy()).max() < 1e-9
-    causal = filters.apply_lfilter(df, ["g"], ["v"], f, ["y"]).toPandas().sort_values(["g", "pos"])
-    one = pdf[pdf.g == "a"].v.to_numpy()
-    assert np.abs(causal[causal.g == "a"].y.to_numpy() - plain_lfilter(f, one, steady(f) * one[0])[0]).max() < 1e-9
+    whole = {g: filters.filtfilt(f, p.sort_values("i").v.to_numpy()) for g, p in pdf.groupby("g")}
+    for shard in (64, 100, 1 << 14):
+        got = filters.apply_filtfilt(df, ["g"], ["v"], f, ["y"], shard).toPandas().sort_values(["g", "pos"])
+        assert len(got) == len(pdf)
+        for g, p in got.groupby("g"):
+            assert np.abs(p.y.to_numpy() - whole[g]).max() < 1e-9
+        causal = filters.apply_lfilter(df, ["g"], ["v"], f, ["y"], shard=shard).toPandas().sort_values(["g", "pos"])
+        one = pdf[pdf.g == "a"].v.to_numpy()
+        assert np.abs(causal[causal.g == "a"].y.to_numpy() - plain_lfilter(f, one, steady(f) * one[0])[0]).max() < 1e-9
+
+
+def plain_clean(t, w, fs, cfg):
+    """Cleaning of a whole series by plain loops over readings, as its definition says."""
+    roll = lambda x, k, f: np.array([f([x[min(max(j, 0), len(x) - 1)] for j in range(i - k // 2, i - k // 2 + k)]) for i in range(len(x))])
+    both = lambda f, x: filters.filtfilt(f, x)
+    axes = []
+    for x in np.degrees(w).T:
+        med = roll(x, 15, np.median)
+        dev = np.abs(x - med)
+        axes.append(np.where(dev > 6 * (1.4826 * roll(dev, 15, np.median) + 1e-9), med, x))
+    band = band_pass(2, 30 / (fs / 2), min(180, 0.475 * fs) / (fs / 2))
+    noise = np.max([np.sqrt(roll(both(band, x) ** 2, max(3, int(0.1 * fs + 0.5)), np.mean)) for x in axes], axis=0)
+    alpha = roll(np.clip((noise - 1.5) / 3.5, 0, 1), max(3, int(0.2 * fs)), np.mean)
+    cut = lambda hz: low_pass(2, hz / (fs / 2))
+    return np.radians([both(cut(25.0), x) * (1 - alpha) + both(cut(2.5), x) * alpha for x in axes]).T, noise, alpha
+
+
+def test_cleaning_in_shards_equals_plain_loops_at_each_rate(spark, monkeypatch):
+    """Series of several rates in one pass, one of them holding nearly all rows, cut into shards."""
+    rng = np.random.default_rng(8)
+    parts, want = [], {}
+    for g, n, fs in (("big", 1500, 200.0), ("small", 90, 100.0), ("slow", 60, 50.0)):
+        t = np.arange(n) / fs
+        w = np.stack([np.sin(t), np.cos(2 * t), 0.2 * t], axis=1) + rng.normal(0, 0.02 + 0.3 * (np.abs(t - 3) < 0.5)[:, None], (n, 3))
+        w[n // 2] += 5
+        parts.append(pd.DataFrame(w, columns=["wx", "wy", "wz"]).assign(g=g, pos=np.arange(n), n=n, tm=t, fs=fs))
+        want[g] = None if g == "slow" else plain_clean(t, w, fs, None)
+    df = spark.createDataFrame(pd.concat(parts).sample(frac=1, random_state=2))
+    for shard in (filters.SHARD, 256):
+        monkeypatch.setattr(filters, "SHARD", shard)
+        got = detect.adaptive_clean(df, ["g"]).toPandas().sort_values(["g", "pos"])
+        assert len(got) == sum(map(len, parts))
+        for g, p in got.groupby("g"):
+            if want[g] is None:
+                assert p[["cx", "noise", "alpha"]].isna().all().all()
+                continue
+            c, noise, alpha = want[g]
+            assert np.abs(p[["cx", "cy", "cz"]].to_numpy() - c).max() < 1e-8
+            assert np.abs(p.noise.to_numpy() - noise).max() < 1e-6 and np.abs(p.alpha.to_numpy() - alpha).max() < 1e-6
+            assert p.spike_frac.iloc[0] > 0
 
 
 def test_numbering_is_dense_over_shards_and_windows_over_blocks(spark, monkeypatch):
@@ -236,8 +277,8 @@ def test_top_of_a_quick_turn_is_no_spike(spark):
 def test_medians_over_blocks_are_exact(spark):
     rng = np.random.default_rng(6)
     parts = [("a", rng.exponential(size=n)) for n in (1, 4096, 977)] + [("b", np.zeros(70)), ("b", np.r_[0.0, 3.0, 1e-9]), ("c", np.array([1.0, 3.0])), ("d", np.zeros(0)), ("d", np.r_[2.0])]
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in parts], "k string, v array<double>")
-    got = {r.k: (r.median, r.total) for r in outliers.exact_medians(df, ["k"], "v").collect()}
+    df = spark.createDataFrame([(k, float(x)) for k, v in parts for x in v], "k string, v double")
+    got = {r.k: (r.median, r.total) for r in aggregates.exact_medians(df, ["k"], "v").collect()}
     whole = {k: np.concatenate([v for j, v in parts if j == k]) for k in "abcd"}
     assert got == {k: (np.median(v), len(v)) for k, v in whole.items()}
 

@@ -12,7 +12,6 @@ from gyrolith.config import Config, Settings, load_settings, output_path, save_s
 from gyrolith.operators import repair as R
 from gyrolith.plans import container as C
 from gyrolith.plans import pipeline as P
-from gyrolith.plans import series
 from gyrolith.sources import container as S
 from gyrolith.sources.gcsv import read_gcsv, write_gcsv
 from gyrolith.sources.lens import lens_columns
@@ -179,13 +178,28 @@ def test_alignment_finds_shift_and_axes(spark):
     at = np.stack([np.interp(tv + 0.024, t, w[:, k]) for k in range(3)], axis=1) @ n.T
     opt = spark.createDataFrame(pd.DataFrame(at, columns=["ox", "oy", "oz"]).assign(g="a", t=tv, quality=0.9))
     few = spark.createDataFrame(pd.DataFrame(at[:50], columns=["ox", "oy", "oz"]).assign(g="b", t=tv[:50], quality=0.9))
-    gyro = spark.createDataFrame(pd.concat([pd.DataFrame(w, columns=["cx", "cy", "cz"]).assign(g=g, tm=t) for g in "ab"]))
-    rows = {r.g: r for r in R.video_alignment(opt.unionByName(few), gyro, ["g"], 200.0).collect()}
+    gyro = spark.createDataFrame(pd.concat([pd.DataFrame(w, columns=["cx", "cy", "cz"]).assign(g=g, tm=t, pos=np.arange(4000), n=4000, fs=200.0) for g in "ab"]))
+    rows = {r.g: r for r in R.video_alignment(opt.unionByName(few), gyro, ["g"]).collect()}
     assert rows["b"].status == "few" and rows["a"].status == "ok"
     assert abs(rows["a"].shift - 0.024) < 0.003 and rows["a"].r2 > 0.98
     assert np.abs(np.array(rows["a"].n) - n).max() < 0.05
 
 
+def test_rows_beside_readings_are_all_that_interpolation_asks_for(spark):
+    """A series with holes holds most rows; only those near its few readings go to the alignment, and nothing is lost."""
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.uniform(0, 400, 6000))
+    t = t[(t < 100) | (t > 130)]
+    v = np.cumsum(rng.normal(size=len(t)))
+    gyro = spark.createDataFrame(pd.DataFrame({"g": "a", "pos": np.arange(len(t)), "n": len(t), "tm": t, "v": v}))
+    at = np.r_[np.arange(50, 52, 0.02), 115.0, 129.9, -3.0]
+    opt = spark.createDataFrame(pd.DataFrame({"g": "a", "t": at}))
+    got = R.beside(gyro, opt, ["g"], "tm", "t", 0.2).toPandas().sort_values("tm")
+    assert len(got) < 60
+    for shift in np.linspace(-0.2, 0.2, 41):
+        assert np.abs(np.interp(at + shift, got.tm, got.v) - np.interp(at + shift, t, v)).max() < 1e-12
+
+
 def test_repair_end_to_end(spark):
     """A burst is found, measured motion replaces it, the rest stays as it was; a clean series is healthy."""
     fs, n = 200.0, 6000
@@ -199,9 +213,7 @@ def test_repair_end_to_end(spark):
     tv = np.arange(50, 1450) * 0.02
     opt = pd.DataFrame(np.stack([np.interp(tv, t, w[:, k]) for k in range(3)], axis=1), columns=["ox", "oy", "oz"]).assign(g="ill", t=tv, quality=0.9)
     opt["kind"] = np.where((tv > 11) & (tv < 15), "noisy", "calib")
-    cfg = P.scaled(Config(), fs)
-    cfg = P.replace(cfg, light_cutoff=20.0, strong_cutoff=2.5)
-    res = P.repair(spark.createDataFrame(tele), spark.createDataFrame(opt), ["g"], fs, cfg)
+    res = P.repair(spark.createDataFrame(tele), spark.createDataFrame(opt), ["g"])
     status = {r.g: r.status for r in res.status.collect()}
     assert status == {"ill": "repaired", "well": "healthy"}
     got = res.orientation.where("g = 'ill'").toPandas().sort_values("pos")
@@ -214,28 +226,20 @@ def test_repair_end_to_end(spark):
     assert np.abs(new * sign - q[: len(new)])[far].max() < 1e-9
 
 
-def rate_tables(spark, folder, rates):
-    """Short clips 0, 1, ... of one series and their rates; None has no clip_meta row."""
-    n = 50
+def test_every_clip_has_a_status_whatever_its_rate(spark):
+    """Eighty clips of as many rates, one of equal times, one too slow for the noise band, one too short."""
+    n = 120
     _, _, q = spin(n, 0.01)
-    tele = pd.concat([pd.DataFrame(q, columns=list("wxyz")).assign(series_id="s", clip_no=c, idx=np.arange(n), t=np.arange(n) * 0.01) for c in range(len(rates))])
-    spark.createDataFrame(tele).write.parquet(f"{folder}/telemetry.parquet")
-    meta = [("s", c, None if r == "null" else r) for c, r in enumerate(rates) if r is not None]
-    spark.createDataFrame(meta, "series_id string, clip_no bigint, nominal_hz double").write.parquet(f"{folder}/clip_meta.parquet")
-    spark.createDataFrame([], "series_id string, clip_no bigint, idx bigint, kind string, t double, ox double, oy double, oz double, quality double").write.parquet(f"{folder}/optical_rates.parquet")
-    return str(folder)
-
-
-def test_clips_without_a_rate_have_a_status(spark, tmp_path):
-    d = rate_tables(spark, tmp_path, [100.0, None, "null", float("nan")])
-    got = {r.clip_no: (r.samples, r.status) for r in series.repair_status(spark, d).collect()}
-    assert got == {0: (50, "short"), 1: (50, "no rate"), 2: (50, "no rate"), 3: (50, "no rate")}
-
-
-def test_too_many_rates_are_an_error(spark, tmp_path):
-    d = rate_tables(spark, tmp_path, [100.0 + k for k in range(65)])
-    with pytest.raises(ValueError, match="nominal rates"):
-        series.clean_telemetry(spark, d)
+    clips = [pd.DataFrame(q, columns=list("wxyz")).assign(g=c, idx=np.arange(n), t=np.arange(n) / (100.0 + c)) for c in range(80)]
+    clips.append(clips[0].assign(g=80, t=1.0))
+    clips.append(clips[0].assign(g=81, t=np.arange(n) / 40.0))
+    clips.append(clips[0][:50].assign(g=82))
+    none = spark.createDataFrame([], "g bigint, kind string, t double, ox double, oy double, oz double, quality double")
+    tele = spark.createDataFrame(pd.concat(clips))
+    got = {r.g: (r.samples, r.status) for r in P.repair(tele, none, ["g"]).status.collect()}
+    assert got == {c: (n, "healthy") for c in range(80)} | {80: (n, "no rate"), 81: (n, "slow"), 82: (50, "short")}
+    fs = {r.g: r.fs for r in P.clean(P.durable(P.orientation_of(tele, ["g"], "t", "idx")), ["g"]).groupBy("g").agg(F.max("fs").alias("fs")).collect()}
+    assert all(abs(fs[c] - (100 + c)) < 1e-6 for c in range(80))
 
 
 # ---- text formats

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gyrolith.config import Config
 from gyrolith.functions import quat as Qn
-from gyrolith.functions.design import Filter, band_pass, low_pass, steady
+from gyrolith.functions.design import low_pass
 from gyrolith.operators import aggregates as A
 from gyrolith.operators import intervals as I
 from gyrolith.operators import windows as W
@@ -20,6 +20,7 @@ from gyrolith.operators import metrics as M
 from gyrolith.operators.detect import noise_envelope, ramp_smoothed, severe_intervals
 from gyrolith.operators.filters import apply_filtfilt, apply_lfilter
 from gyrolith.operators.ordered import blocked, number, own
+from gyrolith.plans import bank
 from gyrolith.plans.container import compare_positions
 from gyrolith.plans.pipeline import clean, orientation_of, repair
 from gyrolith.session import durable, table
@@ -29,7 +30,6 @@ from gyrolith.sources.lens import lens_columns
 USER, CLIP = ["user_id"], ["series_id", "clip_no"]
 DAY = 86400.0
 LOW = low_pass(2, 0.1)
-BAND = band_pass(2, 0.06, 0.36)
 #: An event's value above this is a reading of interest.
 LOUD = 60.0
 
@@ -418,7 +418,7 @@ select user_id, round(1 - sum((value-made)*(value-made) + (k-value)*(k-value)) /
 
 
 def _three(s, d) -> DataFrame:
-    return events(s, d).select("event_type", (F.col("value") / 50).alias("x1"), (F.col("k") / 50).alias("x2"), F.lit(1.0).alias("x3"), *[((F.col("k") * c + F.col("value")) / 100).alias(f"y{c}") for c in (1, 2, 3)])
+    return events(s, d).select("event_type", (F.col("value") / 50).alias("x1"), (F.col("k") / 50).alias("x2"), F.lit(1.0).alias("x3"), *[((F.col("k") * c + F.col("value")) / 100 + F.sin(F.col("event_id") * c)).alias(f"y{c}") for c in (1, 2, 3)])
 
 
 def _entries(df: DataFrame, key: str, m: str) -> DataFrame:
@@ -438,12 +438,26 @@ def procrustes(s, d):
     return _entries(A.procrustes(_three(s, d), ["event_type"], ["x1", "x2", "x3"], ["y1", "y2", "y3"]), "event_type", "n")
 
 
-_THREE = f"with {EVENTS}, x as (select event_type, value / 50 x1, k / 50 x2, 1.0::double x3, (k + value) / 100 y1, (k * 2 + value) / 100 y2, (k * 3 + value) / 100 y3 from e)"
+_THREE = f"with {EVENTS}, x as (select event_type, value / 50 x1, k / 50 x2, 1.0::double x3, " + ", ".join(f"(k * {c} + value) / 100 + sin(event_id * {c}) y{c}" for c in (1, 2, 3)) + " from e)"
 MOMENT_SQL = _THREE + " union all ".join(
     f" select event_type, {i}::int as i, {j}::int as j, round(sum(x{i + 1} * y{j + 1}), 6) + 0.0 as v from x group by event_type" for i in range(3) for j in range(3)
 )
-#: y_c is (c k + value) / 100, so the map is known: value / 50 by 0.5, k / 50 by c / 2, no offset.
-LSTSQ_SQL = f"with {EVENTS}, t as (select distinct event_type from e), c as (select unnest(range(3))::int i), g as (select unnest(range(3))::int j) select event_type, i, j, round(case i when 0 then 0.5 when 1 then (j + 1) / 2.0 else 0.0 end::double, 6) + 0.0 as v from t, c, g"
+
+
+def _fit_sql(name: str, source: str, key: str, x: str, y: str) -> str:
+    """CTEs up to name(key, m00 .. m22): least squares of three columns by three, solved by elimination."""
+    x, y = x.split(), y.split()
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    sums = [f"sum({x[i]} * {x[j]}) s{i}{j}" for i, j in pairs] + [f"sum({x[i]} * {c}) r{i}{j}" for i in range(3) for j, c in enumerate(y)]
+    cols = []
+    for j in range(3):
+        cols += [f"{e} m{i}{j}" for i, e in enumerate(bank.solve3("s00 s01 s02 s11 s12 s22", f"r0{j} r1{j} r2{j}").split("|"))]
+    return f"{name}_s as (select {key}, {', '.join(sums)} from {source} group by {key}), {name} as (select {key}, {', '.join(cols)} from {name}_s)"
+
+
+LSTSQ_SQL = f"{_THREE}, {_fit_sql('ft', 'x', 'event_type', 'x1 x2 x3', 'y1 y2 y3')}" + " union all ".join(
+    f" select event_type, {i}::int as i, {j}::int as j, round(m{i}{j}, 6) + 0.0 as v from ft" for i in range(3) for j in range(3)
+)
 
 
 def calib_topk(s, d):
@@ -473,39 +487,14 @@ def bandpass_noise(s, d):
     return rounded(x.select("user_id", "pos", "noise"), "noise")
 
 
-def _recursion(name: str, source: str, f: Filter, first: str) -> str:
-    """A causal filter as a recursive table name(user_id, pos, y, z0, ...), over source(user_id, pos, v)."""
-    order = max(len(f.a), len(f.b)) - 1
-    b = [*f.b, *[0.0] * (order + 1 - len(f.b))]
-    zi = steady(f)
-    y0 = f"({b[0]!r}::double * v + {float(zi[0])!r}::double * {first})"
-    y = f"({b[0]!r}::double * x.v + f.z0)"
-    start = [f"{b[k + 1]!r}::double * v - ({f.a[k + 1]!r}::double) * {y0}" + (f" + {float(zi[k + 1])!r}::double * {first}" if k + 1 < order else "") for k in range(order)]
-    step = [f"{b[k + 1]!r}::double * x.v - ({f.a[k + 1]!r}::double) * {y}" + (f" + f.z{k + 1}" if k + 1 < order else "") for k in range(order)]
-    names = ", ".join(f"{e} as z{k}" for k, e in enumerate(start))
-    return f"""{name} as (
-  select user_id, pos, {y0} as y, {names} from {source} where pos = 0
-  union all select x.user_id, x.pos, {y}, {', '.join(step)} from {name} f join {source} x on x.user_id = f.user_id and x.pos = f.pos + 1)"""
-
-
-def _filtfilt_tables(f: Filter, source: str = "e", value: str = "value") -> str:
-    p = f.padlen
-    return f"""ends as (select user_id, n, arg_min({value}, pos) v0, arg_max({value}, pos) v1 from {source} group by user_id, n having n > {p}),
-ext as (select s.user_id, s.pos + {p} pos, {value} v, s.n from {source} s join ends using (user_id)
-  union all select s.user_id, {p} - s.pos, 2 * v0 - {value}, s.n from {source} s join ends using (user_id) where s.pos between 1 and {p}
-  union all select s.user_id, 2 * (s.n - 1) - s.pos + {p}, 2 * v1 - {value}, s.n from {source} s join ends using (user_id) where s.pos between s.n - 1 - {p} and s.n - 2),
-{_recursion('ahead', 'ext', f, 'v')},
-turned as (select a.user_id, ends.n + 2 * {p} - 1 - a.pos pos, a.y v from ahead a join ends using (user_id)),
-{_recursion('back', 'turned', f, 'v')},
-ff as (select s.user_id, s.pos, s.n, b.y from {source} s left join ends using (user_id) left join back b on b.user_id = s.user_id and b.pos = ends.n + {p} - 1 - s.pos)"""
-
-
-LFILTER_SQL = f"with recursive {EVENTS}, x0 as (select user_id, pos, value v from e), {_recursion('f1', 'x0', LOW, 'v')} select user_id, pos, round(y, 6) + 0.0 as low from f1"
-FILTFILT_SQL = f"with recursive {EVENTS}, {_filtfilt_tables(LOW)} select user_id, pos, round(y, 6) + 0.0 as low from ff"
-NOISE_SQL = f"""with recursive {EVENTS}, {_filtfilt_tables(BAND)}, sq as (select user_id, pos, n, y * y v from ff),
-p as (select * from sq union all select user_id, -i, n, v from sq, range(1, 6) r(i) where pos = 0 union all select user_id, n - 1 + i, n, v from sq, range(1, 6) r(i) where pos = n - 1),
-m as (select user_id, pos, n, avg(v) over (partition by user_id order by pos rows between 4 preceding and 4 following) x from p)
-select user_id, pos, round(sqrt(greatest(x, 0.0)), 6) + 0.0 as noise from m where pos between 0 and n - 1"""
+_VALUES = "src as (select user_id id, pos, n, value v from e)"
+# edges as shares of half the rate, so the rate is 2
+_LOW, _BAND = f"co as (select distinct user_id id, {bank.low('0.1', '2.0')} from e)", f"co as (select distinct user_id id, {bank.band('30.0', '180.0', '1000.0')} from e)"
+LFILTER_SQL = f"with recursive {EVENTS}, {_VALUES}, {_LOW}, {bank.settled('co', 'cs')}, {bank.causal('f1', 'src', 'cs')} select id user_id, pos, round(y, 6) + 0.0 as low from f1"
+FILTFILT_SQL = f"with recursive {EVENTS}, {_VALUES}, {_LOW}, {bank.zero_phase()} select id user_id, pos, round(y, 6) + 0.0 as low from ff"
+NOISE_SQL = f"""with recursive {EVENTS}, {_VALUES}, {_BAND}, {bank.zero_phase()}, sq as (select id, pos, n, y * y v from ff), {bank.padded('sq', 'p', 'v', '5')},
+m as (select id, pos, n, avg(v) over (partition by id order by pos rows between 4 preceding and 4 following) x from p)
+select id user_id, pos, round(sqrt(greatest(x, 0.0)), 6) + 0.0 as noise from m where pos between 0 and n - 1"""
 
 
 def gcsv_lines(s, d):
@@ -530,15 +519,18 @@ select series_id, clip_no, {_r('(case when m is null then 546.4027 else m[1][1]*
 
 
 def lens_metadata(s, d):
-    """Camera data of a lens tag, wrong shapes null, the first tag of a camera winning."""
+    """Camera data of each unit's lens tag: wrong shapes are null, of several tags the first with a matrix wins."""
     m = table(s, d, "clip_meta")
     tag = F.to_json(F.struct(F.struct("camera_matrix", "distortion_coeffs").alias("fisheye_params"), F.struct(F.col("calib_w").alias("w"), F.col("calib_h").alias("h")).alias("calib_dimension")))
-    x = lens_columns(m.select("camera", tag.alias("tag")), "tag")
-    return x.groupBy("camera").agg(F.count("camera_matrix").alias("with_matrix"), F.count("distortion").alias("with_distortion"), F.max("calib_w").cast("double").alias("calib_w"), F.max("calib_h").cast("double").alias("calib_h"))
+    x = lens_columns(m.select("series_id", "clip_no", tag.alias("tag")), "tag").where("camera_matrix is not null")
+    x = x.groupBy("series_id").agg(A.first_of(["camera_matrix", "distortion", "calib_w", "calib_h"], "clip_no"))
+    at = lambda i, j: F.get(F.get("first.camera_matrix", F.lit(i)), F.lit(j))
+    each = {"fx": at(0, 0), "cx": at(0, 2), "cy": at(1, 2), **{f"k{k}": F.get("first.distortion", F.lit(k)) for k in range(4)}, "calib_w": F.col("first.calib_w"), "calib_h": F.col("first.calib_h")}
+    return x.select("series_id", *[r6(c).alias(n) for n, c in each.items()])
 
 
-LENS_SQL = """select camera, count(camera_matrix) with_matrix, count(distortion_coeffs) with_distortion, max(calib_w)::double calib_w, max(calib_h)::double calib_h
-from clip_meta group by camera"""
+LENS_SQL = f"""with o as (select *, row_number() over (partition by series_id order by clip_no) rn from clip_meta where camera_matrix is not null)
+select series_id, {_r('camera_matrix[1][1] fx', 'camera_matrix[1][3] cx', 'camera_matrix[2][3] cy', *[f'distortion_coeffs[{k + 1}] k{k}' for k in range(4)], 'calib_w::double calib_w', 'calib_h::double calib_h')} from o where rn = 1"""
 
 
 def scan_probe(s, d):
@@ -577,25 +569,75 @@ def fast_events(s, d):
     return rounded(x.select("user_id", F.col("rank").cast("int").alias("rank"), "t", "value"), "t", "value")
 
 
+FAST_SQL = f"""with recursive {EVENTS},
+pk as (
+  select user_id, 1 r, [arg_max(t, (abs(value), -t))] ts, [arg_max(value, (abs(value), -t))] vs from e group by user_id
+  union all
+  select user_id, r + 1, list_append(any_value(ts), arg_max(t, (abs(value), -t))), list_append(any_value(vs), arg_max(value, (abs(value), -t)))
+  from pk join e using (user_id) where r < 12 and list_min(list_transform(ts, lambda x: abs(x - e.t))) > {DAY} group by user_id, r),
+al as (select user_id, arg_max(ts, r) ts, arg_max(vs, r) vs from pk group by user_id)
+select user_id, cast(i as int) as rank, round(ts[i], 6) + 0.0 as t, round(vs[i], 6) + 0.0 as value from (select *, unnest(range(1, len(ts) + 1)) i from al)"""
+
+
 def telemetry_extract(s, d):
     """Orientation series of every clip: sorted, deduplicated, signs continuous, unit length."""
     x = orientation_of(table(s, d, "telemetry"), CLIP, "t", "idx")
     return rounded(x.select(*CLIP, "idx", "pos", "t", "w", "x", "y", "z"), "t", "w", "x", "y", "z")
 
 
-# NaN is told by its text: over files whose statistics name no NaN, DuckDB 2.0 folds isnan() to false (sf0.001 has one such row)
-EXTRACT_SQL = f"""with r as (select distinct series_id, clip_no, idx, t, w, x, y, z from telemetry where t is not null and not isnan(t) and w+x+y+z is not null and (w+x+y+z)::varchar <> 'nan' and not (w=0 and x=0 and y=0 and z=0)),
+def _nan(x: str) -> str:
+    """NaN, told by its text: over files whose statistics name no NaN, DuckDB 2.0 folds isnan() to false (sf0.001 has one such row)."""
+    return f"(({x})::double::varchar = 'nan')"
+
+
+EXTRACTED = f"""r as (select distinct series_id, clip_no, idx, t, w, x, y, z from telemetry where t is not null and not {_nan('t')} and w+x+y+z is not null and not {_nan('w+x+y+z')} and not (w=0 and x=0 and y=0 and z=0)),
 c as (select *, row_number() over o rn, lag(w) over o pw, lag(x) over o px, lag(y) over o py, lag(z) over o pz from r window o as (partition by series_id, clip_no order by t, idx)),
 k as (select series_id, clip_no, idx, t, w, x, y, z, row_number() over (partition by series_id, clip_no order by rn) - 1 pos from c where rn = 1 or not (w = pw and x = px and y = py and z = pz)),
 h as (select *, case when w*lag(w) over o + x*lag(x) over o + y*lag(y) over o + z*lag(z) over o < 0 then 1 else 0 end f from k window o as (partition by series_id, clip_no order by pos)),
-g as (select *, case when sum(f) over (partition by series_id, clip_no order by pos) % 2 = 1 then -1.0 else 1.0 end / sqrt(w*w+x*x+y*y+z*z) sg from h)
-select series_id, clip_no, idx, pos, {_r('t t', 'w*sg w', 'x*sg x', 'y*sg y', 'z*sg z')} from g"""
+g as (select *, case when sum(f) over (partition by series_id, clip_no order by pos) % 2 = 1 then -1.0 else 1.0 end / sqrt(w*w+x*x+y*y+z*z) sg from h),
+ex as (select series_id, clip_no, idx, pos, t, w*sg w, x*sg x, y*sg y, z*sg z from g)"""
+EXTRACT_SQL = f"with {EXTRACTED} select series_id, clip_no, idx, pos, {_r('t t', 'w w', 'x x', 'y y', 'z z')} from ex"
 
 
 def clean_telemetry(s, d):
     """Cleaned rates of every clip, by the filters of its own rate; null where that is too low for them."""
     x = clean(durable(orientation_of(table(s, d, "telemetry"), CLIP, "t", "idx")), CLIP)
-    return rounded(x.select(*CLIP, "pos", "fs", "tm", "cx", "cy", "cz", "noise", "alpha", "spike_frac"), "fs", "tm", "cx", "cy", "cz", "noise", "alpha", "spike_frac")
+    x = x.withColumn("tm", F.round("tm", 7))  # times are whole microseconds, so mid times have a seventh digit
+    return rounded(x.select(*CLIP, "pos", "fs", "tm", "cx", "cy", "cz", "noise", "alpha", "spike_frac"), "fs", "cx", "cy", "cz", "noise", "alpha", "spike_frac")
+
+
+CLEAN_SQL = f"""with recursive {EXTRACTED},
+ek as (select series_id || '/' || clip_no k, pos, t, w, x, y, z from ex),
+pr as (select *, lead(t) over o nt, lead(w) over o nw, lead(x) over o nx, lead(y) over o ny, lead(z) over o nz from ek window o as (partition by k order by pos)),
+fsk as (select k, 1 / median(nt - t) fs from pr where nt is not null group by k),
+tw as (select k, pos, t, nt, w*nw+x*nx+y*ny+z*nz a, w*nx-x*nw-y*nz+z*ny b, w*ny+x*nz-y*nw-z*nx c, w*nz-x*ny+y*nx-z*nw d from pr where nt is not null),
+tv as (select *, sqrt(b*b+c*c+d*d) v from tw),
+om as (select *, case when a < 0 then -1 else 1 end * (case when v > 1e-12 then 2 * asin(least(v, 1.0)) / v else 2.0 end) / greatest(nt - t, 1e-9) m, count(*) over (partition by k) n from tv),
+deg as (select k || '|x' id, pos, n, degrees(b * m) v from om union all select k || '|y', pos, n, degrees(c * m) from om union all select k || '|z', pos, n, degrees(d * m) from om),
+{bank.padded('deg', 'p1', 'v', '7')},
+me as (select id, pos, n, v, median(v) over (partition by id order by pos rows between 7 preceding and 7 following) md from p1),
+de as (select id, pos, n, v, md, abs(v - md) dev from me where pos between 0 and n - 1),
+{bank.padded('de', 'p2', 'dev', '7')},
+ma as (select id, pos, median(v) over (partition by id order by pos rows between 7 preceding and 7 following) mad from p2),
+hx as (select de.id, split_part(de.id, '|', 1) k, de.pos, n, case when dev > 6.0 * (1.4826 * mad + 1e-9) then md else v end v, dev > 6.0 * (1.4826 * mad + 1e-9) bad from de join ma using (id, pos)),
+sp as (select k, avg(bad::int::double) spike_frac from hx group by k),
+able as (select * from fsk where 30.0 < least(180.0, 0.475 * fs) and 25.0 < fs / 2),
+ids as (select distinct id, k, fs from hx join able using (k)),
+co as (select id || '|band' id, {bank.band('30.0', 'least(180.0, 0.475 * fs)', 'fs')} from ids union all select id || '|light', {bank.low('25.0', 'fs')} from ids union all select id || '|strong', {bank.low('2.5', 'fs')} from ids),
+src as (select id || '|' || j id, pos, n, v from hx join able using (k), (values ('band'), ('light'), ('strong')) jobs(j)),
+{bank.zero_phase()},
+sq as (select split_part(id, '|', 1) k, id, pos, n, y * y v from ff where id like '%|band'),
+{bank.padded('sq', 'p3', 'v', '128')},
+ro as (select split_part(id, '|', 1) k, id, pos, n, v, greatest(3, floor(0.1 * fs + 0.5))::bigint size from p3 join fsk on fsk.k = split_part(id, '|', 1)),
+rm as (select k, id, pos, n, sqrt(avg(v) over (partition by id order by pos rows between size // 2 preceding and size - 1 - size // 2 following)) x from ro),
+no as (select k id, pos, n, max(x) noise from rm where pos between 0 and n - 1 group by all),
+ra as (select *, greatest(0.0, least(1.0, (noise - 1.5) / 3.5)) r from no),
+{bank.padded('ra', 'p4', 'r', '128')},
+rs as (select p4.*, greatest(3, floor(0.2 * fs))::bigint size from p4 join fsk on fsk.k = id),
+al as (select id k, pos, n, avg(v) over (partition by id order by pos rows between size // 2 preceding and size - 1 - size // 2 following) alpha from rs),
+fl as (select split_part(id, '|', 1) k, pos, {', '.join(f"max(y) filter (where id like '%|{a}|{j}') {a}{j[0]}" for a in 'xyz' for j in ('light', 'strong'))} from ff group by 1, 2)
+select split_part(om.k, '/', 1) as series_id, cast(split_part(om.k, '/', 2) as bigint) as clip_no, om.pos, round(om.t+(om.nt-om.t)/2, 7) as tm, {_r('fs fs', *[f'radians({a}l*(1-alpha)+{a}s*alpha) c{a}' for a in 'xyz'], 'noise noise', 'alpha alpha', '(case when noise is null then null else spike_frac end) spike_frac')}
+from om left join fsk using (k) left join sp using (k) left join no on no.id = om.k and no.pos = om.pos left join al on al.k = om.k and al.pos = om.pos left join fl on fl.k = om.k and fl.pos = om.pos"""
 
 
 def severe_bursts(s, d):
@@ -633,6 +675,44 @@ def render_metrics(s, d):
     return rounded(M.render_metrics(_track(s, d), USER, 20.0), "pan", "wobble", "shake", "zoom")
 
 
+_TRACK = f"{EVENTS}, tr as (select user_id, pos, n, value wx, k wy, value - k wroll, k / 1000 dlogs, k / 100 quality from e)"
+_CUM = "sum({c}) over (partition by user_id order by pos) / 20.0"
+_RENDER_JOBS = [("pan", c, _CUM.format(c=c), bank.band("0.05", "1.0", "20.0")) for c in ("wx", "wy", "wroll", "dlogs")]
+_RENDER_JOBS += [(n, c, c, bank.band(lo, hi, "20.0")) for n, lo, hi in (("wob", "2.0", "8.0"), ("shk", "8.0", "9.0")) for c in ("wx", "wy", "wroll")]
+
+
+def _filtered_sql(jobs: list[tuple[str, str, str, str]], table: str = "tr") -> str:
+    """CTEs up to fy(user_id, pos, job_column...): each job (job, column, expression, coefficients) filtered both ways."""
+    src = " union all ".join(f"select user_id || '|{j}|{c}' id, pos, n, {e} v from {table}" for j, c, e, _ in jobs)
+    co = " union all ".join(f"select distinct user_id || '|{j}|{c}' id, {k} from {table}" for j, c, _, k in jobs)
+    cols = ", ".join(f"max(y) filter (where split_part(id, '|', 2) = '{j}' and split_part(id, '|', 3) = '{c}') {j}_{c}" for j, c, _, _ in jobs)
+    return f"src as ({src}), co as ({co}), {bank.zero_phase()}, fy as (select cast(split_part(id, '|', 1) as bigint) user_id, pos, {cols} from ff group by 1, 2)"
+
+
+_RMS = lambda p, cs: "sqrt(avg(" + " + ".join(f"{p}_{c} * {p}_{c}" for c in cs.split()) + "))"
+RENDER_SQL = f"""with recursive {_TRACK}, {_filtered_sql(_RENDER_JOBS)}
+select user_id, {', '.join(f"round(case when count(*) >= 40 then {x} end, 6) + 0.0 as {n}" for n, x in (('pan', _RMS('pan', 'wx wy wroll')), ('wobble', _RMS('wob', 'wx wy wroll')), ('shake', _RMS('shk', 'wx wy wroll')), ('zoom', _RMS('pan', 'dlogs') + ' * 100')))} from fy group by user_id"""
+_RATIO = [("a", "0.5", "3.0"), ("b", "3.0", "6.0")]
+RATIO_SQL = f"with recursive {_TRACK}, {_filtered_sql([(j, c, c, bank.band(lo, hi, '20.0')) for j, lo, hi in _RATIO for c in ('wx', 'wy')])}" + " union all ".join(
+    f" select user_id, {lo}::double as lo, {hi}::double as hi, {_r(f'sqrt(avg({j}_wx*{j}_wx)) rms_raw', f'sqrt(avg({j}_wy*{j}_wy)) rms_out', f'corr({j}_wx,{j}_wy) corr')} from fy group by user_id" for j, lo, hi in _RATIO
+)
+SHIFT_SQL = f"""with {EVENTS}, q as (select user_id, pos, value, t + (-3600.0 + 240.0 * i) t, (-3600.0 + 240.0 * i)::double shift from e, range(31) r(i)), kn as (select user_id, t, k from e),
+b as (select q.*, kn.t lt, kn.k lk from q asof left join kn on q.user_id = kn.user_id and q.t >= kn.t),
+f as (select b.*, kn.t ft, kn.k fk from b asof left join kn on b.user_id = kn.user_id and b.t <= kn.t),
+a as (select user_id, shift, median(abs(case when lk is null then fk when fk is null or ft = lt then lk else lk + (fk - lk) * ((t - lt) / (ft - lt)) end - value)) score from f group by all),
+r as (select *, row_number() over (partition by user_id order by score, shift) rk from a)
+select user_id, round(shift, 6) + 0.0 as shift, round(score, 6) + 0.0 as score from r where rk = 1"""
+RESIDUAL_SQL = f"""with {_TRACK}, a0 as (select user_id, pos, value / 100 x, k / 100 y, sin(pos) / 10 z from e), a1 as (select *, sqrt(x*x+y*y+z*z) th from a0),
+a2 as (select user_id, pos, cos(th/2) w, x * c x, y * c y, z * c z from (select *, case when th > 1e-12 then sin(th/2)/th else 0.5 end c from a1)),
+a3 as (select *, lead(w) over o nw, lead(x) over o nx, lead(y) over o ny, lead(z) over o nz, lead(pos) over o np from a2 window o as (partition by user_id order by pos)),
+a4 as (select user_id, pos, w*nw+x*nx+y*ny+z*nz a, w*nx-x*nw-y*nz+z*ny b, w*ny+x*nz-y*nw-z*nx c, w*nz-x*ny+y*nx-z*nw d from a3 where np is not null),
+a5 as (select *, sqrt(b*b+c*c+d*d) v from a4),
+a6 as (select user_id, pos, degrees(b*m) px, degrees(c*m) py, degrees(d*m) pz from (select *, case when a < 0 then -1 else 1 end * (case when v > 1e-12 then 2*asin(least(v, 1.0))/v else 2.0 end) * 20 m from a5)),
+bo as (select * from tr join a6 using (user_id, pos)), gd as (select * from bo where quality > 0.4), {_fit_sql('ft', 'gd', 'user_id', 'px py pz', 'wx wy wroll')},
+rs as (select user_id, wx - (px*m00+py*m10+pz*m20) x, wy - (px*m01+py*m11+pz*m21) y, wroll - (px*m02+py*m12+pz*m22) z from bo join ft using (user_id))
+select user_id, {_r('sqrt(avg(x*x)) rms_x', 'sqrt(avg(y*y)) rms_y', 'sqrt(avg(z*z)) rms_z')} from rs group by user_id"""
+
+
 def continuity(s, d):
     return rounded(M.continuity(events(s, d), USER, ["value", "k"]), "largest", "jump")
 
@@ -663,13 +743,34 @@ def residual_motion(s, d):
 
 
 def changed_rows(s, d):
-    """Delta of a rewrite: of slots halved in number, those that need new bytes, and their sign."""
-    x = _quat_series(s, d).withColumn("changed", F.col("k") % 5 != 0)
+    """Delta of a rewrite: rows that differ from the stored ones in any component, with the signs they are written with.
+
+    The target turns every fifth row's sign and puts another fifth halfway to the next; the rest are equal and anchor the signs.
+    """
+    x = quats(s, d)
+    a, b = _unit(x)
+    half = Qn.normalise(tuple(p + q for p, q in zip(a, b)))
+    of = F.col("k") % 5
+    goal = [F.when(of == 2, -p).when(of == 3, h).otherwise(p) for p, h in zip(a, half)]
+    x = x.select("vec_id", "k", *[c.alias(f"r{n}") for c, n in zip(a, "wxyz")], *[c.alias(n) for c, n in zip(goal, "wxyz")])
+    equal = F.lit(True)
+    for n in "wxyz":
+        equal = equal & (F.col(n) == F.col(f"r{n}"))
+    x = number(x.withColumn("changed", ~equal), ["vec_id"], ["k"], F.floor(F.col("k") / 8).cast("long"))
     x = W.sign_pin(x, ["vec_id"], ["w", "x", "y", "z"], "changed").where("changed")
-    return x.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("k"), "pos")["k"].alias("first_k"))
+    return rounded(x.select("vec_id", "k", "w", "x", "y", "z"), "w", "x", "y", "z")
 
 
-CHANGED_SQL = "select vec_id, count(*) n, min(k) first_k from (select vec_id, unnest(range(16)) k from embeddings) where k % 5 <> 0 group by vec_id"
+CHANGED_SQL = f"""with recursive {QUATS},
+hf as (select *, sqrt((aw+bw)*(aw+bw)+(ax+bx)*(ax+bx)+(ay+b_y)*(ay+b_y)+(az+bz)*(az+bz)) nn from u),
+tg as (select vec_id, k, aw, ax, ay, az, {', '.join(f"case when k % 5 = 2 then -a{c} when k % 5 = 3 then (a{c} + {b})/nn else a{c} end {c}" for c, b in zip('wxyz', ('bw', 'bx', 'b_y', 'bz')))} from hf),
+ch as (select *, not (w = aw and x = ax and y = ay and z = az) c from tg),
+f as (
+  select vec_id, k, c, w, x, y, z from ch where k = 0
+  union all
+  select ch.vec_id, ch.k, ch.c, ch.w*sg, ch.x*sg, ch.y*sg, ch.z*sg from f join ch on ch.vec_id = f.vec_id and ch.k = f.k + 1,
+    lateral (select case when ch.c and ch.w*f.w+ch.x*f.x+ch.y*f.y+ch.z*f.z < 0 then -1.0 else 1.0 end sg))
+select vec_id, k, {_r('w w', 'x x', 'y y', 'z z')} from f where c"""
 
 QUERIES = {
     f.__name__: f
@@ -732,7 +833,13 @@ ORACLE = {
     "scan_probe": PROBE_SQL,
     "slot_alignment": SLOT_SQL,
     "telemetry_extract": EXTRACT_SQL,
+    "clean_telemetry": CLEAN_SQL,
     "severe_bursts": SEVERE_SQL,
     "continuity": CONTINUITY_SQL,
     "changed_rows": CHANGED_SQL,
+    "fast_events": FAST_SQL,
+    "render_metrics": RENDER_SQL,
+    "band_ratio": RATIO_SQL,
+    "shift_search": SHIFT_SQL,
+    "residual_motion": RESIDUAL_SQL,
 }

@@ -72,8 +72,7 @@ def units(text: str) -> list[str]:
     text = text.lstrip("﻿").replace("\r\n", "\n")
     if not text.strip():
         return []
-    head = text.lstrip()[:400]
-    if head.startswith("{") and ('"cells"' in head or '"cell_type"' in text):
+    if text.lstrip().startswith("{") and ('"cells"' in text or '"cell_type"' in text):
         parts = _json_units(text)
         if parts is None:
             parts = _scanned_units(text)

@@ -1,17 +1,23 @@
 """Template residue, filler, error pages and script notices, by labelled exemplars.
 
-Exemplars are short passages labelled residue.  Texts are cut into units (``cells.units``), whose
-placeholders are written alike and whose words are taken as a reader sees them.  Of every document
-two things are gathered in one pass: the document frequency of each exemplar word, over all
-documents, and the units most of whose words are exemplar words at all (others can't reach the
-coverage asked for).  The frequencies give TF-IDF weights; an inverted index from words to
-exemplars retrieves, for each passage window of a unit, the exemplars that share words with it; a
-window's containment is the weight of its words in the best exemplar over the weight of all its
-words.  A word counts as covered if some window around it is contained to at least ``CONTAINED``,
-and a unit is residue if at least ``COVERED`` of its weight is.
-
-Numbers and request ids weigh nothing.  Null, empty and blank texts are no residue; texts are taken
-whole at any length; equal documents are judged alike.
+Exemplars (``exemplars``) are short passages of known residue with a label each.  Texts are cut into
+units (``cells.units``); placeholders, failed-request numbers and names of things that vary (paths,
+addresses, ids) are written alike, and words are taken as a reader sees them.  Of every document two
+things are gathered in one pass: the document frequency of each exemplar word, over all documents,
+and the units that may be residue.  The frequencies give TF-IDF weights.  An inverted index from words
+to exemplars retrieves a unit's exemplars; those of which the unit holds at least ``CUE`` of the weight
+tell which labels it may have.  For each passage window of the unit, containment is the weight of its
+words among the words of such a label's exemplars over the weight of all its words.  A word is covered
+if some window around it is contained to at least ``CONTAINED``, and a unit is residue if at least
+``COVERED`` of its weight is.
+
+A word of no exemplar weighs as much as the rarest word, so a unit of which more than 1 - COVERED of
+the words are such can't be covered to COVERED: leaving those out in the first pass loses nothing.
+A placeholder stands for text around it: up to ``REACH`` words on each side count as template.  Beside
+two or more words of filler Latin, words with Latin endings count as filler too.
+
+Numbers, ids, paths and addresses weigh nothing; code spans are no placeholders.  Null, empty and
+blank texts are no residue; texts are taken whole at any length; equal documents are judged alike.
 """
 
 from __future__ import annotations
@@ -26,149 +32,138 @@ from pyspark.sql import functions as F
 
 from gyrolith.llm.bpe import chunks_by_bytes
 from gyrolith.llm.cells import units
+from gyrolith.llm.exemplars import COMMON, EXEMPLARS, LATIN, LISTS
 from gyrolith.llm.leaks import Lexicon, text_words
 from gyrolith.llm.visible import visible
 from gyrolith.session import durable, ship
 
-CONTAINED, COVERED, KNOWN = 0.8, 0.85, 0.6
-WINDOW = 10
+CUE, CONTAINED, COVERED = 0.7, 0.8, 0.85
+WINDOW, REACH = 10, 4
 CHUNK_BYTES = 8 << 20
 
-# fixed values: what templates ask for
-FIELDS = "title author date version license section project metric dataset summary contact owner name description topic subject email abstract"
-# fixed values: reason phrases of failed requests
-REASONS = (
-    "bad request unauthorized payment required forbidden not found method not allowed not acceptable request timeout conflict gone too many requests "
-    "internal server error not implemented bad gateway service unavailable gateway timeout"
-)
-# fixed values: words of placeholder Latin, true and mock
-LATIN = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis "
-    "nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat "
-    "nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
-    "arcu augur cras eget finis fusce leo ligula mora nunc ornat porta pulvis quam sem tellis vela vitae"
-)
-
-#: Labelled exemplars, all residue.  FIELD, REASON and LATIN stand for the word lists above, SLOT for any placeholder,
-#: each * for a word of no exemplar.
-EXEMPLARS = [
-    # templates never filled in
-    "SLOT",
-    "Prepared by SLOT on SLOT",
-    "This notebook loads SLOT and reports SLOT",
-    "Dear SLOT, the run of SLOT used SLOT",
-    "FIELD SLOT",
-    "TBD FIELD",
-    "Your FIELD goes here. Replace this paragraph with your own text.",
-    "Your text goes here",
-    "Type your FIELD here",
-    "Insert your FIELD here",
-    "Enter your FIELD here",
-    "Write a short description of the FIELD in this cell",
-    "Add a description of the FIELD here",
-    "YOUR ANSWER HERE",
-    "YOUR CODE HERE",
-    "Section title. Subtitle text. Body text body text body text.",
-    "New section",
-    "Untitled section",
-    "Untitled notebook",
-    "Heading. Some text about the topic goes here. Item one. Item two. Item three.",
-    "placeholder text, to be written",
-    "Double-click to edit this cell and describe what you did",
-    "Click here to add text",
-    "Escriba aquí su texto",
-    "Hier Beschreibung einfügen",
-    "Hier Text eingeben",
-    "Remplacez ce texte par votre description",
-    "Inserisci qui il testo",
-    "Введите текст здесь",
-    "Вставьте описание сюда",
-    "ここに説明を書いてください",
-    "在此输入文字",
-    "在此处填写说明",
-    # filler
-    "LATIN",
-    "foo bar baz qux",
-    "xxx",
-    "asdf qwerty",
-    "the quick brown fox jumps over the lazy dog",
-    # error pages and failed fetches
-    "REASON. We could not fetch this notebook. Try again later. Request",
-    "REASON. The path * * * ipynb was not served. *",
-    "error message REASON status code request id detail",
-    "HTTP error REASON",
-    "Error. Return to the start page.",
-    "Sorry, something went wrong. Reload?",
-    "Something went wrong. Please try again later.",
-    "Oops! This notebook has moved or was removed.",
-    "Oops! This page could not be found.",
-    "The page you requested does not exist or has been moved.",
-    "Access denied. You do not have permission to open * *. Sign in or ask the owner. Reference",
-    "Upstream timed out after s. The rendering backend did not answer.",
-    "Page introuvable : le cahier n'existe plus",
-    "Seite nicht gefunden. Das Notizbuch wurde verschoben oder gelöscht.",
-    "No se ha encontrado la página solicitada",
-    "Pagina non trovata",
-    "Страница не найдена",
-    "Запрошенная страница не существует",
-    "お探しのページは見つかりません",
-    "您访问的页面不存在",
-    # scripts needed
-    "You need to enable JavaScript to run this notebook",
-    "You need to enable JavaScript to run this app",
-    "Please enable JavaScript to continue",
-    "JavaScript is disabled in your browser; the widget can't be shown",
-    "Turn on JavaScript to see this output",
-    "Your browser does not run scripts. Open this notebook in another viewer.",
-    "This viewer needs scripting turned on. Please allow JavaScript and reload.",
-    "Loading widget... (scripts are blocked, nothing to display)",
-    "Active JavaScript para ver este cuaderno",
-    "Bitte aktivieren Sie JavaScript, um diese Ausgabe zu sehen",
-    "Veuillez activer JavaScript pour afficher ce contenu",
-    "Для просмотра включите JavaScript",
-    "この出力を表示するにはJavaScriptを有効にしてください",
-    "请启用JavaScript以查看此内容",
-]
-
-SLOT = "placeholderslot"
+#: Words that stand for a placeholder, a failed request's number, and a word of filler Latin.
+SLOT, CODE, MOCK = "placeholderslot", "failedrequestcode", "fillerlatinword"
+_LEVELS = "INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL|CRITICAL|OK|FAIL|FAILED|PASS|PASSED|DONE|NOTE|TODO|SKIP|SKIPPED|CLS|SEP|PAD|MASK|UNK|BOS|EOS"
 # fixed values: the ways templates write a placeholder
 _SLOTS = re.compile(
-    r"\{\{[^{}\n]+\}\}|\{%[^{}\n]+%\}(?:\{% ?end\w* ?%\})?|[$#]\{[^{}\n]+\}|<%=?[^<>%\n]+%>|<<[^<>\n]+>>|<[A-Z][A-Z_ ]{2,}>"
-    r"|\[[A-Z][A-Z_ ]{2,}\]|<(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd) [^<>\n]+>|\[(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd) [^\[\]\n]+\]"
-    r"|\((?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd) \w{3,}(?: here)?\)|%%\w{3,}%%|%[A-Za-z_]{3,}%|__[A-Z][A-Z_]{2,}__|@@\w{3,}@@|«\s*\w{3,}\s*»"
-    r"|(?<![\w^\\$#{])\{[A-Za-z_]{3,}\}|\$[A-Za-z_]{3,}\$|\bxx[A-Za-z]{3,}xx\b"
+    r"\{\{[^{}`\n]*[^\W\d][^{}`\n]*\}\}|\{%[^{}`\n]+%\}|[$#]\{[^{}`\n]+\}|<%=?[^<>%`\n]+%>|<<[^<>`\n]+>>"
+    rf"|<(?!(?:{_LEVELS})>)[A-Z][A-Z_ -]+>|\[(?!(?:{_LEVELS})\])[A-Z][A-Z_ -]+\]"
+    r"|<(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd|[Tt]ype|[Nn]ame of) [^<>\n]+>|\[(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd|[Tt]ype|[Nn]ame of) [^\[\]\n]+\]"
+    r"|\((?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd) \w+(?: \w+){0,3}\)|%%\w{2,}%%|%[A-Za-z_]{3,}%|__[A-Z][A-Z_]+__|@@\w{2,}@@|«\s*\w{2,}\s*»"
+    r"|(?<![\w^\\$#{])\{[A-Za-z_]{2,}\}|\$[A-Za-z_]{4,}\$|\bxx[A-Za-z]{3,}xx\b"
 )
 _X = re.compile(r"\bx{3,}\b", re.I)
+_SPAN = re.compile(r"`[^`\n]+`")
+_STATUS = re.compile(r"(?<![\w.])[45]\d\d(?![\w.]\w)")
+# fixed values: addresses, paths, mails, program versions, hexadecimal ids
+_NAMES = re.compile(r"https?://[^\s<>\"']+|\b[\w.+-]+@[\w-]+\.[\w.]+|(?<!<)/?(?:[\w.~-]+/)+[\w.~-]*|(?<![\w<])/[\w.~-]+|\b[\w-]+\.(?:ipynb|py|html?|php|json|csv|txt|md|com|org|net|io)\b")
+_CJK = re.compile("([\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3])")
+_LATIN_END = re.compile(r"[a-z]*(?:a|ae|am|as|at|em|en|er|es|et|i|is|it|o|or|os|u|um|unt|ent|ant|ur|us|ix|ex|ax)")
+_LATIN = frozenset(LATIN.split()) - frozenset(COMMON.split()) - {"error", "class", "integer", "sit", "do"}
 
 
 def canonical(unit: str) -> str:
-    """A unit with placeholders and blanked words written alike, as a reader sees it."""
-    unit = visible(_SLOTS.sub(f" {SLOT} ", unit))
-    return _X.sub("xxx", unit) if "xxx" in unit or "XXX" in unit else unit
+    """A unit with what varies written alike, as a reader sees it."""
+    if "`" in unit:
+        unit = _SPAN.sub(" codespan ", unit)
+    unit = _SLOTS.sub(f" {SLOT} ", unit)
+    if "/" in unit or "." in unit:
+        unit = _NAMES.sub(" ", unit)
+    unit = visible(unit)
+    if _STATUS.search(unit):
+        unit = _STATUS.sub(f" {CODE} ", unit)
+    if "xxx" in unit or "XXX" in unit:
+        unit = _X.sub("xxx", unit)
+    if not unit.isascii():
+        unit = _CJK.sub(r" \1 ", unit)
+    low = unit.lower()
+    if ("ipsum" in low or "dolor" in low or "amet" in low) and sum(w in _LATIN for w in set(re.findall("[a-z]+", low))) >= 2:
+        unit = re.sub("[a-z]+", lambda m: MOCK if m[0] in _LATIN or len(m[0]) > 2 and _LATIN_END.fullmatch(m[0]) else m[0], low)
+    return unit
 
 
 class Exemplars:
-    """The exemplars' lexicon and the inverted index from its words to exemplars."""
+    """The exemplars' lexicon, which words each label has, and the inverted index from words to exemplars."""
 
-    def __init__(self, texts: list[str] = EXEMPLARS) -> None:
-        full = [t.replace("SLOT", SLOT).replace("FIELD", FIELDS).replace("REASON", REASONS).replace("LATIN", LATIN) for t in texts]
-        raw, start, size, doc = text_words([visible(t) for t in full])
-        data = raw.tobytes()
-        spans = [data[a : a + n] for a, n in zip(start.tolist(), size.tolist())]
-        self.lexicon = Lexicon(sorted(set(spans)))
-        self.n = len(full)
-        self.free = np.array([t.count("*") for t in texts])
-        self.has = np.zeros((len(self.lexicon.words) + 1, self.n), bool)  # posting lists, as rows
-        for s, d in zip(spans, doc.tolist()):
-            self.has[self.lexicon.symbol[s], d] = True
-        # what is an exemplar's own: its words outside the lists it may draw on
-        plain = [t.replace("FIELD", "").replace("REASON", "").replace("LATIN", "") for t in texts]
-        raw, start, size, doc = text_words([visible(t) for t in plain])
+    def __init__(self, texts: dict[str, list[str]] = EXEMPLARS) -> None:
+        self.labels = list(texts)
+        special = {"SLOT": [SLOT], "CODE": [CODE]}
+        named = {k: self._words(v) for k, v in LISTS.items()} | special
+        flat = [(k, t) for k, label in enumerate(self.labels) for t in texts[label]]
+        self.label = np.array([k for k, _ in flat])
+        parts: list[list[list[str]]] = []  # an exemplar is a list of alternatives
+        for _, t in flat:
+            parts.append([])
+            for token in t.split():
+                options = [w for one in token.split("|") for w in (named[one.strip(",.:")] if one.strip(",.:") in named else self._words(one))]
+                if len(token.split("|")) == 1 and token.strip(",.:") not in named:
+                    parts[-1] += [[w] for w in options]
+                elif options:
+                    parts[-1].append(options)
+        common = self._words(COMMON)
+        lists = {"template": ["FIELD", "WRITE"], "error": ["THING", "FETCH", "GONE", "REASON"], "scripts": ["THING", "SCRIPT", "ENABLE"]}
+        words = sorted({w for e in parts for g in e for w in g} | set(common) | {w for v in named.values() for w in v} | {MOCK})
+        self.lexicon = Lexicon([w.encode() for w in words])
+        at = {w: k + 1 for k, w in enumerate(words)}
+        self.slot, size = at[SLOT], len(words) + 1
+        self.has = np.zeros((size, len(self.labels)), bool)
+        self.has[[at[w] for w in common]] = True
+        for e, k in zip(parts, self.label):
+            self.has[[at[w] for g in e for w in g], k] = True
+        for k, label in enumerate(self.labels):
+            self.has[[at[w] for n in lists.get(label, []) for w in named[n]], k] = True
+        if "filler" in self.labels:
+            self.has[at[MOCK], self.labels.index("filler")] = True
+        # alternatives as rows of a table: which exemplar, which words
+        self.group_of, self.members = [], []
+        for n, e in enumerate(parts):
+            for g in {tuple(sorted(set(g))) for g in e}:
+                self.group_of.append(n)
+                self.members.append(np.array([at[w] for w in g]))
+        if "filler" in self.labels:
+            self.label = np.r_[self.label, self.labels.index("filler")]
+            self.group_of.append(len(parts))
+            self.members.append(np.array([at[MOCK]]))
+        self.group_of = np.array(self.group_of)
+        self.flat = np.concatenate(self.members)
+        self.first = np.cumsum([0, *map(len, self.members)])[:-1]
+        # inverted index: exemplars of a word
+        owner = np.repeat(self.group_of, [len(m) for m in self.members])
+        order = np.argsort(self.flat, kind="stable")
+        self.posting, self.post_at = owner[order], np.searchsorted(self.flat[order], np.arange(size + 1))
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        raw, start, size, _ = text_words([_CJK.sub(r" \1 ", visible(text))])
         data = raw.tobytes()
-        self.own = np.zeros_like(self.has)
-        for a, n, d in zip(start.tolist(), size.tolist(), doc.tolist()):
-            self.own[self.lexicon.symbol.get(data[a : a + n], 0), d] = True
-        self.own[0] = False
+        return [data[a : a + n].decode() for a, n in zip(start.tolist(), size.tolist())]
+
+    def retrieved(self, symbols: np.ndarray) -> np.ndarray:
+        """Exemplars that share a word with a unit."""
+        some = [self.posting[self.post_at[x] : self.post_at[x + 1]] for x in np.unique(symbols[symbols > 0])]
+        return np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64)
+
+    def cues(self, symbols: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Per label whether the unit holds most of some exemplar."""
+        out = np.zeros(len(self.labels), bool)
+        mine = self.retrieved(symbols)
+        if not len(mine):
+            return out
+        present = np.zeros(len(weight), bool)
+        present[symbols] = True
+        of = np.flatnonzero(np.isin(self.group_of, mine))
+        whole = np.add.reduceat(weight[self.flat], self.first)[of] / np.array([len(self.members[k]) for k in of])
+        held = np.logical_or.reduceat(present[self.flat], self.first)[of]
+        total = np.bincount(self.group_of[of], whole, len(self.label))
+        got = np.bincount(self.group_of[of], whole * held, len(self.label))
+        # one word holds one part of an exemplar only
+        parts = np.bincount(self.group_of[of], held, len(self.label))
+        words = np.unique(symbols[symbols > 0])
+        lists = np.concatenate([np.unique(self.posting[self.post_at[x] : self.post_at[x + 1]]) for x in words])
+        distinct = np.bincount(lists, minlength=len(self.label))
+        got = got * np.minimum(1.0, distinct / np.maximum(parts, 1))
+        np.logical_or.at(out, self.label, (total > 0) & (got >= CUE * total))
+        return out
 
 
 def _weightless(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -183,8 +178,17 @@ def _weightless(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
     return out
 
 
+def _near_slots(symbols: np.ndarray, slot: int) -> np.ndarray:
+    """Words within REACH of a placeholder."""
+    at = np.flatnonzero(symbols == slot)
+    edge = np.zeros(len(symbols) + 1, np.int64)
+    np.add.at(edge, np.maximum(at - REACH, 0), 1)
+    np.add.at(edge, np.minimum(at + REACH + 1, len(symbols)), -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
 def survey(texts: list[str], ex: Exemplars) -> tuple[np.ndarray, list[tuple[int, list[int]]]]:
-    """Documents that hold each exemplar word, and the units made mostly of such words."""
+    """Documents that hold each exemplar word, and the units that words of no exemplar leave possible."""
     flat, owner = [], []
     for k, t in enumerate(texts):
         for u in units(t):
@@ -200,36 +204,39 @@ def survey(texts: list[str], ex: Exemplars) -> tuple[np.ndarray, list[tuple[int,
     doc = np.array(owner)[unit]
     pair = np.unique(doc * len(df) + sym)
     df += np.bincount(pair % len(df), minlength=len(df))
+    known = sym > 0
+    if (sym == ex.slot).any():
+        # a separator's worth of room between units, so that none reaches into the next
+        wide = np.zeros(len(sym) + (REACH + 1) * len(flat), np.int64)
+        place = np.arange(len(sym)) + (REACH + 1) * unit
+        wide[place] = sym
+        known = known | _near_slots(wide, ex.slot)[place]
     total = np.bincount(unit, minlength=len(flat))
-    known = np.bincount(unit[sym > 0], minlength=len(flat))
-    pick = np.flatnonzero((known > 0) & (known >= KNOWN * total))
+    known = np.bincount(unit[known], minlength=len(flat))
+    pick = np.flatnonzero((known > 0) & (known >= COVERED * total))
     first = np.searchsorted(unit, np.arange(len(flat) + 1))
     return df, [(owner[u], sym[first[u] : first[u + 1]].tolist()) for u in pick.tolist()]
 
 
-def coverage(symbols: np.ndarray, weight: np.ndarray, ex: Exemplars, window: int = WINDOW, contained: float = CONTAINED) -> float:
-    """Share of a unit's weight that lies in windows an exemplar contains."""
+def coverage(symbols: np.ndarray, weight: np.ndarray, ex: Exemplars) -> float:
+    """Share of a unit's weight that lies in windows contained in the exemplars of a label it has a cue of."""
     w = weight[symbols]
-    known = symbols > 0
-    some = np.flatnonzero(ex.has[symbols].any(axis=0))  # what the inverted index retrieves
-    if not len(some) or not w.sum():
+    if not w.sum():
+        return 0.0
+    labels = np.flatnonzero(ex.cues(symbols, weight))
+    if not len(labels):
         return 0.0
-    size = min(window, len(symbols))
+    size = min(WINDOW, len(symbols))
     sums = lambda x: np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
     over = lambda s: s[size:] - s[:-size]
-    hit = over(sums(ex.has[symbols][:, some] * w[:, None]))
-    # an exemplar's free words count only where most of its own words are there
-    present = np.zeros(len(weight), bool)
-    present[symbols] = True
-    own = weight @ ex.own[:, some]
-    mine = (weight * present) @ ex.own[:, some]
-    free = np.where(mine >= contained * np.maximum(own, 1e-9), ex.free[some], 0)
-    free = np.minimum(over(sums((~known).astype(float)))[:, None], free) * weight[0]
-    good = np.flatnonzero((hit + free).max(axis=1) >= contained * over(sums(w)))
+    inside = ex.has[symbols][:, labels]
+    if "template" in ex.labels:
+        inside = inside | (_near_slots(symbols, ex.slot)[:, None] & (labels == ex.labels.index("template")))
+    good = np.flatnonzero((over(sums(inside * w[:, None])) >= CONTAINED * over(sums(w))[:, None] - 1e-9).any(axis=1))
     edge = np.zeros(len(symbols) + 1)
     np.add.at(edge, good, 1)
     np.add.at(edge, good + size, -1)
-    covered = np.cumsum(edge)[:-1] > 0
+    covered = (np.cumsum(edge)[:-1] > 0) & inside.any(axis=1)
     return float((w * covered).sum() / w.sum())
 
 
@@ -263,8 +270,8 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     weight = np.zeros(size)
     for r in table:
         weight[r.s] = np.log1p(r.n / (1 + r.c))
-    outside = float(np.log1p(max([r.n for r in table], default=1)))  # a word of no exemplar weighs as a rare one
-    weight[0] = min(outside, float(weight[1:].max()) if table else outside)
+    # a word of no exemplar weighs as the rarest
+    weight[0] = max(float(np.log1p(max([r.n for r in table], default=1))), float(weight[1:].max()))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ex = Exemplars()

@@ -29,12 +29,15 @@ LISTS = {
         "upgrade required too many requests unavailable for legal reasons internal server error not implemented bad gateway service unavailable gateway timeout"
     ),
     "SCRIPT": "javascript js script scripts scripting",
+    "SUPPORT": "support supports supported supporting",
     "ENABLE": "enable enabled enabling turn turned switch switched activate activated allow allowed permit use run on",
     "WRITE": "write add insert enter type put paste describe fill provide replace edit give explain summarize state include specify define",
     "FIELD": (
         "title subtitle heading headline author authors name date version license section project metric dataset summary contact owner description topic subject email abstract "
         "text content paragraph caption comment comments note notes answer code solution conclusion introduction overview background goal objective purpose results findings details "
-        "instructions example question task company team address phone image logo label slide page document"
+        "instructions example question task company team address phone image logo label slide page document cell column row value figure chart plot graph table method methods model experiment hypothesis "
+        "observation observations reasoning thoughts thought explanation analysis interpretation discussion approach idea ideas plan progress contribution contributions motivation hypothesis limitation limitations reference references item list bullet point sentence sentences word words file path link number id "
+        "category keyword keywords tag tags argument parameter function variable step steps problem data input output report story message reply greeting signature affiliation institution department biography bio paper article essay draft student course class grade signature quote keyword title"
     ),
 }
 
@@ -43,6 +46,12 @@ COMMON = (
     "a an the this that these those it its is are was were be been being am has have had do does did don doesn didn can couldn cannot could may might must should will would won isn aren wasn t s re ve ll m "
     "not no you your yours we our us i my me they their there here in on at to of for from by with without and or but if when while as so than then also any all some more most other another "
     "only just too very what which who how where why please sorry oops hello dear thank thanks regards back again later now up out off into about after before during because due via per "
+    "die der das ein eine ist wurde und oder bitte sie sie es um diese dieser zu zur in im mit für auf den dem nicht haben hat wenn noch "
+    "la le les un une est a été et ou que qui vous nous votre pour ce cette ces de du des en dans sur pas ne plus l d n au aux si avez demandée demandé "
+    "el los las una es ha sido y o que usted su por favor para este esta del al en no si lo se solicitada solicitado "
+    "il lo gli una è stato e o che per favore questa questo di da non si del della "
+    "o os as um uma é foi e ou que você seu sua por favor para este esta do da em não se "
+    "или и не в на для была был это вы ваш пожалуйста что с по если запрошенная "
     "http https www html head body title doctype meta charset utf div span class href br hr lang en style center h1 h2 h3 true false null"
 )
 
@@ -59,7 +68,26 @@ EXEMPLARS: dict[str, list[str]] = {
         "WRITE FIELD here|below",
         "WRITE something here|below",
         "WRITE a short|brief FIELD of your|the FIELD",
-        "Write one|two|few sentences|paragraph about|describing your FIELD",
+        "WRITE a|an FIELD of|for your|this FIELD",
+        "WRITE your own FIELD",
+        "WRITE in your FIELD",
+        "fill in the FIELD|blank|blanks",
+        "FIELD goes here",
+        "FIELD here",
+        "this FIELD is intentionally left blank|empty",
+        "this FIELD needs|requires a FIELD",
+        "FIELD not yet written|available|provided",
+        "no FIELD provided|yet|available",
+        "describe in one|two|your words|sentences|sentence the FIELD",
+        "what did you find|learn|observe|conclude",
+        "in your own words",
+        "WRITE the FIELD in your own words",
+        "replace|substitute with a|your FIELD",
+        "draft, FIELD to be added|written",
+        "WRITE your FIELD and FIELD",
+        "remove|delete this FIELD before|when submitting|publishing|done",
+        "Write one|two|three|few sentences|paragraph about|describing your FIELD",
+        "WRITE your FIELD in one|two|three|few sentences|words|paragraph|lines",
         "TODO WRITE FIELD",
         "TODO finish|complete|fill",
         "TBD FIELD",
@@ -94,7 +122,8 @@ EXEMPLARS: dict[str, list[str]] = {
         "Describe what you did in this cell and why",
         "Explain your reasoning here",
         "Escriba|Introduzca|Inserte aquí su texto|título|descripción",
-        "Hier Text|Beschreibung|Titel eingeben|einfügen",
+        "Text|Beschreibung|Titel hier eingeben|einfügen|ergänzen", "Ihr|Ihren|Dein Text|Titel|Name hier",
+        "votre texte|titre|nom ici", "écrivez|décrivez|ajoutez ici votre texte|description", "escriba|describa|añada aquí su|una descripción|texto", "su|tu texto|título|nombre aquí",
         "Ersetzen Sie diesen Text durch Ihren eigenen",
         "Remplacez ce texte par votre description",
         "Saisissez|Insérez votre texte|titre|description ici",
@@ -105,7 +134,9 @@ EXEMPLARS: dict[str, list[str]] = {
     ],
     "filler": [
         "lorem ipsum",
-        "foo bar baz qux quux",
+        "foo bar",
+        "bar baz",
+        "foo baz|qux|quux",
         "asdf qwerty",
         "blah blah blah",
         "xxx",
@@ -119,7 +150,13 @@ EXEMPLARS: dict[str, list[str]] = {
     "error": [
         "CODE REASON",
         "error CODE REASON",
-        "status CODE message error REASON code detail reason type title timestamp path request id success documentation",
+        "status CODE error REASON",
+        "timestamp status CODE error REASON message path",
+        "error code CODE message REASON",
+        "message REASON documentation url status",
+        "code CODE reason REASON",
+        "success error REASON",
+        "type title REASON status CODE detail instance",
         "error message REASON detail",
         "detail not found",
         "message status code request id",
@@ -136,8 +173,41 @@ EXEMPLARS: dict[str, list[str]] = {
         "The server is temporarily unable to service your request due to maintenance downtime or capacity problems",
         "The proxy server received an invalid response from an upstream server",
         "The gateway did not receive a timely response from the upstream server or application",
-        "The origin|upstream|backend|web THING timed out|down, did not answer|respond to this request after seconds",
-        "connection|request|gateway timed out|timeout",
+        "THING timed out",
+        "THING did not answer|respond|reply|start",
+        "THING is|are down|offline|unreachable|overloaded|restarting",
+        "THING is|are temporarily|currently unavailable|down",
+        "THING is|are under|undergoing maintenance",
+        "permission denied",
+        "access denied|forbidden|refused|restricted",
+        "not authorized|authorised|allowed|permitted to FETCH this THING",
+        "request rejected|blocked|refused|denied|cancelled",
+        "connection refused|reset|closed|lost",
+        "this THING is private|restricted|unavailable|gone",
+        "this THING does not exist",
+        "this THING cannot|could be FETCH",
+        "THING not found",
+        "THING unavailable",
+        "nothing here|found|to show|display|see",
+        "the THING you are|were looking for GONE",
+        "wrong|broken|dead|invalid link|address|url",
+        "check the address|url|link|spelling|connection and try again",
+        "try again in a few minutes|moments|seconds",
+        "wait a moment and reload|refresh|retry",
+        "ask|contact the owner|author|administrator|support for access|help",
+        "sign|log in to continue|view|see",
+        "our team|engineers has|have been notified|informed",
+        "you have been logged|signed out",
+        "too many requests, wait a few seconds|minutes and retry",
+        "down for scheduled|planned maintenance|upgrade",
+        "we will be back|online shortly|soon",
+        "we are working on it|fixing this|the problem",
+        "return|go to the THING",
+        "THING timed out",
+        "THING timeout",
+        "error occurred|happened",
+        "an error occurred|happened while FETCH THING",
+        "not available|accessible in your region|country|area",
         "Checking your browser before accessing, this process is automatic, your browser will redirect shortly",
         "Performance and security by, ray id, your ip",
         "Guru meditation cache server, backend fetch failed",
@@ -168,7 +238,16 @@ EXEMPLARS: dict[str, list[str]] = {
         "go|return|back to the start|home|previous|main page|homepage",
         "try reloading|refreshing the page or contact support if the problem persists",
         "request|reference|error|trace|correlation id",
-        "Seite|Datei|Dokument nicht gefunden|verfügbar",
+        "we are experiencing|having technical difficulties|problems|issues",
+        "come|check back later|soon|shortly",
+        "technical difficulties|problems",
+        "Seite|Datei|Dokument nicht gefunden|verfügbar|erreichbar",
+        "Seite|Datei|Dokument|Daten|Inhalt konnte|konnten|kann|können nicht gefunden|geladen|angezeigt werden",
+        "Seite|Datei|Dokument existiert nicht mehr", "Seite|Datei|Dokument wurde verschoben|gelöscht|entfernt",
+        "Etwas ist schiefgelaufen", "Bitte versuchen Sie es später erneut|noch einmal", "Zurück zur Startseite", "Ein Fehler ist aufgetreten",
+        "page|fichier|document est introuvable|indisponible", "page|fichier|document n existe plus", "page|fichier|document a été déplacé|déplacée|supprimé|supprimée", "veuillez réessayer plus tard", "retour à l accueil", "impossible de charger la|le page|fichier|document",
+        "página|archivo|documento no existe|encontrada|encontrado|disponible", "página|archivo|documento ha sido|fue movida|eliminada|borrada", "inténtelo|vuelva|intente a intentarlo de nuevo más tarde", "volver al inicio", "no se pudo cargar la|el página|archivo",
+        "страница|файл|документ не существует|найдена|найден|доступна", "страница|файл была|был удалена|удалён|перемещена", "что-то пошло не так", "попробуйте позже|снова",
         "Die angeforderte Seite existiert nicht, wurde verschoben oder gelöscht, versuchen Sie es später erneut",
         "Zugriff verweigert", "Interner Serverfehler",
         "Page|Fichier|Document introuvable|supprimé|déplacé",
@@ -190,6 +269,7 @@ EXEMPLARS: dict[str, list[str]] = {
         "this THING requires|needs|uses SCRIPT",
         "SCRIPT is|are required|needed|necessary to view|use|run this THING properly",
         "SCRIPT must be ENABLE",
+        "this THING works only with SCRIPT ENABLE",
         "SCRIPT is|are disabled|off|blocked|unavailable in your browser|viewer",
         "your browser|viewer does not support|run|allow|execute SCRIPT",
         "your browser has SCRIPT disabled|blocked|off",
@@ -204,6 +284,17 @@ EXEMPLARS: dict[str, list[str]] = {
         "If you are reading this message in another frontend, for example a static rendering or viewer, it may mean that your frontend does not currently support widgets",
         "open this THING in another|different|modern browser|viewer that supports SCRIPT",
         "noscript",
+        "SCRIPT off|disabled|blocked|required|needed",
+        "ENABLE SCRIPT",
+        "without SCRIPT this THING cannot|not be FETCH",
+        "this THING is|are interactive|dynamic and needs|requires SCRIPT",
+        "ENABLE it in your browser settings|preferences and reload|refresh",
+        "the THING needs|requires a browser with SCRIPT",
+        "SCRIPT are|is not allowed|permitted|running|supported|available here",
+        "this THING can only be FETCH with SCRIPT",
+        "aktivieren Sie JavaScript in Ihrem Browser", "JavaScript muss aktiviert sein|werden", "Diese Seite benötigt|erfordert JavaScript",
+        "veuillez activer JavaScript pour continuer", "activer JavaScript dans votre navigateur", "cette|ce page|site nécessite JavaScript",
+        "habilite|active|activa JavaScript en su|tu navegador", "esta|este página|sitio requiere|necesita JavaScript", "включите JavaScript в браузере", "эта страница требует JavaScript",
         "Bitte aktivieren|erlauben Sie JavaScript, um diese Seite|Ausgabe|Anwendung zu sehen|nutzen|verwenden|sehen",
         "JavaScript ist in Ihrem Browser deaktiviert",
         "Veuillez|Activez activer JavaScript pour afficher|utiliser|continuer cette|ce page|contenu|site|application",

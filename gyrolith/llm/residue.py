@@ -6,13 +6,15 @@ addresses, ids) are written alike, and words are taken as a reader sees them.  O
 things are gathered in one pass: the document frequency of each exemplar word, over all documents,
 and the units that may be residue.  The frequencies give TF-IDF weights.  An inverted index from words
 to exemplars retrieves a unit's exemplars; those of which the unit holds at least ``CUE`` of the weight
-tell which labels it may have.  For each passage window of the unit, containment is the weight of its
+and ``PARTS`` of the words tell which labels it may have.  For each passage window of the unit, containment is the weight of its
 words among the words of such a label's exemplars over the weight of all its words.  A word is covered
 if some window around it is contained to at least ``CONTAINED``, and a unit is residue if at least
 ``COVERED`` of its weight is.
 
-A word of no exemplar weighs as much as the rarest word, so a unit of which more than 1 - COVERED of
-the words are such can't be covered to COVERED: leaving those out in the first pass loses nothing.
+A word of no exemplar weighs ``UNKNOWN`` times the rarest word; one of them is taken for the thing a
+message is about, where an exemplar has a list of things of which the unit names none.  A unit with
+more other unknown words than ``_possible`` allows can't be covered to ``COVERED``, whatever the
+weights: leaving those out in the first pass loses nothing.
 A placeholder stands for text around it: up to ``REACH`` words on each side count as template.  Beside
 two or more words of filler Latin, words with Latin endings count as filler too.
 
@@ -37,48 +39,58 @@ from gyrolith.llm.leaks import Lexicon, text_words
 from gyrolith.llm.visible import visible
 from gyrolith.session import durable, ship
 
-CUE, CONTAINED, COVERED = 0.7, 0.8, 0.85
+CUE, PARTS, CONTAINED, COVERED = 0.7, 0.6, 0.8, 0.8
+#: What a word of no exemplar weighs, as a share of the rarest word.
+UNKNOWN = 0.85
 WINDOW, REACH = 10, 4
 CHUNK_BYTES = 8 << 20
 
 #: Words that stand for a placeholder, a failed request's number, and a word of filler Latin.
 SLOT, CODE, MOCK = "placeholderslot", "failedrequestcode", "fillerlatinword"
 _LEVELS = "INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL|CRITICAL|OK|FAIL|FAILED|PASS|PASSED|DONE|NOTE|TODO|SKIP|SKIPPED|CLS|SEP|PAD|MASK|UNK|BOS|EOS"
-# fixed values: the ways templates write a placeholder
-_SLOTS = re.compile(
-    r"\{\{[^{}`\n]*[^\W\d][^{}`\n]*\}\}|\{%[^{}`\n]+%\}|[$#]\{[^{}`\n]+\}|<%=?[^<>%`\n]+%>|<<[^<>`\n]+>>"
-    rf"|<(?!(?:{_LEVELS})>)[A-Z][A-Z_ -]+>|\[(?!(?:{_LEVELS})\])[A-Z][A-Z_ -]+\]"
-    r"|<(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd|[Tt]ype|[Nn]ame of) [^<>\n]+>|\[(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd|[Tt]ype|[Nn]ame of) [^\[\]\n]+\]"
-    r"|\((?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd) \w+(?: \w+){0,3}\)|%%\w{2,}%%|%[A-Za-z_]{3,}%|__[A-Z][A-Z_]+__|@@\w{2,}@@|«\s*\w{2,}\s*»"
-    r"|(?<![\w^\\$#{])\{[A-Za-z_]{2,}\}|\$[A-Za-z_]{4,}\$|\bxx[A-Za-z]{3,}xx\b"
-)
+_NAMED = r"(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd|[Tt]ype|[Nn]ame of)"
+# fixed values: the ways templates write a placeholder, each with what a text must hold for it
+_SLOTS = [
+    (mark, re.compile(pattern))
+    for mark, pattern in (
+        ("{", r"\{\{[^{}`\n]*[^\W\d][^{}`\n]*\}\}|\{%[^{}`\n]+%\}|[$#]\{[^{}`\n]+\}|(?<![\w^\\$#{])\{[A-Za-z_]{2,}\}"),
+        ("<", rf"<(?:%=?[^<>%`\n]+%|<[^<>`\n]+>|(?!(?:{_LEVELS})>)[A-Z][A-Z_ -]+|{_NAMED} [^<>\n]+)>"),
+        ("[", rf"\[(?:(?!(?:{_LEVELS})\])[A-Z][A-Z_ -]+|{_NAMED} [^\[\]\n]+)\]"),
+        ("(", rf"\({_NAMED} \w+(?: \w+){{0,3}}\)"),
+        ("%", r"%(?:%\w{2,}%|[A-Za-z_]{3,})%"),
+        ("__", r"\b__[A-Z][A-Z_]+__"),
+        ("@@", r"@@\w{2,}@@"),
+        ("«", r"«\s*\w{2,}\s*»"),
+        ("$", r"\$[A-Za-z_]{4,}\$"),
+        ("xx", r"\bxx[A-Za-z]{3,}xx\b"),
+    )
+]
 _X = re.compile(r"\bx{3,}\b", re.I)
 _SPAN = re.compile(r"`[^`\n]+`")
 _STATUS = re.compile(r"(?<![\w.])[45]\d\d(?![\w.]\w)")
-# fixed values: addresses, paths, mails, program versions, hexadecimal ids
-_NAMES = re.compile(r"https?://[^\s<>\"']+|\b[\w.+-]+@[\w-]+\.[\w.]+|(?<!<)/?(?:[\w.~-]+/)+[\w.~-]*|(?<![\w<])/[\w.~-]+|\b[\w-]+\.(?:ipynb|py|html?|php|json|csv|txt|md|com|org|net|io)\b")
+# fixed values: ends of file names and host names
+_ENDS = tuple(f".{x}{y}" for x in "ipynb py html htm php json csv txt md com org net io".split() for y in ("", ",", ".", ":", ";", ")", '"', '",'))
 _CJK = re.compile("([\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3])")
 _LATIN_END = re.compile(r"[a-z]*(?:a|ae|am|as|at|em|en|er|es|et|i|is|it|o|or|os|u|um|unt|ent|ant|ur|us|ix|ex|ax)")
-_LATIN = frozenset(LATIN.split()) - frozenset(COMMON.split()) - {"error", "class", "integer", "sit", "do"}
+_LATIN = sorted(set(LATIN.split()) - set(COMMON.split()) - {"error", "class", "integer", "sit", "do"})
 
 
 def canonical(unit: str) -> str:
-    """A unit with what varies written alike, as a reader sees it."""
+    """A unit with what varies written alike, as a reader sees it: no paths, addresses or mails."""
     if "`" in unit:
         unit = _SPAN.sub(" codespan ", unit)
-    unit = _SLOTS.sub(f" {SLOT} ", unit)
-    if "/" in unit or "." in unit:
-        unit = _NAMES.sub(" ", unit)
+    for mark, pattern in _SLOTS:
+        if mark in unit:
+            unit = pattern.sub(f" {SLOT} ", unit)
     unit = visible(unit)
+    if "/" in unit or "@" in unit or "." in unit:
+        unit = " ".join([t for t in unit.split() if "/" not in t and "@" not in t and not t.endswith(_ENDS)])
     if _STATUS.search(unit):
         unit = _STATUS.sub(f" {CODE} ", unit)
     if "xxx" in unit or "XXX" in unit:
         unit = _X.sub("xxx", unit)
     if not unit.isascii():
         unit = _CJK.sub(r" \1 ", unit)
-    low = unit.lower()
-    if ("ipsum" in low or "dolor" in low or "amet" in low) and sum(w in _LATIN for w in set(re.findall("[a-z]+", low))) >= 2:
-        unit = re.sub("[a-z]+", lambda m: MOCK if m[0] in _LATIN or len(m[0]) > 2 and _LATIN_END.fullmatch(m[0]) else m[0], low)
     return unit
 
 
@@ -101,11 +113,13 @@ class Exemplars:
                 elif options:
                     parts[-1].append(options)
         common = self._words(COMMON)
-        lists = {"template": ["FIELD", "WRITE"], "error": ["THING", "FETCH", "GONE", "REASON"], "scripts": ["THING", "SCRIPT", "ENABLE"]}
-        words = sorted({w for e in parts for g in e for w in g} | set(common) | {w for v in named.values() for w in v} | {MOCK})
+        lists = {"template": ["FIELD", "WRITE"], "error": ["THING", "FETCH", "GONE", "REASON"], "scripts": ["THING", "FETCH", "GONE", "SCRIPT", "ENABLE", "SUPPORT"]}
+        words = sorted({w for e in parts for g in e for w in g} | set(common) | {w for v in named.values() for w in v} | set(_LATIN) | {MOCK})
         self.lexicon = Lexicon([w.encode() for w in words])
         at = {w: k + 1 for k, w in enumerate(words)}
-        self.slot, size = at[SLOT], len(words) + 1
+        self.slot, self.mock, size = at[SLOT], at[MOCK], len(words) + 1
+        self.latin = np.zeros(size, bool)
+        self.latin[[at[w] for w in _LATIN]] = True
         self.has = np.zeros((size, len(self.labels)), bool)
         self.has[[at[w] for w in common]] = True
         for e, k in zip(parts, self.label):
@@ -113,18 +127,19 @@ class Exemplars:
         for k, label in enumerate(self.labels):
             self.has[[at[w] for n in lists.get(label, []) for w in named[n]], k] = True
         if "filler" in self.labels:
-            self.has[at[MOCK], self.labels.index("filler")] = True
+            self.has[[at[w] for w in (*_LATIN, MOCK)], self.labels.index("filler")] = True
         # alternatives as rows of a table: which exemplar, which words
+        if "filler" in self.labels:  # any two words of filler Latin
+            self.label = np.r_[self.label, self.labels.index("filler")]
+            parts.append([list(_LATIN[0::2]) + list(_LATIN[1::2]), [*_LATIN, MOCK]])
         self.group_of, self.members = [], []
         for n, e in enumerate(parts):
             for g in {tuple(sorted(set(g))) for g in e}:
                 self.group_of.append(n)
                 self.members.append(np.array([at[w] for w in g]))
-        if "filler" in self.labels:
-            self.label = np.r_[self.label, self.labels.index("filler")]
-            self.group_of.append(len(parts))
-            self.members.append(np.array([at[MOCK]]))
         self.group_of = np.array(self.group_of)
+        things = set(named["THING"]), set(named["FIELD"])
+        self.listed = np.array([any(t <= {words[m - 1] for m in g} for t in things) for g in self.members])
         self.flat = np.concatenate(self.members)
         self.first = np.cumsum([0, *map(len, self.members)])[:-1]
         # inverted index: exemplars of a word
@@ -143,12 +158,12 @@ class Exemplars:
         some = [self.posting[self.post_at[x] : self.post_at[x + 1]] for x in np.unique(symbols[symbols > 0])]
         return np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64)
 
-    def cues(self, symbols: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Per label whether the unit holds most of some exemplar."""
+    def cues(self, symbols: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Per label whether the unit holds most of some exemplar, and whether one of these lacks its thing."""
         out = np.zeros(len(self.labels), bool)
         mine = self.retrieved(symbols)
         if not len(mine):
-            return out
+            return out, False
         present = np.zeros(len(weight), bool)
         present[symbols] = True
         of = np.flatnonzero(np.isin(self.group_of, mine))
@@ -162,8 +177,10 @@ class Exemplars:
         lists = np.concatenate([np.unique(self.posting[self.post_at[x] : self.post_at[x + 1]]) for x in words])
         distinct = np.bincount(lists, minlength=len(self.label))
         got = got * np.minimum(1.0, distinct / np.maximum(parts, 1))
-        np.logical_or.at(out, self.label, (total > 0) & (got >= CUE * total))
-        return out
+        every = np.bincount(self.group_of[of], minlength=len(self.label))
+        cued = (total > 0) & (got >= CUE * total) & (np.minimum(parts, distinct) >= PARTS * every)
+        np.logical_or.at(out, self.label, cued)
+        return out, bool((cued[self.group_of[of]] & self.listed[of] & ~held).any())
 
 
 def _weightless(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -187,6 +204,11 @@ def _near_slots(symbols: np.ndarray, slot: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
+def _possible(known: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+    """Whether known words, each weighing as the rarest, can cover a unit beside its unknown ones, of which one may be a thing."""
+    return (known > 0) & (known * (1 - COVERED) >= COVERED * UNKNOWN * (unknown - 1))
+
+
 def survey(texts: list[str], ex: Exemplars) -> tuple[np.ndarray, list[tuple[int, list[int]]]]:
     """Documents that hold each exemplar word, and the units that words of no exemplar leave possible."""
     flat, owner = [], []
@@ -204,6 +226,11 @@ def survey(texts: list[str], ex: Exemplars) -> tuple[np.ndarray, list[tuple[int,
     doc = np.array(owner)[unit]
     pair = np.unique(doc * len(df) + sym)
     df += np.bincount(pair % len(df), minlength=len(df))
+    latin = np.bincount(unit[ex.latin[sym]], minlength=len(flat))
+    data = raw.tobytes()
+    for k in np.flatnonzero((latin[unit] >= 2) & (sym == 0)).tolist():
+        if _LATIN_END.fullmatch(data[start[k] : start[k] + size[k]].decode()):
+            sym[k] = ex.mock
     known = sym > 0
     if (sym == ex.slot).any():
         # a separator's worth of room between units, so that none reaches into the next
@@ -213,7 +240,7 @@ def survey(texts: list[str], ex: Exemplars) -> tuple[np.ndarray, list[tuple[int,
         known = known | _near_slots(wide, ex.slot)[place]
     total = np.bincount(unit, minlength=len(flat))
     known = np.bincount(unit[known], minlength=len(flat))
-    pick = np.flatnonzero((known > 0) & (known >= COVERED * total))
+    pick = np.flatnonzero(_possible(known, total - known))
     first = np.searchsorted(unit, np.arange(len(flat) + 1))
     return df, [(owner[u], sym[first[u] : first[u + 1]].tolist()) for u in pick.tolist()]
 
@@ -223,9 +250,12 @@ def coverage(symbols: np.ndarray, weight: np.ndarray, ex: Exemplars) -> float:
     w = weight[symbols]
     if not w.sum():
         return 0.0
-    labels = np.flatnonzero(ex.cues(symbols, weight))
+    cued, thing = ex.cues(symbols, weight)
+    labels = np.flatnonzero(cued)
     if not len(labels):
         return 0.0
+    if thing and (symbols == 0).any():
+        w[np.argmax(symbols == 0)] = 0.0
     size = min(WINDOW, len(symbols))
     sums = lambda x: np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
     over = lambda s: s[size:] - s[:-size]
@@ -270,8 +300,7 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     weight = np.zeros(size)
     for r in table:
         weight[r.s] = np.log1p(r.n / (1 + r.c))
-    # a word of no exemplar weighs as the rarest
-    weight[0] = max(float(np.log1p(max([r.n for r in table], default=1))), float(weight[1:].max()))
+    weight[0] = UNKNOWN * max(float(np.log1p(max([r.n for r in table], default=1))), float(weight[1:].max()))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ex = Exemplars()

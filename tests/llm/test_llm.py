@@ -14,7 +14,8 @@ from gyrolith.llm.fmindex import FMIndex
 from gyrolith.llm.hashing import HashTable
 from gyrolith.llm.leaks import leaked_spans, leaks_in, phrases_of
 from gyrolith.llm.nearest import XFastTrie, match_nearest
-from gyrolith.llm.residue import SLOT, canonical, find_residue
+from gyrolith.llm.residue import COVERED, SLOT, UNKNOWN, Exemplars, _possible, canonical, coverage, find_residue
+from tests.llm import heldout
 from gyrolith.llm.runs import collapse_runs
 from gyrolith.llm.visible import visible
 from tests.oracle import check
@@ -196,6 +197,31 @@ def test_long_placeholders():
         assert canonical(f"By {t}.").split() == ["By", SLOT, "."]
 
 
+def test_residue_in_unseen_wordings(spark, sf_dir):
+    """Each set was written after the exemplars it tests; README gives the figures it had then."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 100000 as doc_id", "text")
+    sets = [(heldout.RESIDUE, heldout.CONTENT), (heldout.RESIDUE_2, heldout.CONTENT_2), (heldout.RESIDUE_3, heldout.CONTENT_3)]
+    rows = [(1000 * k + i, t, i < len(yes)) for k, (yes, no) in enumerate(sets) for i, t in enumerate(yes + no)]
+    df = docs.unionByName(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"))
+    found = {r.doc_id for r in find_residue(df).where("doc_id < 100000").collect()}
+    for k in range(len(sets)):
+        yes = {i for i, _, y in rows if i // 1000 == k and y}
+        hit = {i for i in found if i // 1000 == k}
+        assert len(hit & yes) >= 0.9 * len(yes) and len(hit & yes) >= 0.9 * len(hit)
+
+
+def test_what_the_first_pass_leaves_out_could_not_be_covered():
+    rng = np.random.default_rng(3)
+    ex = Exemplars()
+    for _ in range(300):
+        known, unknown = int(rng.integers(1, 12)), int(rng.integers(0, 12))
+        sym = rng.permutation(np.r_[rng.integers(1, len(ex.lexicon.words) + 1, known), np.zeros(unknown, int)])
+        weight = rng.uniform(0.1, 9, len(ex.lexicon.words) + 1)
+        weight[0] = UNKNOWN * weight[1:].max()
+        if not _possible(np.array([known]), np.array([unknown]))[0] and not (sym == ex.slot).any():
+            assert coverage(sym, weight, ex) < COVERED
+
+
 def test_residue_and_what_only_speaks_of_it(spark):
     prose = " We smooth the noisy panel twice, then compare sensor 4 with engine 7 and keep the rest for later."
     yes = ["You need to enable JavaScript to run this notebook.", "Prepared by {{ author }} on <DATE>.", "# Data\n\nLorem ipsum dolor sit amet vela.\n\nIn [1]:\nx", "403 : Forbidden\n\nWe could not fetch this notebook. Try again later.\nRequest e352951277e2", '{"message": "Not Found", "status": 404, "request_id": "24108fbff91d"}', "<html><head><title>502 Bad Gateway</title></head><body><h1>Bad Gateway</h1><p>The path /a/b.ipynb was not served.</p><hr>gauged/3.2</body></html>", "xxxx xxxx xxxx"]

@@ -67,8 +67,11 @@ def _paragraphs(text: str) -> list[str]:
     return _BLANK.split(text)
 
 
-def units(text: str) -> list[str]:
-    """The whole text first, then its text and output units; blank ones are left out."""
+def units(text: str, with_code: bool = True) -> list[str]:
+    """The whole text first, then its text and output units; blank ones are left out.
+
+    ``with_code=False`` leaves out the whole of a text that has code.
+    """
     text = text.lstrip("﻿").replace("\r\n", "\n")
     if not text.strip():
         return []
@@ -78,19 +81,24 @@ def units(text: str) -> list[str]:
             parts = _scanned_units(text)
         whole: list[str] = []
     elif _MARK.search(text):
-        whole, parts, at, mark = [_SIGN.sub("", _MARK.sub("", text))], [], 0, ""
+        whole, parts, at, mark, code = [_SIGN.sub("", _MARK.sub("", text))], [], 0, "", False
         for m in [*_MARK.finditer(text), None]:
             body = text[at : m.start() if m else len(text)]
             if mark == "" or "markdown" in mark or mark.startswith("# +") or "raw" in mark:
                 parts += [_SIGN.sub("", body)]
+            elif body.strip():
+                code = True
             if m:
                 mark, at = m[0], m.end()
+        whole = [] if code and not with_code else whole
     elif "```" in text or "~~~" in text:
         whole, parts, at = [text], [], 0
         for m in _FENCE.finditer(text):
             parts += _paragraphs(text[at : m.start()])
             if m[2].strip().lower() in PLAIN_FENCES:
                 parts.append(m[3])
+            elif not with_code:
+                whole = []
             at = m.end()
         parts += _paragraphs(text[at:])
     else:
@@ -101,4 +109,6 @@ def units(text: str) -> list[str]:
                 parts.append(_OUT.sub("", s))
             elif not s.startswith(("In [", "In[")):
                 parts.append(p)
+            elif not with_code:
+                whole = []
     return [u for u in [*whole, *parts] if u and not u.isspace()]

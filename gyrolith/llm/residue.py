@@ -47,6 +47,9 @@ CHUNK_BYTES = 8 << 20
 
 #: Words that stand for a placeholder, a failed request's number, and a word of filler Latin.
 SLOT, CODE, MOCK = "placeholderslot", "failedrequestcode", "fillerlatinword"
+#: Names of exception classes: a trace is no message, so such a word is of no label and never a thing.
+TRACE = "nameofanexception"
+_TRACE = re.compile(r"\b[A-Za-z]\w*(?:Error|Exception|Warning)\b")
 _LEVELS = "INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL|CRITICAL|OK|FAIL|FAILED|PASS|PASSED|DONE|NOTE|TODO|SKIP|SKIPPED|CLS|SEP|PAD|MASK|UNK|BOS|EOS"
 _NAMED = r"(?:[Yy]our|[Ii]nsert|[Ee]nter|[Aa]dd|[Tt]ype|[Nn]ame of)"
 # fixed values: the ways templates write a placeholder, each with what a text must hold for it
@@ -82,6 +85,8 @@ def canonical(unit: str) -> str:
     for mark, pattern in _SLOTS:
         if mark in unit:
             unit = pattern.sub(f" {SLOT} ", unit)
+    if "Error" in unit or "Exception" in unit or "Warning" in unit:
+        unit = _TRACE.sub(TRACE, unit)
     unit = visible(unit)
     if "/" in unit or "@" in unit or "." in unit:
         unit = " ".join([t for t in unit.split() if "/" not in t and "@" not in t and not t.endswith(_ENDS)])
@@ -114,10 +119,10 @@ class Exemplars:
                     parts[-1].append(options)
         common = self._words(COMMON)
         lists = {"template": ["FIELD", "WRITE"], "error": ["THING", "FETCH", "GONE", "REASON"], "scripts": ["THING", "FETCH", "GONE", "SCRIPT", "ENABLE", "SUPPORT"]}
-        words = sorted({w for e in parts for g in e for w in g} | set(common) | {w for v in named.values() for w in v} | set(_LATIN) | {MOCK})
+        words = sorted({w for e in parts for g in e for w in g} | set(common) | {w for v in named.values() for w in v} | set(_LATIN) | {MOCK, TRACE})
         self.lexicon = Lexicon([w.encode() for w in words])
         at = {w: k + 1 for k, w in enumerate(words)}
-        self.slot, self.mock, size = at[SLOT], at[MOCK], len(words) + 1
+        self.slot, self.mock, self.trace, size = at[SLOT], at[MOCK], at[TRACE], len(words) + 1
         self.latin = np.zeros(size, bool)
         self.latin[[at[w] for w in _LATIN]] = True
         self.has = np.zeros((size, len(self.labels)), bool)
@@ -213,7 +218,7 @@ def survey(texts: list[str], ex: Exemplars) -> tuple[np.ndarray, list[tuple[int,
     """Documents that hold each exemplar word, and the units that words of no exemplar leave possible."""
     flat, owner = [], []
     for k, t in enumerate(texts):
-        for u in units(t):
+        for u in units(t, with_code=False):
             flat.append(canonical(u))
             owner.append(k)
     df = np.zeros(len(ex.lexicon.words) + 1, np.int64)
@@ -300,6 +305,7 @@ def find_residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     weight = np.zeros(size)
     for r in table:
         weight[r.s] = np.log1p(r.n / (1 + r.c))
+    weight[Exemplars().trace] = weight.max()
     weight[0] = UNKNOWN * max(float(np.log1p(max([r.n for r in table], default=1))), float(weight[1:].max()))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,9 @@ alphabet, not a filter on texts.  Over the shard's symbols an FM-index is built;
 ``words`` words of all items are searched backward through the ranks of a wavelet matrix, their
 occurrences located from sampled suffix positions, and overlapping ones merged to removal spans.
 
-A shard is a run of rows of one partition, so nothing is shuffled.  The items travel with the task
-in blocks of bounded size: a larger item table means more passes over the corpus.
+A shard is a run of rows of one partition, so nothing is shuffled.  The items are broadcast in
+blocks of bounded size, each built alone on the driver; a shard is parsed once and searched for every
+block, a task holding one at a time.
 
 Null, empty and blank texts leak nothing; items of fewer words than ``words`` are never found.  Each
 row of the corpus is judged on its own, so copies are all reported.
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -139,11 +139,19 @@ def phrases_of(items: list[tuple[int, str]], words: int) -> Phrases:
     return Phrases(lexicon, windows, first, pairs[:, 1])
 
 
+Words = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
 def leaks_in(texts: list[str], phrases: Phrases) -> list[np.ndarray]:
     """Spans in a shard: text number, item, first word, number of words, as four columns."""
+    return leaks_among(text_words([visible(t) for t in texts]), phrases)
+
+
+def leaks_among(parsed: Words, phrases: Phrases) -> list[np.ndarray]:
+    """The same of a shard's words, parsed once for all blocks of items."""
     words = phrases.windows.shape[1]
     none = [np.zeros(0, np.int64)] * 4
-    raw, start, size, doc = text_words([visible(t) for t in texts])
+    raw, start, size, doc = parsed
     if not len(start) or not len(phrases.windows):
         return none
     sym = phrases.lexicon.symbols(raw, start, size)
@@ -195,18 +203,21 @@ def leaked_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     kind = rows.dtypes[0][1]
     schema = f"`{key}` {kind}, `{item_key}` bigint, first_word bigint, n_words bigint"
 
-    def search(phrases: Phrases):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in chunks_by_bytes(batch, text, SHARD_BYTES):
-                    where, item, first, n = leaks_in(part.column(text).to_pylist(), phrases)
+    # one block of items at a time on the driver, then as a file that executors fetch
+    told_to = []
+    for b in range(blocks):
+        some = told if blocks == 1 else told.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
+        told_to.append(docs.sparkSession.sparkContext.broadcast(phrases_of([(r.k, r.t) for r in some.toLocalIterator()], words)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks_by_bytes(batch, text, SHARD_BYTES):
+                parsed = text_words([visible(t) for t in part.column(text).to_pylist()])
+                for block in told_to:
+                    where, item, first, n = leaks_among(parsed, block.value)
+                    if len(told_to) > 1:
+                        del block._value  # a task holds one block at a time; it is read again from the fetched file
                     if len(where):
                         yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(where)), pa.array(item), pa.array(first), pa.array(n)], [key, item_key, "first_word", "n_words"])
 
-        return rows.mapInArrow(run, schema)
-
-    found = []
-    for b in range(blocks):
-        some = told if blocks == 1 else told.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
-        found.append(search(phrases_of([(r.k, r.t) for r in some.collect()], words)))
-    return reduce(DataFrame.unionByName, found)
+    return rows.mapInArrow(run, schema)

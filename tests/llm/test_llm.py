@@ -166,6 +166,17 @@ def test_leaks_in_a_corpus_without_any_word_of_the_items(spark):
     assert leaked_spans(df, items).collect() == []
 
 
+def test_leaks_of_many_blocks_of_items_equal_those_of_one(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choice(vocabulary, 20))) for k in range(30)] + [(99, None)]
+    docs = [(k, " ".join([*rng.choice(vocabulary, 5), *items[k % 30][1].split()[2 : 14 + k % 3]])) for k in range(60)] + [(60, None), (61, "")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    one = sorted(map(tuple, leaked_spans(d, i).collect()))
+    monkeypatch.setattr("gyrolith.llm.leaks.ITEM_BLOCK_CHARS", 300)
+    assert one and sorted(map(tuple, leaked_spans(d, i).collect())) == one
+
+
 def test_visible_leaves_plain_text():
     assert visible("a < b and c > d") == "a < b and c > d" and visible("ÄRGER ﬁt").split() == ["ärger", "fit"]
 

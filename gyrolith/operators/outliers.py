@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gyrolith.operators.aggregates import exact_medians
-from gyrolith.operators.shards import dense_position, floats, map_group_chunks, with_halo
+from gyrolith.operators.shards import dense_position, floats, map_group_chunks, place, with_halo
 from gyrolith.session import durable
 
 BLOCK, HALO, MIN_READINGS = 4096, 64, 8
@@ -237,9 +237,8 @@ def telemetry_outliers(telemetry: DataFrame, shard_s: float = 16.0) -> DataFrame
     norm = F.sqrt(sum(F.col(c) * F.col(c) for c in "wxyz"))
     finite = ~F.isnan(norm) & norm.isNotNull()
     known = rows.where(finite & F.col("t").isNotNull() & ~F.isnan("t") & (norm > 0))
-    known = known.withColumn("__sh", F.floor(F.col("t") / F.lit(shard_s)).cast("long"))
-    known = known.repartition(*ent, "__sh").dropDuplicates([*ent, "__sh", "idx"])
-    known = dense_position(known, ent, "__sh", ["t", "idx"], "pos")
+    placed = place(known.withColumn("__sh", F.floor(F.col("t") / F.lit(shard_s)).cast("long")), ent, "__sh")
+    known = dense_position(placed.dropDuplicates([*ent, "__sh", "idx"]), ent, "__sh", ["t", "idx"], "pos", tie=placed.columns)
     bad = F.abs(norm - 1) > MAX_NORM_ERROR
     rule = Rule("q", ("w", "x", "y", "z"), sign_free=True, equal_within=1e-6, lift=3.0)
     judged = judge(known, ent, "pos", "idx", [rule], {"q": bad}).where("reason <> 'bound'")
@@ -251,13 +250,13 @@ def clean_outliers(clean: DataFrame, shard_rows: int = 8192) -> DataFrame:
     """(series_id, clip_no, idx, field 'noise' | 'light', reason) over one row per record."""
     ent, axes = ["series_id", "clip_no"], ("light_x", "light_y", "light_z")
     rows = clean.select(*ent, "idx", "noise", *axes).dropna(subset=[*ent, "idx"])
-    rows = rows.withColumn("__sh", F.floor(F.col("idx") / F.lit(shard_rows)).cast("long"))
-    rows = rows.repartition(*ent, "__sh").dropDuplicates([*ent, "__sh", "idx"])
+    placed = place(rows.withColumn("__sh", F.floor(F.col("idx") / F.lit(shard_rows)).cast("long")), ent, "__sh")
+    rows = placed.dropDuplicates([*ent, "__sh", "idx"])
     # each field is numbered without its nulls, so that a halo holds as many readings of it
     fields = ("noise", *axes)
     each = F.array(*[F.struct(F.lit(c).alias("__field"), F.col(c).cast("double").alias("__v")) for c in fields])
-    rows = rows.select(*ent, "idx", "__sh", F.inline(each)).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    rows = dense_position(rows, [*ent, "__field"], "__sh", ["idx"], "pos")
+    rows = rows.select(*ent, "idx", "__sh", *fields, F.inline(each)).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    rows = dense_position(rows, [*ent, "__field"], "__sh", ["idx"], "pos", tie=placed.columns)
     rows = rows.select(*ent, "__field", "idx", "pos", *[F.when(F.col("__field") == c, F.col("__v")).alias(c) for c in fields])
     rules = [Rule("noise", ("noise",), lift=8.0), *[Rule(a, (a,), lift=5.0) for a in axes]]
     impossible = {"noise": F.col("noise") < 0} | {a: F.abs(F.col(a)) > MAX_LIGHT for a in axes}

@@ -49,31 +49,32 @@ def shard_summary(df: DataFrame, entity: Sequence[str], shard: str, aggs: dict[s
 
 
 def with_carry(
-    df: DataFrame, entity: Sequence[str], shard: str, aggs: dict[str, Column], carries: dict[str, Callable[[Window], Column]], base: DataFrame | None = None
+    df: DataFrame, entity: Sequence[str], shard: str, aggs: dict[str, Column], carries: dict[str, Callable[[Window], Column]], base: DataFrame | None = None, tie: Sequence[str] = ()
 ) -> DataFrame:
     """Add to each row what the other shards of its entity say.
 
     aggs: what a shard tells of itself; carries: columns over the window of an entity's shards in
     order (``w``), computed from those.  The joined side has one row a shard.
     Keys must not be null.  base: the rows as they left ``place``, if all of its columns are used
-    later on; one shuffle then serves both.
+    later on; one shuffle then serves both.  If base was made of those, ``tie`` names their columns.
     """
     w = Window.partitionBy(*entity).orderBy(shard)
-    summary = shard_summary(df, entity, shard, aggs) if base is None else shard_summary(base, entity, shard, aggs, base.columns)
+    summary = shard_summary(df, entity, shard, aggs) if base is None else shard_summary(base, entity, shard, aggs, tie or base.columns)
     summary = summary.select(*entity, shard, *[f(w).alias(n) for n, f in carries.items()])
     # every shard has its row; an inner join asks the same of both sides, so their shuffles stay alike
     return df.join(summary, [*entity, shard], "left" if base is None else "inner")
 
 
-def dense_position(df: DataFrame, entity: Sequence[str], shard: str, order: Sequence[str], out: str = "pos") -> DataFrame:
+def dense_position(df: DataFrame, entity: Sequence[str], shard: str, order: Sequence[str], out: str = "pos", tie: Sequence[str] = ()) -> DataFrame:
     """Number each entity's rows 0, 1, ... in order, without bringing an entity into one task.
 
     ``shard`` must be monotone in ``order``: rank inside a shard plus the count of earlier shards.
+    ``tie``: the columns that left ``place``, if ``df`` comes from there and all are used later on.
     """
     local = Window.partitionBy(*entity, shard).orderBy(*order)
-    ranked = df.repartition(*entity, shard).withColumn(out, (F.row_number().over(local) - 1).cast("long"))
+    ranked = (df if tie else df.repartition(*entity, shard)).withColumn(out, (F.row_number().over(local) - 1).cast("long"))
     before = {"__before": lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
-    placed = with_carry(ranked, entity, shard, {"__n": F.count(F.lit(1))}, before)
+    placed = with_carry(ranked, entity, shard, {"__n": F.count(F.lit(1))}, before, base=df if tie else None, tie=tie)
     return placed.withColumn(out, F.col(out) + F.col("__before")).drop("__before")
 
 

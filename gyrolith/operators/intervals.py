@@ -42,16 +42,35 @@ def find_intervals(df: DataFrame, keys: Sequence[str], time: str, mask: Column,
     return out.where(F.col("b") - F.col("a") >= least)
 
 
-def within(df: DataFrame, intervals: DataFrame, keys: Sequence[str], time: str, widen: float = 0.0, how: str = "inner", slot: float = 60.0) -> DataFrame:
+#: Slots of one interval emitted at once.
+PIECE = 4096
+
+
+def slot_length(intervals: DataFrame, widen: float = 0.0) -> float:
+    """Length of a time slot for a (written) interval table: its median interval, but not so short that
+    intervals take more than some ten slots each on average, however long a few of them are."""
+    long = F.col("b") - F.col("a") + 2 * widen
+    of = intervals.where(long < float("inf")).agg(F.percentile_approx(long, 0.5, 1000).alias("m"), F.avg(long).alias("a")).first()
+    return max(of["m"] or 0.0, (of["a"] or 0.0) / 8, 1e-3)
+
+
+def within(df: DataFrame, intervals: DataFrame, keys: Sequence[str], time: str, widen: float = 0.0, how: str = "inner", slot: float | None = None) -> DataFrame:
     """Range join: readings with the intervals [a - widen, b + widen] that hold them.
 
     Both sides meet on the keys and a time slot, so a long series is spread over many tasks and a
-    reading meets only intervals of its slot; overlapping intervals give several rows.
+    reading meets only intervals of its slot; overlapping intervals give several rows.  Without a
+    ``slot`` the interval table is written once and its lengths tell it (``slot_length``).  A long
+    interval is emitted in pieces of slots, never as one array.
     """
     keys = list(keys)
+    if slot is None:
+        intervals = durable(intervals)
+        slot = slot_length(intervals, widen)
     cut = intervals.select(*keys, *[c for c in intervals.columns if c not in keys], (F.col("a") - widen).alias("__a"), (F.col("b") + widen).alias("__b"))
     number = lambda c: F.floor(c / F.lit(slot)).cast("long")
-    cut = cut.withColumn("__slot", F.explode(F.sequence(number(F.col("__a")), number(F.col("__b")))))
+    last = number(F.col("__b"))
+    cut = cut.where("__a <= __b").withColumn("__from", F.explode(F.sequence(number(F.col("__a")), last, F.lit(PIECE).cast("long"))))
+    cut = cut.withColumn("__slot", F.explode(F.sequence("__from", F.least(F.col("__from") + (PIECE - 1), last)))).drop("__from")
     cut = cut.select(*keys, "__slot", *[F.col(c).alias(f"__i_{c}") for c in cut.columns if c not in (*keys, "__slot")])
     left = df.withColumn("__slot", number(F.col(time)))
     hit = (F.col(time) >= F.col("__i___a")) & (F.col(time) <= F.col("__i___b"))

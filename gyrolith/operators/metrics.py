@@ -29,10 +29,11 @@ def greedy_peaks(df: DataFrame, keys: Sequence[str], time: str, value: str, apar
     """The strongest rows by |value|, each further than ``apart`` from every stronger one kept.
 
     One round a rank: an aggregate per series over what the peaks so far leave, so ``most`` bounds
-    the rounds and only peaks are kept.  Ties go to the earlier time.
+    the rounds and only peaks are kept.  The readings are written once and every round reads those.
+    Ties go to the earlier time.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(time).alias("t"), F.col(value).alias("v")).dropna()
+    rows = durable(df.select(*keys, F.col(time).alias("t"), F.col(value).alias("v")).dropna())
     best = F.max_by(F.struct("t", "v"), F.struct(F.abs("v"), -F.col("t"))).alias("p")
     peaks = durable(rows.groupBy(*keys).agg(best).select(*keys, F.array("p").alias("ps")))
     for _ in range(most - 1):
@@ -92,7 +93,8 @@ def best_shift(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, span
     grid = F.array(*[F.lit(-span + 2 * span * k / (steps - 1)) for k in range(steps)])
     q = a.select(*keys, F.col("t").alias("__t"), F.col(value).alias("__v"), F.explode(grid).alias("shift")).withColumn("t", F.col("__t") + F.col("shift"))
     at = interp_asof(q.select(*keys, "t", "__v", "shift"), b.select(*keys, "t", value), keys, "t", [value], shard)
-    score = at.groupBy(*keys, "shift").agg((-F.percentile(F.abs(F.col(value) - F.col("__v")), 0.5)).alias("score"))
+    gap = at.select(*keys, "shift", F.abs(F.col(value) - F.col("__v")).alias("__g")).where(F.col("__g").isNotNull() & ~F.isnan("__g"))
+    score = A.exact_medians(durable(gap), [*keys, "shift"], "__g").select(*keys, "shift", (-F.col("median")).alias("score"))
     return A.best_of(score, keys, "score", "shift", []).withColumn("score", -F.col("score"))
 
 

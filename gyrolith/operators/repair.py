@@ -182,8 +182,8 @@ def optical_patch(diag: DataFrame, optical: DataFrame, align: DataFrame, noisy:
     else:
         turned = turned.withColumn("fps", F.lit(float(fps)))
     bursts = noisy.select(*keys, "a", "b")
-    inside = within(rows.select(*keys, "pos", F.col(time).alias("t"), *medium, "__rate", "noise", "fs", *[f"strong_{a}" for a in axes]), bursts, keys, "t")
-    seen = within(turned, bursts, keys, "t", widen=0.3)
+    inside = within(rows.select(*keys, "pos", F.col(time).alias("t"), *medium, "__rate", "noise", "fs", *[f"strong_{a}" for a in axes]), bursts, keys, "t", slot=60.0)
+    seen = within(turned, bursts, keys, "t", widen=0.3, slot=60.0)
     both = _side_by_side(inside, seen, keys)
     part = [*keys, "a", "b"]
     types = dict(both.dtypes)
@@ -317,7 +317,7 @@ def splice_orientation(telemetry: DataFrame, rates: DataFrame, severe: DataFrame
     keys = list(keys)
     rows = telemetry.select(*keys, "pos", F.col(time).alias("t"), *[F.col(c).alias(f"q{k}") for k, c in enumerate(q)])
     rows = rows.join(rates.select(*keys, "pos", *[F.col(c).alias(f"o{k}") for k, c in enumerate(r)]), [*keys, "pos"], "left")
-    inside = within(rows, severe.select(*keys, "a", "b"), keys, "t")
+    inside = within(rows, severe.select(*keys, "a", "b"), keys, "t", slot=60.0)
     part = [*keys, "a", "b"]
     types = dict(inside.dtypes)
 

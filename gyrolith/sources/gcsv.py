@@ -25,16 +25,20 @@ def header(readout_ms: float | None = None, **fields: str) -> list[str]:
     return [*lines, "t,gx,gy,gz"]
 
 
-def write_gcsv(df: DataFrame, path: str, time: str, rates: Sequence[str], readout_ms: float | None = None, **fields: str) -> None:
-    """One series (deg/s) as one log, a folder with one text part in order of time.
+def write_gcsv(df: DataFrame, path: str, time: str, rates: Sequence[str], readout_ms: float | None = None, keys: Sequence[str] = (), **fields: str) -> None:
+    """Rates (deg/s) as logs in order of time: one log, or one a series (``keys``) in a folder named by its keys.
 
-    Lines are made in parallel; only the sort into one file is a single task, as the format asks.
+    A log is one text file, as the format asks, so its sort is one task; different logs are written
+    by different tasks, and lines are made in parallel.
     """
-    spark = df.sparkSession
-    head = spark.createDataFrame([(k, line) for k, line in enumerate(header(readout_ms, **fields))], "n bigint, line string")
-    body = rate_lines(df, [time], time, rates)
-    rows = head.select(F.lit(0).alias("part"), F.col("n").cast("double").alias("at"), "line").unionByName(body.select(F.lit(1).alias("part"), F.col(time).alias("at"), "line"))
-    rows.repartition(1).sortWithinPartitions("part", "at").select("line").write.mode("overwrite").text(path, lineSep="\n")
+    spark, keys = df.sparkSession, list(keys)
+    lines = F.array(*[F.struct(F.lit(0).alias("part"), F.lit(float(k)).alias("at"), F.lit(line).alias("line")) for k, line in enumerate(header(readout_ms, **fields))])
+    heads = (df.select(*keys).distinct() if keys else spark.range(1)).select(*keys, F.inline(lines))
+    body = rate_lines(df, [*keys, time], time, rates).select(*keys, F.lit(1).alias("part"), F.col(time).alias("at"), "line")
+    rows = heads.unionByName(body)
+    rows = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, "part", "at").drop("part", "at")
+    out = rows.write.mode("overwrite").option("lineSep", "\n")
+    (out.partitionBy(*keys) if keys else out).text(path)
 
 
 def read_gcsv(spark: SparkSession, path: str) -> DataFrame:

@@ -25,7 +25,9 @@ def lens_columns(df: DataFrame, tag: str) -> DataFrame:
 
 
 def read_camera_path(spark: SparkSession, path: str) -> DataFrame:
-    """(frame, w, x, y, z, fov_scale) of exported camera paths: a JSON array of stab_quat, fov_scale."""
-    rows = spark.read.schema("stab_quat array<double>, fov_scale double").option("multiLine", True).json(path)
-    rows = rows.withColumn("frame", F.monotonically_increasing_id())
-    return rows.select("frame", *[F.col("stab_quat")[k].alias(c) for k, c in enumerate("wxyz")], "fov_scale")
+    """(path, frame, w, x, y, z, fov_scale) of exported camera paths: a JSON array of stab_quat, fov_scale
+    a file, frames numbered by their place in it.  A file that isn't such an array gives no rows."""
+    item = "array<struct<stab_quat: array<double>, fov_scale: double>>"
+    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.from_json("value", item).alias("items"))
+    rows = text.select("path", F.posexplode("items").alias("frame", "f"))
+    return rows.select("path", F.col("frame").cast("long").alias("frame"), *[F.get("f.stab_quat", F.lit(k)).alias(c) for k, c in enumerate("wxyz")], "f.fov_scale")

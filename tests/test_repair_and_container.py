@@ -9,12 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from gyrolith.config import Config, Settings, load_settings, output_path, save_settings
+from gyrolith.operators import intervals
 from gyrolith.operators import repair as R
 from gyrolith.plans import container as C
 from gyrolith.plans import pipeline as P
 from gyrolith.sources import container as S
 from gyrolith.sources.gcsv import read_gcsv, write_gcsv
-from gyrolith.sources.lens import lens_columns
+from gyrolith.sources.lens import lens_columns, read_camera_path
 
 
 # ---- config
@@ -258,3 +259,27 @@ def test_lens_tags_of_wrong_shape_are_null(spark):
     rows = lens_columns(spark.createDataFrame([(t,) for t in tags], "tag string"), "tag").collect()
     assert rows[0].distortion == [1, 2, 3, 4] and rows[0].calib_w == 8 and len(rows[0].camera_matrix) == 3
     assert all(r.camera_matrix is None and r.distortion is None for r in rows[1:])
+
+
+def test_logs_of_many_series_and_camera_paths_of_many_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0.0, 1.0), ("b", 0.5, 2.0), ("a", 0.1, 3.0)], "s string, t double, g double")
+    write_gcsv(df, str(tmp_path / "logs"), "t", ["g", "g", "g"], keys=["s"])
+    for s, n in (("a", 2), ("b", 1)):
+        lines = [f.read_text().splitlines() for f in sorted((tmp_path / "logs" / f"s={s}").glob("part-*"))]
+        assert len(lines) == 1 and lines[0][0] == "GYROFLOW IMU LOG" and len(lines[0]) == 6 + n
+    for k in range(3):
+        (tmp_path / f"p{k}.json").write_text('[{"stab_quat": [1, 0, 0, %d], "fov_scale": 1.5}, {"stab_quat": [0, 1, 0, 0]}]' % k)
+    (tmp_path / "p9.json").write_text("nothing")
+    got = read_camera_path(spark, str(tmp_path / "p*.json")).collect()
+    assert sorted((r.path[-7:], r.frame, r.z) for r in got) == [(f"p{k}.json", i, float(k) if i == 0 else 0.0) for k in range(3) for i in (0, 1)]
+
+
+def test_long_intervals_make_few_slots(spark):
+    """One interval of ten years among short ones: each takes a few slots, and all readings are found."""
+    iv = [("a", float(k), k + 0.5) for k in range(0, 2000, 2)] + [("a", -1e8, 2e8), ("a", 5.0, 5.0), ("a", 9.0, 8.0)]
+    rows = [("a", k * 0.25) for k in range(200)] + [("a", 1e8), ("a", 3e8), ("b", 1.0)]
+    df, cut = spark.createDataFrame(rows, "k string, t double"), spark.createDataFrame(iv, "k string, a double, b double")
+    got = sorted((r.t, r.a) for r in intervals.within(df, cut, ["k"], "t").collect())
+    assert got == sorted((t, a) for k, t in rows for _, a, b in iv if k == "a" and a <= t <= b)
+    assert (3e8 + 1) / intervals.slot_length(cut) < 20 * len(iv)
+    assert {r.t for r in intervals.in_none(df, cut, ["k"], "t").collect()} == {3e8, 1.0}

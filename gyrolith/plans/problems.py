@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gyrolith.operators.grid import missing_periods, regular_grid
 from gyrolith.operators.outliers import clean_outliers, telemetry_outliers
 from gyrolith.operators.periods import micros, periods_and_gaps
+from gyrolith.plans.bank import nan
 from gyrolith.session import table
 
 CLIP = ["series_id", "clip_no"]
@@ -47,10 +48,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tele.unionByName(clean).distinct()
 
 
-P2_SQL = """
+P2_SQL = f"""
 with v as (
   select distinct series_id, clip_no, cast(round(start_s * 1e6) as bigint) a, cast(round(end_s * 1e6) as bigint) b
-  from burst_stat where not isnan(start_s) and not isnan(end_s) and end_s > start_s),
+  from burst_stat where not {nan('start_s')} and not {nan('end_s')} and end_s > start_s),
 m as (select *, max(b) over (partition by series_id, clip_no order by a, b rows between unbounded preceding and 1 preceding) pr from v),
 k as (select *, sum(case when pr is null or a > pr then 1 else 0 end) over (partition by series_id, clip_no order by a, b) g from m),
 r as (select series_id, clip_no, g, min(a) a, max(b) b from k group by all),
@@ -59,9 +60,9 @@ select series_id, clip_no, 'period' as what, a as start_us, b as end_us from r
 union all select series_id, clip_no, 'gap', b, na from x where na is not null
 """
 
-P4_SQL = """
+P4_SQL = f"""
 with u as (
-  select 'telemetry' tbl, series_id, clip_no, cast(round(t * 1e6) as bigint) us from telemetry where t is not null and not isnan(t)
+  select 'telemetry' tbl, series_id, clip_no, cast(round(t * 1e6) as bigint) us from telemetry where t is not null and not {nan('t')}
   union all select 'scan_sample', series_id, clip_no, frame_ts from scan_sample where frame_ts <> 0),
 b as (select distinct tbl, series_id, clip_no, cast(floor(us / 100000) as bigint) bin_no from u),
 r as (select tbl, series_id, clip_no, min(bin_no) lo, max(bin_no) hi from b group by all),

@@ -404,7 +404,7 @@ def corr_scan(s, d):
 
 CORR_SQL = f"""with {EVENTS}, c as (select x.user_id, s.shift, round(corr(x.value, y.k), 9) score from e x, (select unnest(range(-3, 4)) shift) s, e y
   where y.user_id = x.user_id and y.pos = x.pos + s.shift group by x.user_id, s.shift),
-r as (select *, row_number() over (partition by user_id order by score desc, shift) rk from c where score is not null and not isnan(score))
+r as (select *, row_number() over (partition by user_id order by score desc, shift) rk from c where score is not null and not {bank.nan('score')})
 select user_id, cast(shift as int) as shift, round(score, 6) + 0.0 as score from r where rk = 1"""
 
 
@@ -554,10 +554,10 @@ def slot_alignment(s, d):
     return rounded(x, "max_diff")
 
 
-SLOT_SQL = """with a as (select distinct series_id, clip_no, idx, w, x, y, z from telemetry), b as (select distinct series_id, clip_no, idx, q_ref from slot_table),
+SLOT_SQL = f"""with a as (select distinct series_id, clip_no, idx, w, x, y, z from telemetry), b as (select distinct series_id, clip_no, idx, q_ref from slot_table),
 j as (select coalesce(a.series_id, b.series_id) series_id, coalesce(a.clip_no, b.clip_no) clip_no, a.idx ai, b.idx bi,
   greatest(abs(w-q_ref[1]), abs(x-q_ref[2]), abs(y-q_ref[3]), abs(z-q_ref[4])) p, greatest(abs(w+q_ref[1]), abs(x+q_ref[2]), abs(y+q_ref[3]), abs(z+q_ref[4])) m,
-  (w+x+y+z+q_ref[1]+q_ref[2]+q_ref[3]+q_ref[4]) is not null and not isnan(w+x+y+z+q_ref[1]+q_ref[2]+q_ref[3]+q_ref[4]) ok
+  (w+x+y+z+q_ref[1]+q_ref[2]+q_ref[3]+q_ref[4]) is not null and not {bank.nan('w+x+y+z+q_ref[1]+q_ref[2]+q_ref[3]+q_ref[4]')} ok
   from a full join b on a.series_id = b.series_id and a.clip_no = b.clip_no and a.idx = b.idx)
 select series_id, clip_no, count(*) filter (where ai is not null and bi is not null) n_both, count(*) filter (where bi is null) n_left, count(*) filter (where ai is null) n_right,
   round(max(least(p, m)) filter (where ok), 6) + 0.0 as max_diff from j group by all"""
@@ -585,17 +585,12 @@ def telemetry_extract(s, d):
     return rounded(x.select(*CLIP, "idx", "pos", "t", "w", "x", "y", "z"), "t", "w", "x", "y", "z")
 
 
-def _nan(x: str) -> str:
-    """NaN, told by its text: over files whose statistics name no NaN, DuckDB 2.0 folds isnan() to false (sf0.001 has one such row)."""
-    return f"(({x})::double::varchar = 'nan')"
-
-
-EXTRACTED = f"""r as (select distinct series_id, clip_no, idx, t, w, x, y, z from telemetry where t is not null and not {_nan('t')} and w+x+y+z is not null and not {_nan('w+x+y+z')} and not (w=0 and x=0 and y=0 and z=0)),
-c as (select *, row_number() over o rn, lag(w) over o pw, lag(x) over o px, lag(y) over o py, lag(z) over o pz from r window o as (partition by series_id, clip_no order by t, idx)),
-k as (select series_id, clip_no, idx, t, w, x, y, z, row_number() over (partition by series_id, clip_no order by rn) - 1 pos from c where rn = 1 or not (w = pw and x = px and y = py and z = pz)),
-h as (select *, case when w*lag(w) over o + x*lag(x) over o + y*lag(y) over o + z*lag(z) over o < 0 then 1 else 0 end f from k window o as (partition by series_id, clip_no order by pos)),
-g as (select *, case when sum(f) over (partition by series_id, clip_no order by pos) % 2 = 1 then -1.0 else 1.0 end / sqrt(w*w+x*x+y*y+z*z) sg from h),
-ex as (select series_id, clip_no, idx, pos, t, w*sg w, x*sg x, y*sg y, z*sg z from g)"""
+EXTRACTED = f"""xr as (select distinct series_id, clip_no, idx, t, w, x, y, z from telemetry where t is not null and not {bank.nan('t')} and w+x+y+z is not null and not {bank.nan('w+x+y+z')} and not (w=0 and x=0 and y=0 and z=0)),
+xc as (select *, row_number() over o rn, lag(w) over o pw, lag(x) over o px, lag(y) over o py, lag(z) over o pz from xr window o as (partition by series_id, clip_no order by t, idx)),
+xk as (select series_id, clip_no, idx, t, w, x, y, z, row_number() over (partition by series_id, clip_no order by rn) - 1 pos from xc where rn = 1 or not (w = pw and x = px and y = py and z = pz)),
+xh as (select *, case when w*lag(w) over o + x*lag(x) over o + y*lag(y) over o + z*lag(z) over o < 0 then 1 else 0 end f from xk window o as (partition by series_id, clip_no order by pos)),
+xg as (select *, case when sum(f) over (partition by series_id, clip_no order by pos) % 2 = 1 then -1.0 else 1.0 end / sqrt(w*w+x*x+y*y+z*z) sg from xh),
+ex as (select series_id, clip_no, idx, pos, t, w*sg w, x*sg x, y*sg y, z*sg z from xg)"""
 EXTRACT_SQL = f"with {EXTRACTED} select series_id, clip_no, idx, pos, {_r('t t', 'w w', 'x x', 'y y', 'z z')} from ex"
 
 
@@ -606,9 +601,8 @@ def clean_telemetry(s, d):
     return rounded(x.select(*CLIP, "pos", "fs", "tm", "cx", "cy", "cz", "noise", "alpha", "spike_frac"), "fs", "cx", "cy", "cz", "noise", "alpha", "spike_frac")
 
 
-CLEAN_SQL = f"""with recursive {EXTRACTED},
-ek as (select series_id || '/' || clip_no k, pos, t, w, x, y, z from ex),
-pr as (select *, lead(t) over o nt, lead(w) over o nw, lead(x) over o nx, lead(y) over o ny, lead(z) over o nz from ek window o as (partition by k order by pos)),
+#: CTEs of the cleaning of orientation series ek(k, pos, t, w, x, y, z): fsk rates, om mid times, no noise, al alpha, fl filtered axes (light xl yl zl, strong xs ys zs).
+CLEANED = f"""pr as (select *, lead(t) over o nt, lead(w) over o nw, lead(x) over o nx, lead(y) over o ny, lead(z) over o nz from ek window o as (partition by k order by pos)),
 fsk as (select k, 1 / median(nt - t) fs from pr where nt is not null group by k),
 tw as (select k, pos, t, nt, w*nw+x*nx+y*ny+z*nz a, w*nx-x*nw-y*nz+z*ny b, w*ny+x*nz-y*nw-z*nx c, w*nz-x*ny+y*nx-z*nw d from pr where nt is not null),
 tv as (select *, sqrt(b*b+c*c+d*d) v from tw),
@@ -635,7 +629,8 @@ ra as (select *, greatest(0.0, least(1.0, (noise - 1.5) / 3.5)) r from no),
 {bank.padded('ra', 'p4', 'r', '128')},
 rs as (select p4.*, greatest(3, floor(0.2 * fs))::bigint size from p4 join fsk on fsk.k = id),
 al as (select id k, pos, n, avg(v) over (partition by id order by pos rows between size // 2 preceding and size - 1 - size // 2 following) alpha from rs),
-fl as (select split_part(id, '|', 1) k, pos, {', '.join(f"max(y) filter (where id like '%|{a}|{j}') {a}{j[0]}" for a in 'xyz' for j in ('light', 'strong'))} from ff group by 1, 2)
+fl as (select split_part(id, '|', 1) k, pos, {', '.join(f"max(y) filter (where id like '%|{a}|{j}') {a}{j[0]}" for a in 'xyz' for j in ('light', 'strong'))} from ff group by 1, 2)"""
+CLEAN_SQL = f"""with recursive {EXTRACTED}, ek as (select series_id || '/' || clip_no k, pos, t, w, x, y, z from ex), {CLEANED}
 select split_part(om.k, '/', 1) as series_id, cast(split_part(om.k, '/', 2) as bigint) as clip_no, om.pos, round(om.t+(om.nt-om.t)/2, 7) as tm, {_r('fs fs', *[f'radians({a}l*(1-alpha)+{a}s*alpha) c{a}' for a in 'xyz'], 'noise noise', 'alpha alpha', '(case when noise is null then null else spike_frac end) spike_frac')}
 from om left join fsk using (k) left join sp using (k) left join no on no.id = om.k and no.pos = om.pos left join al on al.k = om.k and al.pos = om.pos left join fl on fl.k = om.k and fl.pos = om.pos"""
 
@@ -662,6 +657,16 @@ def repair_status(s, d):
     return rounded(_repaired(s, d).status.select(*CLIP, "samples", "fs", "r2", "status"), "fs", "r2")
 
 
+#: No clip of the tables has the 200 good calibration readings an alignment needs; one that had would be 'measured' here and fail.
+REPAIR_SQL = f"""with recursive {EXTRACTED}, ek as (select series_id || '/' || clip_no k, pos, t, w, x, y, z from ex), {CLEANED},
+e as (select om.k user_id, om.pos, om.n, om.t + (om.nt - om.t) / 2 t, noise value from om join no on no.id = om.k and no.pos = om.pos where om.n >= 99), {_intervals_sql('value > 8.0', 0.2, 0.2, 0.2)},
+sz as (select k, count(*) samples from ek group by k),
+gd as (select series_id || '/' || clip_no k, count(distinct idx) good from optical_rates where kind = 'calib' and t is not null and quality > 0.5 and ox + oy + oz is not null group by 1)
+select split_part(sz.k, '/', 1) as series_id, cast(split_part(sz.k, '/', 2) as bigint) as clip_no, samples, round(fs, 6) + 0.0 as fs, null::double as r2,
+  case when samples < 100 then 'short' when fs is null then 'no rate' when sz.k not in (select k from able) then 'slow' when sz.k not in (select user_id from ivl) then 'healthy'
+    when coalesce(good, 0) < 200 then 'few' else 'measured' end as status from sz left join fsk using (k) left join gd using (k)"""
+
+
 def repaired_bursts(s, d):
     """Drift closed in each repaired burst."""
     return rounded(_repaired(s, d).bursts.select(*CLIP, "a", "b", "drift_deg"), "a", "b", "drift_deg")
@@ -718,7 +723,7 @@ def continuity(s, d):
 
 
 CONTINUITY_SQL = f"""with {EVENTS}, g as (select *, abs(value - lag(value) over o) dv, abs(k - lag(k) over o) dk from e window o as (partition by user_id order by pos))
-select user_id, round(greatest(max(abs(value)), max(abs(k))), 6) + 0.0 as largest, round(greatest(max(dv), max(dk)), 6) + 0.0 as jump, count(*) filter (where isnan(value)) + count(*) filter (where isnan(k)) as n_nan from g group by user_id"""
+select user_id, round(greatest(max(abs(value)), max(abs(k))), 6) + 0.0 as largest, round(greatest(max(dv), max(dk)), 6) + 0.0 as jump, count(*) filter (where {bank.nan('value')}) + count(*) filter (where {bank.nan('k')}) as n_nan from g group by user_id"""
 
 
 def band_ratio(s, d):
@@ -834,6 +839,7 @@ ORACLE = {
     "slot_alignment": SLOT_SQL,
     "telemetry_extract": EXTRACT_SQL,
     "clean_telemetry": CLEAN_SQL,
+    "repair_status": REPAIR_SQL,
     "severe_bursts": SEVERE_SQL,
     "continuity": CONTINUITY_SQL,
     "changed_rows": CHANGED_SQL,

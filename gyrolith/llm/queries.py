@@ -12,6 +12,7 @@ from gyrolith.llm.leaks import leaked_spans
 from gyrolith.llm.nearest import match_nearest
 from gyrolith.llm.residue import find_residue
 from gyrolith.llm.runs import collapse_runs
+from gyrolith.plans.bank import nan
 from gyrolith.session import table
 
 CLIP = ["series_id", "clip_no"]
@@ -74,8 +75,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-P1_SQL = """
-with s as (select series_id, clip_no, min(shift) shift from alignment where shift is not null and not isnan(shift) group by all),
+P1_SQL = f"""
+with s as (select series_id, clip_no, min(shift) shift from alignment where shift is not null and not {nan('shift')} group by all),
 o as (select distinct series_id, clip_no, idx opt_idx, t + shift as t from optical_rates join s using (series_id, clip_no) where t is not null),
 e as (select distinct series_id, clip_no, idx tele_idx, t from telemetry where t is not null),
 c as (select o.series_id, o.clip_no, opt_idx, tele_idx, abs(e.t - o.t) d from o join e on o.series_id = e.series_id and o.clip_no = e.clip_no and e.t between o.t - 0.0061 and o.t + 0.0061),
@@ -83,12 +84,12 @@ r as (select *, row_number() over (partition by series_id, clip_no, opt_idx orde
 select series_id, clip_no, opt_idx, tele_idx from r where k = 1
 """
 
-_RUNS_SQL = """
+_RUNS_SQL = f"""
 with u as (
   select 'telemetry' tbl, series_id, clip_no, idx, t, w, x, y, z from telemetry
   union all select 'slot_table', series_id, clip_no, idx, ts_ms, q_ref[1], q_ref[2], q_ref[3], q_ref[4] from slot_table),
-v as (select distinct * from u where t is not null and not isnan(t) and w + x + y + z is not null
-  and not isnan(w) and not isnan(x) and not isnan(y) and not isnan(z) and not (w = 0 and x = 0 and y = 0 and z = 0)),
+v as (select distinct * from u where t is not null and not {nan('t')} and w + x + y + z is not null
+  and not {nan('w')} and not {nan('x')} and not {nan('y')} and not {nan('z')} and not (w = 0 and x = 0 and y = 0 and z = 0)),
 l as (select *, lag(w) over o pw, lag(x) over o px, lag(y) over o py, lag(z) over o pz from v window o as (partition by tbl, series_id, clip_no order by t, idx)),
 b as (select *, case when pw is not null and (
     greatest(abs(w - pw), abs(x - px), abs(y - py), abs(z - pz)) <= 1e-6 or greatest(abs(w + pw), abs(x + px), abs(y + py), abs(z + pz)) <= 1e-6) then 0 else 1 end st from l),

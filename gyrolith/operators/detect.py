@@ -18,7 +18,7 @@ from gyrolith.functions import quat as Qn
 from gyrolith.functions import rolling
 from gyrolith.functions.design import Filter, band_pass, low_pass
 from gyrolith.operators.filters import Pass, run_pass
-from gyrolith.operators.intervals import find_intervals
+from gyrolith.operators.intervals import find_intervals, in_any
 from gyrolith.operators.windows import uniform_filter
 from gyrolith.session import durable
 
@@ -122,3 +122,11 @@ def noisy_intervals(diag: DataFrame, keys: Sequence[str], time: str, cfg: Config
 def quiet_intervals(diag: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """Where calibration may look: long and clean, drawn in a little."""
     return find_intervals(diag, keys, time, F.col("alpha") < 0.02, -0.2, 0.0, 3.0)
+
+
+def noise_classes(diag: DataFrame, keys: Sequence[str], time: str, noisy: DataFrame, severe: float = 4.5, out: str = "label") -> DataFrame:
+    """Add each reading's class: 'clean' outside the noisy intervals, in them 'severe' above that noise, else 'mild'."""
+    keys = list(keys)
+    hit = in_any(diag.select(*keys, "pos", time), noisy, keys, time).select(*keys, "pos", F.lit(True).alias("__hit"))
+    rows = diag.join(hit, [*keys, "pos"], "left")
+    return rows.withColumn(out, F.when(F.col("__hit").isNull(), "clean").when(F.col("noise") > severe, "severe").otherwise("mild")).drop("__hit")

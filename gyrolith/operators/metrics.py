@@ -120,3 +120,47 @@ def band_ratio(df: DataFrame, keys: Sequence[str], raw: Sequence[str], out: Sequ
         told = (A.rms([F.col(c) for c in r]).alias("rms_raw"), A.rms([F.col(c) for c in o]).alias("rms_out"), A.mean_correlation(list(zip(r, o))).alias("corr"))
         each.append(F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), *told))
     return rows.groupBy(*keys).agg(F.array(*each).alias("b")).select(*keys, F.explode("b").alias("b")).select(*keys, "b.*")
+
+
+def event_ratios(df: DataFrame, keys: Sequence[str], time: str, raw: str, out: str, fs: float, apart: float = 2.0, most: int = 12, cut: float = 3.0) -> DataFrame:
+    """(keys..., rank, time, ratio): of the strongest slow events of ``raw``, how much of each is left in ``out``."""
+    keys = list(keys)
+    rows = durable(apply_filters(df.select(*keys, "pos", "n", time, raw, out), keys, [([raw, out], band(0, cut, fs), ["__r", "__o"])]))
+    peaks = greedy_peaks(rows, keys, time, "__r", apart, most).select(*keys, "rank", time)
+    return peaks.join(rows, [*keys, time]).select(*keys, "rank", time, F.try_divide("__o", "__r").alias("ratio"))
+
+
+def zone_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], axes: Sequence[str], fs: float, bands: Sequence[tuple[float, float]], label: str = "label") -> DataFrame:
+    """(keys..., lo, hi, label, rms): banded RMS of a minus b by a's label, rows matched by position up to the shorter one's end."""
+    keys = list(keys)
+    other = b.select(*keys, "pos", *[F.col(c).alias(f"__b_{c}") for c in axes])
+    short = b.groupBy(*keys).agg((F.max("pos") + 1).alias("__n"))
+    both = a.join(other, [*keys, "pos"]).join(short, keys).withColumn("n", F.least("n", "__n"))
+    both = both.select(*keys, "pos", "n", label, *[(F.col(c) - F.col(f"__b_{c}")).alias(f"__d_{c}") for c in axes])
+    jobs = [([f"__d_{c}" for c in axes], band(lo, hi, fs), [f"__f{k}_{c}" for c in axes]) for k, (lo, hi) in enumerate(bands)]
+    rows = apply_filters(both, keys, jobs)
+    each = F.array(*[F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), A.rms([F.col(f"__f{k}_{c}") for c in axes]).alias("rms")) for k, (lo, hi) in enumerate(bands)])
+    return rows.groupBy(*keys, label).agg(each.alias("b")).select(*keys, label, F.inline("b"))
+
+
+def render_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], axes: Sequence[str], fs: float, span: float, bands: Sequence[tuple[float, float]], steps: int = 31, label: str = "label", shard: float = 16.0) -> DataFrame:
+    """``zone_difference`` of two tracks after the sub-frame shift that brings b closest to a (by the first axis).
+
+    a, b: numbered, with ``t``; a with its label.  Adds the shift.
+    """
+    keys = list(keys)
+    shift = durable(best_shift(a.select(*keys, "t", axes[0]), b.select(*keys, "t", axes[0]), keys, axes[0], span, steps, shard)).select(*keys, "shift")
+    at = a.join(shift, keys).select(*keys, "pos", (F.col("t") + F.col("shift")).alias("t"))
+    moved = interp_asof(at, b.select(*keys, "t", *axes), keys, "t", list(axes), shard)
+    return zone_difference(a, moved, keys, axes, fs, bands, label).join(shift, keys)
+
+
+def rate_cache(orientation: DataFrame, keys: Sequence[str], time: str = "t", track: DataFrame | None = None) -> DataFrame:
+    """Rates in deg/s of orientation series at their mid times, with the median quality of a series' track if one is given."""
+    keys = list(keys)
+    rates = W.rates(orientation, keys, time, ["w", "x", "y", "z"])
+    out = rates.select(*keys, "pos", "n", "tm", *[F.degrees(c).alias(c) for c in ("wx", "wy", "wz")])
+    if track is None:
+        return out
+    quality = durable(track.select(*keys, "quality").where(F.col("quality").isNotNull() & ~F.isnan("quality")))
+    return out.join(A.exact_medians(quality, keys, "quality").select(*keys, F.col("median").alias("quality")), keys, "left")

@@ -139,7 +139,7 @@ def patch_plan(rows: DataFrame, target: DataFrame | None) -> DataFrame:
     pinned = W.sign_pin(both, FILE, ["m0", "m1", "m2", "m3"], "changed").select("path", "dedup_idx", "changed", "m0", "m1", "m2", "m3")
     merged = rows.join(pinned, ["path", "dedup_idx"])
     # unchanged slots keep their own stored value, not that of their run's first
-    return _components(merged.withColumns({f"f{k}": F.col(f"m{k}") for k in range(4)}))
+    return _components(merged.withColumns({f"f{k}": F.when(F.col("changed"), F.col(f"m{k}")).otherwise(F.col(f"f{k}")) for k in range(4)}))
 
 
 def _components(rows: DataFrame) -> DataFrame:
@@ -160,13 +160,36 @@ def plan_problems(rows: DataFrame, plan: DataFrame, target: DataFrame | None) ->
     return out
 
 
-def round_trip(plan: DataFrame, written: DataFrame) -> DataFrame:
-    """Per file the components that don't read back as planned: (path, n, n_wrong).
+def round_trip(plan: DataFrame, written: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Per file the components that don't read back as planned: (path, n, n_wrong), and with ``before``, the
+    slots of the old file, also the slots whose time isn't the very same: n_slots, n_time_wrong.
 
     written: slots of the new file under the old path name."""
     again = _components(written).select("path", "off", F.col("value").alias("back"))
     both = plan.join(again, ["path", "off"], "full")
-    return both.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("value").eqNullSafe(F.col("back"))).alias("n_wrong"))
+    values = both.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("value").eqNullSafe(F.col("back"))).alias("n_wrong"))
+    if before is None:
+        return values
+    slot = ["path", "sample", "j"]
+    times = before.select(*slot, F.lit(True).alias("__a"), F.col("t_ms").alias("t0")).join(written.select(*slot, F.lit(True).alias("__b"), F.col("t_ms").alias("t1")), slot, "full")
+    same = F.col("__a").isNotNull() & F.col("__b").isNotNull() & F.col("t0").eqNullSafe(F.col("t1"))
+    return values.join(times.groupBy("path").agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(~same).alias("n_time_wrong")), "path", "left")
+
+
+def decode_check(left: DataFrame, right: DataFrame, keys: Sequence[str], most_s: float = 1e-6, most_q: float = 1e-9) -> DataFrame:
+    """Two orientation series (pos, t, w, x, y, z) of the same stream: (keys..., n_left, n_right, max_dt, max_dq, ok).
+
+    Signs may differ for a series as a whole, not from row to row.  A row on one side only makes it not ok.
+    """
+    keys = list(keys)
+    a = left.select(*keys, "pos", F.lit(1).alias("__a"), *[F.col(c).alias(f"a_{c}") for c in ("t", *"wxyz")])
+    b = right.select(*keys, "pos", F.lit(1).alias("__b"), *[F.col(c).alias(f"b_{c}") for c in ("t", *"wxyz")])
+    apart = lambda sign: F.max(F.greatest(*[F.abs(F.col(f"a_{c}") - sign * F.col(f"b_{c}")) for c in "wxyz"]))
+    told = a.join(b, [*keys, "pos"], "full").groupBy(*keys).agg(
+        F.count("__a").alias("n_left"), F.count("__b").alias("n_right"), F.max(F.abs(F.col("a_t") - F.col("b_t"))).alias("max_dt"), apart(1).alias("__p"), apart(-1).alias("__m")
+    )
+    told = told.withColumn("max_dq", F.least("__p", "__m")).drop("__p", "__m")
+    return told.withColumn("ok", (F.col("n_left") == F.col("n_right")) & (F.col("max_dt") < most_s) & (F.col("max_dq") < most_q))
 
 
 def probe(samples: DataFrame) -> DataFrame:

@@ -95,3 +95,11 @@ def repair(telemetry: DataFrame, optical: DataFrame, keys: Sequence[str], cfg: C
         .otherwise("repaired")
     )
     return Repair(series, diag, severe, fit, orientation, bursts, status.select(*keys, "samples", "fs", "r2", verdict.alias("status")))
+
+
+def dump_stages(done: Repair, folder: str) -> list[str]:
+    """Every stage of a repair as a Parquet table under a folder; gives their names."""
+    names = ("series", "diag", "severe", "alignment", "orientation", "bursts", "status")
+    for name in names:
+        getattr(done, name).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+    return list(names)

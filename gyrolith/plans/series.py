@@ -17,7 +17,7 @@ from gyrolith.operators import aggregates as A
 from gyrolith.operators import intervals as I
 from gyrolith.operators import windows as W
 from gyrolith.operators import metrics as M
-from gyrolith.operators.detect import noise_envelope, ramp_smoothed, severe_intervals
+from gyrolith.operators.detect import noise_classes, noise_envelope, ramp_smoothed, severe_intervals
 from gyrolith.operators.filters import apply_filtfilt, apply_lfilter
 from gyrolith.operators.ordered import blocked, number, own
 from gyrolith.plans import bank
@@ -343,21 +343,26 @@ LABEL_SQL = f"""with {EVENTS}, x as ({_LABELS})
 select label, count(*) n, round(sqrt(avg(value*value + k*k)), 6) + 0.0 as rms, round(avg(case when value > {LOUD} then 1.0::double else 0.0::double end), 6) + 0.0 as share from x group by label"""
 
 
+def _masks(s, d) -> DataFrame:
+    """Readings with the class their noise gives them: 'clean' outside the noisy stretches, in them 'severe' or 'mild'."""
+    x = events(s, d).select("user_id", "pos", "n", "t", "event_type", "value", "k")
+    x = noise_envelope(x, USER, ["value"], 1000.0, Config(noise_window_ms=9.0))
+    x = durable(ramp_smoothed(x, USER, "noise", 10.0, 30.0, 25.0, 0.2, "alpha"))
+    noisy = I.find_intervals(x, USER, "t", F.col("alpha") > 0.6, 3600.0, 7200.0, 3600.0)
+    return noise_classes(x, USER, "t", noisy, 25.0)
+
+
 def masked_rms(s, d):
-    """Bands of the ranking table: readings by class, one column a measure."""
-    x = events(s, d).withColumn("label", F.when(F.col("value") > LOUD, "severe").when(F.col("value") > 20, "mild").otherwise("clean"))
-    return x.groupBy("label").agg(r6(A.rms([F.col("value")])).alias("rms_value"), r6(A.rms([F.col("k")])).alias("rms_k"), F.count(F.lit(1)).alias("n"))
+    """RMS of two axes by noise class."""
+    return _masks(s, d).groupBy("label").agg(r6(A.rms([F.col("value")])).alias("rms_value"), r6(A.rms([F.col("k")])).alias("rms_k"), F.count(F.lit(1)).alias("n"))
 
 
 def ranking_pivot(s, d):
-    x = events(s, d).withColumn("label", F.when(F.col("value") > LOUD, "severe").when(F.col("value") > 20, "mild").otherwise("clean"))
-    p = x.groupBy("event_type").pivot("label", ["clean", "mild", "severe"]).agg(A.rms([F.col("value")]))
+    """The ranking table: a row a kind, its RMS in each noise class as columns."""
+    p = _masks(s, d).groupBy("event_type").pivot("label", ["clean", "mild", "severe"]).agg(A.rms([F.col("value")]))
     return p.select("event_type", *[r6(c).alias(c) for c in ("clean", "mild", "severe")])
 
 
-_CLASS = f"case when value > {LOUD} then 'severe' when value > 20 then 'mild' else 'clean' end"
-
-
 def asof_interp(s, d):
     """Loud readings' values from the line through the quiet ones."""
     e = events(s, d)
@@ -497,6 +502,16 @@ m as (select id, pos, n, avg(v) over (partition by id order by pos rows between
 select id user_id, pos, round(sqrt(greatest(x, 0.0)), 6) + 0.0 as noise from m where pos between 0 and n - 1"""
 
 
+_NOISY = NOISE_SQL[: NOISE_SQL.index("select id user_id")]
+_MASKED = f"""{_NOISY}, nz as (select id user_id, pos, n, sqrt(greatest(x, 0.0)) noise from m where pos between 0 and n - 1),
+rq as (select user_id id, pos, n, greatest(0.0, least(1.0, (noise - 10.0) / 20.0)) r from nz), {bank.padded('rq', 'rp', 'r', '3')},
+ra as (select id user_id, pos, avg(v) over (partition by id order by pos rows between 2 preceding and 2 following) alpha from rp),
+e3 as (select e.*, noise, alpha from e join nz using (user_id, pos) join ra using (user_id, pos)), {_intervals_sql('alpha > 0.6', 3600.0, 7200.0, 3600.0, 'e3')},
+la as (select *, case when not exists (select 1 from ivl where ivl.user_id = e3.user_id and e3.t between a and b) then 'clean' when noise > 25.0 then 'severe' else 'mild' end as label from e3)"""
+MASKED_SQL = f"{_MASKED} select label, round(sqrt(avg(value*value)), 6) + 0.0 as rms_value, round(sqrt(avg(k*k)), 6) + 0.0 as rms_k, count(*) n from la group by 1"
+RANKING_SQL = f"{_MASKED} select event_type, " + ", ".join(f"round(sqrt(avg(value*value) filter (where label = '{x}')), 6) + 0.0 as {x}" for x in ("clean", "mild", "severe")) + " from la group by 1"
+
+
 def gcsv_lines(s, d):
     e = events(s, d).select("user_id", "pos", "t", (F.col("value") / 10).alias("gx"), (F.col("k") / 10).alias("gy"), F.lit(0.5).alias("gz"))
     return rate_lines(e, ["user_id", "pos"], "t", ["gx", "gy", "gz"])
@@ -686,12 +701,12 @@ _RENDER_JOBS = [("pan", c, _CUM.format(c=c), bank.band("0.05", "1.0", "20.0")) f
 _RENDER_JOBS += [(n, c, c, bank.band(lo, hi, "20.0")) for n, lo, hi in (("wob", "2.0", "8.0"), ("shk", "8.0", "9.0")) for c in ("wx", "wy", "wroll")]
 
 
-def _filtered_sql(jobs: list[tuple[str, str, str, str]], table: str = "tr") -> str:
-    """CTEs up to fy(user_id, pos, job_column...): each job (job, column, expression, coefficients) filtered both ways."""
+def _filtered_sql(jobs: list[tuple[str, str, str, str]], table: str = "tr", tag: str = "") -> str:
+    """CTEs up to fy(user_id, pos, job_column...): each job (job, column, expression, coefficients) filtered both ways.  ``tag``: for the names of a second bank."""
     src = " union all ".join(f"select user_id || '|{j}|{c}' id, pos, n, {e} v from {table}" for j, c, e, _ in jobs)
     co = " union all ".join(f"select distinct user_id || '|{j}|{c}' id, {k} from {table}" for j, c, _, k in jobs)
     cols = ", ".join(f"max(y) filter (where split_part(id, '|', 2) = '{j}' and split_part(id, '|', 3) = '{c}') {j}_{c}" for j, c, _, _ in jobs)
-    return f"src as ({src}), co as ({co}), {bank.zero_phase()}, fy as (select cast(split_part(id, '|', 1) as bigint) user_id, pos, {cols} from ff group by 1, 2)"
+    return f"src{tag} as ({src}), co{tag} as ({co}), {bank.zero_phase(f'src{tag}', f'co{tag}', f'ff{tag}')}, fy as (select cast(split_part(id, '|', 1) as bigint) user_id, pos, {cols} from ff{tag} group by 1, 2)"
 
 
 _RMS = lambda p, cs: "sqrt(avg(" + " + ".join(f"{p}_{c} * {p}_{c}" for c in cs.split()) + "))"
@@ -747,6 +762,38 @@ def residual_motion(s, d):
     return x.groupBy(*USER).agg(*[r6(A.rms([F.col(f"res_{a}")])).alias(f"rms_{a}") for a in "xyz"])
 
 
+def event_ratios(s, d):
+    """How much of the strongest slow turns of one axis is left in another, per user."""
+    x = M.event_ratios(events(s, d).select(*USER, "pos", "n", "t", F.col("value").alias("raw"), (F.col("value") * 0.5 + F.col("k") * 0.1).alias("out")), USER, "t", "raw", "out", 20.0, apart=DAY, most=5)
+    return rounded(x.select("user_id", F.col("rank").cast("int").alias("rank"), "t", "ratio"), "t", "ratio")
+
+
+_LOW3 = _filtered_sql([("a", "raw", "value", bank.low("3.0", "20.0")), ("a", "out", "value * 0.5 + k * 0.1", bank.low("3.0", "20.0"))], "e")
+RATIOS_SQL = f"""with recursive {EVENTS}, {_LOW3}, lo as (select user_id, t, a_raw v, a_out o from fy join e using (user_id, pos)),
+pk as (
+  select user_id, 1 r, [arg_max(t, (abs(v), -t))] ts from lo group by user_id
+  union all
+  select user_id, r + 1, list_append(any_value(ts), arg_max(t, (abs(v), -t))) from pk join lo using (user_id)
+  where r < 5 and list_min(list_transform(ts, lambda x: abs(x - lo.t))) > {DAY} group by user_id, r),
+al as (select user_id, arg_max(ts, r) ts from pk group by user_id), un as (select user_id, unnest(range(1, len(ts) + 1)) i, ts from al)
+select un.user_id, cast(i as int) as rank, round(ts[i], 6) + 0.0 as t, round(o / v, 6) + 0.0 as ratio from un join lo on lo.user_id = un.user_id and lo.t = ts[i]"""
+
+
+def zone_difference(s, d):
+    """Banded difference of two axes by noise class, per user."""
+    x = _masks(s, d).select(*USER, "pos", "n", "label", F.col("value").alias("v"))
+    y = events(s, d).where("pos < n - 3").select(*USER, "pos", F.col("k").alias("v"))
+    z = M.zone_difference(x, y, USER, ["v"], 20.0, [(2.0, 8.0), (8.0, 25.0)])
+    return rounded(z, "rms")
+
+
+_ZONES = [("p", "2.0", "8.0", "8.0"), ("q", "8.0", "25.0", "9.0")]
+ZONE_SQL = f"""{_MASKED},
+di as (select user_id, pos, n - 3 n, value - k v from e where pos < n - 3), {_filtered_sql([(j, 'v', 'v', bank.band(lo, edge, '20.0')) for j, lo, _, edge in _ZONES], 'di', 'z')}""" + " union all ".join(
+    f" select user_id, {lo}::double as lo, {hi}::double as hi, label, {_r(f'sqrt(avg({j}_v*{j}_v)) rms')} from fy join la using (user_id, pos) group by user_id, label" for j, lo, hi, _ in _ZONES
+)
+
+
 def changed_rows(s, d):
     """Delta of a rewrite: rows that differ from the stored ones in any component, with the signs they are written with.
 
@@ -785,7 +832,7 @@ QUERIES = {
         range_mask, anti_mask, range_join, searchsorted, named_windows, masked_rms, ranking_pivot, asof_interp, sample_rate, segment_stats, first_occurrence,
         corr_scan, r_squared, cross_moment, lstsq, procrustes, calib_topk, lowpass_lfilter, filtfilt, bandpass_noise, gcsv_lines, camera_matrix, lens_metadata,
         scan_probe, slot_alignment, fast_events, telemetry_extract, clean_telemetry, severe_bursts, repair_status, repaired_bursts, render_metrics,
-        continuity, band_ratio, shift_search, residual_motion, changed_rows,
+        continuity, band_ratio, event_ratios, zone_difference, shift_search, residual_motion, changed_rows,
     )
 }
 
@@ -818,8 +865,8 @@ ORACLE = {
     "range_join": f"{_IV} select e.user_id, event_id, {_r('a a', 'b b')} from e join ivl on ivl.user_id = e.user_id and e.t between a - 5400.0 and b + 5400.0",
     "searchsorted": f"{_IV} select e.user_id, {_r('a a', 'b b')}, min(pos) i0, max(pos) i1 from e join ivl on ivl.user_id = e.user_id and e.t between a and b group by e.user_id, a, b",
     "named_windows": LABEL_SQL,
-    "masked_rms": f"with {EVENTS} select {_CLASS} as label, round(sqrt(avg(value*value)), 6) + 0.0 as rms_value, round(sqrt(avg(k*k)), 6) + 0.0 as rms_k, count(*) n from e group by 1",
-    "ranking_pivot": f"with {EVENTS}, c as (select *, {_CLASS} as label from e) select event_type, " + ", ".join(f"round(sqrt(avg(value*value) filter (where label = '{x}')), 6) + 0.0 as {x}" for x in ("clean", "mild", "severe")) + " from c group by 1",
+    "masked_rms": MASKED_SQL,
+    "ranking_pivot": RANKING_SQL,
     "asof_interp": ASOF_SQL,
     "sample_rate": RATE_SQL,
     "segment_stats": f"{_IV} select e.user_id, {_r('a a', 'b b')}, count(*) n, {_r('avg(value) mean', 'stddev_pop(value) std', 'min(value) least', 'max(value) most')} from e join ivl on ivl.user_id = e.user_id and e.t between a and b group by e.user_id, a, b",
@@ -846,6 +893,8 @@ ORACLE = {
     "fast_events": FAST_SQL,
     "render_metrics": RENDER_SQL,
     "band_ratio": RATIO_SQL,
+    "event_ratios": RATIOS_SQL,
+    "zone_difference": ZONE_SQL,
     "shift_search": SHIFT_SQL,
     "residual_motion": RESIDUAL_SQL,
 }

@@ -55,20 +55,24 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "gyrolith-shared")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed with the session's other tables."""
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        _WRITTEN[app] = f"{shared_folder(spark).rstrip('/')}/gyrolith-{app}"
+        atexit.register(clear, spark)
+    return f"{_WRITTEN[app]}/{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and go on from it.
 
     That cuts the lineage: losing an executor loses nothing, and what reads the table several times
     reads its columns, not its plan.  The tables of a session are removed when it ends (``clear``).
     """
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    if app not in _WRITTEN:
-        _WRITTEN[app] = f"{shared_folder(spark).rstrip('/')}/gyrolith-{app}"
-        atexit.register(clear, spark)
-    path = f"{_WRITTEN[app]}/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _WRITTEN: dict[str, str] = {}

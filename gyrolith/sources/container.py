@@ -224,6 +224,74 @@ def read_containers(spark: SparkSession, pattern: str, parts: int = 1) -> DataFr
     return spark.read.format("clip_container").option("path", pattern).option("parts", str(parts)).load()
 
 
+def _box(name: bytes, payload: bytes) -> bytes:
+    return struct.pack(">I4s", 8 + len(payload), name) + payload
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _field(number: int, kind: int, payload: bytes) -> bytes:
+    return _varint(number << 3 | kind) + (_varint(len(payload)) if kind == 2 else b"") + payload
+
+
+def pack_sample(stamp: int | None, shift: float, quats: list[list[float | None]]) -> bytes:
+    """A metadata sample as ``parse_sample`` reads it; a component that is None is left out."""
+    atts = [_field(ATTITUDE, 2, b"".join(_field(k + 1, 5, struct.pack("<f", v)) for k, v in enumerate(q) if v is not None)) for q in quats]
+    head = _field(HEADER, 2, _field(STAMP, 0, _varint(stamp))) if stamp is not None else b""
+    return _field(FRAME, 2, head + _field(IMU, 2, _field(FUSION, 2, b"".join(atts) + _field(OFFSET, 5, struct.pack("<f", shift)))))
+
+
+def pack_container(samples: list[bytes]) -> bytes:
+    """A container of one metadata track, its samples one a chunk."""
+    full = bytes(4)
+    first = _box(b"ftyp", b"isom" + bytes(4))
+    sizes = [len(x) for x in samples]
+    at = np.cumsum([len(first) + 8, *sizes])[:-1] if samples else np.zeros(0, np.int64)
+    table = _box(b"stsz", full + struct.pack(">II", 0, len(sizes)) + np.array(sizes, ">u4").tobytes()) + _box(b"stsc", full + struct.pack(">IIII", 1, 1, 1, 1))
+    table += _box(b"co64", full + struct.pack(">I", len(sizes)) + np.array(at, ">u8").tobytes())
+    track = _box(b"trak", _box(b"mdia", _box(b"hdlr", full + full + b"meta") + _box(b"minf", _box(b"stbl", table))))
+    return first + _box(b"mdat", b"".join(samples)) + _box(b"moov", track)
+
+
+def write_containers(rows: DataFrame, folder: str) -> DataFrame:
+    """Containers of the metadata samples in ``rows`` (name, sample, frame_ts, att_offset, quats array<array<double>>): (path, n_samples).
+
+    One file a name in a folder every executor sees, written whole by one task.  Run it by reading the result once.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        name, parts, out = None, [], []
+
+        def close():
+            if name is not None:
+                path = os.path.join(folder, f"{name}.mp4")
+                with open(path, "wb") as f:
+                    f.write(pack_container(parts))
+                out.append((path, len(parts)))
+
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["name"] != name:
+                    close()
+                    name, parts = r["name"], []
+                parts.append(pack_sample(r["frame_ts"], r["att_offset"], r["quats"]))
+        close()
+        yield pa.record_batch([pa.array([p for p, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["path", "n_samples"])
+
+    ready = rows.select("name", "sample", "frame_ts", F.col("att_offset").cast("float").alias("att_offset"), "quats")
+    return ready.repartition("name").sortWithinPartitions("name", "sample").mapInArrow(run, "path string, n_samples bigint")
+
+
 def write_slots(plan: DataFrame) -> DataFrame:
     """Write float32 components at file offsets into copies of files: one task per file, in order.
 
@@ -248,20 +316,27 @@ def write_slots(plan: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array([out]), pa.array([n], pa.int64()), pa.array([error], pa.string())], names=["out_path", "n_written", "error"])
 
         for batch in batches:
-            for path, target, off, value in zip(*[batch.column(c).to_pylist() for c in ("path", "out_path", "off", "value")]):
-                if path != current:
+            paths, targets = (batch.column(c).to_pylist() for c in ("path", "out_path"))
+            off = batch.column("off").to_numpy(zero_copy_only=False).astype(float)
+            value = np.frombuffer(batch.column("value").to_numpy(zero_copy_only=False).astype("<f4").tobytes(), np.uint8).reshape(-1, 4)
+            new = np.array([k == 0 or paths[k] != paths[k - 1] for k in range(len(paths))], bool)
+            for a, b in zip(np.flatnonzero(new).tolist(), [*np.flatnonzero(new).tolist()[1:], len(paths)]):
+                if paths[a] != current:
                     if current is not None:
                         yield close()
-                    current, out, n, error = path, target, 0, None
+                    current, out, n, error = paths[a], targets[a], 0, None
                     try:
-                        shutil.copyfile(path, target)
-                        f = open(target, "r+b")  # noqa: SIM115
+                        shutil.copyfile(current, out)
+                        f = open(out, "r+b")  # noqa: SIM115
                     except OSError as e:
                         error = str(e)
-                if error is None and off is not None:
-                    f.seek(off)
-                    f.write(struct.pack("<f", value))
-                    n += 1
+                if error is None:
+                    at = np.arange(a, b)[~np.isnan(off[a:b])]
+                    # components on end are one write
+                    for run_ in np.split(at, np.flatnonzero(np.diff(off[at]) != 4) + 1) if len(at) else ():
+                        f.seek(int(off[run_[0]]))
+                        f.write(value[run_].tobytes())
+                    n += len(at)
         if current is not None:
             yield close()
 

@@ -50,3 +50,13 @@ def read_gcsv(spark: SparkSession, path: str) -> DataFrame:
     body = text.where((F.size("p") >= 4) & F.col("p")[0].rlike(r"^\s*-?[0-9.]+(?:[eE][-+]?\d+)?\s*$"))
     num = lambda k: F.col("p")[k].cast("double")
     return body.select("path", (num(0) / 1000).alias("t"), *[F.degrees(num(k)).alias(n) for k, n in ((1, "gx"), (2, "gy"), (3, "gz"))])
+
+
+def write_flat(df: DataFrame, path: str, order: Sequence[str], columns: Sequence[str], keys: Sequence[str] = ()) -> None:
+    """Rows as text, a number each with all its digits, in order; one file, or one a series (``keys``)."""
+    keys = list(keys)
+    line = F.format_string(",".join(["%.17e"] * len(columns)), *[F.col(c).cast("double") for c in columns])
+    rows = df.select(*keys, *[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)], line.alias("line"))
+    rows = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, *[f"__o{k}" for k in range(len(order))]).select(*keys, "line")
+    out = rows.write.mode("overwrite").option("lineSep", "\n")
+    (out.partitionBy(*keys) if keys else out).text(path)

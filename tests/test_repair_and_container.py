@@ -8,13 +8,15 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gyrolith import session
 from gyrolith.config import Config, Settings, load_settings, output_path, save_settings
-from gyrolith.operators import intervals
+from gyrolith.operators import intervals, metrics
 from gyrolith.operators import repair as R
 from gyrolith.plans import container as C
 from gyrolith.plans import pipeline as P
 from gyrolith.sources import container as S
-from gyrolith.sources.gcsv import read_gcsv, write_gcsv
+from gyrolith.sources import frames
+from gyrolith.sources.gcsv import read_gcsv, write_flat, write_gcsv
 from gyrolith.sources.lens import lens_columns, read_camera_path
 
 
@@ -283,3 +285,111 @@ def test_long_intervals_make_few_slots(spark):
     assert got == sorted((t, a) for k, t in rows for _, a, b in iv if k == "a" and a <= t <= b)
     assert (3e8 + 1) / intervals.slot_length(cut) < 20 * len(iv)
     assert {r.t for r in intervals.in_none(df, cut, ["k"], "t").collect()} == {3e8, 1.0}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    class Context:
+        def __init__(self, master):
+            self.master, self._jsc = master, self
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return self
+
+        def isDefined(self):
+            return False
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext, self.conf = Context(master), {}
+
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            session.shared_folder(Session(master))
+    assert session.shared_folder(Session("local[4]"))
+
+
+# ---- frames
+class Film:
+    """Points of a turning camera, seen through a fisheye."""
+
+    fps = 50.0
+    camera = np.array([[500.0, 0, 320], [0, 500, 240], [0, 0, 1]])
+    distortion = np.array([0.05, -0.01, 0.002, 0.0])
+    rate = np.array([0.4, -0.8, 0.6])
+
+    def seen(self, frame):
+        rng = np.random.default_rng(1)
+        x = rng.uniform([-3, -2, 4], [3, 2, 9], (300, 3))
+        angle = np.linalg.norm(self.rate) * frame / self.fps
+        k = self.rate / np.linalg.norm(self.rate)
+        cross = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
+        turn = np.eye(3) + np.sin(angle) * cross + (1 - np.cos(angle)) * cross @ cross
+        x = x @ turn.T + np.array([0.02, 0.01, 0.015]) * frame
+        p = x[:, :2] / x[:, 2:]
+        r = np.linalg.norm(p, axis=1)
+        t = np.arctan(r)
+        d = t * (1 + t**2 * (0.05 + t**2 * (-0.01 + t**2 * 0.002)))
+        return p * (d / r)[:, None] * 500 + [320, 240]
+
+    def open(self, path):
+        return self
+
+    def matches(self, first, last):
+        for f in range(first + 1, last + 1):
+            a, b = self.seen(f - 1), self.seen(f)
+            b[:30] += 40  # wrong matches
+            yield f, a, b
+
+
+def test_rates_from_matched_points(spark):
+    iv = spark.createDataFrame([("x", 0.0, 0.1), ("y", 0.2, 0.26)], "path string, a double, b double")
+    rows = frames.video_rates(iv, Film()).toPandas()
+    assert sorted(rows[rows.path == "x"].frame) == [1, 2, 3, 4, 5, 6] and (rows.quality == 1).all()
+    assert np.abs(rows[["ox", "oy", "oz"]].to_numpy() - Film.rate).max() < 0.05
+    assert np.allclose(rows.t, (rows.frame - 0.5) / 50)
+    few = frames.pair_rotation(np.zeros((20, 2)), np.zeros((20, 2)), Film.camera, Film.distortion, 1)
+    assert few[1] == 0 and not few[0].any()
+
+
+def test_similarity_of_points():
+    rng = np.random.default_rng(2)
+    p = rng.normal(size=(50, 2))
+    c, s = np.cos(0.1), np.sin(0.1)
+    shift, roll, scale = frames.similarity(p, 1.05 * p @ np.array([[c, s], [-s, c]]) + [3, -1])
+    assert abs(roll - 0.1) < 1e-12 and abs(scale - np.log(1.05)) < 1e-12
+    assert np.allclose(shift, (1.05 * p @ np.array([[c, s], [-s, c]]) + [3, -1] - p).mean(axis=0))
+    assert frames.track_video.__doc__
+
+
+# ---- dumps, caches, differences
+def test_stages_flat_dump_and_cache(spark, tmp_path):
+    n = 200
+    t, w, q = spin(n, 0.01)
+    tele = spark.createDataFrame(pd.DataFrame(q, columns=list("wxyz")).assign(g="a", idx=np.arange(n), t=t))
+    none = spark.createDataFrame([], "g string, kind string, t double, ox double, oy double, oz double, quality double")
+    done = P.repair(tele, none, ["g"])
+    for name in P.dump_stages(done, str(tmp_path / "stages")):
+        assert spark.read.parquet(str(tmp_path / "stages" / name)).columns
+    write_flat(done.series, str(tmp_path / "flat"), ["pos"], ["t", *"wxyz"], keys=["g"])
+    lines = next((tmp_path / "flat" / "g=a").glob("part-*")).read_text().splitlines()
+    back = np.array([[float(x) for x in line.split(",")] for line in lines])
+    assert back.shape == (n, 5) and np.abs(np.abs(back[:, 1:]) - np.abs(q)).max() < 1e-12 and (back[:, 0] == t).all()
+    cache = metrics.rate_cache(done.series, ["g"], track=spark.createDataFrame([("a", 0.2), ("a", 0.6), ("a", None)], "g string, quality double")).toPandas()
+    assert len(cache) == n - 1 and (cache.quality == 0.4).all()
+    assert np.abs(cache.sort_values("pos")[["wx", "wy", "wz"]].to_numpy() - np.degrees(w[:-1])).max() < 1e-6
+
+
+def test_shifted_track_differs_by_nothing(spark):
+    n = 400
+    t = np.arange(n) / 50.0
+    v = np.sin(3 * t) + 0.5 * np.sin(20 * t)
+    a = pd.DataFrame({"g": "a", "pos": np.arange(n), "n": n, "t": t, "v": v, "label": np.where(t < 4, "clean", "severe")})
+    b = a.assign(t=t + 0.008)[["g", "pos", "n", "t", "v"]]
+    got = metrics.render_difference(spark.createDataFrame(a), spark.createDataFrame(b), ["g"], ["v"], 50.0, 0.03, [(2.0, 8.0), (8.0, 25.0)]).toPandas()
+    assert len(got) == 4 and (np.abs(got["shift"] - 0.008) < 1e-9).all() and got.rms.max() < 0.02

@@ -76,7 +76,7 @@ def pair_rotation(before: np.ndarray, after: np.ndarray, camera: np.ndarray, dis
         return none
     a, b = (np.c_[undistorted(p, camera, distortion), np.ones(len(p))] for p in (before, after))
     rng = np.random.default_rng(SEED + frame)
-    best = np.zeros(len(a), bool)
+    best, cost, model = np.zeros(len(a), bool), np.inf, np.zeros((3, 3))
 
     def distance(e: np.ndarray) -> np.ndarray:
         ea, eb = a @ e.T, b @ e
@@ -87,9 +87,9 @@ def pair_rotation(before: np.ndarray, after: np.ndarray, camera: np.ndarray, dis
         left -= 1
         pick = rng.choice(len(a), 8, replace=False)
         e = _essential(a[pick], b[pick])
-        ok = distance(e) < threshold
-        if ok.sum() > best.sum():
-            best, model = ok, e
+        d = np.minimum(distance(e), threshold)
+        if d.sum() < cost:  # by distances, not by counts: chance agreement costs
+            cost, best, model = d.sum(), d < threshold, e
             share = best.mean() ** 8
             left = min(left, int(np.ceil(np.log(0.001) / np.log(max(1 - share, 1e-12)))) if share < 1 else 0)
     if best.sum() < LEAST:

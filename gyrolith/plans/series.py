@@ -465,6 +465,20 @@ LSTSQ_SQL = f"{_THREE}, {_fit_sql('ft', 'x', 'event_type', 'x1 x2 x3', 'y1 y2 y3
 )
 
 
+def _polar_sql() -> str:
+    """The orthogonal factor of the moments by Newton's iteration, X to the mean of X and its inverse transposed, until it stands."""
+    at = lambda i, j: f"m{i % 3}{j % 3}"
+    cof = {(i, j): f"({at(i + 1, j + 1)} * {at(i + 2, j + 2)} - {at(i + 1, j + 2)} * {at(i + 2, j + 1)})" for i in range(3) for j in range(3)}
+    det = " + ".join(f"m0{j} * {cof[0, j]}" for j in range(3))
+    step = ", ".join(f"(m{i}{j} + {cof[i, j]} / ({det})) / 2 m{i}{j}" for i in range(3) for j in range(3))
+    first = ", ".join(f"sum(x{i + 1} * y{j + 1}) m{i}{j}" for i in range(3) for j in range(3))
+    rows = " union all ".join(f"select event_type, {i}::int as i, {j}::int as j, round(m{i}{j}, 6) + 0.0 as v from po where r = 80" for i in range(3) for j in range(3))
+    return _THREE.replace("with ", "with recursive ", 1) + f", po as (select 0 r, event_type, {first} from x group by event_type union all select r + 1, event_type, {step} from po where r < 80) {rows}"
+
+
+POLAR_SQL = _polar_sql()
+
+
 def calib_topk(s, d):
     """The three intervals of the most varied readings per user, cut to four hours."""
     e = events(s, d)
@@ -682,6 +696,11 @@ select split_part(sz.k, '/', 1) as series_id, cast(split_part(sz.k, '/', 2) as b
     when coalesce(good, 0) < 200 then 'few' else 'measured' end as status from sz left join fsk using (k) left join gd using (k)"""
 
 
+#: Bursts of clips that can be aligned; the tables have none (``plans.motion`` has series that can).
+BURSTS_SQL = REPAIR_SQL[: REPAIR_SQL.index("select split_part(sz.k")] + """select split_part(user_id, '/', 1) as series_id, cast(split_part(user_id, '/', 2) as bigint) as clip_no, a, b, null::double as drift_deg
+from ivl join gd on gd.k = user_id where good >= 200"""
+
+
 def repaired_bursts(s, d):
     """Drift closed in each repaired burst."""
     return rounded(_repaired(s, d).bursts.select(*CLIP, "a", "b", "drift_deg"), "a", "b", "drift_deg")
@@ -875,6 +894,7 @@ ORACLE = {
     "r_squared": R2_SQL,
     "cross_moment": MOMENT_SQL,
     "lstsq": LSTSQ_SQL,
+    "procrustes": POLAR_SQL,
     "calib_topk": CALIB_SQL,
     "lowpass_lfilter": LFILTER_SQL,
     "filtfilt": FILTFILT_SQL,
@@ -887,6 +907,7 @@ ORACLE = {
     "telemetry_extract": EXTRACT_SQL,
     "clean_telemetry": CLEAN_SQL,
     "repair_status": REPAIR_SQL,
+    "repaired_bursts": BURSTS_SQL,
     "severe_bursts": SEVERE_SQL,
     "continuity": CONTINUITY_SQL,
     "changed_rows": CHANGED_SQL,

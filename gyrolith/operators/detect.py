@@ -20,7 +20,6 @@ from gyrolith.functions.design import Filter, band_pass, low_pass
 from gyrolith.operators.filters import Pass, run_pass
 from gyrolith.operators.intervals import find_intervals, in_any
 from gyrolith.operators.windows import uniform_filter
-from gyrolith.session import durable
 
 AXES = ("wx", "wy", "wz")
 ALPHA_S = 0.2
@@ -69,7 +68,7 @@ def adaptive_clean(df: DataFrame, keys: Sequence[str], cfg: Config = Config(), a
     Adds per axis ``c*`` (cleaned, rad/s), ``light_*`` and ``strong_*`` (deg/s), then noise (deg/s),
     alpha and spike_frac.  ``plain_cutoff`` filters all readings alike instead, with alpha 0.
     A series whose rate is unknown or too low for the band keeps its rows, the added columns null.
-    Spikes, filters and averages are one pass over the series; the result is written once.
+    Spikes, filters and averages are one pass over the series.
     """
     keys, n = list(keys), len(axes)
     short = [a[-1] for a in axes]
@@ -98,11 +97,13 @@ def adaptive_clean(df: DataFrame, keys: Sequence[str], cfg: Config = Config(), a
             noise = envelope(bands, fs, cfg)
             alpha = rolling.mean(rolling.ramp(noise, cfg.noise_low, cfg.noise_high), window_rows(ALPHA_S, fs))
         made = np.radians(lo * (1 - alpha[:, None]) + hi * alpha[:, None])
-        return [*made.T, *lo.T, *hi.T, noise, alpha, np.mean(x[n:], axis=0)]
+        return [*made.T, *lo.T, *hi.T, noise, alpha]
 
-    step = Pass(axes, [*clean, *light, *strong, "noise", "alpha", "__spikes"], jobs, prepare, finish, 2 * cfg.hampel_window, 8, (cfg.noise_window_ms / 1000 + ALPHA_S) / 2)
-    rows = durable(run_pass(df, keys, step))
-    return rows.join(rows.groupBy(*keys).agg(F.avg("__spikes").alias("spike_frac")), keys).drop("__spikes")
+    step = Pass(
+        axes, [*clean, *light, *strong, "noise", "alpha", "spike_frac"], jobs, prepare, finish, lambda x: np.mean(x[n:], axis=0).sum(),
+        around=2 * cfg.hampel_window, after_rows=8, after_s=(cfg.noise_window_ms / 1000 + ALPHA_S) / 2,
+    )
+    return run_pass(df, keys, step)
 
 
 def optical_alpha(diag: DataFrame, keys: Sequence[str], cfg: Config, out: str = "alpha_opt") -> DataFrame:

@@ -118,13 +118,15 @@ class Pass:
     """inputs: columns; outs: double columns added; around: rows ``prepare`` needs on each side;
     after_rows + after_s * fs: rows ``finish`` needs on each side; prepare(columns, fs) -> columns;
     jobs(fs) -> filters of those (None: this rate can't be filtered, outs are null); finish(columns,
-    prepared, filtered, fs) -> outs, all of the same rows.  At a series' ends the rows just end there."""
+    prepared, filtered, fs) -> outs, all of the same rows.  At a series' ends the rows just end there.
+    tally(prepared) -> a sum over rows, whose mean over the whole series is the last of the outs."""
 
     inputs: Sequence[str]
     outs: Sequence[str]
     jobs: Callable[[float], list[Job] | None]
     prepare: Callable[[list[np.ndarray], float], list[np.ndarray]] = lambda x, fs: x
     finish: Callable[[list[np.ndarray], list[np.ndarray], list[np.ndarray], float], list[np.ndarray]] = lambda x, p, y, fs: y
+    tally: Callable[[list[np.ndarray]], float] | None = None
     around: int = 0
     after_rows: int = 0
     after_s: float = 0.0
@@ -258,6 +260,9 @@ def run_pass(df: DataFrame, keys: Sequence[str], step: Pass, fs: float | None =
         lo, hi = s.u - int(pos[a]), s.v - int(pos[a])
         return [c[lo:hi] for c in given], [c[lo:hi] for c in made]
 
+    def counted(x: list[np.ndarray], s: _Shard) -> float:
+        return float(step.tally([c[s.c0 - s.u : s.c1 - s.u] for c in x])) if step.tally else 0.0
+
     def where(tab: pa.Table, a: int, rate: float) -> _Shard:
         return _shard_at(*(int(tab.column(c)[a].as_py()) for c in ("__sh", "n", "__size")), step.reach(rate))
 
@@ -271,7 +276,7 @@ def run_pass(df: DataFrame, keys: Sequence[str], step: Pass, fs: float | None =
                 continue
             s = where(tab, a, float(rates[a]))
             _, x = prepared(cols, a, b, pos, s, float(rates[a]))
-            told.append(np.concatenate([np.zeros(0), *[np.concatenate(_ends(f, mode, x[i], s)) for f, which, mode in jobs for i in which]]).tolist())
+            told.append(np.concatenate([[counted(x, s)], *[np.concatenate(_ends(f, mode, x[i], s)) for f, which, mode in jobs for i in which]]).tolist())
             rows.append(a)
         if not rows:
             return None
@@ -281,8 +286,9 @@ def run_pass(df: DataFrame, keys: Sequence[str], step: Pass, fs: float | None =
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:  # one row a shard
         pdf = pdf.sort_values("__sh")
         rate = float(pdf["fs"].iloc[0])
-        told = [(_shard_at(int(k), int(n), int(size), step.reach(rate)), np.asarray(z, float)) for k, n, size, z in zip(pdf["__sh"], pdf["n"], pdf["__size"], pdf["__z"])]
-        return pdf[part].assign(__z=[z.tolist() for z in _chain(step.jobs(rate), told)])
+        total = sum(z[0] for z in pdf["__z"])
+        told = [(_shard_at(int(k), int(n), int(size), step.reach(rate)), np.asarray(z[1:], float)) for k, n, size, z in zip(pdf["__sh"], pdf["n"], pdf["__size"], pdf["__z"])]
+        return pdf[part].assign(__z=[[total, *z.tolist()] for z in _chain(step.jobs(rate), told)])
 
     long = rows.where((F.col("n") >= 2 * shard) & (F.col("n") >= 2 * F.col("__size"))).select(*part, "pos", "n", "fs", "__size", *[c for c in dict.fromkeys(step.inputs) if c not in ("pos", "n", "fs")])
     long = map_group_chunks(long, part, ends, f"{named}, n bigint, __size bigint, fs double, __z array<double>")
@@ -309,6 +315,8 @@ def run_pass(df: DataFrame, keys: Sequence[str], step: Pass, fs: float | None =
                 continue
             s = where(tab, a, rate)
             given, x = prepared(cols, a, b, pos, s, rate)
+            total = counted(x, s) if z is None else z[0]
+            z = None if z is None else z[1:]
             y, i = [], 0
             for f, which, mode in jobs:
                 order = len(steady(f))
@@ -317,7 +325,8 @@ def run_pass(df: DataFrame, keys: Sequence[str], step: Pass, fs: float | None =
                     begin_w = z[i + order : i + 2 * order] if z is not None and not s.last else None
                     i += 2 * order
                     y.append(_run(f, mode, x[c], s, begin_z, begin_w))
-            made.append([o[s.c0 - s.u : s.c1 - s.u] for o in step.finish(given, x, y, rate)])
+            outs = [o[s.c0 - s.u : s.c1 - s.u] for o in step.finish(given, x, y, rate)]
+            made.append([*outs, np.full(len(at), total / tab.column("n")[a].as_py())] if step.tally else outs)
         rows = np.concatenate(pick)
         out = tab.select(kept).take(pa.array(rows))
         for k, name in enumerate(step.outs):

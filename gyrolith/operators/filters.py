@@ -37,7 +37,7 @@ from gyrolith.functions.design import Filter, states, steady
 from gyrolith.operators.shards import floats, map_group_chunks
 from gyrolith.session import durable
 
-SHARD, LENGTH = 1 << 14, 128
+SHARD, LENGTH = 1 << 14, 32
 
 
 @lru_cache(maxsize=64)

@@ -62,11 +62,12 @@ def ramp_smoothed(df: DataFrame, keys: Sequence[str], value: str, lo: float, hi:
     return uniform_filter(rows, keys, ["__r"], window_rows(seconds, fs), [out]).drop("__r")
 
 
-def adaptive_clean(df: DataFrame, keys: Sequence[str], cfg: Config = Config(), axes: Sequence[str] = AXES, plain_cutoff: float | None = None) -> DataFrame:
+def adaptive_clean(df: DataFrame, keys: Sequence[str], cfg: Config = Config(), axes: Sequence[str] = AXES, plain_cutoff: float | None = None, step_time: str | None = None) -> DataFrame:
     """Rates in rad/s of a numbered series with its rate ``fs`` to cleaned rates and their diagnosis.
 
     Adds per axis ``c*`` (cleaned, rad/s), ``light_*`` and ``strong_*`` (deg/s), then noise (deg/s),
     alpha and spike_frac.  ``plain_cutoff`` filters all readings alike instead, with alpha 0.
+    ``step_time``: times between readings, from which a series of one shard without ``fs`` gets it.
     A series whose rate is unknown or too low for the band keeps its rows, the added columns null.
     Spikes, filters and averages are one pass over the series.
     """
@@ -75,8 +76,12 @@ def adaptive_clean(df: DataFrame, keys: Sequence[str], cfg: Config = Config(), a
     light, strong, clean = ([f"{p}{s}" for s in short] for p in ("light_", "strong_", "c"))
     plain = plain_cutoff is not None
 
+    def rate(x: list[np.ndarray]) -> float:
+        middle = float(np.median(x[n]))
+        return 1.0 / middle if middle > 0 else float("nan")
+
     def prepare(x: list[np.ndarray], fs: float) -> list[np.ndarray]:
-        parts = [rolling.hampel(np.degrees(c), cfg.hampel_window, cfg.hampel_sigma) for c in x]
+        parts = [rolling.hampel(np.degrees(c), cfg.hampel_window, cfg.hampel_sigma) for c in x[:n]]
         return [p[0] for p in parts] + [p[1].astype(float) for p in parts]
 
     def jobs(fs: float) -> list | None:
@@ -99,9 +104,10 @@ def adaptive_clean(df: DataFrame, keys: Sequence[str], cfg: Config = Config(), a
         made = np.radians(lo * (1 - alpha[:, None]) + hi * alpha[:, None])
         return [*made.T, *lo.T, *hi.T, noise, alpha]
 
+    inputs = [*axes, *([step_time] if step_time else [])]
     step = Pass(
-        axes, [*clean, *light, *strong, "noise", "alpha", "spike_frac"], jobs, prepare, finish, lambda x: np.mean(x[n:], axis=0).sum(),
-        around=2 * cfg.hampel_window, after_rows=8, after_s=(cfg.noise_window_ms / 1000 + ALPHA_S) / 2,
+        inputs, [*clean, *light, *strong, "noise", "alpha", "spike_frac"], jobs, prepare, finish, lambda x: np.mean(x[n:], axis=0).sum(),
+        rate=rate if step_time else None, around=2 * cfg.hampel_window, after_rows=8, after_s=(cfg.noise_window_ms / 1000 + ALPHA_S) / 2,
     )
     return run_pass(df, keys, step)
 

@@ -119,7 +119,8 @@ class Pass:
     after_rows + after_s * fs: rows ``finish`` needs on each side; prepare(columns, fs) -> columns;
     jobs(fs) -> filters of those (None: this rate can't be filtered, outs are null); finish(columns,
     prepared, filtered, fs) -> outs, all of the same rows.  At a series' ends the rows just end there.
-    tally(prepared) -> a sum over rows, whose mean over the whole series is the last of the outs."""
+    tally(prepared) -> a sum over rows, whose mean over the whole series is the last of the outs.
+    rate(columns) -> the rate of a series of one shard that comes without one; then ``fs`` is filled in."""
 
     inputs: Sequence[str]
     outs: Sequence[str]
@@ -127,6 +128,7 @@ class Pass:
     prepare: Callable[[list[np.ndarray], float], list[np.ndarray]] = lambda x, fs: x
     finish: Callable[[list[np.ndarray], list[np.ndarray], list[np.ndarray], float], list[np.ndarray]] = lambda x, p, y, fs: y
     tally: Callable[[list[np.ndarray]], float] | None = None
+    rate: Callable[[list[np.ndarray]], float] | None = None
     around: int = 0
     after_rows: int = 0
     after_s: float = 0.0
@@ -300,7 +302,7 @@ def run_pass(df: DataFrame, keys: Sequence[str], step: Pass, fs: float | None =
         tab, spans = series(tab, group)
         pos, rates, cols = floats(tab, "pos"), floats(tab, "fs"), [floats(tab, c) for c in step.inputs]
         own = np.asarray(tab.column("__of").to_numpy(zero_copy_only=False) == tab.column("__sh").to_numpy())
-        pick, made = [], []
+        pick, made, told = [], [], []
         for a, b in spans:
             z = None
             if np.isnan(pos[b - 1]):  # the row of the states sorts last
@@ -309,6 +311,9 @@ def run_pass(df: DataFrame, keys: Sequence[str], step: Pass, fs: float | None =
             at = np.flatnonzero(own[a:b])
             pick.append(a + at)
             rate = float(rates[a])
+            if step.rate and np.isnan(rate) and z is None:
+                rate = step.rate([c[a:b] for c in cols])
+            told.append(np.full(len(at), rate))
             jobs = step.jobs(rate)
             if jobs is None or not len(at):
                 made.append([np.full(len(at), np.nan)] * len(step.outs))
@@ -329,6 +334,8 @@ def run_pass(df: DataFrame, keys: Sequence[str], step: Pass, fs: float | None =
             made.append([*outs, np.full(len(at), total / tab.column("n")[a].as_py())] if step.tally else outs)
         rows = np.concatenate(pick)
         out = tab.select(kept).take(pa.array(rows))
+        if step.rate:
+            out = out.set_column(kept.index("fs"), "fs", pa.array(np.concatenate(told), from_pandas=True))
         for k, name in enumerate(step.outs):
             out = out.append_column(name, pa.array(np.concatenate([m[k] for m in made]), from_pandas=True))
         return out

@@ -93,8 +93,9 @@ def difference(df: DataFrame, keys: Sequence[str], values: Sequence[str], outs:
     return own(rows.withColumns({o: F.col(v) - F.lag(v).over(w) for v, o in zip(values, outs)}))
 
 
-def rates(df: DataFrame, keys: Sequence[str], time: str, q: Sequence[str], outs: Sequence[str] = ("tm", "wx", "wy", "wz")) -> DataFrame:
-    """Angular rates between successive orientations at their mid times; one row less a series."""
+def rates(df: DataFrame, keys: Sequence[str], time: str, q: Sequence[str], outs: Sequence[str] = ("tm", "wx", "wy", "wz"), step: str | None = None) -> DataFrame:
+    """Angular rates between successive orientations at their mid times; one row less a series.
+    ``step`` names a column to keep the time between the two in."""
     rows, w = blocked(df, keys, 1)
     nxt, turn = [f"__n{k}" for k in range(4)], [f"__d{k}" for k in range(4)]
     rows = rows.withColumns({**{n: F.lead(c).over(w) for n, c in zip(nxt, q)}, "__dt": F.lead(time).over(w) - F.col(time)})
@@ -106,7 +107,8 @@ def rates(df: DataFrame, keys: Sequence[str], time: str, q: Sequence[str], outs:
     angle = F.when(F.col("__v") > 1e-12, F.try_divide(2 * F.asin(F.least(F.col("__v"), F.lit(1.0))), F.col("__v"))).otherwise(2.0)
     rows = rows.withColumn("__k", F.when(F.col(turn[0]) < 0, -angle).otherwise(angle) / F.greatest(F.col("__dt"), F.lit(1e-9)))
     omega = [F.col(c) * F.col("__k") for c in turn[1:]]
-    return rows.withColumns(dict(zip(outs, (F.col(time) + F.col("__dt") / 2, *omega)))).drop(*nxt, *turn, "__dt", "__v", "__k")
+    made = dict(zip(outs, (F.col(time) + F.col("__dt") / 2, *omega))) | ({step: F.col("__dt")} if step else {})
+    return rows.withColumns(made).drop(*nxt, *turn, "__dt", "__v", "__k")
 
 
 def angle_integral(df: DataFrame, keys: Sequence[str], values: Sequence[str], fs: float, outs: Sequence[str]) -> DataFrame:

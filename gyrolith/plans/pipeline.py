@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyrolith.config import Config
+from gyrolith.operators import filters
 from gyrolith.operators import windows as W
 from gyrolith.operators.aggregates import sample_rate
 from gyrolith.operators.detect import adaptive_clean, noisy_intervals, optical_alpha, quiet_intervals, severe_intervals
@@ -36,9 +37,13 @@ def orientation_of(telemetry: DataFrame, keys: Sequence[str], time: str, order:
 
 def clean(series: DataFrame, keys: Sequence[str], cfg: Config = Config()) -> DataFrame:
     """Rates of a written orientation series, cleaned and diagnosed; adds each series' own rate ``fs``."""
-    fs = sample_rate(series, keys, "t")
-    rates = W.rates(series, keys, "t", ["w", "x", "y", "z"]).select(*keys, "pos", "n", "tm", "wx", "wy", "wz")
-    return adaptive_clean(rates.join(fs, list(keys), "left"), keys, cfg)
+    keys, long = list(keys), F.col("n") > 2 * filters.SHARD
+    told = ["pos", "n", "tm", "dt", "wx", "wy", "wz"]
+    rates = lambda rows: W.rates(rows, keys, "t", ["w", "x", "y", "z"], step="dt").select(*keys, *told)
+    # a series of one shard tells its rate in the pass; longer ones need it before, to be cut
+    far = series.where(long)
+    rows = rates(series.where(~long)).withColumn("fs", F.lit(None).cast("double")).unionByName(rates(far).join(sample_rate(far, keys, "t"), keys, "left"))
+    return adaptive_clean(rows, keys, cfg, step_time="dt").drop("dt")
 
 
 @dataclass

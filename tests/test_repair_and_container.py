@@ -393,3 +393,17 @@ def test_shifted_track_differs_by_nothing(spark):
     b = a.assign(t=t + 0.008)[["g", "pos", "n", "t", "v"]]
     got = metrics.render_difference(spark.createDataFrame(a), spark.createDataFrame(b), ["g"], ["v"], 50.0, 0.03, [(2.0, 8.0), (8.0, 25.0)]).toPandas()
     assert len(got) == 4 and (np.abs(got["shift"] - 0.008) < 1e-9).all() and got.rms.max() < 0.02
+
+
+def test_rates_of_long_and_short_series_are_told_alike(spark, monkeypatch):
+    """A series tells its rate in its one shard, a longer one beforehand; both give the same results."""
+    _, _, q = spin(700, 0.01)
+    t = np.cumsum(np.random.default_rng(3).uniform(0.004, 0.016, 700))
+    tele = spark.createDataFrame(pd.concat([pd.DataFrame(q[:n], columns=list("wxyz")).assign(g=g, idx=np.arange(n), t=t[:n]) for g, n in (("a", 700), ("b", 240))]))
+    series = P.durable(P.orientation_of(tele, ["g"], "t", "idx"))
+    whole = P.clean(series, ["g"]).toPandas().sort_values(["g", "pos"]).reset_index(drop=True)
+    monkeypatch.setattr("gyrolith.operators.filters.SHARD", 128)
+    cut = P.clean(series, ["g"]).toPandas().sort_values(["g", "pos"]).reset_index(drop=True)
+    assert len(whole) == 938 and whole.fs.nunique() == 2
+    assert abs(whole.fs[0] - 1 / np.median(np.diff(t))) == 0
+    pd.testing.assert_frame_equal(whole, cut[whole.columns], atol=1e-8, rtol=1e-8)

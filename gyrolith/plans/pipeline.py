@@ -39,7 +39,7 @@ def clean(series: DataFrame, keys: Sequence[str], cfg: Config = Config()) -> Dat
     """Rates of a written orientation series, cleaned and diagnosed; adds each series' own rate ``fs``."""
     keys, long = list(keys), F.col("n") > 2 * filters.SHARD
     told = ["pos", "n", "tm", "dt", "wx", "wy", "wz"]
-    rates = lambda rows: W.rates(rows, keys, "t", ["w", "x", "y", "z"], step="dt").select(*keys, *told)
+    rates = lambda rows: W.rates(rows.select(*keys, "pos", "n", "t", *"wxyz"), keys, "t", ["w", "x", "y", "z"], step="dt").select(*keys, *told)
     # a series of one shard tells its rate in the pass; longer ones need it before, to be cut
     far = series.where(long)
     rows = rates(series.where(~long)).withColumn("fs", F.lit(None).cast("double")).unionByName(rates(far).join(sample_rate(far, keys, "t"), keys, "left"))

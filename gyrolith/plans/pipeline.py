@@ -7,8 +7,9 @@ Every series gets a status row instead of failing the job: 'short', 'no rate' (a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,13 +49,26 @@ def clean(series: DataFrame, keys: Sequence[str], cfg: Config = Config()) -> Dat
 
 @dataclass
 class Repair:
+    """The chain's tables; the patch and splice are made when ``orientation`` or ``bursts`` is first asked for."""
+
     series: DataFrame
     diag: DataFrame
     severe: DataFrame
     alignment: DataFrame
-    orientation: DataFrame
-    bursts: DataFrame
     status: DataFrame
+    splice: Callable[[], tuple[DataFrame, DataFrame]]
+
+    @cached_property
+    def _spliced(self) -> tuple[DataFrame, DataFrame]:
+        return self.splice()
+
+    @property
+    def orientation(self) -> DataFrame:
+        return self._spliced[0]
+
+    @property
+    def bursts(self) -> DataFrame:
+        return self._spliced[1]
 
 
 def repair(telemetry: DataFrame, optical: DataFrame, keys: Sequence[str], cfg: Config = Config(), time: str = "t", order: str = "idx", pick: bool = False) -> Repair:
@@ -76,7 +90,6 @@ def repair(telemetry: DataFrame, optical: DataFrame, keys: Sequence[str], cfg: C
     alpha = "alpha"
     if cfg.optical_noise:
         work, alpha = optical_alpha(work, keys, cfg), "alpha_opt"
-    noisy = durable(noisy_intervals(work, keys, "tm", cfg, alpha))
     seen = optical.where(F.col("t").isNotNull() & F.col("quality").isNotNull()).join(ill, keys, "left_semi")
     calib = seen.where("kind = 'calib'")
     if pick:
@@ -84,9 +97,14 @@ def repair(telemetry: DataFrame, optical: DataFrame, keys: Sequence[str], cfg: C
         calib = in_any(seen, calibration_intervals(quiet_intervals(work, keys, "tm"), motion, keys, "tm", "__m"), keys, "t")
     fit = durable(video_alignment(calib, work, keys))
     measured = seen.where("kind = 'noisy'")
-    patched = durable(optical_patch(work, measured, fit, noisy, keys, cfg))
     good = fit.where("status = 'ok'").join(measured.select(*keys).distinct(), keys, "left_semi")
-    orientation, bursts = splice_orientation(series, patched.join(good.select(*keys), keys, "left_semi"), severe.join(good.select(*keys), keys, "left_semi"), keys, cfg)
+
+    def splice() -> tuple[DataFrame, DataFrame]:
+        sound = lambda df: df.join(good.select(*keys), keys, "left_semi")
+        noisy = durable(noisy_intervals(sound(work), keys, "tm", cfg, alpha))
+        patched = durable(optical_patch(sound(work), measured, fit, noisy, keys, cfg))
+        return splice_orientation(series, patched, sound(severe), keys, cfg)
+
     status = sizes.join(ill.withColumn("__ill", F.lit(True)), keys, "left").join(fit.select(*keys, F.col("status").alias("__fit"), "r2"), keys, "left")
     status = status.join(good.select(*keys, F.lit(True).alias("__ok")), keys, "left")
     verdict = (
@@ -99,7 +117,7 @@ def repair(telemetry: DataFrame, optical: DataFrame, keys: Sequence[str], cfg: C
         .when(F.col("__ok").isNull(), "unmeasured")
         .otherwise("repaired")
     )
-    return Repair(series, diag, severe, fit, orientation, bursts, status.select(*keys, "samples", "fs", "r2", verdict.alias("status")))
+    return Repair(series, diag, severe, fit, status.select(*keys, "samples", "fs", "r2", verdict.alias("status")), splice)
 
 
 def dump_stages(done: Repair, folder: str) -> list[str]:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from gyrolith.functions import quat as Qn
 from gyrolith.operators import windows as W
-from gyrolith.operators.ordered import number
 from gyrolith.operators.shards import place, shard_summary
 from gyrolith.session import durable
 
@@ -26,17 +25,16 @@ def slots(samples: DataFrame, sensor_fps: float = 100.0) -> DataFrame:
     Times: the frame's since the first frame that has both time and orientations, plus the place
     in the frame.  NaN and all-zero orientations are no slots.
     """
-    has = F.col("frame_ts").isNotNull() & (F.size("atts") > 0)
-    first = samples.where(has).groupBy("path").agg(F.min_by("frame_ts", "sample").alias("__t0"))
-    rows = samples.where(F.size("atts") > 0).join(first, FILE, "left")
-    rows = rows.select("path", "sample", "frame_ts", "att_offset", "__t0", F.size("atts").alias("__n"), F.posexplode("atts").alias("j", "a"))
+    rows = samples.where(F.size("atts") > 0)
+    rows = rows.select("path", "sample", "frame_ts", "att_offset", "start_ts", F.size("atts").alias("__n"), F.posexplode("atts").alias("j", "a"))
     f = tuple(F.col("a.vals")[k].cast("double") for k in range(4))
-    t = (F.col("frame_ts") - F.col("__t0")) / 1000.0 + ((F.col("j") - F.col("att_offset").cast("double")) / F.col("__n")) * (1000.0 / sensor_fps)
+    t = (F.col("frame_ts") - F.col("start_ts")) / 1000.0 + ((F.col("j") - F.col("att_offset").cast("double")) / F.col("__n")) * (1000.0 / sensor_fps)
     rows = rows.select("path", "sample", "j", "a.offs", *[c.alias(f"f{k}") for k, c in enumerate(f)], t.alias("t_ms"))
     out = Qn.file_to_out(tuple(F.col(f"f{k}") for k in range(4)))
-    rows = rows.withColumns(dict(zip("wxyz", out)))
-    size = F.greatest(*[F.abs(F.col(c)) for c in "wxyz"])
-    rows = rows.where(~F.isnan(size) & (size > 0))
+    # told by the stored components: a test of w, x, y, z would have their products written out again for every mention.
+    # The turn is a product with zeros among its factors, so that an infinite component, too, makes NaN.
+    size = F.greatest(*[F.abs(F.col(f"f{k}")) for k in range(4)])
+    rows = rows.where((size > 0) & (size < float("inf"))).withColumns(dict(zip("wxyz", out)))
     return rows.withColumn("whole", ~F.exists("offs", lambda o: o.isNull()))
 
 
@@ -107,9 +105,36 @@ def compare_positions(left: DataFrame, right: DataFrame, keys: Sequence[str], id
 
 
 def numbered_slots(rows: DataFrame) -> DataFrame:
-    """Slots in order of time with the number of the deduplicated orientation each belongs to; written once."""
-    x = number(rows, FILE, ["t_ms", "sample", "j"], F.floor(F.col("t_ms") / 16000.0).cast("long"), keep=True)
-    return durable(W.dedup_index(x, FILE, ["w", "x", "y", "z"]))
+    """Slots in order of time (pos, n) with the number of the deduplicated orientation each belongs to; written once.
+
+    One shuffle to time shards does both: a shard's first row is held against the last of the shard before.
+    """
+    q, order = ("w", "x", "y", "z"), ("t_ms", "sample", "j")
+    state, by = F.struct(*q), F.struct(*order)
+
+    def differs(now: Sequence[Column], before: str) -> Column:
+        told = F.lit(False)
+        for name, c in zip(q, now):
+            told = told | ~c.eqNullSafe(F.col(before).getField(name))
+        return told.cast("long")
+
+    # written once, since files would be read again by each side of the join below
+    base = place(durable(rows).withColumn("__sh", F.floor(F.col("t_ms") / 16000.0).cast("long")), FILE, "__sh")
+    w = Window.partitionBy(*FILE, "__sh").orderBy(*order)
+    x = base.withColumns({"__r": F.row_number().over(w), "__p": F.lag(state).over(w)})
+    x = x.withColumn("__new", F.when(F.col("__p").isNotNull(), differs([F.col(c) for c in q], "__p"))).drop("__p")
+    told = {"__c": F.count(F.lit(1)), "__f": F.min_by(state, by), "__l": F.max_by(state, by), "__a": F.coalesce(F.sum("__new"), F.lit(0))}
+    shards = shard_summary(x, FILE, "__sh", told, base.columns)
+    ws = Window.partitionBy(*FILE).orderBy("__sh")
+    shards = shards.withColumn("__p", F.lag("__l").over(ws))
+    shards = shards.withColumn("__fn", F.when(F.col("__p").isNull(), 1).otherwise(differs([F.col("__f").getField(c) for c in q], "__p")))
+    past = lambda c: F.coalesce(F.sum(c).over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = shards.select(*FILE, "__sh", "__fn", past("__c").alias("__before"), past(F.col("__a") + F.col("__fn")).alias("__kept"), F.sum("__c").over(Window.partitionBy(*FILE)).alias("n"))
+    x = x.join(shards, [*FILE, "__sh"])
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    number = F.col("__kept") + F.sum(F.coalesce("__new", "__fn")).over(upto) - 1
+    x = x.withColumns({"pos": F.col("__before") + F.col("__r") - 1, "dedup_idx": number})
+    return durable(x.drop("__sh", "__r", "__new", "__fn", "__before", "__kept"))
 
 
 def patch_plan(rows: DataFrame, target: DataFrame | None) -> DataFrame:
@@ -124,7 +149,7 @@ def patch_plan(rows: DataFrame, target: DataFrame | None) -> DataFrame:
     first = F.min_by(F.struct("f0", "f1", "f2", "f3"), F.struct("sample", "j"))
     own = rows.groupBy("path", "dedup_idx").agg(first.alias("own"), F.first(F.struct("w", "x", "y", "z")).alias("out"))
     own = own.select("path", "dedup_idx", "own", *[F.col(f"out.{c}").alias(c) for c in "wxyz"])
-    own = number(own, FILE, ["dedup_idx"], F.floor(F.col("dedup_idx") / W.SHARD).cast("long"), keep=True)
+    own = durable(own.withColumn("pos", F.col("dedup_idx")))  # one row a number, from 0: numbered as it is
     seen = W.hemisphere(own, FILE, ["w", "x", "y", "z"])
     seen = seen.withColumns({f"s{k}": c for k, c in enumerate(Qn.normalise(Qn.q_of()))})
     goal = target.select("path", "dedup_idx", *[F.col(c).alias(f"g{k}") for k, c in enumerate("wxyz")])
@@ -135,7 +160,7 @@ def patch_plan(rows: DataFrame, target: DataFrame | None) -> DataFrame:
     new = Qn.out_to_file(Qn.normalise(tuple(F.col(f"g{k}") for k in range(4))))
     both = both.withColumn("changed", ~F.coalesce(equal, F.lit(False)))
     both = both.withColumns({f"m{k}": F.when(F.col("changed"), c).otherwise(F.col(f"own.f{k}")) for k, c in enumerate(new)})
-    both = durable(both.select("path", "dedup_idx", "pos", "n", "changed", "m0", "m1", "m2", "m3"))
+    both = durable(both.select("path", "dedup_idx", "pos", "changed", "m0", "m1", "m2", "m3"))
     pinned = W.sign_pin(both, FILE, ["m0", "m1", "m2", "m3"], "changed").select("path", "dedup_idx", "changed", "m0", "m1", "m2", "m3")
     merged = rows.join(pinned, ["path", "dedup_idx"])
     # unchanged slots keep their own stored value, not that of their run's first

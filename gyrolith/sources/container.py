@@ -1,10 +1,13 @@
 """Orientation samples inside video containers, as a Spark data source, and writing them back.
 
 ``spark.read.format("clip_container").option("path", "*.mp4").option("parts", 4).load()`` gives one
-row per metadata sample: path, sample, file_offset, sample_bytes, frame_ts, att_offset and
-atts, an array of (offs, vals): the file offset and value of each of four float32 components.
+row per metadata sample: path, sample, file_offset, sample_bytes, frame_ts, att_offset,
+atts, an array of (offs, vals): the file offset and value of each of four float32 components, and
+start_ts, the frame time of the file's first sample with both time and orientations (null before it).
 Only the index of a file and its metadata samples are read, never picture or sound.
 
+One task reads many small files, up to ``block`` bytes; a file of more is cut into ``parts``.
+
 A file that can't be read as a container gives one row with ``error`` set, so that one bad file
 doesn't fail a job over many.
 """
@@ -15,7 +18,7 @@ import glob
 import os
 import shutil
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import BinaryIO
 
 import numpy as np
@@ -27,10 +30,15 @@ from gyrolith.session import ship
 
 SCHEMA = (
     "path string, sample bigint, file_offset bigint, sample_bytes int, frame_ts bigint, att_offset float, "
-    "atts array<struct<offs: array<bigint>, vals: array<float>>>, error string"
+    "atts array<struct<offs: array<bigint>, vals: array<float>>>, start_ts bigint, error string"
 )
+BLOCK = 2 << 20  # bytes of files that one task reads
+OPEN = 1 << 13  # bytes that opening a file counts as, at least
+BATCH = 20_000  # orientations of one Arrow batch, and samples at most
+GAP = 4096  # components nearer than this are patched in one read and one write
 # fixed values: where the wire format keeps things (message field numbers)
 FRAME, HEADER, STAMP, IMU, FUSION, ATTITUDE, OFFSET = 3, 1, 2, 3, 2, 3, 4
+WHOLE, TAGS = struct.Struct("<BfBfBfBf"), tuple(k << 3 | 5 for k in range(1, 5))
 
 
 class NotAContainer(ValueError):
@@ -159,7 +167,7 @@ def message(data: bytes, span: tuple[int, int] | None, *path: int) -> tuple[int,
     return span
 
 
-def parse_sample(data: bytes, base: int) -> tuple[int | None, float, list[tuple[list[int | None], list[float]]]]:
+def parse_sample(data: bytes, base: int) -> tuple[int | None, float, list[tuple[Sequence[int | None], Sequence[float]]]]:
     """Frame time, attitude offset and attitudes of one sample; an omitted component is 0.0 at no offset."""
     frame = message(data, (0, len(data)), FRAME)
     stamp: int | None = None
@@ -174,36 +182,125 @@ def parse_sample(data: bytes, base: int) -> tuple[int | None, float, list[tuple[
         if no == OFFSET and kind == 5:
             (shift,) = struct.unpack_from("<f", data, lo)
         elif no == ATTITUDE and kind == 2:
+            if hi - lo == WHOLE.size:  # as nearly all are: four components in order
+                whole = WHOLE.unpack_from(data, lo)
+                if whole[::2] == TAGS:
+                    atts.append(([base + lo + 1, base + lo + 6, base + lo + 11, base + lo + 16], whole[1::2]))
+                    continue
             parts = {n: a for n, k, a, _ in wire(data, lo, hi) if k == 5 and 1 <= n <= 4}
             atts.append(([base + parts[n] if n in parts else None for n in range(1, 5)], [struct.unpack_from("<f", data, parts[n])[0] if n in parts else 0.0 for n in range(1, 5)]))
     return stamp, shift, atts
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, part: int, parts: int) -> None:
+    """Files, or parts of files, that one task reads: (path, part, parts)."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]) -> None:
         super().__init__(None)
-        self.path, self.part, self.parts = path, part, parts
+        self.spans = spans
+
+
+def _size(path: str) -> int:
+    try:
+        return os.path.getsize(path)
+    except OSError:  # the task that reads it tells
+        return 0
+
+
+class _Rows:
+    """Samples on their way into Arrow batches."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.counts: list[int] = []  # of a sample's orientations
+        self.offs: list[int | None] = []
+        self.vals: list[float] = []
+
+    def add(self, row: tuple, atts: Sequence[tuple[Sequence[int | None], Sequence[float]]]) -> None:
+        self.rows.append(row)
+        self.counts.append(len(atts))
+        for o, v in atts:
+            self.offs.extend(o)
+            self.vals.extend(v)
+
+    def full(self) -> bool:
+        return len(self.rows) >= BATCH or len(self.offs) >= 4 * BATCH
+
+    def batch(self):
+        import pyarrow as pa
+
+        path, sample, file_offset, sample_bytes, stamp, shift, start, error = zip(*self.rows)
+        fours = pa.array(np.arange(0, len(self.offs) + 4, 4, dtype=np.int32))
+        each = pa.StructArray.from_arrays([pa.ListArray.from_arrays(fours, pa.array(x, kind)) for x, kind in ((self.offs, pa.int64()), (self.vals, pa.float32()))], ["offs", "vals"])
+        ends = np.cumsum([0, *self.counts]).astype(np.int32)
+        mask = pa.array([e is not None for e in error])
+        atts = pa.ListArray.from_arrays(pa.array(ends), each, mask=mask)
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float32(), pa.int64(), pa.string())
+        cols = [pa.array(x, kind) for x, kind in zip((path, sample, file_offset, sample_bytes, stamp, shift, start, error), kinds)]
+        names = ["path", "sample", "file_offset", "sample_bytes", "frame_ts", "att_offset", "atts", "start_ts", "error"]
+        return pa.record_batch([*cols[:6], atts, *cols[6:]], names=names)
 
 
 class ContainerReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.pattern, self.parts = options.get("path", ""), int(options.get("parts", 1))
+        self.pattern, self.parts, self.block = options.get("path", ""), int(options.get("parts", 1)), int(options.get("block", BLOCK))
 
     def partitions(self) -> list[_Part]:
-        return [_Part(p, k, self.parts) for p in sorted(glob.glob(self.pattern)) for k in range(self.parts)]
-
-    def read(self, partition: _Part) -> Iterator[tuple]:
+        tasks: list[_Part] = []
+        room = 0
+        for path in sorted(glob.glob(self.pattern)):
+            size = _size(path)
+            parts = self.parts if size > self.block else 1
+            share = max(size // parts, OPEN)
+            for k in range(parts):
+                if not tasks or share > room:
+                    tasks.append(_Part([]))
+                    room = self.block
+                tasks[-1].spans.append((path, k, parts))
+                room -= share
+        return tasks
+
+    def read(self, partition: _Part) -> Iterator:
+        made = _Rows()
+        for span in partition.spans:
+            for row, atts in _samples(*span):
+                made.add(row, atts)
+                if made.full():
+                    yield made.batch()
+                    made = _Rows()
+        if made.rows:
+            yield made.batch()
+
+
+def _start(f: BinaryIO, offsets: np.ndarray, sizes: np.ndarray, upto: int) -> int | None:
+    """Time of the first of the samples before ``upto`` that has one, and orientations; mostly the very first."""
+    for k in range(upto):
+        f.seek(int(offsets[k]))
         try:
-            with open(partition.path, "rb") as f:
-                offsets, sizes = sample_table(read_index(f))
-                lo, hi = (len(offsets) * k // partition.parts for k in (partition.part, partition.part + 1))
-                for k in range(lo, hi):
-                    f.seek(int(offsets[k]))
-                    stamp, shift, atts = parse_sample(f.read(int(sizes[k])), int(offsets[k]))
-                    yield partition.path, k, int(offsets[k]), int(sizes[k]), stamp, shift, [{"offs": o, "vals": v} for o, v in atts], None
-        except (OSError, NotAContainer, IndexError, struct.error, ValueError) as e:
-            if partition.part == 0:
-                yield partition.path, None, None, None, None, None, None, str(e)
+            stamp, _, atts = parse_sample(f.read(int(sizes[k])), int(offsets[k]))
+        except (NotAContainer, IndexError, struct.error, ValueError):  # the task that reads it tells
+            continue
+        if stamp is not None and atts:
+            return stamp
+    return None
+
+
+def _samples(path: str, part: int, parts: int) -> Iterator[tuple[tuple, Sequence]]:
+    """Rows of a part of a file without their orientations, and those."""
+    try:
+        with open(path, "rb") as f:
+            offsets, sizes = sample_table(read_index(f))
+            lo, hi = (len(offsets) * k // parts for k in (part, part + 1))
+            start = _start(f, offsets, sizes, lo)
+            for k in range(lo, hi):
+                f.seek(int(offsets[k]))
+                stamp, shift, atts = parse_sample(f.read(int(sizes[k])), int(offsets[k]))
+                if start is None and atts:
+                    start = stamp
+                yield (path, k, int(offsets[k]), int(sizes[k]), stamp, shift, start, None), atts
+    except (OSError, NotAContainer, IndexError, struct.error, ValueError) as e:
+        if part == 0:
+            yield (path, None, None, None, None, None, None, str(e)), ()
 
 
 class ContainerSource(DataSource):
@@ -218,10 +315,10 @@ class ContainerSource(DataSource):
         return ContainerReader(self.options)
 
 
-def read_containers(spark: SparkSession, pattern: str, parts: int = 1) -> DataFrame:
+def read_containers(spark: SparkSession, pattern: str, parts: int = 1, block: int = BLOCK) -> DataFrame:
     ship(spark)
     spark.dataSource.register(ContainerSource)
-    return spark.read.format("clip_container").option("path", pattern).option("parts", str(parts)).load()
+    return spark.read.format("clip_container").option("path", pattern).option("parts", str(parts)).option("block", str(block)).load()
 
 
 def _box(name: bytes, payload: bytes) -> bytes:
@@ -242,7 +339,8 @@ def _field(number: int, kind: int, payload: bytes) -> bytes:
 
 def pack_sample(stamp: int | None, shift: float, quats: list[list[float | None]]) -> bytes:
     """A metadata sample as ``parse_sample`` reads it; a component that is None is left out."""
-    atts = [_field(ATTITUDE, 2, b"".join(_field(k + 1, 5, struct.pack("<f", v)) for k, v in enumerate(q) if v is not None)) for q in quats]
+    head = _field(ATTITUDE, 2, bytes(WHOLE.size))[: -WHOLE.size]
+    atts = [head + WHOLE.pack(TAGS[0], q[0], TAGS[1], q[1], TAGS[2], q[2], TAGS[3], q[3]) if len(q) == 4 and None not in q else _field(ATTITUDE, 2, b"".join(_field(k + 1, 5, struct.pack("<f", v)) for k, v in enumerate(q) if v is not None)) for q in quats]
     head = _field(HEADER, 2, _field(STAMP, 0, _varint(stamp))) if stamp is not None else b""
     return _field(FRAME, 2, head + _field(IMU, 2, _field(FUSION, 2, b"".join(atts) + _field(OFFSET, 5, struct.pack("<f", shift)))))
 
@@ -292,6 +390,16 @@ def write_containers(rows: DataFrame, folder: str) -> DataFrame:
     return ready.repartition("name").sortWithinPartitions("name", "sample").mapInArrow(run, "path string, n_samples bigint")
 
 
+def _overwrite(f: BinaryIO, off: np.ndarray, value: np.ndarray) -> None:
+    """Put values (four bytes each) at ascending offsets of a file, all else between them as it is; where two overlap the later one stays."""
+    lo, hi = int(off[0]), int(off[-1]) + 4
+    f.seek(lo)
+    span = np.frombuffer(f.read(hi - lo).ljust(hi - lo, b"\0"), np.uint8).copy()
+    span[(off[:, None] - lo + np.arange(4)).ravel()] = value.ravel()
+    f.seek(lo)
+    f.write(span.tobytes())
+
+
 def write_slots(plan: DataFrame) -> DataFrame:
     """Write float32 components at file offsets into copies of files: one task per file, in order.
 
@@ -316,15 +424,16 @@ def write_slots(plan: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array([out]), pa.array([n], pa.int64()), pa.array([error], pa.string())], names=["out_path", "n_written", "error"])
 
         for batch in batches:
-            paths, targets = (batch.column(c).to_pylist() for c in ("path", "out_path"))
+            paths, targets = batch.column("path").dictionary_encode(), batch.column("out_path")
+            code = paths.indices.to_numpy(zero_copy_only=False)
             off = batch.column("off").to_numpy(zero_copy_only=False).astype(float)
             value = np.frombuffer(batch.column("value").to_numpy(zero_copy_only=False).astype("<f4").tobytes(), np.uint8).reshape(-1, 4)
-            new = np.array([k == 0 or paths[k] != paths[k - 1] for k in range(len(paths))], bool)
-            for a, b in zip(np.flatnonzero(new).tolist(), [*np.flatnonzero(new).tolist()[1:], len(paths)]):
-                if paths[a] != current:
+            new = np.flatnonzero(np.diff(code, prepend=-1)).tolist()
+            for a, b in zip(new, [*new[1:], len(code)]):
+                if (path := paths[a].as_py()) != current:
                     if current is not None:
                         yield close()
-                    current, out, n, error = paths[a], targets[a], 0, None
+                    current, out, n, error = path, targets[a].as_py(), 0, None
                     try:
                         shutil.copyfile(current, out)
                         f = open(out, "r+b")  # noqa: SIM115
@@ -332,10 +441,8 @@ def write_slots(plan: DataFrame) -> DataFrame:
                         error = str(e)
                 if error is None:
                     at = np.arange(a, b)[~np.isnan(off[a:b])]
-                    # components on end are one write
-                    for run_ in np.split(at, np.flatnonzero(np.diff(off[at]) != 4) + 1) if len(at) else ():
-                        f.seek(int(off[run_[0]]))
-                        f.write(value[run_].tobytes())
+                    for run_ in np.split(at, np.flatnonzero(np.diff(off[at]) > GAP) + 1) if len(at) else ():
+                        _overwrite(f, off[run_].astype(np.int64), value[run_])
                     n += len(at)
         if current is not None:
             yield close()

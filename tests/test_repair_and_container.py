@@ -141,6 +141,64 @@ def test_patch_changes_only_changed_rows(spark, clip):
     assert C.plan_problems(rows, C.patch_plan(rows, None), target.where("dedup_idx < 3")).collect()[0].problem == "row count"
 
 
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    q = quat_run(8).tolist()
+    for k in range(60):
+        (tmp_path / f"c{k}.mp4").write_bytes(container([sample(5_000 + k, q[:4]), sample(15_000 + k, q[4:])]))
+    tasks = S.ContainerReader({"path": f"{tmp_path}/*.mp4", "parts": "2"}).partitions()
+    assert len(tasks) == 1 and len({p for p, _, _ in tasks[0].spans}) == 60
+    rows = S.read_containers(spark, f"{tmp_path}/*.mp4", 2).toPandas()
+    assert len(rows) == 120 and rows.path.nunique() == 60 and rows.atts.map(len).tolist() == [4] * 120
+
+
+def test_parts_of_a_file_give_the_same_rows(spark, tmp_path):
+    q = quat_run(40).tolist()
+    q[9][2] = None  # an omitted component
+    path = tmp_path / "c.mp4"
+    path.write_bytes(container([sample(0, [])] + [sample(1_000_000 + 10_000 * k, q[4 * k : 4 * k + 4], 0.5) for k in range(10)]))
+    assert len(S.ContainerReader({"path": str(path), "parts": "3", "block": "0"}).partitions()) == 3
+    told = [C.slots(S.read_containers(spark, str(path), parts, block=0)).orderBy("sample", "j").collect() for parts in (1, 3)]
+    assert told[0] == told[1] and len(told[0]) == 40 and told[0][0].t_ms == pytest.approx(-0.5 / 4 * 10)
+    assert [r.whole for r in told[0]].count(False) == 1 and told[0][9].offs[2] is None
+
+
+def test_only_finite_orientations_other_than_zero_are_slots(spark, tmp_path):
+    path = tmp_path / "c.mp4"
+    bad = [[float("nan"), 1.0, 0.0, 0.0], [0.0] * 4, [0.0, float("inf"), 0.0, 0.0], [0.0, 0.0, -float("inf"), 1.0]]
+    path.write_bytes(container([sample(0, [*bad, [1e-45, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]])]))
+    assert [r.j for r in C.slots(S.read_containers(spark, str(path))).orderBy("j").collect()] == [4, 5]
+
+
+def test_slots_are_numbered_over_shards_as_by_a_loop(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for path, n in (("/a", 90), ("/b", 1), ("/c", 40)):
+        t = np.sort(rng.uniform(0, 100_000, n))  # shards are 16 s; runs of equal values cross them
+        w = np.repeat(rng.normal(size=n), rng.integers(1, 6, n))[:n]
+        at = -1
+        for k in range(n):
+            at += k == 0 or w[k] != w[k - 1]
+            want[path, k] = (k, n, at)
+            rows.append((path, k, 0, float(w[k]), 0.0, 1.0, 2.0, float(t[k])))
+    df = spark.createDataFrame(rows, "path string, sample bigint, j int, w double, x double, y double, z double, t_ms double").repartition(5)
+    made = C.numbered_slots(df)
+    assert {(r.path, r.sample): (r.pos, r.n, r.dedup_idx) for r in made.collect()} == want
+    assert made.columns == [*df.columns, "n", "pos", "dedup_idx"]
+
+
+def test_components_are_put_into_a_file_wherever_they_lie(spark, tmp_path):
+    old = bytes(range(256)) * 80
+    (tmp_path / "a.mp4").write_bytes(old)
+    rng = np.random.default_rng(1)
+    offs = sorted({*(5 * np.arange(100) + 7).tolist(), *(4 * rng.choice(4000, 50, replace=False) + 2000).tolist(), len(old) - 4})
+    plan = spark.createDataFrame([(str(tmp_path / "a.mp4"), str(tmp_path / "b.mp4"), o, float(k)) for k, o in enumerate(offs)], "path string, out_path string, off bigint, value float").repartition(3)
+    assert [(r.n_written, r.error) for r in S.write_slots(plan).collect()] == [(len(offs), None)]
+    want = bytearray(old)
+    for k, o in enumerate(offs):
+        want[o : o + 4] = struct.pack("<f", k)
+    assert (tmp_path / "b.mp4").read_bytes() == bytes(want)
+
+
 # ---- repair
 def spin(n, dt, seed=0):
     t = np.arange(n) * dt
